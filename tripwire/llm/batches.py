@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one vectorised step holds, unless a single text is longer.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 1_000_000
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -17,6 +17,7 @@ import heapq
 import sys
 import unicodedata
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import chain
 from pathlib import Path
 
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 from tripwire.llm.batches import Lookup, prefix_hash, row_chunks, slice_hash, text_buffer, within
 
 #: Pre-tokens that a Python worker keeps encoded; beyond it the cache starts anew.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 150_000
 
 _LETTER, _NUMBER, _OTHER, _SPACE = 1, 2, 3, 4
 #: Codepoints that the pattern's \s matches.
@@ -165,26 +166,29 @@ class Encoder:
     def __init__(self, file: bytes):
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in file.splitlines() if line)}
         size = max(self.ranks.values()) + 1
+        self.of_byte = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         tokens = [b""] * size
         for token, rank in self.ranks.items():
             tokens[rank] = token
         self.lengths = np.array([len(x) for x in tokens], np.int64)
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self.offsets = np.cumsum(self.lengths) - self.lengths
-        self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        joins = {(self.ranks[a], self.ranks[b]): rank for token, rank in self.ranks.items() for k in range(1, len(token)) if (a := token[:k]) in self.ranks and (b := token[k:]) in self.ranks}
-        keys = np.array(list(joins), np.uint64).reshape(-1, 2)
-        self.pairs = Lookup((keys[:, 0] << np.uint64(32)) | keys[:, 1])
-        self.joined = np.array([*joins.values(), 0], np.int32)
         self.forget()
 
+    @cached_property
+    def pairs(self) -> tuple[Lookup, np.ndarray]:
+        """Pairs of ids whose bytes together are a token, and that token's id; only merging needs them."""
+        joins = np.array([(self.ranks[a], self.ranks[b], rank) for token, rank in self.ranks.items() for k in range(1, len(token)) if (a := token[:k]) in self.ranks and (b := token[k:]) in self.ranks], np.int32).reshape(-1, 3)
+        return Lookup((joins[:, 0].astype(np.uint64) << np.uint64(32)) | joins[:, 1].astype(np.uint64)), np.append(joins[:, 2], 0)
+
     def forget(self) -> None:
         self.known: dict[int, int] = {}
         self.pool, self.pool_at = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        found = self.pairs.find((left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64))
-        return np.where(found >= 0, self.joined[found], _NEVER)
+        pairs, joined = self.pairs
+        found = pairs.find((left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64))
+        return np.where(found >= 0, joined[found], _NEVER)
 
     def _merge_equal(self, rows: np.ndarray) -> list[np.ndarray]:
         """Ids of each row of a matrix of bytes: ``merge`` for pre-tokens of one length, all at once."""
