@@ -112,3 +112,20 @@ class Lookup:
             on = (out[left] >= 0) & (self.keys[at] != keys[left])
             left, at = left[on], at[on]
         return out
+
+
+SEPARATOR = np.zeros(256, bool)
+SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the runs of bytes other than space and 09-0D, within the texts at ``offsets`` (from 0)."""
+    letters = ~SEPARATOR[raw]
+    opens, closes = letters.copy(), letters.copy()
+    opens[1:] &= ~letters[:-1]
+    closes[:-1] &= ~letters[1:]
+    begins, ends = offsets[:-1], offsets[1:]
+    filled = ends > begins
+    opens[begins[filled]] = letters[begins[filled]]
+    closes[ends[filled] - 1] = letters[ends[filled] - 1]
+    return np.flatnonzero(opens), np.flatnonzero(closes) + 1
