@@ -11,7 +11,7 @@ average, chosen by a hash of their ids; that bounds the model, which is broadcas
 
 Edge cases: a null text or one without a letter is ``und`` with score 0 and no code length; so is every text if
 nothing can be learned (an empty table, no languages); null ids count as the empty text in the hash; repeated rows
-each get their row; texts are read whole; other columns are ignored.
+each get their row; texts are read whole; other columns are ignored (``accepted`` keeps them as they are).
 """
 
 from __future__ import annotations
@@ -190,28 +190,31 @@ def has_letter(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def judged(trees: ContextTrees | None, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(language, score, bits per byte or NaN) of each text; the score is its share among the languages' likelihoods per 64 bytes."""
+    raw, offsets, _ = text_buffer(column)
+    letters = has_letter(raw, offsets)
+    names, scores, rates = [], np.zeros(len(column)), np.full(len(column), np.nan)
+    for lo, hi in row_chunks(offsets, _BYTES_AT_ONCE):
+        if trees is None:
+            names += ["und"] * (hi - lo)
+            continue
+        bits, size = trees.bits(raw, offsets[lo : hi + 1]), np.maximum(np.diff(offsets[lo : hi + 1]), 1)
+        best, least, ok = bits.argmin(1), bits.min(1), letters[lo:hi]
+        per = np.exp2((least[:, None] - bits) / np.maximum(size / 64, 1)[:, None])
+        scores[lo:hi] = np.where(ok, 1 / per.sum(1), 0)
+        rates[lo:hi] = np.where(ok, least / size, np.nan)
+        names += [trees.languages[b] if x else "und" for b, x in zip(best, ok, strict=True)]
+    return names, scores, rates
+
+
 def predict(documents: DataFrame, trees: ContextTrees | None) -> DataFrame:
-    """Per document: held_out, lang_pred, score (its share among the languages' likelihoods per 64 bytes) and bits per byte."""
+    """Per document: doc_id, held_out, lang_pred, score, bits_per_byte."""
     shared = documents.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
         for batch in batches:
-            raw, offsets, _ = text_buffer(batch.column(2))
-            letters = has_letter(raw, offsets)
-            names, scores, rates = [], np.zeros(len(batch)), np.full(len(batch), np.nan)
-            for lo, hi in row_chunks(offsets, _BYTES_AT_ONCE):
-                if own is None:
-                    names += ["und"] * (hi - lo)
-                    continue
-                bits, size = own.bits(raw, offsets[lo : hi + 1]), np.maximum(np.diff(offsets[lo : hi + 1]), 1)
-                best = bits.argmin(1)
-                least = bits.min(1)
-                ok = letters[lo:hi]
-                per = np.exp2((least[:, None] - bits) / np.maximum(size / 64, 1)[:, None])
-                scores[lo:hi] = np.where(ok, 1 / per.sum(1), 0)
-                rates[lo:hi] = np.where(ok, least / size, np.nan)
-                names += [own.languages[b] if x else "und" for b, x in zip(best, ok, strict=True)]
+            names, scores, rates = judged(shared.value, batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores), pa.array(rates, from_pandas=True)], names=[x.split()[0] for x in PREDICTED.split(", ")])
 
     return documents.select("doc_id", (id_crc() % 3 == 1).alias("held_out"), "text").mapInArrow(run, PREDICTED)
@@ -219,3 +222,15 @@ def predict(documents: DataFrame, trees: ContextTrees | None) -> DataFrame:
 
 def identify(documents: DataFrame, order: int = ORDER, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     return predict(documents, train(documents, order, sample_bytes))
+
+
+def accepted(documents: DataFrame, trees: ContextTrees | None = None, worst_bits: float = 8.0) -> DataFrame:
+    """The documents that are in some language: with a letter, and cheaper than ``worst_bits`` a byte (8: no better than uniform bytes)."""
+    shared = documents.sparkSession.sparkContext.broadcast(trees or train(documents))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, _, rates = judged(shared.value, batch.column("text"))
+            yield batch.filter(pa.array(np.array([x != "und" for x in names], bool) & ~(rates >= worst_bits)))
+
+    return documents.mapInArrow(run, documents.schema)

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tripwire.llm.batches import mix, prefix_hash, row_chunks, slice_hash, text_buffer, word_spans
 from tripwire.llm.links import classes, crowded, stored
@@ -110,19 +111,17 @@ class PartEnum:
         return np.concatenate(out)
 
 
-def similar_components(documents: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, and n_links of its set to different ones that were verified."""
-    from pyspark.sql import types as T
-
+def set_components(documents: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(rows doc_id, text_key, n_shingles, set id and component of each document, the verified links (a, b) of set ids)."""
     plan = PartEnum(percent)
     keyed = documents.select("doc_id", "text")
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offsets, _ = text_buffer(batch.column(1))
+            raw, offsets, _ = text_buffer(batch.column("text"))
             for lo, hi in row_chunks(offsets):
                 sets = list(shingle_sets(raw, offsets[lo : hi + 1], words))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([len(x) for x in sets], pa.int64()), pa.array([set_id(x) if len(x) else None for x in sets], pa.int64())], names=["doc_id", "n_shingles", "id"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(x).slice(lo, hi - lo) for x in ("doc_id", "text_key")), pa.array([len(x) for x in sets], pa.int64()), pa.array([set_id(x) if len(x) else None for x in sets], pa.int64())], names=["doc_id", "text_key", "n_shingles", "id"])
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,7 +142,7 @@ def similar_components(documents: DataFrame, words: int = 3, percent: int = 90)
                 at = np.cumsum([0, *map(len, own.values())]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.ListArray.from_arrays(at, pa.array(np.concatenate([*own.values(), np.zeros(0, np.int64)])))], names=["id", "elements"])
 
-    described_ = stored(keyed.mapInArrow(described, "doc_id long, n_shingles long, id long"))
+    described_ = stored(keyed.withColumn("text_key", F.xxhash64("doc_id", "text")).mapInArrow(described, "doc_id long, text_key long, n_shingles long, id long"))
     members = stored(crowded(stored(keyed.mapInArrow(signed, "bucket long, id long"))))
     items = members.select("id").distinct()
     # one text for each item that shares a bucket
@@ -161,7 +160,29 @@ def similar_components(documents: DataFrame, words: int = 3, percent: int = 90)
         return both.filter(100 * shared >= percent * (F.size("a_set") + F.size("b_set") - shared)).select("a", "b").distinct()
 
     found, links = classes(members, verify)
+    return described_.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")), links
+
+
+def similar_components(documents: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id, and n_links: verified links of its set to different sets."""
+    with_class, links = set_components(documents, words, percent)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
-    with_class = described_.join(found, "id", "left").join(degree, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = with_class.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return with_class.join(least, "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = with_class.join(degree, "id", "left").join(least, "component", "left")
+    return named.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def one_of_each(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The documents without those similar to one that stays: of each component the first by (doc_id, text hash).
+
+    Rows equal in id and text are one document; they stay or go together.
+    """
+    with_class, _ = set_components(documents, words, percent)
+    held = with_class.filter("component is not null")
+    first = held.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    gone = held.join(first, "component").filter("text_key <> first.text_key").select("text_key").distinct()
+    name = "text_key"
+    while name in documents.columns:
+        name += "_"
+    keyed = documents.withColumn(name, F.xxhash64("doc_id", "text"))
+    return keyed.join(gone.withColumnRenamed("text_key", name), name, "left_anti").select(*documents.columns)
