@@ -23,8 +23,11 @@ def rocks(spark: SparkSession) -> None:
 
 
 def on_time(events: DataFrame, late_s: float) -> DataFrame:
-    """Events with an event time and a watermark: rows later than it are dropped by stateful operators."""
-    return events.withColumn("event_time", F.timestamp_seconds("ts")).withWatermark("event_time", f"{late_s} seconds")
+    """Events with an event time and a watermark: rows later than it are dropped by stateful operators.
+
+    Second 0 of the stream is a day after the epoch, where the watermark starts.
+    """
+    return events.withColumn("event_time", F.timestamp_seconds(F.col("ts") + 86_400)).withWatermark("event_time", f"{late_s} seconds")
 
 
 def deduplicated(events: DataFrame, late_s: float = 3600.0) -> DataFrame:
