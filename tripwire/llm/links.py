@@ -1,55 +1,107 @@
 """Classes of linked items from candidate buckets: which pairs to verify, and connected components.
 
-Buckets are rows (bucket, id). Two items may be linked only if they share a bucket; ``verify`` decides. Since only the
-classes are wanted, not all pairs of a bucket need verifying:
-
-1. each item with the least item that stands first in one of its buckets (one pair an item);
-2. in buckets whose items are not yet of one class, each item with the bucket's first item;
-3. in buckets still of several classes, the pairs across classes.
-
-A pair left out has its two items in one class already, so the classes are those that all pairs would give. Counting a
-bucket is an aggregation with partial sums and the way back to its items is a join whose skewed keys Spark splits, so a
-bucket that holds a large part of all items doesn't meet in one task.
+Buckets are rows (bucket, id). Two items may be linked only if they share a bucket; ``verify`` decides. Each item also
+has a set of elements and a slack: the sets of linked items differ in at most as many elements as either's slack.
+Since only the classes are wanted, not all pairs of a bucket need verifying:
+
+1. in buckets of at most ``SMALL`` items, all pairs that share enough buckets: an odd bucket is one of at least
+   ``ODD_SHARED`` that linked items share, so fewer are no reason to verify, unless they also share a larger bucket;
+2. in larger buckets, each item with the most typical item that stands first in one of its buckets (one pair an item);
+   typical is what shares many buckets with others, and the most typical item of a bucket stands first in it;
+3. in larger buckets whose items are not yet of one class, each item with the bucket's first item f;
+4. in those still of several classes, pairs across classes that can be linked at all. Two items differ from each
+   other where their differences A and B from f differ. Of linked items at most slack k of these elements aren't
+   shared, so |A| - k are, and both have one of them among their first k + 1 differences in any common order. In the
+   order here the differences that fewest items have come first. So items meet by a rare difference, not by the
+   bucket, and variants of one text that vary in different places don't meet.
+
+A pair left out has its two items in one class already, or can't be linked, so the classes are those that all pairs
+would give. Counting a bucket is an aggregation with partial sums and the way back to its items is a join whose skewed
+keys Spark splits, so a bucket that holds a large part of all items doesn't meet in one task.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-Verify = Callable[[DataFrame], DataFrame]
+Verify = Callable[[DataFrame, DataFrame], DataFrame]
+#: Items of a bucket whose pairs are all looked at, and how many odd buckets linked items share at least.
+SMALL, ODD_SHARED = 16, 3
+
+
+class Scratch:
+    """Tables in a new folder of the one that the cluster shares; leaving the ``with`` block deletes them.
+
+    A written table ends its lineage and outlives lost executors. Where spark.checkpoint.dir is unset, as in tests, the
+    folder is under the warehouse.
+    """
+
+    def __init__(self, spark: SparkSession):
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+        self.spark, self.folder, self.written = spark, f"{base.rstrip('/')}/tripwire-{uuid.uuid4().hex}", 0
+        self.paths: dict[int, str] = {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._delete(self.folder)
+
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
+    def stored(self, df: DataFrame) -> DataFrame:
+        self.written += 1
+        path = f"{self.folder}/{self.written}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = path
+        return out
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the one that the cluster shares; where none is set, as in tests, under the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/tripwire-{uuid.uuid4().hex}"
+    def drop(self, df: DataFrame) -> None:
+        """Deletes a table that nothing reads any more."""
+        if path := self.paths.pop(id(df), None):
+            self._delete(path)
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again: its lineage ends, and it outlives lost executors."""
-    path, schema = shared_folder(df.sparkSession), df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    """``df`` as a table of the shared folder that stays, for what is returned."""
+    return Scratch(df.sparkSession).stored(df)
 
 
 def crowded(rows: DataFrame) -> DataFrame:
-    """Of rows (bucket, id), those of buckets with two items or more, each once; also the bucket's first item."""
-    ends = rows.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
-    return rows.join(ends.select("bucket", "first"), "bucket").distinct()
+    """Of rows (bucket, id), those of buckets with two items or more, each once."""
+    ends = rows.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
+    return rows.join(ends.select("bucket"), "bucket").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def with_first(members: DataFrame) -> DataFrame:
+    """``crowded`` rows with the item that stands first in the bucket, and in how many buckets that one is."""
+    shares = members.groupBy("id").agg(F.count("*").alias("shares"))
+    firsts = members.join(shares, "id").groupBy("bucket").agg(F.max(F.struct("shares", "id")).alias("first"))
+    return members.join(firsts, "bucket").select("bucket", "id", F.col("first.id").alias("first"), F.col("first.shares").alias("shares"))
+
+
+def pairs_of(rows: DataFrame) -> DataFrame:
+    """(a, b) with a < b of rows (first, id)."""
+    return rows.select(F.least("first", "id").alias("a"), F.greatest("first", "id").alias("b"))
+
+
+def components(tmp: Scratch, edges: DataFrame) -> DataFrame:
     """(id, component) of every item of the pairs (a, b): the least item that can be reached.
 
     Labels spread to neighbours and to the items they came from, then every item takes its label's label; the
     number of rounds is about the logarithm of the longest path.
     """
-    both = stored(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b"), F.col("a"))).distinct())
-    labels = stored(both.groupBy("u").agg(F.min("v").alias("least")).select(F.col("u").alias("id"), F.least("u", "least").alias("component")))
+    both = tmp.stored(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b"), F.col("a"))).distinct())
+    labels = tmp.stored(both.groupBy("u").agg(F.min("v").alias("least")).select(F.col("u").alias("id"), F.least("u", "least").alias("component")))
     changed = not labels.isEmpty()
     while changed:
         near = both.join(labels.withColumnRenamed("id", "v"), "v").groupBy("u").agg(F.min("component").alias("least"))
@@ -57,43 +109,81 @@ def components(edges: DataFrame) -> DataFrame:
         offers = seen.select("id", F.least("component", "least").alias("component")).union(seen.select(F.col("component"), F.least("component", "least")))
         hooked = offers.groupBy("id").agg(F.min("component").alias("component"))
         jumped = hooked.alias("x").join(hooked.select(F.col("id").alias("component"), F.col("component").alias("root")), "component").select("id", F.col("root").alias("component"))
-        after = stored(jumped)
+        after = tmp.stored(jumped)
         changed = not after.join(labels.withColumnRenamed("component", "was"), "id").filter("component <> was").isEmpty()
+        tmp.drop(labels)
         labels = after
+    tmp.drop(both)
     return labels
 
 
-def classes(members: DataFrame, verify: Verify) -> tuple[DataFrame, DataFrame]:
+def differences(rows: DataFrame) -> DataFrame:
+    """(first, element, id, slack): of rows (first, id, slack, base, elements), what elements and base don't share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(x) for x in ("base", "elements")]
+            values = [np.array(x.flatten()) for x in columns]
+            ends = [np.concatenate(([0], np.cumsum(np.array(x.value_lengths())))) for x in columns]
+            found = [np.setxor1d(*(v[e[k] : e[k + 1]] for v, e in zip(values, ends, strict=True)), assume_unique=True) for k in range(len(batch))]
+            of = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+            yield pa.RecordBatch.from_arrays([batch.column("first").take(of), pa.array(np.concatenate([*found, np.zeros(0, np.int64)]).astype(np.int64)), batch.column("id").take(of), batch.column("slack").take(of)], names=["first", "element", "id", "slack"])
+
+    return rows.select("first", "id", "slack", "base", "elements").mapInArrow(run, "first long, element long, id long, slack int")
+
+
+def leading_differences(rows: DataFrame) -> DataFrame:
+    """(first, element, id) of the slack + 1 rarest differences of each (first, id), as far as other items share them."""
+    rarity = F.count("*").over(Window.partitionBy("first", "element"))
+    place = F.row_number().over(Window.partitionBy("first", "id").orderBy("rarity", "element"))
+    ranked = differences(rows).withColumn("rarity", rarity).withColumn("place", place)
+    return ranked.filter((F.col("place") <= F.col("slack") + 1) & (F.col("rarity") > 1)).select("first", "element", "id")
+
+
+def classes(tmp: Scratch, members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], verify: Verify) -> tuple[DataFrame, DataFrame]:
     """((id, component) of linked items, the verified links (a, b)) from the rows of ``crowded``.
 
-    ``verify`` gets rows (a, b) with a < b and returns those that are linked.
+    ``sets_of`` gives (id, slack, elements, ...) of a table of ids; ``verify`` gets rows (a, b) with a < b and that
+    table, and returns the linked ones.
     """
-    members = stored(members)
-    first = members.filter("id <> first").groupBy("id").agg(F.min("first").alias("a")).select("a", F.col("id").alias("b"))
-    links = stored(verify(first))
-    found = components(links)
+    plain = tmp.stored(members)
+    counted = tmp.stored(plain.join(plain.groupBy("bucket").agg(F.count("*").alias("n")), "bucket"))
+    tmp.drop(plain)
+    few = counted.filter(F.col("n") <= SMALL)
+    left, right = (few.select("bucket", F.col("id").alias(x)) for x in "ab")
+    odd = F.sum(F.col("bucket").bitwiseAND(1))
+    met = left.join(right, "bucket").filter("a < b").groupBy("a", "b").agg(odd.alias("odd"), F.count("*").alias("all"))
+    met = tmp.stored(met.filter((F.col("odd") >= ODD_SHARED) | (F.col("odd") < F.col("all"))).select("a", "b"))
+    large = tmp.stored(with_first(counted.filter(F.col("n") > SMALL)))
+    sets = tmp.stored(sets_of(met.select(F.explode(F.array("a", "b")).alias("id")).union(large.select("id")).distinct()))
+    tmp.drop(counted)
+
+    typical = pairs_of(large.filter("id <> first").groupBy("id").agg(F.max(F.struct("shares", "first")).alias("best")).select("id", "best.first"))
+    links = tmp.stored(verify(tmp.stored(met.union(typical).distinct()), sets))
+    found = components(tmp, links)
 
     def split() -> DataFrame:
-        """Rows of the buckets whose items are of several classes, with each item's class."""
-        now = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        """(first, id, component) of the items of larger buckets that hold several classes."""
+        now = large.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
         several = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
-        return now.join(several, "bucket")
+        return tmp.stored(now.join(several, "bucket").select("first", "id", "component").distinct())
 
-    def more(pairs: DataFrame) -> bool:
+    def more(pairs: DataFrame) -> None:
         nonlocal links, found
-        new = stored(verify(stored(pairs.distinct())))
-        if new.isEmpty():
-            return False
-        links = stored(links.unionByName(new).distinct())
-        found = components(links)
-        return True
-
-    if not members.isEmpty():
-        open_ = stored(split())
-        heads = open_.select("bucket", "id", "first", "component").join(open_.filter("id = first").select("bucket", F.col("component").alias("own")), "bucket")
-        pairs = heads.filter("component <> own").select(F.col("first").alias("a"), F.col("id").alias("b"))
-        more(pairs)
-        open_ = stored(split())
-        left, right = (open_.filter("id <> first").select("bucket", F.col("id").alias(x), F.col("component").alias(f"{x}_class")) for x in "ab")
-        more(left.join(right, "bucket").filter("a < b and a_class <> b_class").select("a", "b"))
+        new = tmp.stored(verify(tmp.stored(pairs.distinct()), sets))
+        if not new.isEmpty():
+            links = tmp.stored(links.unionByName(new).distinct())
+            found = components(tmp, links)
+
+    open_ = split()
+    if not open_.isEmpty():
+        heads = open_.filter("id = first").select("first", F.col("component").alias("own"))
+        more(pairs_of(open_.join(heads, "first").filter("component <> own")))
+        open_ = split()
+    if not open_.isEmpty():
+        base = sets.select(F.col("id").alias("first"), F.col("elements").alias("base"))
+        differing = leading_differences(open_.filter("id <> first").join(base, "first").join(sets, "id"))
+        shared = tmp.stored(differing.join(open_, ["first", "id"]))
+        left, right = (shared.select("first", "element", F.col("id").alias(x), F.col("component").alias(f"{x}_class")) for x in "ab")
+        more(left.join(right, ["first", "element"]).filter("a < b and a_class <> b_class").select("a", "b"))
     return found, links

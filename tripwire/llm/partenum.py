@@ -4,9 +4,9 @@ A document's set is its distinct shingles of ``words`` words (A-Z as a-z); with
 one shingle. Sets in one band of sizes differ in at most k elements if their Jaccard similarity reaches the threshold,
 with k known from the band. The domain of shingles is cut into partitions and each into parts; signatures name a subset
 of parts and the elements that the set has there. Small k: one partition of k + 2 parts, every pair of parts (k
-differences leave two parts untouched). Larger k: partitions of two parts each, two more than k differences can spoil:
-three of them have at most one difference, so at least three parts agree, and up to two empty parts
-of a set need no signature. A set signs for its own band and for bands above that hold sizes near enough to its own.
+differences leave two parts untouched). Larger k: partitions of two parts each, four more than k differences can
+spoil: five of them have at most one difference, so at least five parts agree, and up to two empty parts of a set need
+no signature; these buckets are odd, and similar sets share three of them at least. A set signs for its own band and for bands above that hold sizes near enough to its own.
 
 Equal sets are one item from the start; items that share a signature are verified exactly on their whole sets.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tripwire.llm.batches import mix, prefix_hash, row_chunks, slice_hash, text_buffer, word_spans
-from tripwire.llm.links import classes, crowded, stored
+from tripwire.llm.links import Scratch, classes, crowded, stored
 
 #: Rows of (id, set id) up to which the way back to the texts is a broadcast; beyond it, a join with a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -91,13 +91,17 @@ class PartEnum:
         """At most so many elements are in one of two similar sets of the band only."""
         return 2 * (self.band_start(band + 1) - 1) * (100 - self.percent) // (100 + self.percent)
 
+    def slack(self, size: int) -> int:
+        """A set of this size and one similar to it differ in at most so many elements."""
+        return (size + 100 * size // self.percent) * (100 - self.percent) // (100 + self.percent)
+
     def signatures(self, elements: np.ndarray) -> np.ndarray:
         """Of a set given as sorted hashes; parts are ranges of them."""
         out, sums = [], np.zeros(len(elements) + 1, np.uint64)
         np.cumsum(mix(elements), out=sums[1:])
         for band in self.bands(len(elements)):
             k = self.differences(band)
-            parts = 1 if k == 0 else k + 2 if k <= self.SMALL else 2 * (-(-(k + 1) // 2) + 2)
+            parts = 1 if k == 0 else k + 2 if k <= self.SMALL else 2 * (-(-(k + 1) // 2) + 4)
             ends = np.searchsorted((elements >> np.uint64(40)).astype(np.int64) * parts >> 24, np.arange(parts), "right")
             begins = np.concatenate(([0], ends[:-1]))
             own = sums[ends] - sums[begins]
@@ -107,11 +111,11 @@ class PartEnum:
                 own = own[left] * np.uint64(0x9E3779B97F4A7C15) + own[right]
             elif k and (ends > begins).sum() >= parts - 2:
                 own = own[ends > begins]
-            out.append(own)
+            out.append(own & ~np.uint64(1) | np.uint64(k > self.SMALL))
         return np.concatenate(out)
 
 
-def set_components(documents: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def set_components(tmp: Scratch, documents: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(rows doc_id, text_key, n_shingles, set id and component of each document, the verified links (a, b) of set ids)."""
     plan = PartEnum(percent)
     keyed = documents.select("doc_id", "text")
@@ -140,32 +144,34 @@ def set_components(documents: DataFrame, words: int, percent: int) -> tuple[Data
                 # a row may have the id of another text: only the set that was asked for counts
                 own = {k: x.astype(np.int64) for k, x in zip(ids, shingle_sets(raw, offsets[lo : hi + 1], words), strict=True) if len(x) and set_id(x) == k}
                 at = np.cumsum([0, *map(len, own.values())]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.ListArray.from_arrays(at, pa.array(np.concatenate([*own.values(), np.zeros(0, np.int64)])))], names=["id", "elements"])
-
-    described_ = stored(keyed.withColumn("text_key", F.xxhash64("doc_id", "text")).mapInArrow(described, "doc_id long, text_key long, n_shingles long, id long"))
-    members = stored(crowded(stored(keyed.mapInArrow(signed, "bucket long, id long"))))
-    items = members.select("id").distinct()
-    # one text for each item that shares a bucket
-    sample = stored(described_.join(items, "id").groupBy("id").agg(F.min("doc_id").alias("doc_id")))
-    few = sample.count() <= BROADCAST_ROWS
-    wanted = F.broadcast(sample) if few else sample
-    texts = keyed.join(wanted.withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of"))).select("id", "text")
-    named = T.StructType([T.StructField("id", T.LongType()), T.StructField("elements", T.ArrayType(T.LongType()))])
-    sets = stored(texts.mapInArrow(listed, named))
-
-    def verify(pairs: DataFrame) -> DataFrame:
+                yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.ListArray.from_arrays(at, pa.array(np.concatenate([*own.values(), np.zeros(0, np.int64)]))), pa.array([plan.slack(len(x)) for x in own.values()], pa.int32())], names=["id", "elements", "slack"])
+
+    described_ = tmp.stored(keyed.withColumn("text_key", F.xxhash64("doc_id", "text")).mapInArrow(described, "doc_id long, text_key long, n_shingles long, id long"))
+    named = T.StructType([T.StructField("id", T.LongType()), T.StructField("elements", T.ArrayType(T.LongType())), T.StructField("slack", T.IntegerType())])
+
+    def sets_of(items: DataFrame) -> DataFrame:
+        """The sets of some items, each from one of its texts."""
+        sample = tmp.stored(described_.join(items, "id").groupBy("id").agg(F.min("doc_id").alias("of")))
+        wanted = F.broadcast(sample) if sample.count() <= BROADCAST_ROWS else sample
+        return keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("of"))).select("id", "text").mapInArrow(listed, named)
+
+    def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         left, right = (sets.select(F.col("id").alias(x), F.col("elements").alias(f"{x}_set")) for x in "ab")
         both = pairs.join(left, "a").join(right, "b")
         shared = F.size(F.array_intersect("a_set", "b_set"))
         return both.filter(100 * shared >= percent * (F.size("a_set") + F.size("b_set") - shared)).select("a", "b").distinct()
 
-    found, links = classes(members, verify)
+    found, links = classes(tmp, crowded(keyed.mapInArrow(signed, "bucket long, id long")), sets_of, verify)
     return described_.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")), links
 
 
 def similar_components(documents: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, and n_links: verified links of its set to different sets."""
-    with_class, links = set_components(documents, words, percent)
+    with Scratch(documents.sparkSession) as tmp:
+        return stored(_named_components(*set_components(tmp, documents, words, percent)))
+
+
+def _named_components(with_class: DataFrame, links: DataFrame) -> DataFrame:
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     least = with_class.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = with_class.join(degree, "id", "left").join(least, "component", "left")
@@ -173,14 +179,15 @@ def similar_components(documents: DataFrame, words: int = 3, percent: int = 90)
 
 
 def one_of_each(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without those similar to one that stays: of each component the first by (doc_id, text hash).
+    """The documents without those similar to one that stays: of each component the first by (doc_id, text hash), null ids last.
 
     Rows equal in id and text are one document; they stay or go together.
     """
-    with_class, _ = set_components(documents, words, percent)
-    held = with_class.filter("component is not null")
-    first = held.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    gone = held.join(first, "component").filter("text_key <> first.text_key").select("text_key").distinct()
+    with Scratch(documents.sparkSession) as tmp:
+        with_class, _ = set_components(tmp, documents, words, percent)
+        held = with_class.filter("component is not null")
+        first = held.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+        gone = stored(held.join(first, "component").filter("text_key <> first.text_key").select("text_key").distinct())
     name = "text_key"
     while name in documents.columns:
         name += "_"
