@@ -22,10 +22,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that copy an earlier one go, and so do documents of which nothing is left; n_chars follows the text."""
+    """Lines that copy an earlier one go, and so do documents all of whose long lines were copies; n_chars follows the text."""
     out = lines.dedup(docs)
-    emptied = (F.col("line_dedup.n_dropped") > 0) & (F.trim("text") == "")
-    kept = out.filter(~F.coalesce(emptied, F.lit(False)))
+    kept = out.filter((F.col("line_dedup.n_dropped") == 0) | (F.col("line_dedup.n_long_kept") > 0))
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
@@ -53,6 +52,9 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = links.stored(stage(spark, docs, sf_dir))
-    return docs
+    *stages, (_, last) = STAGES
+    with links.Scratch(spark) as tmp:
+        for _, stage in stages:
+            before, docs = docs, tmp.stored(stage(spark, docs, sf_dir))
+            tmp.drop(before)
+        return links.stored(last(spark, docs, sf_dir))

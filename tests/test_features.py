@@ -26,6 +26,8 @@ def test_first_tick_is_neutral(spark):
     (row,) = computed(spark, [tick()])
     assert [row[f"{m}_over_baseline"] for m in ("latency", "cpu", "rps")] == [1.0, 1.0, 1.0]
     assert row["mem_slope_per_min"] == 0.0 and row["since_deploy_s"] == 3600.0
+    named = features.features(spark.createDataFrame([tick()], C.TELEMETRY)).select(features.feature_map().alias("m")).first().m
+    assert named == {f: row[f] for f in C.FEATURES}
 
 
 def test_baseline_excludes_the_current_row(spark):

@@ -165,3 +165,8 @@ def deploys(events: DataFrame) -> DataFrame:
     """Rows at which a service's version differs from its previous row's; the first sighting is none."""
     previous = F.lag("version").over(Window.partitionBy("service").orderBy("ts", "seq"))
     return events.withColumn("previous_version", previous).filter("previous_version is not null and previous_version <> version").select("seq", "ts", "service", "previous_version", "version")
+
+
+def feature_map() -> Column:
+    """The features of a row as a map from names to values."""
+    return F.map_from_arrays(F.array(*map(F.lit, C.FEATURES)), F.array(*C.FEATURES))
