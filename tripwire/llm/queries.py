@@ -77,7 +77,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _UPPER, _LOWER = license._UPPER, license._LOWER
 
+_TEMPLATES = ", ".join(f"({k}, '{label}', '{text}')" for k, (label, text) in enumerate(license.TEMPLATES))
+_PHRASES = ", ".join(f"('{phrase}', '{label}')" for phrase, label in license.PHRASES.items())
+
 ORACLES: dict[str, str] = {
+    # a table of up to SAMPLE_DOCUMENTS labelled documents is its own sample of common words
+    "op1_quality_divergence": rf"""
+WITH doc AS (SELECT doc_id, lang, text IS NOT NULL AS given, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+word AS (SELECT doc_id, lang, unnest(w) AS word FROM doc),
+five AS (SELECT doc_id, pos, array_to_string(list_slice(w, pos + 1, pos + 5), ' ') AS g FROM (SELECT *, unnest(range(0, len(w) - 4)) AS pos FROM doc)),
+twice AS (SELECT doc_id, pos FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM five) WHERE n > 1),
+repeated AS (SELECT doc_id, count(DISTINCT pos + d) AS n FROM twice, range(0, 5) r(d) GROUP BY doc_id),
+base AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')))) AS BIGINT) AS n_dup_lines,
+  coalesce(r.n, 0) AS n_repeat_words FROM doc LEFT JOIN repeated r USING (doc_id)),
+common AS (SELECT DISTINCT word FROM (SELECT word, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS place FROM (SELECT lang, word, count(*) AS n FROM word WHERE lang IS NOT NULL GROUP BY lang, word)) WHERE place <= {quality.COMMON_WORDS}),
+c0 AS (SELECT doc_id, lang, given, unnest([
+  {{'bin': '0', 'n': length(regexp_replace(x, '[^\x20\x09-\x0D]', '', 'g'))}}, {{'bin': '1', 'n': length(regexp_replace(x, '[^a-z]', '', 'g'))}}, {{'bin': '2', 'n': length(regexp_replace(x, '[^A-Z]', '', 'g'))}},
+  {{'bin': '3', 'n': length(regexp_replace(x, '[^0-9]', '', 'g'))}}, {{'bin': '4', 'n': length(regexp_replace(x, '[^.,;:''"?()-]', '', 'g'))}}, {{'bin': '6', 'n': length(regexp_replace(x, '[\x00-\x7F]', '', 'g'))}},
+  {{'bin': '5', 'n': length(regexp_replace(x, '[\x20\x09-\x0Da-zA-Z0-9.,;:''"?()-]|[^\x00-\x7F]', '', 'g'))}}]) AS b FROM doc),
+counted AS (SELECT 'c' AS kind, doc_id, lang, given, b.bin AS bin, CAST(b.n AS BIGINT) AS n FROM c0 UNION ALL
+  SELECT 'w', doc_id, lang, true, bin, count(*) FROM (SELECT doc_id, lang, CASE WHEN common.word IS NULL THEN 'other' ELSE 'w ' || word.word END AS bin FROM word LEFT JOIN common ON common.word = word.word) GROUP BY doc_id, lang, bin),
+sums AS (SELECT kind, lang, bin, sum(n) AS n FROM counted WHERE lang IS NOT NULL AND given GROUP BY kind, lang, bin),
+ref AS (SELECT kind, lang, bin, n / sum(n) OVER (PARTITION BY kind, lang) AS q FROM sums WHERE n > 0),
+own AS (SELECT kind, doc_id, bin, n / greatest(sum(n) OVER (PARTITION BY kind, doc_id), 1) AS p FROM counted),
+pair AS (SELECT d.doc_id, r.kind, r.lang, r.bin, r.q, coalesce(o.p, 0) AS p FROM doc d CROSS JOIN ref r LEFT JOIN own o ON o.doc_id = d.doc_id AND o.kind = r.kind AND o.bin = r.bin),
+alone AS (SELECT o.doc_id, o.kind, l.lang, sum(o.p) AS p FROM own o JOIN (SELECT DISTINCT kind, lang FROM ref) l ON l.kind = o.kind WHERE NOT EXISTS (SELECT 1 FROM ref r WHERE r.kind = o.kind AND r.lang = l.lang AND r.bin = o.bin) GROUP BY ALL),
+js AS (SELECT doc_id, kind, lang, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END) + sum(CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) AS s FROM pair GROUP BY ALL),
+near AS (SELECT js.doc_id, js.kind, min(sqrt(greatest(0, least(1, (s + coalesce(alone.p, 0)) / 2)))) AS d FROM js LEFT JOIN alone ON alone.doc_id = js.doc_id AND alone.kind = js.kind AND alone.lang = js.lang GROUP BY ALL),
+all_ AS (SELECT base.*, round(c.d, 9) AS character_distance, round(v.d, 9) AS word_distance, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed
+  FROM base LEFT JOIN near c ON c.doc_id = base.doc_id AND c.kind = 'c' LEFT JOIN near v ON v.doc_id = base.doc_id AND v.kind = 'w')
+SELECT *, NOT base_failed AND NOT (n_words >= {quality.GUARD_WORDS} AND coalesce(character_distance > CAST({quality.CHARACTER_LIMIT} AS DOUBLE) + CAST({quality.CHARACTER_NOISE} AS DOUBLE) / sqrt(greatest(n_words, 1))
+  OR word_distance > CAST({quality.WORD_LIMIT} AS DOUBLE) + CAST({quality.WORD_NOISE} AS DOUBLE) / sqrt(greatest(n_words, 1)), false)) AS kept FROM all_""",
     "op4_chat_format": r"""
 WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
@@ -90,6 +121,23 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(sum(length('### ' || role || ': ') + length(escaped) + length(' </turn>') + 1) AS BIGINT) AS formatted_chars,
   min(wrong) IS NULL AS valid, coalesce(min(wrong), -1) AS rejected_at
 FROM judged GROUP BY conv_id""",
+    "op6_license_diagonals": rf"""
+WITH doc AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+template AS (SELECT t, label, regexp_extract_all(translate(x, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM (VALUES {_TEMPLATES}) v(t, label, x)),
+placed AS (SELECT t, label, len(w) AS size, pos AS tpos, w[pos + 1] || ' ' || w[pos + 2] || ' ' || w[pos + 3] AS gram FROM (SELECT *, unnest(range(0, len(w) - 2)) AS pos FROM template)),
+grams AS (SELECT doc_id, pos, w[pos + 1] || ' ' || w[pos + 2] || ' ' || w[pos + 3] AS gram FROM (SELECT *, unnest(range(0, len(w) - 2)) AS pos FROM doc)),
+diagonals AS (SELECT doc_id, t, label, size, pos - tpos AS diagonal, count(*) AS votes, min(pos) AS lo, max(pos) AS hi FROM grams JOIN placed USING (gram) GROUP BY ALL),
+marked AS (SELECT *, CAST(coalesce(abs(diagonal - lag(diagonal) OVER o) > {license.DIAGONALS} OR lo - lag(hi) OVER o > {license.GAP}, true) AS INT) AS fresh FROM diagonals WINDOW o AS (PARTITION BY doc_id, t ORDER BY lo, diagonal)),
+numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, t ORDER BY lo, diagonal) AS span FROM marked),
+spans AS (SELECT doc_id, t, label, span, least(1::DOUBLE, CAST(sum(votes) AS DOUBLE) / greatest(size - 2, 1)) AS covered, max(hi) - min(lo) + 3 <= ceil(size * CAST({license.STRETCH} AS DOUBLE)) AS tight FROM numbered GROUP BY doc_id, t, label, size, span),
+verified AS (SELECT doc_id, label, covered FROM spans WHERE tight AND covered >= CAST({license.COVERED} AS DOUBLE)),
+base AS (SELECT doc_id, p.label AS label, pos FROM (SELECT *, unnest(range(0, len(w))) AS pos FROM doc), (VALUES {_PHRASES}) p(phrase, label) WHERE list_slice(w, pos + 1, pos + len(string_split(phrase, ' '))) = string_split(phrase, ' '))
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, (SELECT count(*) FROM base b WHERE b.doc_id = doc.doc_id) AS n_base,
+  (SELECT min(pos) FROM base b WHERE b.doc_id = doc.doc_id) AS first_word, (SELECT max(pos) FROM base b WHERE b.doc_id = doc.doc_id) AS last_word,
+  coalesce((SELECT string_agg(DISTINCT label, ',' ORDER BY label) FROM base b WHERE b.doc_id = doc.doc_id), '') AS base_labels,
+  coalesce((SELECT string_agg(DISTINCT label, ',' ORDER BY label) FROM (SELECT doc_id, label FROM base UNION ALL SELECT doc_id, label FROM verified) l WHERE l.doc_id = doc.doc_id), '') AS labels,
+  coalesce((SELECT max(covered) FROM verified v WHERE v.doc_id = doc.doc_id), 0) AS score, (SELECT count(*) FROM verified v WHERE v.doc_id = doc.doc_id) AS n_spans
+FROM doc""",
     "op10_ngram_jaccard": rf"""
 WITH RECURSIVE cut AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 shingles AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM cut WHERE len(w) >= 3
