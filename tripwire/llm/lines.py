@@ -25,9 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tripwire.llm.batches import mix, prefix_hash, row_chunks, slice_hash, text_buffer
-from tripwire.llm.links import classes, crowded, stored
+from tripwire.llm.links import Scratch, classes, crowded, stored
 
 MIN_CHARS, DISTANCE = 25, 2
+#: Characters of the grams by which variants of one line are told apart.
+GRAM = 4
 #: Line hashes that a task remembers, so as to place copies of a line in buckets once.
 REMEMBERED = 200_000
 
@@ -52,6 +54,20 @@ def eligible_lines(texts: list[str], min_chars: int) -> tuple[np.ndarray, np.nda
     return codes, start[keep], stop[keep], owner[keep], number[keep]
 
 
+def gram_set(line: str) -> np.ndarray:
+    """The line's grams with the number of each occurrence: one edit changes at most 2 * GRAM elements of the set."""
+    codes = np.frombuffer(line.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    grams = np.zeros(max(len(codes) - GRAM + 1, 0), np.uint64)
+    for k in range(GRAM):
+        grams = grams * np.uint64(0x9E3779B97F4A7C15) + mix(codes[k : k + len(grams)] + np.uint64(1))
+    grams.sort()
+    if not len(grams):
+        return grams
+    first = np.concatenate(([True], grams[1:] != grams[:-1]))
+    start = np.maximum.accumulate(np.where(first, np.arange(len(grams)), 0))
+    return mix(grams + mix((np.arange(len(grams)) - start).astype(np.uint64)))
+
+
 def bucket_rows(prefix: np.ndarray, start: np.ndarray, stop: np.ndarray, ids: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, id) rows of the lines."""
     buckets, owners = [], []
@@ -68,7 +84,7 @@ def bucket_rows(prefix: np.ndarray, start: np.ndarray, stop: np.ndarray, ids: np
                 begin = start + at + shift
                 fits = ok & (at + shift >= 0) & (begin + size <= stop)
                 tag = mix((indexed[fits] * 64 + k).astype(np.uint64))
-                buckets.append(mix(slice_hash(prefix, begin[fits], (begin + size)[fits]) + tag))
+                buckets.append(mix(slice_hash(prefix, begin[fits], (begin + size)[fits]) + tag) & ~np.uint64(1))
                 owners.append(ids[fits])
     return np.concatenate(buckets), np.concatenate(owners)
 
@@ -132,7 +148,7 @@ def _document_key(documents: DataFrame) -> DataFrame:
     return documents.withColumn("document_key", F.xxhash64("doc_id", "text"))
 
 
-def line_classes(documents: DataFrame, distance: int = DISTANCE, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_classes(tmp: Scratch, documents: DataFrame, distance: int = DISTANCE, min_chars: int = MIN_CHARS) -> DataFrame:
     """Every eligible line: doc_id, document_key, line, id (of its text), component, and the class's first line."""
     texts = _document_key(documents.select("doc_id", "text")).filter("text is not null").select("doc_id", "document_key", "text")
 
@@ -163,12 +179,7 @@ def line_classes(documents: DataFrame, distance: int = DISTANCE, min_chars: int
                     buckets, owners = bucket_rows(prefix, start[new], stop[new], ids[new], distance)
                     yield pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int64)), pa.array(owners.astype(np.int64))], names=["bucket", "id"])
 
-    lines = stored(texts.mapInArrow(located, "doc_id long, document_key long, line int, id long"))
-    members = stored(crowded(stored(texts.select("text").mapInArrow(placed, "bucket long, id long"))))
-    # where to read each line that shares a bucket; texts are met once, however many of their lines are wanted
-    place = lines.join(members.select("id").distinct(), "id").groupBy("id").agg(F.min(F.struct("document_key", "line")).alias("at")).select("id", "at.document_key", "at.line")
-    wanted = place.groupBy("document_key").agg(F.collect_list(F.struct("id", "line")).alias("lines"))
-    one_each = texts.join(wanted, "document_key").select("text", "lines")
+    lines = tmp.stored(texts.mapInArrow(located, "doc_id long, document_key long, line int, id long"))
 
     def spelled_many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,35 +190,48 @@ def line_classes(documents: DataFrame, distance: int = DISTANCE, min_chars: int
                 contents += [cut[x["line"]] for x in some]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(contents, pa.string())], names=["id", "content"])
 
-    contents = stored(one_each.mapInArrow(spelled_many, "id long, content string"))
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [gram_set(x) for x in batch.column("content").to_pylist()]
+            at = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("content"), pa.ListArray.from_arrays(at, pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).astype(np.int64))), pa.array([2 * GRAM * distance] * len(batch), pa.int32())], names=["id", "content", "elements", "slack"])
+
+    def contents_of(items: DataFrame) -> DataFrame:
+        """The lines of some ids and their sets; texts are met once, however many of their lines are wanted."""
+        place = lines.join(items, "id").groupBy("id").agg(F.min(F.struct("document_key", "line")).alias("at")).select("id", "at.document_key", "at.line")
+        wanted = place.groupBy("document_key").agg(F.collect_list(F.struct("id", "line")).alias("lines"))
+        one_each = texts.join(wanted, "document_key").select("text", "lines")
+        return one_each.mapInArrow(spelled_many, "id long, content string").mapInArrow(cut_up, "id long, content string, elements array<long>, slack int")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = banded_distance(batch.column("a_line").to_pylist(), batch.column("b_line").to_pylist(), distance)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def verify(pairs: DataFrame, contents: DataFrame) -> DataFrame:
         left, right = (contents.select(F.col("id").alias(x), F.col("content").alias(f"{x}_line")) for x in "ab")
         return pairs.join(left, "a").join(right, "b").mapInArrow(verified, "a long, b long").distinct()
 
-    found, _ = classes(members, verify)
+    found, _ = classes(tmp, crowded(texts.select("text").mapInArrow(placed, "bucket long, id long")), contents_of, verify)
     classed = lines.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     firsts = classed.groupBy("component").agg(F.min(F.struct("doc_id", "document_key", "line")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     return classed.join(firsts.drop("n"), "component")
 
 
 def dedup(documents: DataFrame, distance: int = DISTANCE, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``documents`` without the lines that copy an earlier one, and line_dedup: struct(n_lines, n_dropped, class_doc_id, n_links).
+    """``documents`` without the lines that copy an earlier one, and line_dedup: struct(n_lines, n_dropped, n_long_kept, class_doc_id,
+    n_links).
 
     ``class_doc_id`` is the smallest doc_id that some line of the document is a copy of, or its own; ``n_links`` counts
     its lines that have copies elsewhere.
     """
-    copies = line_classes(documents, distance, min_chars)
     later = (F.col("first.document_key") != F.col("document_key")) | (F.col("first.line") != F.col("line"))
-    dropped = copies.distinct().groupBy("document_key").agg(F.collect_set(F.when(later, F.col("line"))).alias("dropped"), F.min("first.doc_id").alias("class_doc_id"), F.count("*").alias("n_links"))
+    with Scratch(documents.sparkSession) as tmp:
+        copies = line_classes(tmp, documents, distance, min_chars)
+        dropped = stored(copies.distinct().groupBy("document_key").agg(F.collect_set(F.when(later, F.col("line"))).alias("dropped"), F.min("first.doc_id").alias("class_doc_id"), F.count("*").alias("n_links")))
     keyed = _document_key(documents).join(dropped, "document_key", "left")
     fields = [f for f in documents.schema.fields if f.name not in ("line_dedup",)]
-    stats = T.StructType([T.StructField(n, t) for n, t in (("n_lines", T.LongType()), ("n_dropped", T.LongType()), ("class_doc_id", T.LongType()), ("n_links", T.LongType()))])
+    stats = T.StructType([T.StructField(n, t) for n, t in (("n_lines", T.LongType()), ("n_dropped", T.LongType()), ("n_long_kept", T.LongType()), ("class_doc_id", T.LongType()), ("n_links", T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,8 +239,8 @@ def dedup(documents: DataFrame, distance: int = DISTANCE, min_chars: int = MIN_C
             for key, text, gone, of, links in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "text", "dropped", "class_doc_id", "n_links")), strict=True):
                 cut, drop = [] if text is None else text.split("\n"), set(gone or ())
                 texts.append(None if text is None else "\n".join(x for k, x in enumerate(cut) if k not in drop) if drop else text)
-                made.append({"n_lines": len(cut), "n_dropped": len(drop), "class_doc_id": key if of is None else of, "n_links": links or 0})
+                made.append({"n_lines": len(cut), "n_dropped": len(drop), "n_long_kept": sum(len(x) >= min_chars and k not in drop for k, x in enumerate(cut)), "class_doc_id": key if of is None else of, "n_links": links or 0})
             kept = [pa.array(texts, pa.string()) if f.name == "text" else batch.column(f.name) for f in fields]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(made, pa.struct([("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("class_doc_id", pa.int64()), ("n_links", pa.int64())]))], names=[*(f.name for f in fields), "line_dedup"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(made, pa.struct([("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("n_long_kept", pa.int64()), ("class_doc_id", pa.int64()), ("n_links", pa.int64())]))], names=[*(f.name for f in fields), "line_dedup"])
 
     return keyed.select(*(f.name for f in fields), "dropped", "class_doc_id", "n_links").mapInArrow(run, T.StructType([*fields, T.StructField("line_dedup", stats)]))
