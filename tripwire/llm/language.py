@@ -28,7 +28,7 @@ from tripwire.llm.batches import Lookup, row_chunks, text_buffer
 
 ORDER = 4
 #: Bytes of training text, shared evenly by the languages; a hash of the id picks the documents.
-SAMPLE_BYTES = 6_000_000
+SAMPLE_BYTES = 3_000_000
 _BYTES_AT_ONCE = 1_000_000
 _LENGTH = np.uint64(56)  # a gram is its bytes, and its length above them
 
@@ -169,12 +169,14 @@ def train(documents: DataFrame, order: int = ORDER, sample_bytes: int = SAMPLE_B
     for name in languages:
         share = F.when(F.col("lang") == name, int(min(1, sample_bytes / len(languages) / sizes[name]) * parts)).otherwise(share)
     sample = usable.filter(F.pmod(F.xxhash64(F.lit(11), "doc_id", "text"), F.lit(parts)) < share)
-    counts = gram_counts(sample, order).toPandas()
-    languages = sorted(counts["lang"].unique())
-    if not languages:
+    counts = gram_counts(sample, order).toArrow()
+    if not counts.num_rows:
         return None
-    number = {x: k for k, x in enumerate(languages)}
-    return ContextTrees.fit(languages, counts["lang"].map(number).to_numpy(), counts["gram"].to_numpy(), counts["n"].to_numpy(), order)
+    lang = counts["lang"].combine_chunks().dictionary_encode()
+    names = lang.dictionary.to_pylist()
+    languages = sorted(names)
+    number = np.array([languages.index(x) for x in names])[np.array(lang.indices)]
+    return ContextTrees.fit(languages, number, counts["gram"].to_numpy(), counts["n"].to_numpy(), order)
 
 
 _ASCII_LETTER = np.zeros(256, bool)
