@@ -6,7 +6,9 @@ with k known from the band. The domain of shingles is cut into partitions and ea
 of parts and the elements that the set has there. Small k: one partition of k + 2 parts, every pair of parts (k
 differences leave two parts untouched). Larger k: partitions of two parts each, four more than k differences can
 spoil: five of them have at most one difference, so at least five parts agree, and up to two empty parts of a set need
-no signature; these buckets are odd, and similar sets share three of them at least. A set signs for its own band and for bands above that hold sizes near enough to its own.
+no signature; these buckets are odd, and similar sets share three of them at least. With ``MANY`` parts or more no empty
+part needs one: differences fall on parts at random and leave about a third untouched, so the odds that two sets with
+all k differences share fewer than three parts with elements are under one in a billion. A set signs for its own band and for bands above that hold sizes near enough to its own.
 
 Equal sets are one item from the start; items that share a signature are verified exactly on their whole sets.
 
@@ -67,6 +69,7 @@ class PartEnum:
     """Signatures for Jaccard similarity of at least ``percent`` hundredths."""
 
     SMALL = 5  # differences up to which one partition is enough
+    MANY = 48
 
     def __init__(self, percent: int):
         self.percent = percent
@@ -109,7 +112,7 @@ class PartEnum:
             if 1 <= k <= self.SMALL:
                 left, right = np.array(list(combinations(range(parts), 2))).T
                 own = own[left] * np.uint64(0x9E3779B97F4A7C15) + own[right]
-            elif k and (ends > begins).sum() >= parts - 2:
+            elif k and (parts >= self.MANY or (ends > begins).sum() >= parts - 2):
                 own = own[ends > begins]
             out.append(own & ~np.uint64(1) | np.uint64(k > self.SMALL))
         return np.concatenate(out)
