@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 from hashlib import sha256
 
+import duckdb
 import numpy as np
 import pytest
 import public_tokenizers as P
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tripwire.llm import bpe, chat, language, license, packing, quality
-from tripwire.llm.queries import QUERIES
+from tripwire.llm.queries import ORACLES, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
 LONG = "word " * 30_000 + "ende"
@@ -68,6 +69,29 @@ def test_quality_without_references(spark, edges):
     assert bare.filter("character_distance is not null").count() == 0 and bare.count() == len(EDGES)
 
 
+def test_quality_equals_sql_on_more_documents_than_a_sample(spark, tmp_path):
+    """Words of a long tail, and a language of one document, over 6,000 documents."""
+    rng = random.Random(8)
+    rows = [(k, " ".join(f"{lang}{int(rng.random() ** 3 * 400)}" for _ in range(14)), lang) for k in range(6_000) for lang in [rng.choice(("en", "fr"))]]
+    rows += [(k, " ".join(f"rare{n % 30}" for n in range(60)), "xx") for k in (7_001,)] + [(8_000, " ".join(f"zq{k}" for k in range(90)), None), (8_001, None, "en"), (8_002, "en1\x0bfr2\u00a0en3 \u4e2d", "fr")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert "rare7" in quality.common_words(table)
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op1_quality_divergence"](spark, str(tmp_path)).toPandas().set_index("doc_id").sort_index()
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
+        expected = db.execute(ORACLES["op1_quality_divergence"]).df().set_index("doc_id").sort_index()
+    assert list(got.index) == list(expected.index) and (got["kept"] == expected["kept"]).all() and not got["kept"][8_000]
+    for name in ("character_distance", "word_distance"):
+        assert np.allclose(got[name].astype(float), expected[name].astype(float), rtol=0, atol=2e-9, equal_nan=True)
+
+
+def test_common_words_are_counted_across_flushes(spark, monkeypatch):
+    rows = [(k, f"every word{k} word{k}", "en") for k in range(60)]
+    monkeypatch.setattr(quality, "COUNTED_WORDS", 3)
+    assert quality.common_words(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 2) == ["every", "word0"]
+
+
 def test_jensen_shannon_is_a_distance():
     p, q = np.array([[0.5, 0.5, 0.0]]), np.array([0.0, 0.0, 1.0])
     assert quality.jensen_shannon(p, p[0])[0] == 0 and quality.jensen_shannon(p, q)[0] == pytest.approx(1)

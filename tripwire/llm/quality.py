@@ -6,8 +6,8 @@ fails them if it has under ``MIN_WORDS`` words, or over a fifth of its words rep
 The verdict on the others: the histogram of character classes, and the histogram of common words, are compared with the
 references of all languages by Jensen-Shannon distance (base 2, so 0 to 1). A text goes if the closest reference
 is farther than the limit, which widens for short texts, since theirs is noise; below ``GUARD_WORDS`` words the
-verdict is not taken at all. References are counted over all documents that have a language; only the choice of
-which words count as common comes from a sample of about ``SAMPLE_DOCUMENTS``.
+verdict is not taken at all. References, and which words count as common, are counted over all documents that have a
+language.
 
 Edge cases: a null text has no words and fails; without any language in the table (or in an empty one) there is no
 reference and the base rules decide alone, distances being null; repeated rows each get their row; null ids stay;
@@ -32,7 +32,9 @@ GUARD_WORDS = 30
 #: Limits of the two distances, and what is added to them over the square root of the number of words.
 CHARACTER_LIMIT, CHARACTER_NOISE = 0.2, 0.9
 WORD_LIMIT, WORD_NOISE = 0.42, 0.6
-SAMPLE_DOCUMENTS, COMMON_WORDS = 4_000, 64
+COMMON_WORDS = 64
+#: Words of languages that a task counts before it passes the counts on.
+COUNTED_WORDS = 100_000
 
 _CONTINUES = np.zeros(256, bool)
 _CONTINUES[0x80:0xC0] = True
@@ -138,14 +140,38 @@ def _word_counts(counts: Counts, common: Lookup, size: int) -> np.ndarray:
     return np.bincount(counts.of_text * (size + 1) + found, minlength=n * (size + 1)).reshape(n, size + 1)
 
 
-def common_words(documents: DataFrame, sample: int = SAMPLE_DOCUMENTS, each: int = COMMON_WORDS) -> list[str]:
-    """The most frequent words of each language in a sample of about so many documents, picked by hash."""
-    labelled = documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    total, parts = labelled.count(), 1 << 30
-    picked = labelled.filter(F.pmod(F.xxhash64(F.lit(12), "doc_id", "lang"), F.lit(parts)) < int(min(1.0, sample / max(total, 1)) * parts))
-    words = picked.select("lang", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word")).filter("word <> ''")
-    by_lang = words.groupBy("lang", "word").count()
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))
+def common_words(documents: DataFrame, each: int = COMMON_WORDS) -> list[str]:
+    """The most frequent words of each language, counted over all documents that have one."""
+    limit = COUNTED_WORDS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[str, bytes], int] = {}
+
+        def counted() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in sums], pa.string()), pa.array([x.decode() for _, x in sums], pa.string()), pa.array(sums.values(), pa.int64())], names=["lang", "word", "n"])
+
+        for batch in batches:
+            langs = batch.column(0).dictionary_encode()
+            names, which = langs.dictionary.to_pylist(), np.array(langs.indices)
+            raw, offsets, _ = text_buffer(batch.column(1))
+            for lo, hi in row_chunks(offsets):
+                own, at = raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+                begin, end = word_spans(own, at)
+                lang = which[lo:hi][np.searchsorted(at, begin, "right") - 1]
+                keys = slice_hash(prefix_hash(own), begin, end) + mix(lang.astype(np.uint64) + np.uint64(1))
+                _, one, n = np.unique(keys, return_index=True, return_counts=True)
+                spelled = own.tobytes()
+                for k, b, e, m in zip(lang[one].tolist(), begin[one].tolist(), end[one].tolist(), n.tolist(), strict=True):
+                    word = (names[k], spelled[b:e])
+                    sums[word] = sums.get(word, 0) + m
+                if len(sums) > limit:
+                    yield counted()
+                    sums.clear()
+        yield counted()
+
+    labelled = documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
+    by_lang = labelled.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     return sorted({r["word"] for r in by_lang.withColumn("rank", rank).filter(F.col("rank") <= each).select("word").collect()})
 
 

@@ -81,7 +81,6 @@ _TEMPLATES = ", ".join(f"({k}, '{label}', '{text}')" for k, (label, text) in enu
 _PHRASES = ", ".join(f"('{phrase}', '{label}')" for phrase, label in license.PHRASES.items())
 
 ORACLES: dict[str, str] = {
-    # a table of up to SAMPLE_DOCUMENTS labelled documents is its own sample of common words
     "op1_quality_divergence": rf"""
 WITH doc AS (SELECT doc_id, lang, text IS NOT NULL AS given, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 word AS (SELECT doc_id, lang, unnest(w) AS word FROM doc),
