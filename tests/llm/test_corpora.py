@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tripwire.llm import lines, links, neighbours, pages, partenum
+from tripwire.llm.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -111,6 +112,18 @@ def test_line_dedup_equals_brute_force(spark):
     assert lines.dedup(table.limit(0)).count() == 0
 
 
+def test_line_dedup_drops_equal_short_lines(spark, tmp_path):
+    long = "A line of more than twenty-five characters."
+    rows = [(1, f"All rights reserved.\n\n  \n{long}\nx = 1"), (2, f"x = 2\nAll rights reserved.\n\n  \n{long}!"), (3, "x = 1\nAll rights reserved"), (3, "x = 1\nAll rights reserved"), (4, "refrain\nverse\nrefrain\n "), (5, f"All rights reserved.\n{long}\nx = 1"), (6, None), (7, ""), (None, "verse\n\u00e9"), (8, "\u00e9\n\u00a0\n\u4e2d"), (9, "\u4e2d")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.text, r.line_dedup.n_dropped) for r in lines.dedup(table, short=True).collect()), key=str)
+    expected = [(0, rows[8][1], 0), (1, rows[0][1], 0), (2, "x = 2\n\n  ", 2), (3, "All rights reserved", 1), (3, "All rights reserved", 1), (4, "refrain\n ", 2), (5, "", 3), (6, None, 0), (7, "", 0), (8, "\u00a0\n\u4e2d", 1), (9, "", 1)]
+    assert got == sorted(expected, key=str)
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    query = {r.doc_id: r.n_dropped for r in QUERIES["op9_line_dedup"](spark, str(tmp_path)).collect()}
+    assert query == {k or None: n for k, _, n in expected}
+
+
 def shingles(text, n):
     low = (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
     words = re.findall(r"[^\x20\x09-\x0D]+", low)

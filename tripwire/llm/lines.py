@@ -1,6 +1,7 @@
 """Line dedup by a segment-partition edit join.
 
-Lines of at least ``MIN_CHARS`` characters take part. Two lines are copies if their edit distance is at most
+Lines of at least ``MIN_CHARS`` characters take part. With ``short``, so do shorter ones that hold more than white
+space: those are copies of equal lines only, which needs neither buckets nor verification. Two long lines are copies if their edit distance is at most
 ``DISTANCE``. A line of length n is cut into DISTANCE + 1 even segments; of two copies, the longer has some segment
 of the shorter as a substring, at a start that the lengths and the segment's number narrow down to a few. So a line
 enters the buckets (length, segment number, segment) of its own segments and of its own substrings for every length
@@ -8,7 +9,8 @@ from n - DISTANCE to n. Lines that share a bucket are verified by edit distance,
 diagonals. Classes of copies are closed under links; in each class the line that comes first by (doc_id, line number)
 stays and the others go.
 
-Edge cases: a null text has no lines and stays null, an empty one has one short line; shorter lines stay always; rows
+Edge cases: a null text has no lines and stays null, an empty one has one short line; shorter lines stay unless
+``short``, and those of white space only stay always; rows
 equal in doc_id and text are one document, return a row each, and don't count as copies of each other; a null
 doc_id comes before others; an empty table gives an empty result; columns other than text stay as they are; texts and
 lines are read whole.
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripwire.llm.batches import mix, prefix_hash, row_chunks, slice_hash, text_buffer
+from tripwire.llm.batches import SEPARATOR, mix, prefix_hash, row_chunks, slice_hash, text_buffer
 from tripwire.llm.links import Scratch, classes, crowded, stored
 
 MIN_CHARS, DISTANCE = 25, 2
@@ -148,7 +150,7 @@ def _document_key(documents: DataFrame) -> DataFrame:
     return documents.withColumn("document_key", F.xxhash64("doc_id", "text"))
 
 
-def line_classes(tmp: Scratch, documents: DataFrame, distance: int = DISTANCE, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_classes(tmp: Scratch, documents: DataFrame, distance: int = DISTANCE, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """Every eligible line: doc_id, document_key, line, id (of its text), component, and the class's first line."""
     texts = _document_key(documents.select("doc_id", "text")).filter("text is not null").select("doc_id", "document_key", "text")
 
@@ -156,7 +158,11 @@ def line_classes(tmp: Scratch, documents: DataFrame, distance: int = DISTANCE, m
         column = batch.column("text")
         _, offsets, _ = text_buffer(column)
         for lo, hi in row_chunks(offsets):
-            codes, start, stop, owner, number = eligible_lines(column.slice(lo, hi - lo).to_pylist(), min_chars)
+            codes, start, stop, owner, number = eligible_lines(column.slice(lo, hi - lo).to_pylist(), 1 if short else min_chars)
+            if short:
+                filled = np.concatenate(([0], np.cumsum(~((codes < 256) & SEPARATOR[codes & 0xFF]))))
+                take = (stop - start >= min_chars) | (filled[stop] > filled[start])
+                start, stop, owner, number = start[take], stop[take], owner[take], number[take]
             prefix = prefix_hash(codes)
             yield lo, codes, prefix, start, stop, owner, number, slice_hash(prefix, start, stop)
 
@@ -170,6 +176,8 @@ def line_classes(tmp: Scratch, documents: DataFrame, distance: int = DISTANCE, m
         seen: set[int] = set()
         for batch in batches:
             for _, _, prefix, start, stop, _, _, ids in chunks(batch):
+                long = stop - start >= min_chars
+                start, stop, ids = start[long], stop[long], ids[long]
                 _, once = np.unique(ids, return_index=True)
                 new = np.array([k for k in once.tolist() if int(ids[k]) not in seen], np.int64)
                 if len(seen) > REMEMBERED:
@@ -218,7 +226,7 @@ def line_classes(tmp: Scratch, documents: DataFrame, distance: int = DISTANCE, m
     return classed.join(firsts.drop("n"), "component")
 
 
-def dedup(documents: DataFrame, distance: int = DISTANCE, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup(documents: DataFrame, distance: int = DISTANCE, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """``documents`` without the lines that copy an earlier one, and line_dedup: struct(n_lines, n_dropped, n_long_kept, class_doc_id,
     n_links).
 
@@ -227,7 +235,7 @@ def dedup(documents: DataFrame, distance: int = DISTANCE, min_chars: int = MIN_C
     """
     later = (F.col("first.document_key") != F.col("document_key")) | (F.col("first.line") != F.col("line"))
     with Scratch(documents.sparkSession) as tmp:
-        copies = line_classes(tmp, documents, distance, min_chars)
+        copies = line_classes(tmp, documents, distance, min_chars, short)
         dropped = stored(copies.distinct().groupBy("document_key").agg(F.collect_set(F.when(later, F.col("line"))).alias("dropped"), F.min("first.doc_id").alias("class_doc_id"), F.count("*").alias("n_links")))
     keyed = _document_key(documents).join(dropped, "document_key", "left")
     fields = [f for f in documents.schema.fields if f.name not in ("line_dedup",)]

@@ -54,7 +54,7 @@ def op8_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: how many lines it has, how many of them copy an earlier line, and a digest of what is left."""
-    out = lines.dedup(_table(spark, sf_dir, "documents"))
+    out = lines.dedup(_table(spark, sf_dir, "documents"), short=True)
     return out.select("doc_id", "line_dedup.*", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
