@@ -22,9 +22,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that copy an earlier one go, and so do documents all of whose long lines were copies; n_chars follows the text."""
+    """Lines that copy an earlier one go, and so do documents that this leaves with nothing but white space; n_chars follows the text."""
     out = lines.dedup(docs, short=True)
-    kept = out.filter((F.col("line_dedup.n_dropped") == 0) | (F.col("line_dedup.n_long_kept") > 0))
+    kept = out.filter((F.col("line_dedup.n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

@@ -293,3 +293,12 @@ def test_pipeline_stages(spark):
         assert docs.filter("n_chars <> length(text)").count() == 0
     packed = corpus_pipeline.run(spark, SMALL)
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 1024").count() == 0
+
+
+def test_pipeline_keeps_short_lines_of_documents_without_long_ones(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    shared = "This line of a licence stands in several documents."
+    rows = [(1, f"{shared}\nfirst"), (2, f"{shared}\nx = 1\n\ny = 2"), (3, f"{shared}\n \t\n"), (4, shared), (5, "short only"), (6, None)]
+    docs = spark.createDataFrame([(k, t, 0) for k, t in rows], "doc_id long, text string, n_chars int")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_dedup(spark, docs, SMALL).collect()}
+    assert got == {1: (rows[0][1], len(rows[0][1])), 2: ("x = 1\n\ny = 2", 12), 5: ("short only", 10), 6: (None, None)}
