@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one vectorised step holds, unless a single text is longer.
-CHUNK_BYTES = 1_000_000
+CHUNK_BYTES = 500_000
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,32 +51,65 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_POWERS: dict[str, np.ndarray] = {}
-_BASE = 0x9E3779B97F4A7C15 | 1
+#: Primes just below 2^31 and a base for each. A hash is made of two of them, an independent one of the others.
+_PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
+_BASES = (1153906873, 1640531513, 870462161, 1337770421)
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, 1 << 16)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POWERS[name] = np.multiply.accumulate(steps)
-    return _POWERS["up"], _POWERS["down"]
+def _powers_of(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The base's powers from 0 to n - 1, and those of its inverse, modulo the prime."""
+    if which not in _powers or len(_powers[which][0]) < n:
+        prime, made = _PRIMES[which], []
+        for base in (_BASES[which], pow(_BASES[which], -1, prime)):
+            powers = np.ones(1, np.uint64)
+            while len(powers) < max(n, 1 << 16):
+                powers = np.concatenate((powers, powers * np.uint64(pow(base, len(powers), prime)) % np.uint64(prime)))
+            made.append(powers.astype(np.uint32))
+        _powers[which] = tuple(made)
+    return _powers[which]
 
 
-def prefix_hash(codes: np.ndarray) -> np.ndarray:
-    """Polynomial prefix sums of a code array, for ``slice_hash``."""
-    up, _ = _powers(len(codes) + 1)
-    out = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(mix(codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)], out=out[1:])
+def _running_sums(values: np.ndarray, bits: int, prime: int) -> np.ndarray:
+    """Sums of the first 0, 1, ... of values under 2^bits, congruent modulo the prime; the sums start anew before they overflow."""
+    n, width = len(values), 1 << (63 - bits)
+    out = np.zeros(n + 1, np.uint64)
+    if n <= width:
+        np.cumsum(values, out=out[1:])
+        return out
+    rows = np.zeros((-(-n // width), width), np.uint64)
+    rows.ravel()[:n] = values
+    np.cumsum(rows, axis=1, out=rows)
+    carried = np.cumsum(rows[:, -1] % np.uint64(prime)) % np.uint64(prime)
+    rows[1:] += carried[:-1, None]
+    out[1:] = rows.ravel()[:n]
     return out
 
 
-def slice_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the slices [start, end) of the codes that ``prefix`` was made from."""
-    _, down = _powers(len(prefix))
-    return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def prefix_hash(codes: np.ndarray, independent: bool = False) -> list[tuple[int, np.ndarray]]:
+    """Polynomial prefix sums of an array of bytes or codepoints modulo two primes, for ``slice_hash``; ``independent`` takes two others."""
+    values = codes.astype(np.uint64) + np.uint64(1)
+    bits = 31 + (9 if codes.dtype == np.uint8 else 22)
+    return [(k, _running_sums(values * _powers_of(k, len(codes) + 1)[0][: len(codes)], bits, _PRIMES[k])) for k in ((2, 3) if independent else (0, 1))]
+
+
+def slice_hash(prefix: list[tuple[int, np.ndarray]], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """62-bit hashes, scrambled to 64, of the slices [start, end) of the codes that ``prefix`` was made from.
+
+    Two different slices of n codes that don't know the bases agree with odds of about (n / 2^31)^2.
+    """
+    out = np.zeros(len(starts), np.uint64)
+    for k, sums in prefix:
+        prime = np.uint64(_PRIMES[k])
+        _, down = _powers_of(k, len(sums))
+        out = (out << np.uint64(31)) | ((sums[ends] % prime + prime - sums[starts] % prime) * down[starts] % prime)
+    return mix(out + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def release(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; after the last, Arrow's pool gives back what it holds, so that an idle worker is small."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
 
 
 class Lookup:

@@ -9,11 +9,14 @@ from n - DISTANCE to n. Lines that share a bucket are verified by edit distance,
 diagonals. Classes of copies are closed under links; in each class the line that comes first by (doc_id, line number)
 stays and the others go.
 
+A line is named by a 64-bit hash and checked by a second, independent one: of lines that share a name, only those of
+the least check take part, and the others stay.
+
 Edge cases: a null text has no lines and stays null, an empty one has one short line; shorter lines stay unless
 ``short``, and those of white space only stay always; rows
 equal in doc_id and text are one document, return a row each, and don't count as copies of each other; a null
-doc_id comes before others; an empty table gives an empty result; columns other than text stay as they are; texts and
-lines are read whole.
+doc_id comes before others; an empty table gives an empty result; columns other than text stay as they are, whatever their names (but a
+column named line_dedup is replaced); texts and lines are read whole.
 """
 
 from __future__ import annotations
@@ -26,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripwire.llm.batches import SEPARATOR, mix, prefix_hash, row_chunks, slice_hash, text_buffer
-from tripwire.llm.links import Scratch, classes, crowded, stored
+from tripwire.llm.batches import SEPARATOR, mix, prefix_hash, release, row_chunks, slice_hash, text_buffer
+from tripwire.llm.links import SETS, Scratch, classes, crowded, set_columns, stored
 
 MIN_CHARS, DISTANCE = 25, 2
 #: Characters of the grams by which variants of one line are told apart.
@@ -57,7 +60,7 @@ def eligible_lines(texts: list[str], min_chars: int) -> tuple[np.ndarray, np.nda
 
 
 def gram_set(line: str) -> np.ndarray:
-    """The line's grams with the number of each occurrence: one edit changes at most 2 * GRAM elements of the set."""
+    """The line's grams with the number of each occurrence, sorted: one edit changes at most 2 * GRAM elements of the set."""
     codes = np.frombuffer(line.encode("utf-32-le"), np.uint32).astype(np.uint64)
     grams = np.zeros(max(len(codes) - GRAM + 1, 0), np.uint64)
     for k in range(GRAM):
@@ -67,10 +70,10 @@ def gram_set(line: str) -> np.ndarray:
         return grams
     first = np.concatenate(([True], grams[1:] != grams[:-1]))
     start = np.maximum.accumulate(np.where(first, np.arange(len(grams)), 0))
-    return mix(grams + mix((np.arange(len(grams)) - start).astype(np.uint64)))
+    return np.unique(mix(grams + mix((np.arange(len(grams)) - start).astype(np.uint64))))
 
 
-def bucket_rows(prefix: np.ndarray, start: np.ndarray, stop: np.ndarray, ids: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+def bucket_rows(prefix: list, start: np.ndarray, stop: np.ndarray, ids: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, id) rows of the lines."""
     buckets, owners = [], []
     length, segments = stop - start, distance + 1
@@ -146,13 +149,12 @@ def _banded(rows: list[str], columns: list[str], distance: int) -> np.ndarray:
     return score <= distance
 
 
-def _document_key(documents: DataFrame) -> DataFrame:
-    return documents.withColumn("document_key", F.xxhash64("doc_id", "text"))
-
+def line_copies(tmp: Scratch, documents: DataFrame, distance: int = DISTANCE, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
+    """Every eligible line that has copies: doc_id, document_key, line, and the first line of its class.
 
-def line_classes(tmp: Scratch, documents: DataFrame, distance: int = DISTANCE, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
-    """Every eligible line: doc_id, document_key, line, id (of its text), component, and the class's first line."""
-    texts = _document_key(documents.select("doc_id", "text")).filter("text is not null").select("doc_id", "document_key", "text")
+    ``documents`` has doc_id, document_key and text.
+    """
+    texts = documents.filter("text is not null").select("doc_id", "document_key", "text")
 
     def chunks(batch: pa.RecordBatch):
         column = batch.column("text")
@@ -167,14 +169,15 @@ def line_classes(tmp: Scratch, documents: DataFrame, distance: int = DISTANCE, m
             yield lo, codes, prefix, start, stop, owner, number, slice_hash(prefix, start, stop)
 
     def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, _, _, _, _, owner, number, ids in chunks(batch):
+        for batch in release(batches):
+            for lo, codes, _, start, stop, owner, number, ids in chunks(batch):
                 of = pa.array(owner + lo)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(of), batch.column("document_key").take(of), pa.array(number.astype(np.int32)), pa.array(ids.astype(np.int64))], names=["doc_id", "document_key", "line", "id"])
+                check = slice_hash(prefix_hash(codes, independent=True), start, stop)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(of), batch.column("document_key").take(of), pa.array(number.astype(np.int32)), pa.array(ids.astype(np.int64)), pa.array(check.astype(np.int64))], names=["doc_id", "document_key", "line", "id", "check"])
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in release(batches):
             for _, _, prefix, start, stop, _, _, ids in chunks(batch):
                 long = stop - start >= min_chars
                 start, stop, ids = start[long], stop[long], ids[long]
@@ -187,32 +190,31 @@ def line_classes(tmp: Scratch, documents: DataFrame, distance: int = DISTANCE, m
                     buckets, owners = bucket_rows(prefix, start[new], stop[new], ids[new], distance)
                     yield pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int64)), pa.array(owners.astype(np.int64))], names=["bucket", "id"])
 
-    lines = tmp.stored(texts.mapInArrow(located, "doc_id long, document_key long, line int, id long"))
+    lines = tmp.stored(texts.mapInArrow(located, "doc_id long, document_key long, line int, id long, check long"))
+    place = F.struct("check", "doc_id", "document_key", "line")
+    named = tmp.stored(lines.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("n")))
 
     def spelled_many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in release(batches):
             ids, contents = [], []
             for text, some in zip(batch.column("text").to_pylist(), batch.column("lines").to_pylist(), strict=True):
                 cut = text.split("\n")
                 ids += [x["id"] for x in some]
                 contents += [cut[x["line"]] for x in some]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(contents, pa.string())], names=["id", "content"])
-
-    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [gram_set(x) for x in batch.column("content").to_pylist()]
-            at = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("content"), pa.ListArray.from_arrays(at, pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).astype(np.int64))), pa.array([2 * GRAM * distance] * len(batch), pa.int32())], names=["id", "content", "elements", "slack"])
+            for lo in range(0, len(ids), 5000):
+                spelled = contents[lo : lo + 5000]
+                n = len(spelled)
+                columns, names = set_columns([gram_set(x) for x in spelled], [len(x) for x in spelled], [distance] * n, [2 * GRAM * distance] * n)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + 5000], pa.int64()), *columns, pa.array(spelled, pa.string())], names=["id", *names, "content"])
 
     def contents_of(items: DataFrame) -> DataFrame:
         """The lines of some ids and their sets; texts are met once, however many of their lines are wanted."""
-        place = lines.join(items, "id").groupBy("id").agg(F.min(F.struct("document_key", "line")).alias("at")).select("id", "at.document_key", "at.line")
-        wanted = place.groupBy("document_key").agg(F.collect_list(F.struct("id", "line")).alias("lines"))
-        one_each = texts.join(wanted, "document_key").select("text", "lines")
-        return one_each.mapInArrow(spelled_many, "id long, content string").mapInArrow(cut_up, "id long, content string, elements array<long>, slack int")
+        wanted = named.join(items, "id").groupBy("first.doc_id", "first.document_key").agg(F.collect_list(F.struct("id", F.col("first.line").alias("line"))).alias("lines"))
+        same = texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["document_key"] == wanted["document_key"])
+        return texts.join(wanted, same).select("text", "lines").mapInArrow(spelled_many, SETS + ", content string")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in release(batches):
             ok = banded_distance(batch.column("a_line").to_pylist(), batch.column("b_line").to_pylist(), distance)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
@@ -221,9 +223,10 @@ def line_classes(tmp: Scratch, documents: DataFrame, distance: int = DISTANCE, m
         return pairs.join(left, "a").join(right, "b").mapInArrow(verified, "a long, b long").distinct()
 
     found, _ = classes(tmp, crowded(texts.select("text").mapInArrow(placed, "bucket long, id long")), contents_of, verify)
-    classed = lines.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    firsts = classed.groupBy("component").agg(F.min(F.struct("doc_id", "document_key", "line")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    return classed.join(firsts.drop("n"), "component")
+    classed = named.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    firsts = classed.groupBy("component").agg(F.min(F.struct("first.doc_id", "first.document_key", "first.line")).alias("class_first"), F.sum("n").alias("in_class")).filter("in_class > 1")
+    copied = classed.join(firsts, "component").select("id", F.col("first.check").alias("id_check"), "class_first")
+    return lines.join(copied, "id").filter("check = id_check").select("doc_id", "document_key", "line", F.col("class_first").alias("first"))
 
 
 def dedup(documents: DataFrame, distance: int = DISTANCE, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
@@ -233,22 +236,31 @@ def dedup(documents: DataFrame, distance: int = DISTANCE, min_chars: int = MIN_C
     ``class_doc_id`` is the smallest doc_id that some line of the document is a copy of, or its own; ``n_links`` counts
     its lines that have copies elsewhere.
     """
+    fields = [f for f in documents.schema.fields if f.name != "line_dedup"]
+    given = documents.select(*(f.name for f in fields))
+    own = {name: k for k, name in enumerate(given.columns)}
+    # columns go by position, so that no name of theirs meets one of these
+    plain = given.toDF(*(f"c{k}" for k in range(len(fields))))
+    doc_id, text = f"c{own['doc_id']}", f"c{own['text']}"
+    keyed = plain.withColumn("document_key", F.xxhash64(doc_id, text))
     later = (F.col("first.document_key") != F.col("document_key")) | (F.col("first.line") != F.col("line"))
     with Scratch(documents.sparkSession) as tmp:
-        copies = line_classes(tmp, documents, distance, min_chars, short)
-        dropped = stored(copies.distinct().groupBy("document_key").agg(F.collect_set(F.when(later, F.col("line"))).alias("dropped"), F.min("first.doc_id").alias("class_doc_id"), F.count("*").alias("n_links")))
-    keyed = _document_key(documents).join(dropped, "document_key", "left")
-    fields = [f for f in documents.schema.fields if f.name not in ("line_dedup",)]
-    stats = T.StructType([T.StructField(n, t) for n, t in (("n_lines", T.LongType()), ("n_dropped", T.LongType()), ("n_long_kept", T.LongType()), ("class_doc_id", T.LongType()), ("n_links", T.LongType()))])
+        copies = line_copies(tmp, keyed.select(F.col(doc_id).alias("doc_id"), "document_key", F.col(text).alias("text")), distance, min_chars, short)
+        dropped = stored(copies.distinct().groupBy("doc_id", "document_key").agg(F.collect_set(F.when(later, F.col("line"))).alias("dropped"), F.min("first.doc_id").alias("class_doc_id"), F.count("*").alias("n_links")))
+    of = dropped.withColumnsRenamed({"doc_id": "of_doc_id", "document_key": "of_key"})
+    joined = keyed.join(of, F.col(doc_id).eqNullSafe(F.col("of_doc_id")) & (F.col("document_key") == F.col("of_key")), "left")
+    stats = T.StructType([T.StructField(n, T.LongType()) for n in ("n_lines", "n_dropped", "n_long_kept", "class_doc_id", "n_links")])
+    struct_ = pa.struct([(f.name, pa.int64()) for f in stats.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in release(batches):
             texts, made = [], []
-            for key, text, gone, of, links in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "text", "dropped", "class_doc_id", "n_links")), strict=True):
-                cut, drop = [] if text is None else text.split("\n"), set(gone or ())
-                texts.append(None if text is None else "\n".join(x for k, x in enumerate(cut) if k not in drop) if drop else text)
-                made.append({"n_lines": len(cut), "n_dropped": len(drop), "n_long_kept": sum(len(x) >= min_chars and k not in drop for k, x in enumerate(cut)), "class_doc_id": key if of is None else of, "n_links": links or 0})
-            kept = [pa.array(texts, pa.string()) if f.name == "text" else batch.column(f.name) for f in fields]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(made, pa.struct([("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("n_long_kept", pa.int64()), ("class_doc_id", pa.int64()), ("n_links", pa.int64())]))], names=[*(f.name for f in fields), "line_dedup"])
-
-    return keyed.select(*(f.name for f in fields), "dropped", "class_doc_id", "n_links").mapInArrow(run, T.StructType([*fields, T.StructField("line_dedup", stats)]))
+            for key, whole, gone, class_id, links in zip(*(batch.column(x).to_pylist() for x in (doc_id, text, "dropped", "class_doc_id", "n_links")), strict=True):
+                cut, drop = [] if whole is None else whole.split("\n"), set(gone or ())
+                texts.append(None if whole is None else "\n".join(x for k, x in enumerate(cut) if k not in drop) if drop else whole)
+                made.append({"n_lines": len(cut), "n_dropped": len(drop), "n_long_kept": sum(len(x) >= min_chars and k not in drop for k, x in enumerate(cut)), "class_doc_id": key if class_id is None else class_id, "n_links": links or 0})
+            kept = [pa.array(texts, pa.string()) if k == own["text"] else batch.column(f"c{k}") for k in range(len(fields))]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(made, struct_)], names=[*(f"c{k}" for k in range(len(fields))), "line_dedup"])
+
+    out = T.StructType([*(T.StructField(f"c{k}", f.dataType, True) for k, f in enumerate(fields)), T.StructField("line_dedup", stats)])
+    return joined.select(*plain.columns, "dropped", "class_doc_id", "n_links").mapInArrow(run, out).toDF(*given.columns, "line_dedup")

@@ -9,15 +9,18 @@ Since only the classes are wanted, not all pairs of a bucket need verifying:
 2. in larger buckets, each item with the most typical item that stands first in one of its buckets (one pair an item);
    typical is what shares many buckets with others, and the most typical item of a bucket stands first in it;
 3. in larger buckets whose items are not yet of one class, each item with the bucket's first item f;
-4. in those still of several classes, pairs across classes that can be linked at all. Two items differ from each
-   other where their differences A and B from f differ. Of linked items at most slack k of these elements aren't
-   shared, so |A| - k are, and both have one of them among their first k + 1 differences in any common order. In the
-   order here the differences that fewest items have come first. So items meet by a rare difference, not by the
-   bucket, and variants of one text that vary in different places don't meet.
+4. in those still of several classes, items meet in groups by their differences from f. With A and B what two items'
+   sets don't share with f's, the sets differ where A and B do. Of linked items at most slack k of these elements
+   aren't shared, so if A has more than k, both have one of them among their first k + 1 differences in a common order
+   (elements that f lacks come first, since few items share them; then by value), and the same holds for B. If neither has
+   more than k, both meet in a group of f's near items. A pair of a group that differs in class is
+   verified if their sizes and the sketches of their sets (parities of elements by bin) allow at most k differences.
+5. Groups of over ``LARGE`` items are buckets again, to which 2 to 4 apply; f isn't in its groups, so they shrink.
 
 A pair left out has its two items in one class already, or can't be linked, so the classes are those that all pairs
 would give. Counting a bucket is an aggregation with partial sums and the way back to its items is a join whose skewed
-keys Spark splits, so a bucket that holds a large part of all items doesn't meet in one task.
+keys Spark splits, so a bucket that holds a large part of all items doesn't meet in one task. Only items that resemble
+each other without being linked meet often: within a group of at most ``LARGE``, each pair's sketches are compared.
 """
 
 from __future__ import annotations
@@ -27,12 +30,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tripwire.llm.batches import mix, release
+
 Verify = Callable[[DataFrame, DataFrame], DataFrame]
 #: Items of a bucket whose pairs are all looked at, and how many odd buckets linked items share at least.
 SMALL, ODD_SHARED = 16, 3
+#: Items of a group whose pairs are compared by sketch, and 64-bit words of a sketch.
+LARGE, SKETCH = 64, 4
+#: Columns that ``sets_of`` gives beside others: ``reach`` is how much the sizes of linked items differ at most.
+SETS = "id long, size int, reach int, slack int, " + ", ".join(f"s{k} long" for k in range(SKETCH)) + ", elements array<long>"
 
 
 class Scratch:
@@ -97,54 +106,78 @@ def pairs_of(rows: DataFrame) -> DataFrame:
 def components(tmp: Scratch, edges: DataFrame) -> DataFrame:
     """(id, component) of every item of the pairs (a, b): the least item that can be reached.
 
-    Labels spread to neighbours and to the items they came from, then every item takes its label's label; the
-    number of rounds is about the logarithm of the longest path.
+    Every round contracts each item into the neighbour that comes first in a random order. About half of a path's items
+    and all but the centre of a star go in a round, so the number of rounds is about the logarithm of the longest path.
     """
-    both = tmp.stored(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b"), F.col("a"))).distinct())
-    labels = tmp.stored(both.groupBy("u").agg(F.min("v").alias("least")).select(F.col("u").alias("id"), F.least("u", "least").alias("component")))
-    changed = not labels.isEmpty()
-    while changed:
-        near = both.join(labels.withColumnRenamed("id", "v"), "v").groupBy("u").agg(F.min("component").alias("least"))
-        seen = labels.join(near.withColumnRenamed("u", "id"), "id")
-        offers = seen.select("id", F.least("component", "least").alias("component")).union(seen.select(F.col("component"), F.least("component", "least")))
-        hooked = offers.groupBy("id").agg(F.min("component").alias("component"))
-        jumped = hooked.alias("x").join(hooked.select(F.col("id").alias("component"), F.col("component").alias("root")), "component").select("id", F.col("root").alias("component"))
-        after = tmp.stored(jumped)
-        changed = not after.join(labels.withColumnRenamed("component", "was"), "id").filter("component <> was").isEmpty()
-        tmp.drop(labels)
-        labels = after
-    tmp.drop(both)
-    return labels
-
-
-def differences(rows: DataFrame) -> DataFrame:
-    """(first, element, id, slack): of rows (first, id, slack, base, elements), what elements and base don't share."""
+    steps = []
+    while not edges.isEmpty():
+        both = edges.select(F.col("a").alias("id"), F.col("b").alias("near")).union(edges.select("b", "a"))
+        turn = lambda x: F.struct(F.xxhash64(x).alias("turn"), F.col(x).alias("item"))
+        into = tmp.stored(both.groupBy("id").agg(F.min(turn("near")).alias("first")).select("id", F.least("first", turn("id"))["item"].alias("component")))
+        moved = edges
+        for end in "ab":
+            moved = moved.join(into.select(F.col("id").alias(end), F.col("component").alias(f"{end}_into")), end)
+        steps.append(into)
+        edges = tmp.stored(moved.filter("a_into <> b_into").select(F.least("a_into", "b_into").alias("a"), F.greatest("a_into", "b_into").alias("b")).distinct())
+    if not steps:
+        return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    labels = steps[0]
+    for into in steps[1:]:
+        later = into.select(F.col("id").alias("component"), F.col("component").alias("end"))
+        labels = labels.join(later, "component", "left").select("id", F.coalesce("end", "component").alias("component"))
+    least = labels.groupBy("component").agg(F.min("id").alias("least"))
+    return tmp.stored(labels.join(least, "component").select("id", F.col("least").alias("component")))
+
+
+def sketch(elements: np.ndarray) -> np.ndarray:
+    """``SKETCH`` words: bit k is whether the set has an odd number of elements in bin k. Sets differ in at least as many
+    elements as their sketches in bits."""
+    odd = np.bincount((mix(elements.astype(np.uint64)) >> np.uint64(56)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def set_columns(sets: list[np.ndarray], sizes: list[int], reaches: list[int], slacks: list[int]) -> tuple[list[pa.Array], list[str]]:
+    """The columns of ``SETS`` after the id, and their names."""
+    sketches = np.array([sketch(x) for x in sets], np.int64).reshape(len(sets), SKETCH)
+    at = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(at, pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).astype(np.int64)))
+    columns = [*(pa.array(x, pa.int32()) for x in (sizes, reaches, slacks)), *(pa.array(sketches[:, k]) for k in range(SKETCH)), lists]
+    return columns, ["size", "reach", "slack", *(f"s{k}" for k in range(SKETCH)), "elements"]
+
+
+def leading_differences(rows: DataFrame) -> DataFrame:
+    """(first, element, id): of rows (first, id, slack, base, elements), the slack + 1 differences that come first in the
+    common order, or all of them and the group of f's near items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in release(batches):
             columns = [batch.column(x) for x in ("base", "elements")]
             values = [np.array(x.flatten()) for x in columns]
             ends = [np.concatenate(([0], np.cumsum(np.array(x.value_lengths())))) for x in columns]
-            found = [np.setxor1d(*(v[e[k] : e[k + 1]] for v, e in zip(values, ends, strict=True)), assume_unique=True) for k in range(len(batch))]
+            found = []
+            for k, slack in enumerate(batch.column("slack").to_pylist()):
+                base, own = (v[e[k] : e[k + 1]] for v, e in zip(values, ends, strict=True))
+                new = np.setdiff1d(own, base, assume_unique=True)[: slack + 1]
+                lost = np.setdiff1d(base, own, assume_unique=True)[: slack + 1 - len(new)]
+                near = np.zeros(int(len(new) + len(lost) <= slack), np.int64)
+                found.append(np.concatenate((np.sort(new), np.sort(lost), near)))
             of = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
-            yield pa.RecordBatch.from_arrays([batch.column("first").take(of), pa.array(np.concatenate([*found, np.zeros(0, np.int64)]).astype(np.int64)), batch.column("id").take(of), batch.column("slack").take(of)], names=["first", "element", "id", "slack"])
+            yield pa.RecordBatch.from_arrays([batch.column("first").take(of), pa.array(np.concatenate([*found, np.zeros(0, np.int64)]).astype(np.int64)), batch.column("id").take(of)], names=["first", "element", "id"])
 
-    return rows.select("first", "id", "slack", "base", "elements").mapInArrow(run, "first long, element long, id long, slack int")
+    return rows.select("first", "id", "slack", "base", "elements").mapInArrow(run, "first long, element long, id long")
 
 
-def leading_differences(rows: DataFrame) -> DataFrame:
-    """(first, element, id) of the slack + 1 rarest differences of each (first, id), as far as other items share them."""
-    rarity = F.count("*").over(Window.partitionBy("first", "element"))
-    place = F.row_number().over(Window.partitionBy("first", "id").orderBy("rarity", "element"))
-    ranked = differences(rows).withColumn("rarity", rarity).withColumn("place", place)
-    return ranked.filter((F.col("place") <= F.col("slack") + 1) & (F.col("rarity") > 1)).select("first", "element", "id")
+def similar() -> Column:
+    """Whether the sizes and sketches of rows with a_ and b_ columns leave it open that the items are linked."""
+    bits = sum(F.bit_count(F.col(f"a_s{k}").bitwiseXOR(F.col(f"b_s{k}"))) for k in range(SKETCH))
+    return (F.abs(F.col("a_size") - F.col("b_size")) <= F.least("a_reach", "b_reach")) & (bits <= F.least("a_slack", "b_slack"))
 
 
 def classes(tmp: Scratch, members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], verify: Verify) -> tuple[DataFrame, DataFrame]:
     """((id, component) of linked items, the verified links (a, b)) from the rows of ``crowded``.
 
-    ``sets_of`` gives (id, slack, elements, ...) of a table of ids; ``verify`` gets rows (a, b) with a < b and that
-    table, and returns the linked ones.
+    ``sets_of`` gives the columns of ``SETS`` (elements sorted and distinct) and others of a table of ids; ``verify``
+    gets rows (a, b) with a < b and that table, and returns the linked ones.
     """
     plain = tmp.stored(members)
     counted = tmp.stored(plain.join(plain.groupBy("bucket").agg(F.count("*").alias("n")), "bucket"))
@@ -158,15 +191,20 @@ def classes(tmp: Scratch, members: DataFrame, sets_of: Callable[[DataFrame], Dat
     sets = tmp.stored(sets_of(met.select(F.explode(F.array("a", "b")).alias("id")).union(large.select("id")).distinct()))
     tmp.drop(counted)
 
-    typical = pairs_of(large.filter("id <> first").groupBy("id").agg(F.max(F.struct("shares", "first")).alias("best")).select("id", "best.first"))
-    links = tmp.stored(verify(tmp.stored(met.union(typical).distinct()), sets))
+    def typical() -> DataFrame:
+        return pairs_of(large.filter("id <> first").groupBy("id").agg(F.max(F.struct("shares", "first")).alias("best")).select("id", "best.first"))
+
+    links = tmp.stored(verify(tmp.stored(met.union(typical()).distinct()), sets))
     found = components(tmp, links)
 
-    def split() -> DataFrame:
+    def classed(rows: DataFrame) -> DataFrame:
+        return rows.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+    def several() -> DataFrame:
         """(first, id, component) of the items of larger buckets that hold several classes."""
-        now = large.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        several = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
-        return tmp.stored(now.join(several, "bucket").select("first", "id", "component").distinct())
+        now = classed(large)
+        which = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
+        return tmp.stored(now.join(which, "bucket").select("first", "id", "component").distinct())
 
     def more(pairs: DataFrame) -> None:
         nonlocal links, found
@@ -175,15 +213,22 @@ def classes(tmp: Scratch, members: DataFrame, sets_of: Callable[[DataFrame], Dat
             links = tmp.stored(links.unionByName(new).distinct())
             found = components(tmp, links)
 
-    open_ = split()
-    if not open_.isEmpty():
+    while not (open_ := several()).isEmpty():
         heads = open_.filter("id = first").select("first", F.col("component").alias("own"))
         more(pairs_of(open_.join(heads, "first").filter("component <> own")))
-        open_ = split()
-    if not open_.isEmpty():
+        if (open_ := several()).isEmpty():
+            break
         base = sets.select(F.col("id").alias("first"), F.col("elements").alias("base"))
-        differing = leading_differences(open_.filter("id <> first").join(base, "first").join(sets, "id"))
-        shared = tmp.stored(differing.join(open_, ["first", "id"]))
-        left, right = (shared.select("first", "element", F.col("id").alias(x), F.col("component").alias(f"{x}_class")) for x in "ab")
-        more(left.join(right, ["first", "element"]).filter("a < b and a_class <> b_class").select("a", "b"))
+        leading = tmp.stored(leading_differences(open_.filter("id <> first").join(base, "first").join(sets, "id")))
+        sizes = leading.groupBy("first", "element").agg(F.count("*").alias("n")).filter("n > 1")
+        groups = tmp.stored(leading.join(sizes, ["first", "element"]).withColumn("bucket", F.xxhash64("first", "element")))
+        tmp.drop(leading)
+        small = classed(groups.filter(F.col("n") <= LARGE)).join(sets.drop("elements").select("id", "size", "reach", "slack", *(f"s{k}" for k in range(SKETCH))), "id")
+        small = tmp.stored(small.drop("bucket", "n"))
+        left, right = (small.select("first", "element", F.col("id").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in small.columns if c not in ("first", "element", "id"))) for x in "ab")
+        more(left.join(right, ["first", "element"]).filter((F.col("a") < F.col("b")) & (F.col("a_component") != F.col("b_component")) & similar()).select("a", "b"))
+        large = tmp.stored(with_first(groups.filter(F.col("n") > LARGE).select("bucket", "id").distinct()))
+        if large.isEmpty():
+            break
+        more(typical())
     return found, links

@@ -4,13 +4,14 @@ A document's set is its distinct shingles of ``words`` words (A-Z as a-z); with
 one shingle. Sets in one band of sizes differ in at most k elements if their Jaccard similarity reaches the threshold,
 with k known from the band. The domain of shingles is cut into partitions and each into parts; signatures name a subset
 of parts and the elements that the set has there. Small k: one partition of k + 2 parts, every pair of parts (k
-differences leave two parts untouched). Larger k: partitions of two parts each, four more than k differences can
-spoil: five of them have at most one difference, so at least five parts agree, and up to two empty parts of a set need
-no signature; these buckets are odd, and similar sets share three of them at least. With ``MANY`` parts or more no empty
-part needs one: differences fall on parts at random and leave about a third untouched, so the odds that two sets with
-all k differences share fewer than three parts with elements are under one in a billion. A set signs for its own band and for bands above that hold sizes near enough to its own.
+differences leave two parts untouched). Larger k: partitions of two parts each, p parts in all; a difference spoils one
+part, so at least p - k agree, and a set with up to p - k - 3 empty parts needs no signature for those; these buckets
+are odd, and similar sets share three of them at least. A set with more empty parts signs all of them; p is chosen so
+that few sets have to. A set signs for its own band and for bands above that hold sizes near enough to its own.
 
-Equal sets are one item from the start; items that share a signature are verified exactly on their whole sets.
+Equal sets are one item from the start; items that share a signature are verified exactly on their whole sets. A set is
+named by a 64-bit hash and checked by a second, independent one: texts that share a name but not the check are
+items of their own, which are linked with nothing.
 
 Edge cases: a null text, or one without words, has no shingles and is linked with nothing (its component is its own
 id); equal texts are linked, whatever their ids; repeated rows each return a row; a row with a null id takes part and
@@ -20,6 +21,7 @@ other columns are ignored; texts are read whole.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -27,10 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tripwire.llm.batches import mix, prefix_hash, row_chunks, slice_hash, text_buffer, word_spans
-from tripwire.llm.links import Scratch, classes, crowded, stored
+from tripwire.llm.batches import mix, prefix_hash, release, row_chunks, slice_hash, text_buffer, word_spans
+from tripwire.llm.links import SETS, Scratch, classes, crowded, set_columns, stored
 
 #: Rows of (id, set id) up to which the way back to the texts is a broadcast; beyond it, a join with a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -60,20 +61,21 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[n
             yield np.zeros(0, np.uint64)
 
 
-def set_id(elements: np.ndarray) -> int:
-    """A 64-bit name of a set."""
-    return int(mix(np.array([mix(elements + np.uint64(3)).sum(dtype=np.uint64) + np.uint64(len(elements))]))[0].astype(np.int64))
+def set_id(elements: np.ndarray, other: int = 3) -> int:
+    """A 64-bit name of a set; another odd number ``other`` gives an independent one."""
+    scrambled = mix(elements * np.uint64(other) + np.uint64(other))
+    return int(mix(np.array([scrambled.sum(dtype=np.uint64) + np.uint64(len(elements))]))[0].astype(np.int64))
 
 
 class PartEnum:
     """Signatures for Jaccard similarity of at least ``percent`` hundredths."""
 
     SMALL = 5  # differences up to which one partition is enough
-    MANY = 48
 
     def __init__(self, percent: int):
         self.percent = percent
         self.starts = [1, 2]
+        self.known_parts: dict[int, int] = {}
 
     def band_start(self, band: int) -> int:
         while len(self.starts) <= band:
@@ -98,13 +100,24 @@ class PartEnum:
         """A set of this size and one similar to it differ in at most so many elements."""
         return (size + 100 * size // self.percent) * (100 - self.percent) // (100 + self.percent)
 
+    def parts(self, band: int) -> int:
+        """How many parts the domain has for a band: an even number, more than its differences spoil."""
+        if band not in self.known_parts:
+            k, size = self.differences(band), self.band_start(band)
+            p = k + 9 + k % 2
+            # until the empty parts that a set of the band has, and three deviations, need no signature
+            while p < 2 * k + 10 and p - k - 3 < (empty := p * math.exp(-size / p)) + 3 * math.sqrt(empty):
+                p += 2
+            self.known_parts[band] = 1 if k == 0 else k + 2 if k <= self.SMALL else p + p % 2
+        return self.known_parts[band]
+
     def signatures(self, elements: np.ndarray) -> np.ndarray:
         """Of a set given as sorted hashes; parts are ranges of them."""
         out, sums = [], np.zeros(len(elements) + 1, np.uint64)
         np.cumsum(mix(elements), out=sums[1:])
         for band in self.bands(len(elements)):
             k = self.differences(band)
-            parts = 1 if k == 0 else k + 2 if k <= self.SMALL else 2 * (-(-(k + 1) // 2) + 4)
+            parts = self.parts(band)
             ends = np.searchsorted((elements >> np.uint64(40)).astype(np.int64) * parts >> 24, np.arange(parts), "right")
             begins = np.concatenate(([0], ends[:-1]))
             own = sums[ends] - sums[begins]
@@ -112,26 +125,30 @@ class PartEnum:
             if 1 <= k <= self.SMALL:
                 left, right = np.array(list(combinations(range(parts), 2))).T
                 own = own[left] * np.uint64(0x9E3779B97F4A7C15) + own[right]
-            elif k and (parts >= self.MANY or (ends > begins).sum() >= parts - 2):
+            elif k and (ends > begins).sum() >= k + 3:
                 own = own[ends > begins]
             out.append(own & ~np.uint64(1) | np.uint64(k > self.SMALL))
         return np.concatenate(out)
 
 
 def set_components(tmp: Scratch, documents: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(rows doc_id, text_key, n_shingles, set id and component of each document, the verified links (a, b) of set ids)."""
+    """(rows doc_id, text_key, n_shingles, id, check of each document; id, check, first, n_links of each set).
+
+    ``first`` is the first document of the set's component, as (unnamed, doc_id, text_key); null ids come last.
+    """
     plan = PartEnum(percent)
     keyed = documents.select("doc_id", "text")
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in release(batches):
             raw, offsets, _ = text_buffer(batch.column("text"))
             for lo, hi in row_chunks(offsets):
                 sets = list(shingle_sets(raw, offsets[lo : hi + 1], words))
-                yield pa.RecordBatch.from_arrays([*(batch.column(x).slice(lo, hi - lo) for x in ("doc_id", "text_key")), pa.array([len(x) for x in sets], pa.int64()), pa.array([set_id(x) if len(x) else None for x in sets], pa.int64())], names=["doc_id", "text_key", "n_shingles", "id"])
+                ids, checks = (pa.array([set_id(x, other) if len(x) else None for x in sets], pa.int64()) for other in (3, 7))
+                yield pa.RecordBatch.from_arrays([*(batch.column(x).slice(lo, hi - lo) for x in ("doc_id", "text_key")), pa.array([len(x) for x in sets], pa.int64()), ids, checks], names=["doc_id", "text_key", "n_shingles", "id", "check"])
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in release(batches):
             raw, offsets, _ = text_buffer(batch.column(1))
             for lo, hi in row_chunks(offsets):
                 own = {set_id(x): x for x in shingle_sets(raw, offsets[lo : hi + 1], words) if len(x)}
@@ -140,23 +157,25 @@ def set_components(tmp: Scratch, documents: DataFrame, words: int, percent: int)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*signs, np.zeros(0, np.uint64)]).astype(np.int64)), pa.array(np.repeat(np.array([*own], np.int64), counts))], names=["bucket", "id"])
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in release(batches):
             raw, offsets, _ = text_buffer(batch.column(1))
             for lo, hi in row_chunks(offsets):
-                ids = batch.column(0).slice(lo, hi - lo).to_pylist()
-                # a row may have the id of another text: only the set that was asked for counts
-                own = {k: x.astype(np.int64) for k, x in zip(ids, shingle_sets(raw, offsets[lo : hi + 1], words), strict=True) if len(x) and set_id(x) == k}
-                at = np.cumsum([0, *map(len, own.values())]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.ListArray.from_arrays(at, pa.array(np.concatenate([*own.values(), np.zeros(0, np.int64)]))), pa.array([plan.slack(len(x)) for x in own.values()], pa.int32())], names=["id", "elements", "slack"])
+                ids, sets = batch.column(0).slice(lo, hi - lo), list(shingle_sets(raw, offsets[lo : hi + 1], words))
+                slacks = [plan.slack(len(x)) for x in sets]
+                columns, names = set_columns(sets, [len(x) for x in sets], slacks, slacks)
+                yield pa.RecordBatch.from_arrays([ids, *columns], names=["id", *names])
 
-    described_ = tmp.stored(keyed.withColumn("text_key", F.xxhash64("doc_id", "text")).mapInArrow(described, "doc_id long, text_key long, n_shingles long, id long"))
-    named = T.StructType([T.StructField("id", T.LongType()), T.StructField("elements", T.ArrayType(T.LongType())), T.StructField("slack", T.IntegerType())])
+    with_key = keyed.withColumn("text_key", F.xxhash64("doc_id", "text"))
+    rows = tmp.stored(with_key.mapInArrow(described, "doc_id long, text_key long, n_shingles long, id long, check long"))
+    held = rows.filter("id is not null")
+    named = tmp.stored(held.groupBy("id").agg(F.min(F.struct("check", F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("first")))
 
     def sets_of(items: DataFrame) -> DataFrame:
         """The sets of some items, each from one of its texts."""
-        sample = tmp.stored(described_.join(items, "id").groupBy("id").agg(F.min("doc_id").alias("of")))
+        sample = tmp.stored(named.join(items, "id").select("id", F.col("first.doc_id").alias("of"), F.col("first.text_key").alias("of_key")))
         wanted = F.broadcast(sample) if sample.count() <= BROADCAST_ROWS else sample
-        return keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("of"))).select("id", "text").mapInArrow(listed, named)
+        same = with_key["doc_id"].eqNullSafe(F.col("of")) & (with_key["text_key"] == F.col("of_key"))
+        return with_key.join(wanted, same).select("id", "text").mapInArrow(listed, SETS)
 
     def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         left, right = (sets.select(F.col("id").alias(x), F.col("elements").alias(f"{x}_set")) for x in "ab")
@@ -165,20 +184,19 @@ def set_components(tmp: Scratch, documents: DataFrame, words: int, percent: int)
         return both.filter(100 * shared >= percent * (F.size("a_set") + F.size("b_set") - shared)).select("a", "b").distinct()
 
     found, links = classes(tmp, crowded(keyed.mapInArrow(signed, "bucket long, id long")), sets_of, verify)
-    return described_.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")), links
+    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
+    classed = named.join(found, "id", "left").join(degree, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = classed.groupBy("component").agg(F.min(F.struct("first.unnamed", "first.doc_id", "first.text_key")).alias("class_first"))
+    return rows, classed.join(least, "component").select("id", F.col("first.check").alias("id_check"), F.col("class_first").alias("first"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def similar_components(documents: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, and n_links: verified links of its set to different sets."""
     with Scratch(documents.sparkSession) as tmp:
-        return stored(_named_components(*set_components(tmp, documents, words, percent)))
-
-
-def _named_components(with_class: DataFrame, links: DataFrame) -> DataFrame:
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
-    least = with_class.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = with_class.join(degree, "id", "left").join(least, "component", "left")
-    return named.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        rows, sets = set_components(tmp, documents, words, percent)
+        same = F.col("check") == F.col("id_check")
+        component = F.coalesce(F.when(same, F.col("first.doc_id")), "doc_id").alias("component_id")
+        return stored(rows.join(sets, "id", "left").select("doc_id", "n_shingles", component, F.coalesce(F.when(same, F.col("n_links")), F.lit(0)).alias("n_links")))
 
 
 def one_of_each(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -187,12 +205,8 @@ def one_of_each(documents: DataFrame, words: int = 5, percent: int = 80) -> Data
     Rows equal in id and text are one document; they stay or go together.
     """
     with Scratch(documents.sparkSession) as tmp:
-        with_class, _ = set_components(tmp, documents, words, percent)
-        held = with_class.filter("component is not null")
-        first = held.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-        gone = stored(held.join(first, "component").filter("text_key <> first.text_key").select("text_key").distinct())
-    name = "text_key"
-    while name in documents.columns:
-        name += "_"
-    keyed = documents.withColumn(name, F.xxhash64("doc_id", "text"))
-    return keyed.join(gone.withColumnRenamed("text_key", name), name, "left_anti").select(*documents.columns)
+        rows, sets = set_components(tmp, documents, words, percent)
+        later = (F.col("check") == F.col("id_check")) & ((F.col("first.text_key") != F.col("text_key")) | ~F.col("first.doc_id").eqNullSafe(F.col("doc_id")))
+        gone = stored(rows.join(sets, "id").filter(later).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct())
+    same = documents["doc_id"].eqNullSafe(gone["gone_id"]) & (F.xxhash64(documents["doc_id"], documents["text"]) == gone["gone_key"])
+    return documents.join(gone, same, "left_anti")
