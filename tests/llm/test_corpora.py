@@ -112,6 +112,70 @@ def test_line_dedup_equals_brute_force(spark):
     assert lines.dedup(table.limit(0)).count() == 0
 
 
+def brute_kept_lines(rows):
+    """What is left of each text: one line of each class of lines within the edit distance, the first."""
+    where = [(k, n, x) for k, t in rows for n, x in enumerate(t.split("\n"))]
+    distinct, same = sorted({x for *_, x in where}), Union()
+    pairs = [(a, b) for i, a in enumerate(distinct) for b in distinct[i + 1 :] if abs(len(b) - len(a)) <= lines.DISTANCE]
+    for (a, b), ok in zip(pairs, lines.banded_distance(*map(list, zip(*pairs, strict=True)), lines.DISTANCE).tolist(), strict=True):
+        if ok:
+            same.join(a, b)
+    first = {}
+    for k, n, x in where:
+        first.setdefault(same.find(x), (k, n))
+    return {k: "\n".join(x for n, x in enumerate(t.split("\n")) if first[same.find(x)] == (k, n)) for k, t in rows}
+
+
+def test_line_dedup_of_lines_with_equal_grams(spark):
+    """Lines whose grams are the same set in another order, more than a bucket's pairs are looked at, and variants of them."""
+    rng = random.Random(8)
+    flank, blocks = "f" * 35, ["abcdefgh", "klmnopqr", "tuvwxyz0", "12345678"]
+    texts = set()
+    while len(texts) < 22:
+        parts = ["-----" + b + "-----" for b in rng.sample(blocks, 4)]
+        texts.add(flank + "".join(parts[:4]) + flank)
+    texts = sorted(texts)
+    typos = [t[: (p := rng.randrange(36, len(t) - 36))] + rng.choice("XYZ") + t[p + rng.randrange(2) :] for t in texts for _ in range(3)]
+    words = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(40)).split()
+    family = []
+    for _ in range(120):  # variants of one line with some words changed, and variants of the variants
+        own = list(words)
+        for at in rng.sample(range(40), rng.randint(1, 4)):
+            own[at] = rng.choice(["the", "and", "of", "strange", "further"])
+        family += [" ".join(own), mutated(rng, " ".join(own), rng.randint(1, 3))]
+    every = [*texts, *typos, *family]
+    rng.shuffle(every)
+    rows = [(k, "\n".join(every[k::30])) for k in range(30)]
+    got = {r.doc_id: r.text for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_kept_lines(rows)
+
+
+def test_line_dedup_of_lines_that_weak_hashes_confuse(spark):
+    one = "a"
+    while len(one) < 2048:
+        one += one.translate({97: 98, 98: 97})
+    rows = [(1, one), (2, one.translate({97: 98, 98: 97})), (3, one)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in lines.dedup(table).collect()} == {1: one, 2: rows[1][1], 3: ""}
+    twice = spark.createDataFrame([(k, f"{t} {t}") for k, t in rows], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in partenum.similar_components(twice).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_operators_keep_columns_whose_names_clash(spark):
+    names = ["dropped", "n_links", "document_key", "class_doc_id", "first", "id", "check", "c0", "of_key", "of_doc_id", "line_dedup", "gone_id", "gone_key", "text_key", "component", "element"]
+    rows = [(1, "A line that is long enough to count.\nshort"), (2, "A line that is long enough to count!\nother"), (None, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in names:
+        table = table.withColumn(name, F.lit(f"own {name}"))
+    out = lines.dedup(table)
+    assert out.columns == [*(c for c in table.columns if c != "line_dedup"), "line_dedup"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert (got[1].text, got[2].text, got[None].text) == (rows[0][1], "other", None)
+    assert all(r[n] == f"own {n}" for r in got.values() for n in names if n != "line_dedup")
+    kept = partenum.one_of_each(table, 1, 50)
+    assert kept.columns == table.columns and {r.doc_id for r in kept.collect()} == {1, None}
+
+
 def test_line_dedup_drops_equal_short_lines(spark, tmp_path):
     long = "A line of more than twenty-five characters."
     rows = [(1, f"All rights reserved.\n\n  \n{long}\nx = 1"), (2, f"x = 2\nAll rights reserved.\n\n  \n{long}!"), (3, "x = 1\nAll rights reserved"), (3, "x = 1\nAll rights reserved"), (4, "refrain\nverse\nrefrain\n "), (5, f"All rights reserved.\n{long}\nx = 1"), (6, None), (7, ""), (None, "verse\n\u00e9"), (8, "\u00e9\n\u00a0\n\u4e2d"), (9, "\u4e2d")]

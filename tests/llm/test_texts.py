@@ -15,7 +15,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tripwire.llm import bpe, chat, language, license, packing, quality
+from tripwire.llm import batches, bpe, chat, language, license, packing, quality
 from tripwire.llm.queries import ORACLES, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -115,6 +115,24 @@ def test_language_edges(spark, edges, documents):
     assert language.accepted(edges, trees).columns == edges.columns
 
 
+def test_long_texts_are_coded_in_parts(monkeypatch):
+    rng = random.Random(5)
+    text = "".join(rng.choice("abcdé \n") for _ in range(5000)).encode()
+    grams = Counter(int.from_bytes(text[i : i + n], "big") | n << 56 for n in range(1, 6) for i in range(2000))
+    trees = language.ContextTrees.fit(["x"], np.zeros(len(grams), np.int64), np.array([*grams], np.int64), np.array([*grams.values()]))
+    raw, ends = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    whole = trees.bits(raw, ends)
+    for size in (7, 100, 4999):
+        monkeypatch.setattr(language, "_BYTES_AT_ONCE", size)
+        assert trees.bits(raw, ends) == pytest.approx(whole, rel=1e-5)
+
+
+def test_every_language_is_learned_from_few_long_documents(spark):
+    rows = [(k, "aa", "lorem ipsum dolor sit amet " * 40) for k in range(400)] + [(1001, "bb", "zwölf boxkämpfer jagen viktor " * 9000)]
+    trees = language.train(spark.createDataFrame(rows, "doc_id long, lang string, text string"), sample_bytes=60_000)
+    assert trees.languages == ["aa", "bb"]
+
+
 def test_code_lengths_are_those_of_a_walk_through_the_trees():
     rng = random.Random(1)
     train = {"a": "".join(rng.choice("abcd ") for _ in range(400)), "b": "".join(rng.choice("bde ") for _ in range(300))}
@@ -176,6 +194,17 @@ def test_licence_spans_survive_edits(spark):
     assert license.scan(rows.limit(0)).count() == 0
 
 
+def test_licence_votes_count_once(spark):
+    bsd, mit = license.TEMPLATES[8][1], license.TEMPLATES[2][1]
+    words = bsd.split()
+    broken = " ".join([*words[:8], "that the following", *words[8:]])
+    strayed = " ".join([*words[:8], "some other words", *words[8:]])
+    partial = " ".join(words[: len(words) * 2 // 5])
+    rows = [(1, "released under the released under the"), (2, broken), (3, strayed), (4, f"{mit} MIT License"), (4, f"{mit} MIT License"), (5, partial), (5, partial), (5, partial), (6, f"x {bsd} y {bsd}")]
+    got = sorted((r.doc_id, r.labels, r.n_base, r.n_spans) for r in license.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, "", 0, 0), (2, "bsd", 0, 1), (3, "bsd", 0, 1), (4, "mit", 2, 1), (4, "mit", 2, 1), (5, "", 0, 0), (5, "", 0, 0), (5, "", 0, 0), (6, "bsd", 0, 2)]
+
+
 def test_bpe_equals_the_library_and_round_trips(spark, documents, edges):
     path = P.path("byte_bpe_multi_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
@@ -194,11 +223,57 @@ def test_bpe_equals_the_library_and_round_trips(spark, documents, edges):
     assert bpe.encode(rows.limit(0), path).count() == 0
 
 
+def thue_morse(n):
+    """A word over ab, and the same with its letters swapped: polynomial hashes modulo a power of two don't tell them apart."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate({97: 98, 98: 97})
+    return word, word.translate({97: 98, 98: 97})
+
+
+def test_words_that_weak_hashes_confuse(spark):
+    one, two = thue_morse(2048)
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    rows = spark.createDataFrame([(1, one), (2, two), (3, f"{one} {two}\n{one}\n{two}")], "doc_id long, text string")
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.Encoder(open(path, "rb").read()).ranks, special_tokens={})
+    for r in bpe.decode(bpe.encode(rows.coalesce(1), path), path).collect():
+        assert r.ids == library.encode_ordinary(r.text) and bytes(r.decoded) == r.text.encode()
+    text = f"{one}\n{two}\n" + "\n".join(f"{x} {y} {z} {x} {y}" for x in (one, two) for y in (one, two) for z in (one, two))
+    got = quality.judge(spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string")).first()
+    windows = Counter(tuple(text.split()[k : k + 5]) for k in range(len(text.split()) - 4))
+    repeated = {k + d for k in range(len(text.split()) - 4) if windows[tuple(text.split()[k : k + 5])] > 1 for d in range(5)}
+    assert (got.n_dup_lines, got.n_repeat_words) == (0, len(repeated))
+
+
+def test_bpe_compares_what_a_cached_hash_stands_for(monkeypatch):
+    own = bpe.Encoder(open(P.path("byte_bpe_multi_50k.tiktoken"), "rb").read())
+    monkeypatch.setattr(bpe, "slice_hash", lambda prefix, starts, ends: np.zeros(len(starts), np.uint64))
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    for texts in (["hello world", "what is this"], ["this is", "hello", ""]):
+        ids, counts = own.encode(texts)
+        at = np.concatenate(([0], np.cumsum(counts)))
+        assert [ids[at[k] : at[k + 1]].tolist() for k in range(len(texts))] == [library.encode_ordinary(x) for x in texts]
+
+
+@pytest.mark.parametrize("size", [60_000, 400_000])
+def test_running_sums_and_slices(size):
+    rng = np.random.default_rng(size)
+    for codes in (rng.integers(0, 256, size).astype(np.uint8), rng.integers(0, 0x110000, size).astype(np.uint32)):
+        twice = np.concatenate((codes, codes))
+        for independent in (False, True):
+            prefix = batches.prefix_hash(twice, independent)
+            starts = rng.integers(0, size - 3000, 2000)
+            ends = starts + rng.integers(0, 3000, 2000)
+            hashes = batches.slice_hash(prefix, starts, ends)
+            assert (hashes == batches.slice_hash(prefix, starts + size, ends + size)).all()
+            assert len(set(hashes.tolist())) == len({twice[a:b].tobytes() for a, b in zip(starts, ends, strict=True)})
+
+
 def test_bpe_classes_cover_all_codepoints():
     ranks_file = open(P.path("byte_bpe_multi_50k.tiktoken"), "rb").read()
     own = bpe.Encoder(ranks_file)
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
-    texts = [f"a{chr(c)}1 {chr(c)}{chr(c)}b" for c in range(0, 0x110000, 37) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{chr(c)}1 {chr(c)}{chr(c)}b" for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     ids, counts = own.encode(texts)
     at = np.concatenate(([0], np.cumsum(counts)))
     assert all(ids[at[k] : at[k + 1]].tolist() == library.encode_ordinary(t) for k, t in enumerate(texts))
@@ -206,8 +281,8 @@ def test_bpe_classes_cover_all_codepoints():
 
 def test_packing_is_whole_gapless_and_tight(spark, documents, edges):
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    rows = documents.select("doc_id", "text").union(edges.select("doc_id", "text"))
+    special = spark.createDataFrame([(3000, "a<|endoftext|>b"), (3001, "<|endoftext|>"), (3002, "<|endoftext|")], "doc_id long, text string")
+    rows = documents.select("doc_id", "text").union(edges.select("doc_id", "text")).union(special)
     got = packing.pack(rows, P.path("byte_bpe_50k.json"), P.PATTERN).collect()
     expected = Counter()
     for key, text in texts_of(rows):
@@ -290,6 +365,12 @@ def test_chat_machine(spark):
     assert [(t.role, t.text) for t in read.turns] == [("user", "a"), ("assistant", "b")] and read.loss_texts == ["b"]
 
 
+def test_chat_ids_stay_whole(spark):
+    big = (1 << 60) + 1
+    rows = spark.createDataFrame([(big, 0, "user", "a"), (None, 0, "user", "b")], "conv_id long, turn long, role string, text string").coalesce(1)
+    assert {r.conv_id for r in chat.digests(rows).collect()} == {r.conv_id for r in chat.read_back(chat.format_conversations(rows)).collect()} == {big, None}
+
+
 def test_planted_conversation(spark):
     row = next(r for r in QUERIES["op4_chat_format"](spark, SMALL).collect() if r.conv_id == -7)
     text = "\\### Assistant: </turn> ok"

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tripwire.llm.batches import Lookup, prefix_hash, row_chunks, slice_hash, text_buffer, within
+from tripwire.llm.batches import Lookup, prefix_hash, release, row_chunks, slice_hash, text_buffer, within
 
 #: Pre-tokens that a Python worker keeps encoded; beyond it the cache starts anew.
 CACHE_PIECES = 150_000
@@ -182,8 +182,21 @@ class Encoder:
         return Lookup((joins[:, 0].astype(np.uint64) << np.uint64(32)) | joins[:, 1].astype(np.uint64)), np.append(joins[:, 2], 0)
 
     def forget(self) -> None:
+        """Empties the cache: numbers of pre-tokens by hash, and by number their ids and codepoints."""
         self.known: dict[int, int] = {}
         self.pool, self.pool_at = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.spelled, self.spelled_at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _added(self, text: str, codes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Encodes the pre-tokens [first, last) and returns their numbers."""
+        got = self.merged([text[a:b].encode() for a, b in zip(first.tolist(), last.tolist(), strict=True)])
+        numbers = len(self.pool_at) - 1 + np.arange(len(got))
+        sizes, chars = np.fromiter(map(len, got), np.int64, len(got)), last - first
+        self.pool = np.concatenate((self.pool, np.fromiter(chain.from_iterable(got), np.int32, sizes.sum())))
+        self.pool_at = np.concatenate((self.pool_at, self.pool_at[-1] + np.cumsum(sizes)))
+        self.spelled = np.concatenate((self.spelled, codes[np.repeat(first, chars) + within(chars)]))
+        self.spelled_at = np.concatenate((self.spelled_at, self.spelled_at[-1] + np.cumsum(chars)))
+        return numbers
 
     def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         pairs, joined = self.pairs
@@ -250,13 +263,16 @@ class Encoder:
         known, keys = self.known, keys.tolist()
         new = [k for k, key in enumerate(keys) if key not in known]
         if new:
-            first, last = starts[where[new]].tolist(), ends[where[new]].tolist()
-            got = self.merged([text[a:b].encode() for a, b in zip(first, last, strict=True)])
-            known.update(zip([keys[k] for k in new], range(len(known), len(known) + len(new)), strict=True))
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
-            self.pool = np.concatenate((self.pool, np.fromiter(chain.from_iterable(got), np.int32, sizes.sum())))
-            self.pool_at = np.concatenate((self.pool_at, self.pool_at[-1] + np.cumsum(sizes)))
+            known.update(zip([keys[k] for k in new], self._added(text, codes, starts[where[new]], ends[where[new]]).tolist(), strict=True))
         number = np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))[which]
+        # equal hashes are only a hint: pre-tokens that are spelled otherwise get numbers of their own
+        chars = ends - starts
+        other = np.diff(self.spelled_at)[number] != chars
+        there = np.minimum(np.repeat(self.spelled_at[number] - starts, chars) + np.arange(len(codes)), len(self.spelled) - 1)
+        wrong = codes != self.spelled[there]
+        if wrong.any() or other.any():
+            other[np.searchsorted(starts, np.flatnonzero(wrong), "right") - 1] = True
+            number[other] = self._added(text, codes, starts[other], ends[other])
         counts = (self.pool_at[1:] - self.pool_at[:-1])[number]
         ids = self.pool[np.repeat(self.pool_at[number], counts) + within(counts)]
         total = np.concatenate(([0], np.cumsum(counts)))
@@ -286,7 +302,7 @@ def _appended(df: DataFrame, new: list[tuple[str, T.DataType]], make) -> DataFra
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in release(batches):
             for lo, hi, arrays in make(batch):
                 own = [batch.column(n).slice(lo, hi - lo) for n in names]
                 yield pa.RecordBatch.from_arrays([*own, *arrays], names=[*names, *(n for n, _ in new)])

@@ -6,7 +6,7 @@ a backslash, and so is the backslash, so that ``read_back`` recovers every turn
 Edge cases: null texts and roles count as empty; turns are ordered by (turn, role, text), nulls first, so ties and
 repeated rows have one order and all stay; a null conv_id is one conversation; an order of roles that the machine
 rejects is formatted all the same, with ``valid`` false and the first offending position in ``rejected_at``; an empty
-table gives an empty result; other columns are ignored.
+table gives an empty result; other columns are ignored. A conversation is one row, so it must fit in a task.
 """
 
 from __future__ import annotations
@@ -15,10 +15,12 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tripwire.llm.batches import release
+
 
 @dataclass(frozen=True)
 class Template:
@@ -81,17 +83,17 @@ def format_conversations(conversations: DataFrame, template: Template | None = N
     rows = conversations.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("row"))
     grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("row"), lambda a, b: _order(a, b)).alias("rows"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for key, turns in zip(pdf["conv_id"], pdf["rows"], strict=True):
-                own = [x for t in turns for x in template.segments(t["role"], t["text"])]
-                wrong = template.first_rejected([t["role"] for t in turns])
-                out.append((key, "".join(t for t, _ in own), wrong < 0, wrong, [{"text": t, "loss": x} for t, x in own]))
-            frame = pd.DataFrame(out, columns=["conv_id", "formatted", "valid", "rejected_at", "segments"])
-            yield frame.astype({"conv_id": "Int64"})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in release(batches):
+            made, wrong = [], []
+            for turns in batch.column("rows").to_pylist():
+                made.append([x for t in turns for x in template.segments(t["role"], t["text"])])
+                wrong.append(template.first_rejected([t["role"] for t in turns]))
+            segments = pa.array([[{"text": t, "loss": x} for t, x in own] for own in made], pa.list_(pa.struct([("text", pa.string()), ("loss", pa.bool_())])))
+            columns = [pa.array(["".join(t for t, _ in own) for own in made], pa.string()), pa.array([x < 0 for x in wrong], pa.bool_()), pa.array(wrong, pa.int32()), segments]
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), *columns], names=["conv_id", "formatted", "valid", "rejected_at", "segments"])
 
-    return grouped.mapInPandas(run, FORMATTED)
+    return grouped.mapInArrow(run, FORMATTED)
 
 
 def _order(a, b):
@@ -110,28 +112,30 @@ def read_back(formatted: DataFrame, template: Template | None = None) -> DataFra
     """The turns that the formatted text holds, and the unescaped texts of the segments that bear loss."""
     template = template or Template()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            turns = [[{"role": r, "text": t} for r, t in template.turns(x)] for x in pdf["formatted"]]
-            loss = [[template.unescape(x["text"]) for x in own if x["loss"]] for own in pdf["segments"]]
-            yield pd.DataFrame({"conv_id": pdf["conv_id"].astype("Int64"), "turns": turns, "loss_texts": loss})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in release(batches):
+            turns = [[{"role": r, "text": t} for r, t in template.turns(x)] for x in batch.column("formatted").to_pylist()]
+            loss = [[template.unescape(x["text"]) for x in own if x["loss"]] for own in batch.column("segments").to_pylist()]
+            columns = [pa.array(turns, pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))), pa.array(loss, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), *columns], names=["conv_id", "turns", "loss_texts"])
 
-    return formatted.select("conv_id", "formatted", "segments").mapInPandas(run, READ)
+    return formatted.select("conv_id", "formatted", "segments").mapInArrow(run, READ)
 
 
 def digests(conversations: DataFrame, template: Template | None = None) -> DataFrame:
     """Per conversation, what is read back from its formatted text."""
     template = template or Template()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            turns = [template.turns(x) for x in pdf["formatted"]]
-            yield pd.DataFrame({
-                "conv_id": pdf["conv_id"].astype("Int64"), "n_turns": [len(x) for x in turns],
-                "turns_text": ["".join(f"{r}\n{t}\n" for r, t in x) for x in turns],
-                "loss_text": ["".join(template.unescape(s["text"]) for s in own if s["loss"]) for own in pdf["segments"]],
-                "formatted_chars": pdf["formatted"].str.len(), "valid": pdf["valid"], "rejected_at": pdf["rejected_at"],
-            })
-
-    made = format_conversations(conversations, template).mapInPandas(run, "conv_id long, n_turns long, turns_text string, loss_text string, formatted_chars long, valid boolean, rejected_at int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in release(batches):
+            formatted = batch.column("formatted").to_pylist()
+            turns = [template.turns(x) for x in formatted]
+            loss = ["".join(template.unescape(s["text"]) for s in own if s["loss"]) for own in batch.column("segments").to_pylist()]
+            columns = [
+                pa.array([len(x) for x in turns], pa.int64()), pa.array(["".join(f"{r}\n{t}\n" for r, t in x) for x in turns], pa.string()),
+                pa.array(loss, pa.string()), pa.array([len(x) for x in formatted], pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), *columns, batch.column("valid"), batch.column("rejected_at")], names=["conv_id", "n_turns", "turns_text", "loss_text", "formatted_chars", "valid", "rejected_at"])
+
+    made = format_conversations(conversations, template).mapInArrow(run, "conv_id long, n_turns long, turns_text string, loss_text string, formatted_chars long, valid boolean, rejected_at int")
     return made.select("conv_id", "n_turns", F.sha2("turns_text", 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars", "valid", "rejected_at")

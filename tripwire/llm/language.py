@@ -6,8 +6,9 @@ successors in n) and hands over to the context one byte shorter, at last to a un
 after training, so the code length of every known (context, byte) pair is worked out once for all languages and
 prediction is a table lookup for most bytes. The language of least code length wins; ties go to the first by name.
 
-Training reads documents that are not held out and have a language, ``SAMPLE_BYTES`` of text in all at most on
-average, chosen by a hash of their ids; that bounds the model, which is broadcast.
+Training reads documents that are not held out and have a language: blocks of ``BLOCK`` bytes of their texts,
+``SAMPLE_BYTES`` in all at most on average and as much of each language, chosen by a hash of the document and the
+block's number. That bounds the model, which is broadcast: its width is the number of languages, a few hundred at most.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0 and no code length; so is every text if
 nothing can be learned (an empty table, no languages); null ids count as the empty text in the hash; repeated rows
@@ -24,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripwire.llm.batches import Lookup, row_chunks, text_buffer
+from tripwire.llm.batches import Lookup, mix, release, row_chunks, text_buffer, within
 
 ORDER = 4
-#: Bytes of training text, shared evenly by the languages; a hash of the id picks the documents.
-SAMPLE_BYTES = 3_000_000
-_BYTES_AT_ONCE = 1_000_000
+#: Bytes of training text, shared evenly by the languages, and of the blocks that a hash picks.
+SAMPLE_BYTES, BLOCK = 3_000_000, 4096
+#: Bytes that are looked up at once; longer texts go in parts.
+_BYTES_AT_ONCE = 250_000
+_SHARES = 1 << 30
 _LENGTH = np.uint64(56)  # a gram is its bytes, and its length above them
 
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double"
@@ -53,24 +56,40 @@ def _depth(offsets: np.ndarray) -> np.ndarray:
     return np.arange(offsets[-1] - offsets[0]) - np.repeat(offsets[:-1] - offsets[0], np.diff(offsets))
 
 
-def gram_counts(labelled: DataFrame, order: int = ORDER) -> DataFrame:
-    """How often each gram of up to ``order`` + 1 bytes occurs in each language's texts."""
+def gram_counts(labelled: DataFrame, order: int = ORDER, shares: dict[str, int] | None = None) -> DataFrame:
+    """How often each gram of up to ``order`` + 1 bytes occurs in the blocks of each language's texts.
+
+    ``labelled`` has lang, text and, with ``shares`` (of ``_SHARES``, by language), a number ``document`` that picks blocks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in release(batches):
             langs = batch.column(0).dictionary_encode()
             names, which = langs.dictionary, np.array(langs.indices)
             raw, offsets, _ = text_buffer(batch.column(1))
-            for lo, hi in row_chunks(offsets):
-                own, depth = raw[offsets[lo] : offsets[hi]], _depth(offsets[lo : hi + 1])
-                of_byte = np.repeat(which[lo:hi], np.diff(offsets[lo : hi + 1]))
+            sizes = np.diff(offsets)
+            of_text = np.repeat(np.arange(len(sizes)), -(-sizes // BLOCK))
+            number = within(-(-sizes // BLOCK))
+            begin = offsets[of_text] + number * BLOCK
+            end = np.minimum(begin + BLOCK, offsets[of_text + 1])
+            if shares is not None:
+                share = np.array([shares[x] for x in names.to_pylist()], np.uint64)[which[of_text]] if len(of_text) else np.zeros(0, np.uint64)
+                key = mix(np.array(batch.column(2)).astype(np.uint64)[of_text] + mix(number.astype(np.uint64)))
+                taken = key % np.uint64(_SHARES) < share
+                of_text, begin, end = of_text[taken], begin[taken], end[taken]
+            at = np.concatenate(([0], np.cumsum(end - begin)))
+            for lo, hi in row_chunks(at):
+                own = np.concatenate([raw[a:b] for a, b in zip(begin[lo:hi].tolist(), end[lo:hi].tolist(), strict=True)])
+                depth = _depth(at[lo : hi + 1])
+                of_byte = np.repeat(which[of_text[lo:hi]], np.diff(at[lo : hi + 1]))
                 for length in range(1, order + 2):
-                    at, keys = _grams(own, depth, length)
+                    where, keys = _grams(own, depth, length)
                     for k in range(len(names)):
-                        grams, counts = np.unique(keys[of_byte[at] == k], return_counts=True)
+                        grams, counts = np.unique(keys[of_byte[where] == k], return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array([names[k].as_py()] * len(grams), pa.string()), pa.array(grams.astype(np.int64)), pa.array(counts)], names=["lang", "gram", "n"])
 
-    return labelled.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    columns = ["lang", "text", *(["document"] if shares is not None else [])]
+    return labelled.select(*columns).mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -122,7 +141,16 @@ class ContextTrees:
         return cls(languages, order, lookups, cost, escape, unknown.astype(np.float32))
 
     def bits(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Code length of each text in each language."""
+        """Code length of each text in each language; a long text goes in parts, each after the bytes that are its context."""
+        if len(offsets) == 2 and offsets[1] - offsets[0] > _BYTES_AT_ONCE + self.order:
+            parts = range(int(offsets[0]), int(offsets[1]), _BYTES_AT_ONCE)
+            context = [min(self.order, begin - parts.start) for begin in parts]
+            bounds = [np.array([begin - c, min(begin + _BYTES_AT_ONCE, offsets[1])]) for begin, c in zip(parts, context, strict=True)]
+            return sum(self._bits(raw, b, c) for b, c in zip(bounds, context, strict=True))
+        return self._bits(raw, offsets)
+
+    def _bits(self, raw: np.ndarray, offsets: np.ndarray, skipped: int = 0) -> np.ndarray:
+        """The same for texts at once; the first ``skipped`` bytes don't count."""
         depth = _depth(offsets)
         raw = raw[offsets[0] : offsets[-1]]
         out = np.zeros((len(raw), len(self.languages)), np.float32)
@@ -150,6 +178,7 @@ class ContextTrees:
             done = np.zeros(len(raw), bool)
             done[own[hit]] = True
             left = left[~done[left]]
+        out[:skipped] = 0
         filled = np.flatnonzero(np.diff(offsets))
         total = np.zeros((len(offsets) - 1, len(self.languages)))
         if len(filled):
@@ -164,12 +193,9 @@ def train(documents: DataFrame, order: int = ORDER, sample_bytes: int = SAMPLE_B
     languages = sorted(x for x, size in sizes.items() if size)
     if not languages:
         return None
-    parts = 1 << 30
-    share = F.lit(0)
-    for name in languages:
-        share = F.when(F.col("lang") == name, int(min(1, sample_bytes / len(languages) / sizes[name]) * parts)).otherwise(share)
-    sample = usable.filter(F.pmod(F.xxhash64(F.lit(11), "doc_id", "text"), F.lit(parts)) < share)
-    counts = gram_counts(sample, order).toArrow()
+    shares = {name: int(min(1, sample_bytes / len(languages) / sizes[name]) * _SHARES) for name in sizes if sizes[name]}
+    filled = usable.filter(F.octet_length("text") > 0)
+    counts = gram_counts(filled.withColumn("document", F.xxhash64(F.lit(11), "doc_id", "text")), order, shares).toArrow()
     if not counts.num_rows:
         return None
     lang = counts["lang"].combine_chunks().dictionary_encode()
@@ -215,7 +241,7 @@ def predict(documents: DataFrame, trees: ContextTrees | None) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in release(batches):
             names, scores, rates = judged(shared.value, batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores), pa.array(rates, from_pandas=True)], names=[x.split()[0] for x in PREDICTED.split(", ")])
 
@@ -231,7 +257,7 @@ def accepted(documents: DataFrame, trees: ContextTrees | None = None, worst_bits
     shared = documents.sparkSession.sparkContext.broadcast(trees or train(documents))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in release(batches):
             names, _, rates = judged(shared.value, batch.column("text"))
             yield batch.filter(pa.array(np.array([x != "und" for x in names], bool) & ~(rates >= worst_bits)))
 

@@ -11,16 +11,18 @@ Since only the classes are wanted, not all pairs of a bucket need verifying:
 3. in larger buckets whose items are not yet of one class, each item with the bucket's first item f;
 4. in those still of several classes, items meet in groups by their differences from f. With A and B what two items'
    sets don't share with f's, the sets differ where A and B do. Of linked items at most slack k of these elements
-   aren't shared, so if A has more than k, both have one of them among their first k + 1 differences in a common order
-   (elements that f lacks come first, since few items share them; then by value), and the same holds for B. If neither has
-   more than k, both meet in a group of f's near items. A pair of a group that differs in class is
-   verified if their sizes and the sketches of their sets (parities of elements by bin) allow at most k differences.
-5. Groups of over ``LARGE`` items are buckets again, to which 2 to 4 apply; f isn't in its groups, so they shrink.
+   aren't shared, so if A has more than k, both have one of them among their first k + 1 differences in a common order,
+   and so if B has more. If neither has, and they share none, A and B have at most k together, so the smaller has at
+   most k / 2: such items, near f and yet not linked to it, are joined with the others of at most k. A pair of a
+   group that differs in class is verified if sizes and sketches (parities of elements by bin) allow at most k differences.
+
+The common order takes elements first that few items share: those that are not common in a sample of the group's
+items, f's own elements after others. The sample has an influence on the size of the groups only, not on what is found.
 
 A pair left out has its two items in one class already, or can't be linked, so the classes are those that all pairs
 would give. Counting a bucket is an aggregation with partial sums and the way back to its items is a join whose skewed
-keys Spark splits, so a bucket that holds a large part of all items doesn't meet in one task. Only items that resemble
-each other without being linked meet often: within a group of at most ``LARGE``, each pair's sketches are compared.
+keys Spark splits, so a bucket that holds a large part of all items doesn't meet in one task. Items that have a rare
+difference from f in common are compared by sketch, each pair of a group; these groups are what grows fastest.
 """
 
 from __future__ import annotations
@@ -38,8 +40,10 @@ from tripwire.llm.batches import mix, release
 Verify = Callable[[DataFrame, DataFrame], DataFrame]
 #: Items of a bucket whose pairs are all looked at, and how many odd buckets linked items share at least.
 SMALL, ODD_SHARED = 16, 3
-#: Items of a group whose pairs are compared by sketch, and 64-bit words of a sketch.
-LARGE, SKETCH = 64, 4
+#: 64-bit words of a sketch.
+SKETCH = 4
+#: Items, about, that tell which differences from a first item are common: those that over one in ``OFTEN`` has.
+SAMPLE, OFTEN = 256, 40
 #: Columns that ``sets_of`` gives beside others: ``reach`` is how much the sizes of linked items differ at most.
 SETS = "id long, size int, reach int, slack int, " + ", ".join(f"s{k} long" for k in range(SKETCH)) + ", elements array<long>"
 
@@ -145,26 +149,52 @@ def set_columns(sets: list[np.ndarray], sizes: list[int], reaches: list[int], sl
     return columns, ["size", "reach", "slack", *(f"s{k}" for k in range(SKETCH)), "elements"]
 
 
+def _sets_in(batch: pa.RecordBatch, name: str) -> list[np.ndarray]:
+    lists = batch.column(name)
+    values = np.array(lists.flatten())
+    ends = np.cumsum(np.array(lists.value_lengths().fill_null(0)))
+    return np.split(values, ends[:-1]) if len(lists) else []
+
+
+def common_differences(open_: DataFrame, base: DataFrame, sets: DataFrame) -> DataFrame:
+    """(first, common): the elements that many of a sample of the items (first, id) don't share with the first, rarest first."""
+    sizes = open_.groupBy("first").agg(F.count("*").alias("n"))
+    sample = open_.join(sizes, "first").filter(F.pmod(F.xxhash64("id", F.lit(17)), F.col("n")) < SAMPLE).select("first", "id")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        batch = table.to_batches()[0]
+        found = [np.setxor1d(x, y, assume_unique=True) for x, y in zip(_sets_in(batch, "base"), _sets_in(batch, "elements"), strict=True)]
+        elements, counts = np.unique(np.concatenate(found), return_counts=True)
+        often = counts > max(2, len(found) // OFTEN)
+        ordered = elements[often][np.argsort(counts[often], kind="stable")]
+        return pa.table({"first": batch.column("first").slice(0, 1), "common": pa.array([ordered], pa.list_(pa.int64()))})
+
+    return sample.join(base, "first").join(sets.select("id", "elements"), "id").select("first", "base", "elements").groupBy("first").applyInArrow(run, "first long, common array<long>")
+
+
 def leading_differences(rows: DataFrame) -> DataFrame:
-    """(first, element, id): of rows (first, id, slack, base, elements), the slack + 1 differences that come first in the
-    common order, or all of them and the group of f's near items."""
+    """(first, element, near, id): of rows (first, id, slack, base, common, elements), the slack + 1 differences that come first
+    in the common order, or all of them and a row without an element that says in ``near`` how many there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in release(batches):
-            columns = [batch.column(x) for x in ("base", "elements")]
-            values = [np.array(x.flatten()) for x in columns]
-            ends = [np.concatenate(([0], np.cumsum(np.array(x.value_lengths())))) for x in columns]
-            found = []
-            for k, slack in enumerate(batch.column("slack").to_pylist()):
-                base, own = (v[e[k] : e[k + 1]] for v, e in zip(values, ends, strict=True))
-                new = np.setdiff1d(own, base, assume_unique=True)[: slack + 1]
-                lost = np.setdiff1d(base, own, assume_unique=True)[: slack + 1 - len(new)]
-                near = np.zeros(int(len(new) + len(lost) <= slack), np.int64)
-                found.append(np.concatenate((np.sort(new), np.sort(lost), near)))
-            of = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
-            yield pa.RecordBatch.from_arrays([batch.column("first").take(of), pa.array(np.concatenate([*found, np.zeros(0, np.int64)]).astype(np.int64)), batch.column("id").take(of)], names=["first", "element", "id"])
-
-    return rows.select("first", "id", "slack", "base", "elements").mapInArrow(run, "first long, element long, id long")
+            found, near = [], np.full(len(batch), -1)
+            for k, (slack, base, own, common) in enumerate(zip(batch.column("slack").to_pylist(), *(_sets_in(batch, x) for x in ("base", "elements", "common")), strict=True)):
+                new, lost = np.setdiff1d(own, base, assume_unique=True), np.setdiff1d(base, own, assume_unique=True)
+                ordered = np.concatenate([np.sort(x[~np.isin(x, common)]) for x in (new, lost)])
+                if len(ordered) <= slack:
+                    ordered = np.concatenate((ordered, common[np.isin(common, new) | np.isin(common, lost)]))
+                if len(ordered) <= slack:
+                    near[k] = len(ordered)
+                found.append(ordered[: slack + 1])
+            short = np.flatnonzero(near >= 0)
+            of = pa.array(np.concatenate((np.repeat(np.arange(len(found)), [len(x) for x in found]), short)).astype(np.int64))
+            elements = np.concatenate([*found, np.zeros(len(short), np.int64)]).astype(np.int64)
+            which = np.concatenate((np.full(len(elements) - len(short), -1), near[short]))
+            yield pa.RecordBatch.from_arrays([batch.column("first").take(of), pa.array(elements), pa.array(which.astype(np.int32)), batch.column("id").take(of)], names=["first", "element", "near", "id"])
+
+    return rows.select("first", "id", "slack", "base", "common", "elements").mapInArrow(run, "first long, element long, near int, id long")
 
 
 def similar() -> Column:
@@ -191,10 +221,8 @@ def classes(tmp: Scratch, members: DataFrame, sets_of: Callable[[DataFrame], Dat
     sets = tmp.stored(sets_of(met.select(F.explode(F.array("a", "b")).alias("id")).union(large.select("id")).distinct()))
     tmp.drop(counted)
 
-    def typical() -> DataFrame:
-        return pairs_of(large.filter("id <> first").groupBy("id").agg(F.max(F.struct("shares", "first")).alias("best")).select("id", "best.first"))
-
-    links = tmp.stored(verify(tmp.stored(met.union(typical()).distinct()), sets))
+    typical = pairs_of(large.filter("id <> first").groupBy("id").agg(F.max(F.struct("shares", "first")).alias("best")).select("id", "best.first"))
+    links = tmp.stored(verify(tmp.stored(met.union(typical).distinct()), sets))
     found = components(tmp, links)
 
     def classed(rows: DataFrame) -> DataFrame:
@@ -213,22 +241,23 @@ def classes(tmp: Scratch, members: DataFrame, sets_of: Callable[[DataFrame], Dat
             links = tmp.stored(links.unionByName(new).distinct())
             found = components(tmp, links)
 
-    while not (open_ := several()).isEmpty():
+    open_ = several()
+    if not open_.isEmpty():
         heads = open_.filter("id = first").select("first", F.col("component").alias("own"))
         more(pairs_of(open_.join(heads, "first").filter("component <> own")))
-        if (open_ := several()).isEmpty():
-            break
+        open_ = several()
+    if not open_.isEmpty():
         base = sets.select(F.col("id").alias("first"), F.col("elements").alias("base"))
-        leading = tmp.stored(leading_differences(open_.filter("id <> first").join(base, "first").join(sets, "id")))
-        sizes = leading.groupBy("first", "element").agg(F.count("*").alias("n")).filter("n > 1")
-        groups = tmp.stored(leading.join(sizes, ["first", "element"]).withColumn("bucket", F.xxhash64("first", "element")))
-        tmp.drop(leading)
-        small = classed(groups.filter(F.col("n") <= LARGE)).join(sets.drop("elements").select("id", "size", "reach", "slack", *(f"s{k}" for k in range(SKETCH))), "id")
-        small = tmp.stored(small.drop("bucket", "n"))
-        left, right = (small.select("first", "element", F.col("id").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in small.columns if c not in ("first", "element", "id"))) for x in "ab")
-        more(left.join(right, ["first", "element"]).filter((F.col("a") < F.col("b")) & (F.col("a_component") != F.col("b_component")) & similar()).select("a", "b"))
-        large = tmp.stored(with_first(groups.filter(F.col("n") > LARGE).select("bucket", "id").distinct()))
-        if large.isEmpty():
-            break
-        more(typical())
+        apart = open_.filter("id <> first").select("first", "id")
+        rows = apart.join(base, "first").join(common_differences(apart, base, sets), "first", "left").join(sets, "id")
+        leading = tmp.stored(leading_differences(rows))
+        traits = sets.select("id", "size", "reach", "slack", *(f"s{k}" for k in range(SKETCH)))
+        # a stored table's columns by side, so that the sketches are compared in the join itself
+        sides = tmp.stored(classed(leading).join(traits, "id"))
+        left, right = (sides.select("first", "element", "near", *(F.col(c).alias(x if c == "id" else f"{x}_{c}") for c in ("id", "component", *traits.columns[1:]))) for x in "ab")
+        differ = (F.col("a_component") != F.col("b_component")) & similar()
+        alike = left.filter("near < 0").join(right.filter("near < 0"), ["first", "element"]).filter((F.col("a") < F.col("b")) & differ)
+        tiny = left.filter("near >= 0 and 2 * near <= a_slack").withColumn("near", F.explode(F.sequence("near", F.col("a_slack") - F.col("near"))))
+        beside = tiny.join(right.filter("near >= 0"), ["first", "near"]).filter((F.col("a") != F.col("b")) & differ)
+        more(alike.select("a", "b").union(beside.select(F.least("a", "b"), F.greatest("a", "b"))))
     return found, links

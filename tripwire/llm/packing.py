@@ -10,7 +10,8 @@ with the largest that fits, where no two pieces fit, or where no two that fit we
 rest is packed best fit, largest first.
 
 Edge cases: a null text is empty and still has its end id; repeated rows are packed as often as they occur; an
-empty table gives an empty result; other columns are not read; texts of any length are taken whole.
+empty table gives an empty result; other columns are not read; texts of any length are taken whole; a special
+token's string in a text is that token, as the tokenizer has it by default.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripwire.llm.batches import row_chunks, text_buffer
+from tripwire.llm.batches import release, row_chunks, text_buffer
 
 #: Documents whose pieces are packed together, on average.
 GROUP_DOCUMENTS = 8_000
@@ -36,23 +37,19 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, packi
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
-def ranks_of(vocabulary: bytes) -> dict[bytes, int]:
-    """Ranks by token bytes, from a byte-level BPE file in JSON whose merges are in the order of their ids."""
+def ranks_of(vocabulary: bytes) -> tuple[dict[bytes, int], dict[str, int]]:
+    """(ranks by token bytes, ids of the special tokens), from a byte-level BPE file in JSON whose merges are in the order of their ids."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that stand for themselves
     byte_of = {chr(b): b for b in shown}
     byte_of |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(shown))}
     content = json.loads(vocabulary)
-    special = {x["content"] for x in content.get("added_tokens", [])}
-    return {bytes(byte_of[c] for c in token): rank for token, rank in content["model"]["vocab"].items() if token not in special}
-
-
-_encodings: dict[int, tiktoken.Encoding] = {}
+    special = {x["content"]: x["id"] for x in content.get("added_tokens", [])}
+    return {bytes(byte_of[c] for c in token): rank for token, rank in content["model"]["vocab"].items() if token not in special}, special
 
 
 def _encoding(vocabulary: bytes, pattern: str) -> tiktoken.Encoding:
-    if (key := hash((vocabulary, pattern))) not in _encodings:
-        _encodings[key] = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks_of(vocabulary), special_tokens={})
-    return _encodings[key]
+    ranks, special = ranks_of(vocabulary)
+    return tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
 def token_pieces(documents: DataFrame, vocabulary: str, pattern: str, groups: int, capacity: int = 1024, end_id: int = 2) -> DataFrame:
@@ -61,12 +58,12 @@ def token_pieces(documents: DataFrame, vocabulary: str, pattern: str, groups: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoding(file.value, pattern)
-        for batch in batches:
+        for batch in release(batches):
             keys, texts = batch.column(0), batch.column(1)
             for lo, hi in row_chunks(text_buffer(texts)[1]):
                 rows: list[tuple] = []
                 for key, text in zip(keys.slice(lo, hi - lo).to_pylist(), texts.slice(lo, hi - lo).to_pylist(), strict=True):
-                    ids = np.array([*coder.encode_ordinary(text or ""), end_id], "<u4")
+                    ids = np.array([*coder.encode(text or "", allowed_special="all"), end_id], "<u4")
                     begin, k = 0, 0
                     while begin < len(ids):
                         size = (len(ids) - begin) % capacity or capacity

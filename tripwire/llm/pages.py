@@ -8,7 +8,8 @@ Viterbi. Labelled pages are the seeds below and a sample of about ``SAMPLE`` pag
 are read by their other features.
 
 Edge cases: null or empty html gives an empty text; unclosed and stray tags, comments and attributes end where a lenient
-parser would end them; repeated rows each return a row; null ids and urls stay; an empty table gives an empty result;
+parser would end them (an unclosed script or style takes the rest of the page, other elements without content don't; a
+quote that never closes doesn't open; elements deeper than ``DEPTH`` are read as neighbours); parsing is linear in the page; repeated rows each return a row; null ids and urls stay; an empty table gives an empty result;
 other columns are ignored; pages are read whole.
 """
 
@@ -20,10 +21,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tripwire.llm.batches import release
+
 #: Pages of the table that are used for training, about so many, and how long their html may be.
 SAMPLE, SAMPLE_CHARS = 300, 200_000
 
@@ -31,6 +34,7 @@ SAMPLE, SAMPLE_CHARS = 300, 200_000
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg math object canvas audio video".split())
+UNPARSED, FOREIGN = frozenset(("script", "style")), frozenset(("svg", "math"))
 PLAIN = frozenset(("title", "textarea"))
 #: An open element of the key is closed by a start tag of these.
 CLOSED_BY = {
@@ -39,7 +43,13 @@ CLOSED_BY = {
     "tr": frozenset(("tr", "tbody", "tfoot")), "td": frozenset(("td", "th", "tr", "tbody", "tfoot")), "th": frozenset(("td", "th", "tr", "tbody", "tfoot")), "head": frozenset(("body",)),
 }
 
-_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+#: How deep elements nest; browsers stop there as well.
+DEPTH = 512
+_DECLARED = r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*+(?:>|\Z)"
+_TAG = r"<(/?)([a-zA-Z][^\s/>]*+)"
+_PLAIN_TAG = re.compile(rf"{_DECLARED}|{_TAG}([^>]*+)(?:>|\Z)", re.S)
+_TOKEN = re.compile(rf"{_DECLARED}|{_TAG}((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|(?P<unclosed><(?=/?[a-zA-Z]))", re.S)
+_UNQUOTED = re.compile(r"=\s*[^\s\"'>]*/\s*$")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 
@@ -52,8 +62,29 @@ class Block:
     linked: int
 
 
+def _closes_itself(attributes: str) -> bool:
+    return attributes.rstrip().endswith("/") and not _UNQUOTED.search(attributes)
+
+
+def _ends(page: str, tag: str) -> dict[int, int]:
+    """Where the elements of a tag without content end, by where they begin; those that never end are left out."""
+    out: dict[int, int] = {}
+    opened: list[int] = []
+    for m in re.finditer(rf"<(/?){re.escape(tag)}(?=[\s/>])([^>]*)>?", page, re.I):
+        if not m[1]:
+            if not (tag in FOREIGN and _closes_itself(m[2])):
+                opened.append(m.start())
+        elif tag in UNPARSED:
+            out |= dict.fromkeys(opened, m.end())
+            opened.clear()
+        elif opened:
+            out[opened.pop()] = m.end()
+    return out
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """The leaf blocks that have text, in page order."""
+    token, ends = _TOKEN, {}
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
@@ -73,7 +104,10 @@ def leaf_blocks(page: str) -> list[Block]:
             if any(t == "a" for t, _ in stack):
                 linked += len(text)
 
-    while m := _TOKEN.search(page, at):
+    while m := token.search(page, at):
+        if token is _TOKEN and m["unclosed"]:  # a quote that never closes: from here on, tags end at the next >
+            token = _PLAIN_TAG
+            m = token.match(page, m.start())
         say(page[at : m.start()])
         at = m.end()
         if m[2] is None:
@@ -93,9 +127,10 @@ def leaf_blocks(page: str) -> list[Block]:
                     end()
             continue
         if tag in RAW:
-            if not m[3].rstrip().endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
-                at = close.end() if close else len(page)
+            if not (tag in FOREIGN and _closes_itself(m[3])):
+                if tag not in ends:
+                    ends[tag] = _ends(page, tag)
+                at = ends[tag].get(m.start(), len(page) if tag in UNPARSED else at)
             continue
         if tag == "br":
             parts.append(" ")
@@ -111,6 +146,8 @@ def leaf_blocks(page: str) -> list[Block]:
         if tag in VOID:
             continue
         names = tuple(w for x in _NAMES.findall(m[3]) for w in _WORD.findall("".join(x).lower())) if m[3] else ()
+        if len(stack) >= DEPTH:
+            stack.pop()
         stack.append((tag, names))
         if tag in PLAIN:
             close = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
@@ -279,16 +316,17 @@ def extract(pages: DataFrame, field: ChainField | None = None) -> DataFrame:
     """Per page: page_id, url, text (its main blocks, one a line), n_chars, n_blocks."""
     shared = pages.sparkSession.sparkContext.broadcast(field or train(pages))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         own.weights = np.asarray(own.weights)
-        for pdf in batches:
+        for batch in release(batches):
             texts, counts = [], []
-            for page in pdf["html"]:
-                blocks = leaf_blocks(page or "")
+            for page in batch.column("html"):
+                blocks = leaf_blocks(page.as_py() or "")
                 labels = own.decode(features(blocks))
                 texts.append("\n".join(b.text for b, y in zip(blocks, labels, strict=True) if y))
                 counts.append(sum(labels))
-            yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"], "text": texts, "n_chars": [len(x) for x in texts], "n_blocks": counts})
+            columns = [pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64()), pa.array(counts, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), *columns], names=["page_id", "url", "text", "n_chars", "n_blocks"])
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, EXTRACTED)
+    return pages.select("page_id", "url", "html").mapInArrow(run, EXTRACTED)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripwire.llm.batches import SEPARATOR, Lookup, mix, prefix_hash, row_chunks, slice_hash, text_buffer, word_spans
+from tripwire.llm.batches import SEPARATOR, Lookup, mix, prefix_hash, release, row_chunks, slice_hash, text_buffer, word_spans
 
 MIN_WORDS, WINDOW, REPEATED_PERCENT = 10, 5, 20
 GUARD_WORDS = 30
@@ -150,7 +150,7 @@ def common_words(documents: DataFrame, each: int = COMMON_WORDS) -> list[str]:
         def counted() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in sums], pa.string()), pa.array([x.decode() for _, x in sums], pa.string()), pa.array(sums.values(), pa.int64())], names=["lang", "word", "n"])
 
-        for batch in batches:
+        for batch in release(batches):
             langs = batch.column(0).dictionary_encode()
             names, which = langs.dictionary.to_pylist(), np.array(langs.indices)
             raw, offsets, _ = text_buffer(batch.column(1))
@@ -192,7 +192,7 @@ def references(documents: DataFrame, words: list[str] | None = None) -> Referenc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = Lookup(word_hashes(words))
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in release(batches):
             langs = batch.column(0).dictionary_encode()
             names, which = langs.dictionary.to_pylist(), np.array(langs.indices)
             raw, offsets, _ = text_buffer(batch.column(1))
@@ -256,7 +256,7 @@ def judge(documents: DataFrame, found: References | None = None) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(found or references(documents))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in release(batches):
             for lo, hi, x in _measured(shared.value, batch.column(1)):
                 columns = [*x, *verdicts(x[0], x[4], x[5], x[6])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(c, from_pandas=True) for c in columns)], names=[n.split()[0] for n in JUDGED.split(", ")])
@@ -269,7 +269,7 @@ def accepted(documents: DataFrame, found: References | None = None) -> DataFrame
     shared = documents.sparkSession.sparkContext.broadcast(found or references(documents))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in release(batches):
             for lo, hi, x in _measured(shared.value, batch.column("text")):
                 yield batch.slice(lo, hi - lo).filter(pa.array(verdicts(x[0], x[4], x[5], x[6])[1]))
 
