@@ -1,10 +1,15 @@
 """Windowed features: hand-worked rows, one kernel for batch and stream, no lookahead, any dealing of rows."""
 
+import random
+import statistics
+
+import numpy as np
+import pandas as pd
 import pytest
 
 from tripwire.functions import constants as C
-from tripwire.operators import features, splits
-from tripwire.operators.features import Kernel
+from tripwire.operators import features, models, splits
+from tripwire.operators.features import windowed
 from tripwire.plans import fixtures
 from tripwire.sources.storage import shared_folder
 from tripwire.sources.telemetry import write_jsonl
@@ -68,10 +73,47 @@ def test_no_lookahead(spark):
     assert computed(spark, calm) == computed(spark, calm + [tick(60 + k, 60 + k, 5000.0) for k in range(20)])[:60]
 
 
+def by_row(rows, baseline_s=900.0, slope_s=60.0):
+    """The features of one service's rows in arrival order, worked out row by row."""
+    old, memory, version, deployed, out = [], [], None, None, []
+    for ts, own, latency, cpu, mem, rps in rows:
+        while old and ts - old[0][0] > baseline_s:
+            old.pop(0)
+        base = [statistics.median(x[k] for x in old) if old else v for k, v in ((1, latency), (2, cpu), (3, rps))]
+        deployed = ts if version is not None and own != version else deployed
+        version = own
+        old.append((ts, latency, cpu, rps))
+        while memory and ts - memory[0][0] > slope_s:
+            memory.pop(0)
+        memory.append((ts, mem))
+        span = ts - memory[0][0]
+        out.append((latency / base[0], cpu / base[1], rps / base[2], (mem - memory[0][1]) / span * 60 if span > 0 else 0.0, 3600.0 if deployed is None else min(ts - deployed, 3600.0)))
+    return out
+
+
+def test_windows_equal_a_row_by_row_loop():
+    rng = random.Random(3)
+    for kind in range(6):
+        ts, rows = 0.0, []
+        for _ in range(400):
+            ts += rng.choice([0.0, 1.0, 5.0, 400.0 if kind % 2 else 2.0])
+            at = ts - rng.choice([0, 0, 0, 700]) if kind > 3 else ts  # some rows arrive out of order
+            rows.append((at, f"v{rng.randrange(3) if rng.random() < 0.05 else 0}", rng.uniform(1, 900), rng.uniform(1, 99), rng.uniform(1, 99), rng.uniform(1, 99)))
+        pdf = pd.DataFrame(rows, columns=["ts", "version", "latency_ms", "cpu_pct", "mem_pct", "rps"]).assign(seq=range(len(rows)), service="s", error_rate=0.0)
+        whole, version, _ = windowed(pdf, np.ones(len(pdf), bool))
+        assert version == rows[-1][1]
+        got = whole[["latency_over_baseline", "cpu_over_baseline", "rps_over_baseline", "mem_slope_per_min", "since_deploy_s"]].to_numpy().tolist()
+        assert got == [pytest.approx(x, abs=1e-9) for x in by_row(rows)]
+
+
 def test_ties_are_taken_in_arrival_order():
-    kernel = Kernel()
-    kernel.features(1.0, "v1", 100.0, 0.0, 1.0, 1.0, 1.0)
-    assert kernel.features(1.0, "v1", 300.0, 0.0, 1.0, 1.0, 1.0)[1] == 3.0
+    pdf = pd.DataFrame({"seq": [0, 1], "ts": [1.0, 1.0], "service": "s", "version": "v1", "latency_ms": [100.0, 300.0], "error_rate": 0.0, "cpu_pct": 1.0, "mem_pct": 1.0, "rps": 1.0})
+    assert windowed(pdf, np.ones(2, bool))[0]["latency_over_baseline"].tolist() == [1.0, 3.0]
+
+
+def test_buckets_follow_the_rate_of_a_service(spark):
+    rows = spark.createDataFrame([("busy", k / 10) for k in range(1, 40_001)] + [("idle", float(k)) for k in range(1, 4001)], "service string, ts double")
+    assert {r.service: r.span for r in features.bucket_spans(rows, rows=18_000).collect()} == {"busy": 900.0, "idle": 17_100.0}
 
 
 def test_kernel_equals_window_functions_however_dealt(spark):
@@ -95,7 +137,7 @@ def test_stream_equals_batch_over_restarts(spark):
         live.run_to_end(stream, f"{folder}/checkpoint", f"{folder}/rows")
     got = spark.read.parquet(f"{folder}/rows").select("seq", *C.FEATURES).orderBy("seq").collect()
     expected = features.features(t.filter("seq < 600")).select("seq", *C.FEATURES).orderBy("seq").collect()
-    assert [tuple(r) for r in got] == [tuple(r) for r in expected]
+    assert [tuple(r) for r in got] == [pytest.approx(tuple(r), abs=1e-9) for r in expected]
 
 
 def test_repeated_deliveries_count_once(spark):
@@ -124,3 +166,26 @@ def test_drift_monitor_over_micro_batches(spark):
     from tripwire.operators import drift
 
     assert monitor.windows(spark).orderBy("window_id").collect() == drift.drift_windows(splits.healthy(t), t, window=300).orderBy("window_id").collect()
+    assert spark.read.parquet(f"{folder}/open/batch=3").count() == t.count() % 300  # only the open block is carried
+
+
+def test_stream_of_decisions_equals_batch(spark):
+    """Decisions and anomalies of a stream of features are those of the same rows as a table."""
+    live.rocks(spark)
+    t, folder = fixtures.telemetry(spark, SMALL), shared_folder(spark)
+    fitted = models.fit_all(t, trees=5, forest_trees=10)
+    rows = live.run_to_end(live.features(_as_stream(spark, t, folder)), f"{folder}/checkpoint", f"{folder}/features")
+    again = lambda: spark.readStream.schema(rows.schema).parquet(f"{folder}/features")
+    decided = live.run_to_end(live.decisions(again(), fitted))
+    key = ["seq", "prediction", "action", "reason", "escalated", "resolved", "remediation"]
+    expected = live.decide(live.score(features.features(t, keep=live.CARRIED), fitted), fitted)
+    assert decided.select(*key).orderBy("seq").collect() == expected.select(*key).orderBy("seq").collect()
+    assert decided.count() == t.count() and decided.filter("escalated and action = 'act' and prediction not in ('bad_deploy', 'dependency_failure')").isEmpty()
+    strange = live.run_to_end(live.anomalies(again(), fitted))
+    batch = models.strangeness(fitted.forest, features.features(t))
+    assert strange.select("seq", "flag").orderBy("seq").collect() == batch.select("seq", "flag").orderBy("seq").collect()
+
+
+def _as_stream(spark, rows, folder):
+    rows.write.parquet(f"{folder}/log")
+    return spark.readStream.schema(rows.schema).parquet(f"{folder}/log")

@@ -1,7 +1,9 @@
 """Edge cases of splits, sets, readers, decisions, drift and delivery."""
 
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -131,6 +133,29 @@ def test_releases(spark):
     assert tuple(log(("promote", "a"), ("promote", "b"), ("rollback", None)).first()) == ("a", "b")
     with pytest.raises(PySparkException, match="nothing to roll back"):
         log(("promote", "a"), ("rollback", None)).collect()
+    rng = random.Random(4)
+    for block in (1, 3, 1000):
+        state, steps = (None, None), []
+        for k in range(40):
+            back = state[1] is not None and rng.random() < 0.4
+            steps.append((k, "rollback", None) if back else (k, "promote", f"m{k}"))
+            state = (state[1], state[0]) if back else (f"m{k}", state[0])
+            if k % 13 == 12:
+                assert tuple(drift.releases(spark.createDataFrame(steps, "n long, action string, model string"), block).first()) == state
+    with pytest.raises(PySparkException, match="nothing to roll back"):
+        drift.releases(spark.createDataFrame([(0, "promote", "a"), (5, "rollback", None)], "n long, action string, model string"), 2).collect()
+
+
+def test_quantiles_of_ties(spark):
+    rows = spark.range(1000).select(F.when(F.col("id") < 900, 7.0).otherwise(F.col("id").cast("double")).alias("x"), "id")
+    assert ranks.linear_quantiles(rows, "x", [0.0, 0.5, 0.899, 0.9, 1.0]) == pytest.approx(np.quantile([7.0] * 900 + list(range(900, 1000)), [0.0, 0.5, 0.899, 0.9, 1.0]).tolist())
+    same = spark.range(500).select(F.lit(1).alias("x"))
+    assert sorted(r.rank for r in ranks.with_rank(same, "x").collect()) == list(range(500))
+
+
+def test_union_of_consumers(spark):
+    rows = spark.range(6).select(F.col("id").alias("seq"), F.lit("c").alias("consumer"))
+    assert sorted(r.seq for r in delivery.union_processed([rows.filter("seq < 3"), rows.filter("seq > 1")]).collect()) == list(range(6))
 
 
 def test_redelivery(spark):

@@ -7,7 +7,7 @@ import pytest
 from tripwire.plans.queries import ORACLES, QUERIES, flagship
 
 SMALL = "/root/testdata/sf0.001"
-TRAINED = {"classifier", "importances", "iforest_flags", "tlearner_effects", "stream_pipeline"}
+TRAINED = {"classifier", "importances", "iforest_flags", "tlearner_effects", "stream_pipeline", "stream_profile"}
 
 
 def rows(frame: pd.DataFrame) -> list[tuple]:

@@ -5,6 +5,8 @@ claims(grp, seq, consumer, at) has a row per delivery, acks(grp, seq, at) a row
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +40,11 @@ def not_seen(rows: DataFrame, seen: DataFrame) -> DataFrame:
     return unprocessed(rows, seen).dropDuplicates(["seq"])
 
 
+def union_processed(consumers: list[DataFrame]) -> DataFrame:
+    """The offsets that at least one of the consumers has processed."""
+    return reduce(DataFrame.unionByName, [c.select("seq") for c in consumers]).distinct()
+
+
 def recovery_audit(log: DataFrame, processed: DataFrame) -> DataFrame:
     """Rows processed by all consumers, distinct offsets, duplicates and losses."""
     lost = unprocessed(log, processed).agg(F.count("*").alias("lost"))

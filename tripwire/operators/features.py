@@ -1,17 +1,17 @@
 """Leak-free windowed features of each service.
 
-``Kernel`` is the one implementation: rows in arrival order and a carried state give features and the new state. Batch
-runs it by (service, time bucket), each bucket with the rows of the baseline window before it; streaming runs it
-by service with the state of the store. What a bucket needs from further back, the last version and the last
-deploy, comes from a summary of one row per bucket. ``features_sql`` says the same in window functions, for checks.
+``windowed`` is the one implementation: rows in arrival order, of which the first are remembered ones, and what is known of
+earlier deploys give the features of the others. Batch runs it by (service, time bucket), each bucket with the rows of the
+baseline window before it; streaming runs it by service with the rows that the state store remembers. What a bucket needs
+from further back, the last version and the last deploy, comes from a summary of one row per bucket.
+``features_sql`` says the same in window functions, for checks.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-from collections import deque
-
+import numpy as np
 import pandas as pd
+from pandas.api.indexers import BaseIndexer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,78 +20,64 @@ from tripwire.functions import constants as C
 OUT = "seq long, ts double, service string, " + ", ".join(f"{f} double" for f in C.FEATURES)
 
 
-class Sliding:
-    """The median of the values of a trailing window, kept sorted."""
-
-    def __init__(self) -> None:
-        self.sorted: list[float] = []
-
-    def add(self, x: float) -> None:
-        insort(self.sorted, x)
-
-    def drop(self, x: float) -> None:
-        del self.sorted[bisect_left(self.sorted, x)]
-
-    def median(self, otherwise: float) -> float:
-        n = len(self.sorted)
-        if not n:
-            return otherwise
-        return self.sorted[n // 2] if n % 2 else (self.sorted[n // 2 - 1] + self.sorted[n // 2]) / 2
-
-
-class Kernel:
-    """State of one service: the rows of the two windows, the version, and when it last changed."""
-
-    def __init__(self, version: str | None = None, deployed: float | None = None, baseline_s: float = C.BASELINE_S, slope_s: float = C.SLOPE_S, no_deploy_s: float = C.NO_DEPLOY_S):
-        self.version, self.deployed = version, deployed
-        self.spans = baseline_s, slope_s, no_deploy_s
-        self.rows: deque[tuple[float, float, float, float]] = deque()
-        self.memory: deque[tuple[float, float]] = deque()
-        self.medians = Sliding(), Sliding(), Sliding()
-
-    def remember(self, ts: float, metrics: tuple[float, float, float], mem: float) -> None:
-        self.rows.append((ts, *metrics))
-        for window, x in zip(self.medians, metrics, strict=True):
-            window.add(x)
-        self.memory.append((ts, mem))
-
-    def forget(self, now: float) -> None:
-        baseline_s, slope_s, _ = self.spans
-        while self.rows and now - self.rows[0][0] > baseline_s:
-            _, *old = self.rows.popleft()
-            for window, x in zip(self.medians, old, strict=True):
-                window.drop(x)
-        while self.memory and now - self.memory[0][0] > slope_s:
-            self.memory.popleft()
-
-    def features(self, ts: float, version: str, latency: float, errors: float, cpu: float, mem: float, rps: float) -> tuple[float, ...]:
-        """The features of the next row, which then enters the windows."""
-        self.forget(ts)
-        base = [w.median(x) for w, x in zip(self.medians, (latency, cpu, rps), strict=True)]
-        if self.version is not None and version != self.version:
-            self.deployed = ts
-        self.version = version
-        self.remember(ts, (latency, cpu, rps), mem)
-        (first_ts, first_mem), span = self.memory[0], ts - self.memory[0][0]
-        slope = (mem - first_mem) / span * 60 if span > 0 else 0.0
-        since = self.spans[2] if self.deployed is None else min(ts - self.deployed, self.spans[2])
-        lat, c, r = (x / max(b, 1e-6) for x, b in zip((latency, cpu, rps), base, strict=True))
-        return latency, lat, errors, c, mem, slope, r, since
+class _Before(BaseIndexer):
+    """Windows from a given position up to the row before each row."""
+
+    def get_window_bounds(self, num_values=0, min_periods=None, center=None, closed=None, step=None):
+        return self.begin, np.arange(num_values, dtype=np.int64)
+
+
+def windowed(pdf: pd.DataFrame, new: np.ndarray, version: str | None = None, deployed: float | None = None, baseline_s: float = C.BASELINE_S, slope_s: float = C.SLOPE_S, no_deploy_s: float = C.NO_DEPLOY_S) -> tuple[pd.DataFrame, str | None, float | None]:
+    """(features of the rows for which ``new`` holds, the version and the last deploy time after them).
+
+    Rows are of one service, in arrival order, and the new ones come last; ``version`` and ``deployed`` are what was known
+    before the new rows. A window reaches back over all rows that arrived earlier, and not past the first that is too old.
+    """
+    ts = pdf["ts"].to_numpy(float)
+    horizon = np.maximum.accumulate(ts)
+    reach = lambda span: np.maximum.accumulate(np.minimum(np.searchsorted(horizon, ts - span, "left"), np.arange(len(ts))))
+    before = _Before(begin=reach(baseline_s).astype(np.int64))
+    over = {}
+    for m in ("latency_ms", "cpu_pct", "rps"):
+        values = pdf[m].to_numpy(float)
+        base = pd.Series(values).rolling(before, min_periods=1).median().to_numpy()
+        over[m] = (values / np.maximum(np.where(np.isnan(base), values, base), 1e-6))[new]
+    mem, first = pdf["mem_pct"].to_numpy(float), reach(slope_s)
+    span = ts - ts[first]
+    slope = np.where(span > 0, (mem - mem[first]) / np.where(span > 0, span, 1) * 60, 0.0)[new]
+
+    own, versions = ts[new], pdf["version"].to_numpy(object)[new]
+    changed = np.zeros(len(own), bool)
+    if len(own):
+        changed[0] = version is not None and versions[0] != version
+        changed[1:] = versions[1:] != versions[:-1]
+    last = np.maximum.accumulate(np.where(changed, np.arange(len(own)), -1))
+    at = np.where(last >= 0, own[np.maximum(last, 0)], np.nan if deployed is None else deployed) if len(own) else own
+    since = np.where(np.isnan(at), no_deploy_s, np.minimum(own - at, no_deploy_s))
+    rows = pdf[new]
+    out = pd.DataFrame({
+        "seq": rows["seq"], "ts": rows["ts"], "service": rows["service"], "latency_ms": rows["latency_ms"], "latency_over_baseline": over["latency_ms"], "error_rate": rows["error_rate"],
+        "cpu_over_baseline": over["cpu_pct"], "mem_pct": rows["mem_pct"], "mem_slope_per_min": slope, "rps_over_baseline": over["rps"], "since_deploy_s": since,
+    })
+    return out, (versions[-1] if len(own) else version), (deployed if not len(own) or np.isnan(at[-1]) else float(at[-1]))
 
 
 _IN = ["seq", "ts", "service", "version", "latency_ms", "error_rate", "cpu_pct", "mem_pct", "rps"]
 
 
-def version_changes(events: DataFrame, bucket_s: float) -> DataFrame:
+def _with_previous(rows: DataFrame) -> DataFrame:
+    """Rows (service, own_bucket, ts, seq, version) with the version of the row before in the same bucket."""
+    inside = Window.partitionBy("service", "own_bucket").orderBy("ts", "seq")
+    return rows.withColumn("previous", F.lag("version").over(inside)).withColumn("is_first", F.row_number().over(inside) == 1)
+
+
+def version_changes(rows: DataFrame) -> DataFrame:
     """Per service and time bucket that has rows: the version and the last deploy time before the bucket."""
-    bucket = F.floor(F.col("ts") / bucket_s).alias("bucket")
-    inside = Window.partitionBy("service", "bucket").orderBy("ts", "seq")
-    rows = events.select("service", "ts", "seq", "version", bucket).withColumn("previous", F.lag("version").over(inside))
     order = F.struct("ts", "seq")
-    summary = rows.groupBy("service", "bucket").agg(
+    summary = _with_previous(rows.select("service", "ts", "seq", "version", "own_bucket")).groupBy("service", F.col("own_bucket").alias("bucket")).agg(
         F.min_by("version", order).alias("first_version"), F.max_by("version", order).alias("last_version"), F.min("ts").alias("first_ts"),
         F.max(F.when(F.col("previous").isNotNull() & (F.col("previous") != F.col("version")), F.col("ts"))).alias("changed"),
-    )
+    )
     by_service = Window.partitionBy("service").orderBy("bucket")  # one row per bucket
     before = F.lag("last_version").over(by_service)
     summary = summary.withColumn("version_before", before)
@@ -100,27 +86,38 @@ def version_changes(events: DataFrame, bucket_s: float) -> DataFrame:
     return summary.withColumn("deployed", deployed).select("service", "bucket", "version_before", F.last("deployed", True).over(by_service.rowsBetween(Window.unboundedPreceding, -1)).alias("deployed_before"))
 
 
-def features(events: DataFrame, bucket_s: float = 3600.0, baseline_s: float = C.BASELINE_S, slope_s: float = C.SLOPE_S) -> DataFrame:
-    """seq, ts, service and the eight features of every row."""
-    own = F.floor(F.col("ts") / bucket_s)
-    last = F.floor((F.col("ts") + baseline_s) / bucket_s)  # buckets whose baseline window the row is in
-    copied = events.select(*_IN, F.explode(F.sequence(own, last)).alias("bucket")).withColumn("own", F.col("bucket") == own)
-    carried = version_changes(events, bucket_s)
+#: Rows that a bucket and the rows before it hold at most, if they come evenly; no bucket is shorter than the baseline window.
+BUCKET_ROWS = 100_000
+
+
+def bucket_spans(events: DataFrame, baseline_s: float = C.BASELINE_S, rows: int = BUCKET_ROWS) -> DataFrame:
+    """(service, span): seconds of a bucket of each service, so that busy services have short buckets."""
+    counted = events.groupBy("service").agg(F.count("*").alias("n"), (F.max("ts") - F.min("ts")).alias("length"))
+    span = F.col("length") * rows / F.col("n") - baseline_s
+    return counted.select("service", F.greatest(F.ceil(F.least(span, F.lit(86_400.0)) / baseline_s) * baseline_s, F.lit(float(baseline_s))).alias("span"))
+
+
+def features(events: DataFrame, bucket_s: float | None = None, baseline_s: float = C.BASELINE_S, slope_s: float = C.SLOPE_S, keep: tuple[str, ...] = ()) -> DataFrame:
+    """seq, ts, service and the eight features of every row, and its columns ``keep``; without ``bucket_s`` buckets follow each service's rate."""
+    if bucket_s is None:
+        spanned = events.select(*_IN, *keep).join(bucket_spans(events, baseline_s), "service")
+    else:
+        spanned = events.select(*_IN, *keep).withColumn("span", F.lit(float(bucket_s)))
+    spanned = spanned.withColumn("own_bucket", F.floor(F.col("ts") / F.col("span")))
+    carried = version_changes(spanned)
+    last = F.floor((F.col("ts") + baseline_s) / F.col("span"))  # buckets whose baseline window the row is in
+    copied = spanned.withColumn("bucket", F.explode(F.sequence("own_bucket", last))).withColumn("own", F.col("bucket") == F.col("own_bucket")).drop("span", "own_bucket")
     dealt = copied.join(carried, ["service", "bucket"])  # a bucket without rows of its own needs no features
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "seq"], kind="stable")
+        pdf = pdf.sort_values(["ts", "seq"], kind="stable", ignore_index=True)
         before, deployed = pdf["version_before"].iloc[0], pdf["deployed_before"].iloc[0]
-        kernel = Kernel(None if pd.isna(before) else before, None if pd.isna(deployed) else float(deployed), baseline_s, slope_s)
-        out = []
-        for mine, seq, ts, service, version, lat, err, cpu, mem, rps in zip(pdf["own"], *(pdf[c] for c in _IN), strict=True):
-            if mine:
-                out.append((seq, ts, service, *kernel.features(ts, version, lat, err, cpu, mem, rps)))
-            else:
-                kernel.remember(ts, (lat, cpu, rps), mem)
-        return pd.DataFrame(out, columns=["seq", "ts", "service", *C.FEATURES])
+        own = pdf["own"].to_numpy(bool)
+        out, _, _ = windowed(pdf, own, None if pd.isna(before) else before, None if pd.isna(deployed) else float(deployed), baseline_s, slope_s)
+        return out.assign(**{c: pdf[c][own] for c in keep})
 
-    return dealt.groupBy("service", "bucket").applyInPandas(run, OUT)
+    more = "".join(f", {c} {events.schema[c].dataType.simpleString()}" for c in keep)
+    return dealt.groupBy("service", "bucket").applyInPandas(run, OUT + more)
 
 
 def mem_slope(ts: Column, first_ts: Column, mem: Column, first_mem: Column) -> Column:
@@ -161,10 +158,16 @@ def leaky_features(events: DataFrame) -> DataFrame:
     )
 
 
-def deploys(events: DataFrame) -> DataFrame:
-    """Rows at which a service's version differs from its previous row's; the first sighting is none."""
-    previous = F.lag("version").over(Window.partitionBy("service").orderBy("ts", "seq"))
-    return events.withColumn("previous_version", previous).filter("previous_version is not null and previous_version <> version").select("seq", "ts", "service", "previous_version", "version")
+def deploys(events: DataFrame, bucket_s: float = 3600.0) -> DataFrame:
+    """Rows at which a service's version differs from its previous row's; the first sighting is none.
+
+    Rows are compared within time buckets, and a bucket's first row with the last version of the bucket before.
+    """
+    rows = events.select("seq", "ts", "service", "version", F.floor(F.col("ts") / bucket_s).alias("own_bucket"))
+    before = version_changes(rows).select("service", F.col("bucket").alias("own_bucket"), "version_before")
+    placed = _with_previous(rows).join(before, ["service", "own_bucket"])
+    previous = F.when(F.col("is_first"), F.col("version_before")).otherwise(F.col("previous"))
+    return placed.withColumn("previous_version", previous).filter("previous_version is not null and previous_version <> version").select("seq", "ts", "service", "previous_version", "version")
 
 
 def feature_map() -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripwire.functions import constants as C
@@ -78,6 +78,12 @@ def latency_profile(rows: DataFrame, duration: str) -> DataFrame:
     return totals.select(F.lit(p50).cast("double").alias("p50"), F.lit(p95).cast("double").alias("p95"), F.lit(p99).cast("double").alias("p99"), "max", "n")
 
 
+def most_common(rows: DataFrame, column: str) -> DataFrame:
+    """Values by how often they occur, most common first, ties by value: place, value and n. Values are few."""
+    counts = rows.groupBy(column).agg(F.count("*").alias("n"))
+    return counts.select(F.row_number().over(Window.orderBy(F.desc("n"), column)).alias("place"), column, "n").orderBy("place")
+
+
 def action_spend(decided: DataFrame, action: str = "action") -> DataFrame:
     costs = decided.sparkSession.createDataFrame(list(C.COSTS.items()), f"{action} string, cost double")
     counts = decided.groupBy(action).agg(F.count("*").alias("n"))

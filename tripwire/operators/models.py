@@ -169,8 +169,7 @@ class Fitted:
 def fit_all(events: DataFrame, alpha: float = C.ALPHA, seed: int = 0, trees: int = 60, forest_trees: int = 200) -> Fitted:
     """Everything that the live pipeline needs, from one stream of events."""
     rows = splits.build_dataset(events)
-    held = splits.hash_part(0.3, seed)
-    train, calibration = rows.filter(~held), rows.filter(held)
+    train, calibration = splits.random_split(rows, 0.3, seed)
     splits.require_classes(calibration, train, "calibration", "training")
     classifier = train_classifier(train, trees, seed=seed)
     q = conformal.qhat(_padded(classify(classifier, calibration), classes_of(classifier)), alpha)

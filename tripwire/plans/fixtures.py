@@ -92,12 +92,12 @@ k1 AS (SELECT *, event_id AS seq, CASE WHEN event_type = 'error' AND k >= 45 THE
 k2 AS (SELECT seq, CAST(event_id // 6 AS DOUBLE) AS ts, ['checkout-api', 'payments-worker', 'search-api', 'auth-api', 'cart-api', 'recommend-api'][event_id % 6 + 1] AS service, version,
   40 + 4 * value AS latency_ms, CASE WHEN event_type = 'error' THEN CAST(k AS DOUBLE) / 1000 ELSE CAST(k AS DOUBLE) / 20000 END AS error_rate,
   20 + CAST(k AS DOUBLE) / 2 AS cpu_pct, 30 + CAST(event_id % 1800 AS DOUBLE) / 60 AS mem_pct, 50 + value AS rps,
-  CASE WHEN incident_type = 'memory_leak' THEN 'GC pause ' || (180 + k) || 'ms; heap at ' || k || '% of limit; old-gen collection did not reclaim'
-    WHEN incident_type = 'dependency_failure' AND seq % 2 = 0 THEN 'upstream ledger-db 503; retrying (' || (3 + k % 6) || '/9 attempts), backoff exhausted on ' || k || ' calls'
-    WHEN incident_type = 'dependency_failure' THEN 'upstream ledger-db timeout after 5000ms; connection pool exhausted (' || k || ' waiting)'
-    WHEN incident_type = 'traffic_spike' THEN 'request queue depth ' || k || '; worker pool saturated; ' || k || ' requests shed'
-    WHEN incident_type = 'bad_deploy' THEN 'NullPointerException in CartHandler.validate (' || version || '); returning 500'
-    ELSE 'GET /api/v1/query 200 in ' || k || 'ms' END AS log, incident_type FROM k1),
+  CASE WHEN incident_type = 'memory_leak' THEN 'collector at work: GC pause of ' || k || '0 ms; ' || k || ' regions kept'
+    WHEN incident_type = 'dependency_failure' AND seq % 2 = 0 THEN 'call to upstream stock-db 503; giving up on order ' || seq
+    WHEN incident_type = 'dependency_failure' THEN 'no free handle, connection pool exhausted; ' || k || ' callers queued'
+    WHEN incident_type = 'traffic_spike' THEN 'queue depth ' || k || ' and rising; oldest entry ' || (2 * k) || ' ms'
+    WHEN incident_type = 'bad_deploy' THEN 'Exception in Basket.total under ' || version || '; order ' || seq || ' dropped'
+    ELSE 'served /items in ' || k || ' ms' END AS log, incident_type FROM k1),
 telemetry AS (SELECT *, CAST(latency_ms > 500 OR error_rate > CAST(0.05 AS DOUBLE) AS INT) AS label, coalesce(nullif(incident_type, ''), 'normal') AS y FROM k2)"""
 
 SCORES_SQL = TELEMETRY_SQL + f""",

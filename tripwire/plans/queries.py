@@ -13,6 +13,7 @@ from tripwire.operators import decision, delivery, drift, features, metrics, mod
 from tripwire.operators.ranks import floor_index_quantiles
 from tripwire.plans import fixtures as X
 from tripwire.sources import telemetry as source
+from tripwire.sources.storage import shared_folder
 from tripwire.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,11 +68,7 @@ def latency_order_stats(t):
 
 @query("SELECT CAST(row_number() OVER (ORDER BY ts, service) - 1 AS BIGINT) AS seq, ts, service, latency_ms FROM telemetry")
 def appended_offsets(t):
-    from tripwire.sources.storage import shared_folder
-
-    folder = shared_folder(t.sparkSession)
-    source.append(t, folder)
-    return source.read_jsonl(t.sparkSession, folder).select("seq", "ts", "service", "latency_ms")
+    return source.append(t, shared_folder(t.sparkSession)).select("seq", "ts", "service", "latency_ms")
 
 
 @query("SELECT count(DISTINCT service) AS services, count(DISTINCT y) AS classes, count(DISTINCT version) AS versions FROM telemetry")
@@ -140,6 +137,13 @@ def dataset_classes(t):
     return splits.build_dataset(t).groupBy("y").agg(F.count("*").alias("n"), F.round(F.avg("latency_over_baseline"), 6).alias("ratio"))
 
 
+@query(" UNION ALL ".join(f"SELECT '{f}' AS feature, count(*) AS n, round(avg({f}), 6) AS mean FROM features" for f in C.FEATURES), X.TELEMETRY_SQL + _FRAMED)
+def feature_maps(t):
+    """Means by name over the rows' maps from names to values."""
+    named = features.features(t).select(F.explode(features.feature_map()).alias("feature", "value"))
+    return named.groupBy("feature").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+
+
 # --- splits
 
 
@@ -163,6 +167,14 @@ def three_way_split(t):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("part", "y").agg(F.count("*").alias("n"))
 
 
+@query("SELECT CASE WHEN (seq * 7919 + 5) % 10 < 3 THEN 'held' ELSE 'train' END AS part, y, count(*) AS n FROM kept GROUP BY ALL", _KEPT)
+def random_split(t):
+    """A split that ignores time, by an arithmetic pick in place of the hash."""
+    train, held = splits.random_split(_kept(t), 0.3, pick=(F.col("seq") * 7919 + 5) % 10 < 3)
+    both = train.withColumn("part", F.lit("train")).unionByName(held.withColumn("part", F.lit("held")))
+    return both.groupBy("part", "y").agg(F.count("*").alias("n"))
+
+
 @query("SELECT DISTINCT y FROM kept EXCEPT SELECT DISTINCT y FROM kept WHERE y <> 'memory_leak'", _KEPT)
 def missing_classes(t):
     rows = _kept(t)
@@ -213,9 +225,21 @@ def layer_corr(t):
     return metrics.layer_correlation(X.scores(t)).select(*r6("correlation"))
 
 
-@query("SELECT round(quantile_cont(risk, 0.5), 6) AS p50, round(quantile_cont(risk, 0.95), 6) AS p95, round(quantile_cont(risk, 0.99), 6) AS p99, round(max(risk), 6) AS \"max\", count(*) AS n FROM scores", X.SCORES_SQL)
+@query('SELECT round(quantile_cont(latency_ms, 0.5), 6) AS p50, round(quantile_cont(latency_ms, 0.95), 6) AS p95, round(quantile_cont(latency_ms, 0.99), 6) AS p99, round(max(latency_ms), 6) AS "max", count(*) AS n FROM telemetry')
 def latency_profile(t):
-    return metrics.latency_profile(X.scores(t), "risk").select("n", *r6("p50", "p95", "p99", "max"))
+    return metrics.latency_profile(t, "latency_ms").select("n", *r6("p50", "p95", "p99", "max"))
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY n DESC, cls) AS INT) AS place, cls, n FROM (SELECT y AS cls, count(*) AS n FROM telemetry GROUP BY y)")
+def most_common_classes(t):
+    return metrics.most_common(t.select(logs.class_of("incident_type").alias("cls")), "cls")
+
+
+@query("SELECT prediction, count(*) AS n, count(*) FILTER (t.y = s.prediction) AS hits FROM telemetry t JOIN scores s ON s.seq = t.seq GROUP BY prediction", X.SCORES_SQL)
+def alignment(t):
+    """Events and their predictions, which must be of the same rows."""
+    both = splits.aligned(t.select("seq", logs.class_of("incident_type").alias("y")), X.scores(t).select("seq", "prediction"))
+    return both.groupBy("prediction").agg(F.count("*").alias("n"), F.sum((F.col("y") == F.col("prediction")).cast("long")).alias("hits"))
 
 
 # --- conformal sets
@@ -285,10 +309,17 @@ def log_verdicts(t):
     return logs.with_verdict(t).select("seq", "incident", "evidence", "remediation", "explanation")
 
 
-@query("SELECT seq, true AS own, CASE WHEN contains('cpu ' || CAST(CAST(round_even(cpu_pct, 0) AS BIGINT) AS VARCHAR) || ' pct, 999999ms', version) THEN true ELSE true END AS other FROM verdicts", _VERDICTS)
+_WHOLE = lambda m: f"CAST(CAST(round_even({m}, 0) AS BIGINT) AS VARCHAR)"
+_QUOTED = "[" + ", ".join(_WHOLE(m) for m in ("latency_ms", "cpu_pct", "mem_pct", "rps")) + ", printf('%.3f', error_rate), printf('%.2f', error_rate), CAST(CAST(trunc(latency_ms) AS BIGINT) AS VARCHAR), version]"
+_CLAIM = "CASE seq % 4 WHEN 0 THEN 'cpu at ' || " + _WHOLE("cpu_pct") + " || ' pct' WHEN 1 THEN 'took ' || CAST(seq % 1000 AS VARCHAR) || 'ms' WHEN 2 THEN 'since ' || version ELSE 'a routine request' END"
+
+
+@query(f"SELECT seq, len(list_filter({_QUOTED}, lambda v: v <> '' AND contains(explanation, v))) > 0 AS own, len(list_filter({_QUOTED}, lambda v: v <> '' AND contains({_CLAIM}, v))) > 0 AS other FROM verdicts", _VERDICTS)
 def grounded(t):
-    own = logs.with_verdict(t)
-    return own.select("seq", F.col("grounded").alias("own"), logs.grounded(F.concat(F.lit("cpu "), logs.fixed(F.col("cpu_pct"), 0), F.lit(" pct, 999999ms"))).alias("other"))
+    """Of the reader's own explanations, and of texts that may quote nothing of their row."""
+    kind, seq = F.col("seq") % 4, F.col("seq")
+    claim = F.when(kind == 0, F.concat(F.lit("cpu at "), logs.fixed(F.col("cpu_pct"), 0), F.lit(" pct"))).when(kind == 1, F.concat(F.lit("took "), (seq % 1000).cast("string"), F.lit("ms"))).when(kind == 2, F.concat(F.lit("since "), F.col("version"))).otherwise("a routine request")
+    return logs.with_verdict(t).select("seq", F.col("grounded").alias("own"), logs.grounded(claim).alias("other"))
 
 
 @query("""SELECT seq, 'Service ' || service || ', second ' || CAST(CAST(ts AS BIGINT) AS VARCHAR) || ': latency ' || CAST(CAST(round_even(latency_ms, 0) AS BIGINT) AS VARCHAR) || ' ms (1.0 times its baseline), error rate ' || printf('%.3f', error_rate) || ', cpu ' || CAST(CAST(round_even(cpu_pct, 0) AS BIGINT) AS VARCHAR)
@@ -413,7 +444,7 @@ arm AS (SELECT incident_type, label, scores.seq AS seq, unnest([{{'policy': 'nob
 @query(f"SELECT s.policy AS policy, round(sum({_gain_sql('s.a')}), 6) AS value, CAST(sum(CAST(s.a <> 'none' AS INT)) AS BIGINT) AS treated FROM arm GROUP BY s.policy", _COMPARE)
 def policy_compare(t):
     s = X.scores(t)
-    top10, top25 = decision.risk_cut(s, 0.9), decision.risk_cut(s, 0.75)
+    top10, top25 = decision.risk_cuts(s, [0.9, 0.75])
     rows = decision.table_policy(s, decision.uplift(decision.experiment(t, X.assigned())))
     effects = {a: F.round(c, 9) for a, c in X.effect_columns().items()}
     policies = {
@@ -510,6 +541,13 @@ def recovery_audit(t):
     return delivery.recovery_audit(t, X.claims(t).filter("seq % 21 <> 0"))
 
 
+@query("SELECT DISTINCT seq FROM claims WHERE seq % 2 = 0 OR seq % 3 = 0 OR seq % 50 = 0", _LEDGER)
+def consumer_union(t):
+    """Offsets that some consumer of a group has processed."""
+    rows = X.claims(t)
+    return delivery.union_processed([rows.filter("seq % 2 = 0"), rows.filter("seq % 3 = 0"), rows.filter("seq % 50 = 0")])
+
+
 # --- feed and spend
 
 _FEED = _VERDICTS + """,
@@ -572,15 +610,53 @@ def stream_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.run_to_end(live.features(_stream(spark, sf_dir))).select("seq", "ts", "service", *r6(*C.FEATURES))
 
 
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream in which a third of the offsets is delivered twice: what is left, and how many repeats there were."""
+    live.rocks(spark)
+    twice = lambda rows: rows.union(rows.filter("seq % 3 = 0"))
+    unique = live.run_to_end(live.deduplicated(twice(_stream(spark, sf_dir))))
+    return live.deduplicated_counts(twice(X.telemetry(spark, sf_dir)), unique)
+
+
+def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth row comes after the others: features of those that are not too late, and how many are dropped."""
+    live.rocks(spark)
+    t, folder = X.telemetry(spark, sf_dir), shared_folder(spark)
+    done = []
+    for rows in (t.filter("seq % 10 <> 0"), t.filter("seq % 10 = 0")):
+        rows.write.mode("append").parquet(f"{folder}/log")
+        stream = live.features(spark.readStream.schema(t.schema).parquet(f"{folder}/log"), late_s=600.0)
+        done.append(live.run_with_progress(stream, f"{folder}/checkpoint", f"{folder}/rows"))
+    progress = done[0][1].union(done[1][1]).agg(F.sum("dropped_late").alias("dropped_late"))
+    return done[1][0].agg(F.count("*").alias("processed")).join(F.broadcast(progress))
+
+
+def stream_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drift monitor over the stream, block by block."""
+    return live.monitor(_stream(spark, sf_dir), splits.healthy(X.telemetry(spark, sf_dir)), shared_folder(spark))
+
+
+def stream_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seconds of a run's micro-batches, and rows a second."""
+    return live.run_profile(live.run_with_progress(_stream(spark, sf_dir).select("seq", "latency_ms"))[1])
+
+
 def stream_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Models trained on the first 60 % of the time; the rest is streamed through features, scores and decisions."""
+    """Models trained on the first 60 % of the time; the rest is a stream of features, on which decisions, the detector and
+    the drift monitor are streaming queries of their own."""
     live.rocks(spark)
-    t = X.telemetry(spark, sf_dir)
+    t, folder = X.telemetry(spark, sf_dir), shared_folder(spark)
     cut = splits.time_cuts(t, [0.6])[0]
-    fitted = models.fit_all(t.filter(F.col("ts") < cut), trees=20, forest_trees=50)
-    rows = live.run_to_end(live.features(_stream(spark, sf_dir).filter(F.col("ts") >= cut)))
-    decided = live.decide(live.score(rows, fitted), t, fitted)
-    return decided.groupBy("resolved", "remediation", "escalated").agg(F.count("*").alias("n"), F.sum(decision.gain(F.col("remediation"))).alias("value"))
+    fitted = models.fit_all(t.filter(F.col("ts") < cut))
+    rest = _stream(spark, sf_dir).filter(F.col("ts") >= cut)
+    rows = live.run_to_end(live.features(rest), f"{folder}/checkpoint", f"{folder}/features")
+    again = lambda: spark.readStream.schema(rows.schema).parquet(f"{folder}/features")
+    decided = live.run_to_end(live.decisions(again(), fitted)).groupBy("resolved", "remediation", "escalated").agg(F.count("*").alias("n"), F.sum(decision.gain(F.col("remediation"))).alias("value"))
+    strange = live.run_to_end(live.anomalies(again(), fitted)).groupBy(logs.class_of("incident_type").alias("resolved")).agg(F.sum(F.col("flag").cast("long")).alias("n"))
+    alerts = live.monitor(again(), fitted.reference, f"{folder}/drift").agg(F.coalesce(F.sum(F.col("alert").cast("long")), F.lit(0)).alias("n"))
+    kinds = {"decision": decided, "anomaly": strange, "drift": alerts}
+    parts = [x.withColumn("kind", F.lit(k)) for k, x in kinds.items()]
+    return parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -588,8 +664,33 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source.telemetry(spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir))
 
 
-QUERIES |= {"stream_features": stream_features, "stream_pipeline": stream_pipeline}
-ORACLES["stream_features"] = ORACLES["features_full"]
+def snapshot_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of a run as one nested row, and of each of its sections the rows and the sum of a figure."""
+    t = X.telemetry(spark, sf_dir)
+    run = lambda name: QUERIES[name](spark, sf_dir)
+    rates = drift.alert_rate(drift.drift_windows(splits.healthy(t), t)).withColumn("stream", F.lit("clean")).unionByName(run("drift_rate").withColumn("stream", F.lit("shifted")))
+    sections = {
+        "sizes": (run("distinct_counts"), "services"), "classifier": (run("class_report"), "f1"), "reasoning": (run("resolve_report"), "macro_f1"), "policies": (run("policy_compare"), "value"),
+        "drift": (rates, "windows"), "pipeline": (run("action_spend"), "spend"), "feed": (run("decision_feed"), "seq"),
+    }
+    whole = source.snapshot({name: report for name, (report, _) in sections.items()})
+    total = lambda name, figure: F.aggregate(name, F.lit(0.0), lambda a, r: a + r[figure].cast("double"))
+    listed = F.array(*(F.struct(F.lit(n).alias("section"), F.size(n).alias("rows"), F.round(total(n, f), 6).alias("total")) for n, (_, f) in sections.items()))
+    return whole.select(F.explode(listed).alias("s")).select("s.*")
+
+
+QUERIES |= {x.__name__: x for x in (stream_features, stream_dedup, stream_late, stream_drift, stream_profile, stream_pipeline, snapshot_report)}
+ORACLES |= {
+    "stream_features": ORACLES["features_full"],
+    "stream_drift": ORACLES["drift_windows"],
+    "stream_dedup": f"WITH {X.TELEMETRY_SQL} SELECT count(*) + count(*) FILTER (seq % 3 = 0) AS delivered, count(*) AS processed, count(*) FILTER (seq % 3 = 0) AS duplicates FROM telemetry",
+    "stream_late": f"""WITH {X.TELEMETRY_SQL}, late AS (SELECT count(*) AS n FROM telemetry WHERE seq % 10 = 0 AND ts <= (SELECT max(ts) FROM telemetry WHERE seq % 10 <> 0) - 600)
+      SELECT (SELECT count(*) FROM telemetry) - n AS processed, n AS dropped_late FROM late""",
+    "snapshot_report": " UNION ALL ".join(
+        f"SELECT '{section}' AS section, CAST(count(*) AS INT) AS rows, round(CAST(sum({figure}) AS DOUBLE), 6) AS total FROM ({ORACLES[name]})"
+        for section, name, figure in (("sizes", "distinct_counts", "services"), ("classifier", "class_report", "f1"), ("reasoning", "resolve_report", "macro_f1"), ("policies", "policy_compare", "value"), ("pipeline", "action_spend", "spend"), ("feed", "decision_feed", "seq"))
+    ) + f" UNION ALL SELECT 'drift', 2, CAST(2 * windows AS DOUBLE) FROM ({ORACLES['drift_rate']})",
+}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

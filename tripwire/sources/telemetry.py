@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tripwire.functions import constants as C
 from tripwire.operators.ranks import with_rank
+from tripwire.sources.storage import Scratch
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -28,9 +29,10 @@ def write_jsonl(events: DataFrame, path: str, mode: str = "append") -> None:
 
 def append(events: DataFrame, path: str, first: int = 0, order: tuple[str, ...] = ("ts", "service")) -> DataFrame:
     """Appends the events to the log with dense offsets from ``first`` in ``order``; returns them with ``seq``."""
-    numbered = with_rank(events.drop("seq"), *order, name="seq").withColumn("seq", F.col("seq") + first)
-    write_jsonl(numbered, path)
-    return numbered
+    spark, schema = events.sparkSession, events.drop("seq").schema.add("seq", "long")
+    with Scratch(spark) as tmp:
+        write_jsonl(with_rank(events.drop("seq"), *order, name="seq", tmp=tmp).withColumn("seq", F.col("seq") + first), path)
+    return spark.read.schema(schema).json(path).filter(F.col("seq") >= first)
 
 
 def telemetry(events: DataFrame) -> DataFrame:
@@ -59,12 +61,12 @@ def log_text() -> Column:
     k, seq, incident = F.col("k"), F.col("seq"), F.col("incident_type")
     s = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
     return (
-        F.when(incident == "memory_leak", s("GC pause ", 180 + k, "ms; heap at ", k, "% of limit; old-gen collection did not reclaim"))
-        .when((incident == "dependency_failure") & (seq % 2 == 0), s("upstream ledger-db 503; retrying (", 3 + k % 6, "/9 attempts), backoff exhausted on ", k, " calls"))
-        .when(incident == "dependency_failure", s("upstream ledger-db timeout after 5000ms; connection pool exhausted (", k, " waiting)"))
-        .when(incident == "traffic_spike", s("request queue depth ", k, "; worker pool saturated; ", k, " requests shed"))
-        .when(incident == "bad_deploy", s("NullPointerException in CartHandler.validate (", F.col("version"), "); returning 500"))
-        .otherwise(s("GET /api/v1/query 200 in ", k, "ms"))
+        F.when(incident == "memory_leak", s("collector at work: GC pause of ", k, "0 ms; ", k, " regions kept"))
+        .when((incident == "dependency_failure") & (seq % 2 == 0), s("call to upstream stock-db 503; giving up on order ", seq))
+        .when(incident == "dependency_failure", s("no free handle, connection pool exhausted; ", k, " callers queued"))
+        .when(incident == "traffic_spike", s("queue depth ", k, " and rising; oldest entry ", 2 * k, " ms"))
+        .when(incident == "bad_deploy", s("Exception in Basket.total under ", F.col("version"), "; order ", seq, " dropped"))
+        .otherwise(s("served /items in ", k, " ms"))
     )
 
 
@@ -78,11 +80,15 @@ def shifted(events: DataFrame) -> DataFrame:
     return moved.withColumn("label", slo_breach())
 
 
+def snapshot(reports: dict[str, DataFrame]) -> DataFrame:
+    """One row with each report as a list of rows; reports are small tables."""
+    rows = [report.agg(F.collect_list(F.struct(*report.columns)).alias(name)) for name, report in reports.items()]
+    joined = rows[0]
+    for row in rows[1:]:
+        joined = joined.join(F.broadcast(row))
+    return joined
+
+
 def write_snapshot(reports: dict[str, DataFrame], path: str) -> None:
-    """One JSON object with each report as a list of rows; reports are small tables."""
-    joined: DataFrame | None = None
-    for name, report in reports.items():
-        row = report.agg(F.collect_list(F.struct(*report.columns)).alias(name))
-        joined = row if joined is None else joined.join(F.broadcast(row), F.lit(True))
-    if joined is not None:
-        joined.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    """The snapshot as one JSON object."""
+    snapshot(reports).coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)

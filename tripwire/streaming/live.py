@@ -1,19 +1,20 @@
-"""The live path: stateful features, scoring, anomaly detection, drift, deduplication and delivery as streaming queries."""
+"""The live path: stateful features, decisions, anomaly detection, drift, deduplication and delivery as streaming queries."""
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tripwire.functions import conformal, logs
 from tripwire.functions import constants as C
-from tripwire.operators import decision, drift, models
-from tripwire.operators.features import _IN, OUT, Kernel
+from tripwire.operators import decision, drift, metrics, models
+from tripwire.operators.features import OUT, windowed
 from tripwire.sources.storage import shared_folder
 
 
@@ -35,26 +36,51 @@ def deduplicated(events: DataFrame, late_s: float = 3600.0) -> DataFrame:
     return on_time(events, late_s).dropDuplicatesWithinWatermark(["seq"]).drop("event_time")
 
 
+#: What a row has beside its features when it is decided on.
+CARRIED = ("log", "incident_type", "label")
+_METRICS = ["ts", "latency_ms", "cpu_pct", "mem_pct", "rps"]
+
+
 class Features(StatefulProcessor):
-    """The batch kernel, with its windows in the state store; rows of a micro-batch are taken in (ts, seq) order."""
+    """The batch operator's windows over a service's rows of a micro-batch and those it remembers, in (ts, seq) order.
+
+    The store holds a list of the rows of the last window, to which each micro-batch appends; it is written anew only when
+    most of it has become too old.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("kernel", "value binary")
+        self.rows = handle.getListState("rows", ", ".join(f"{m} double" for m in _METRICS))
+        self.known = handle.getValueState("known", "version string, deployed double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        kernel = pickle.loads(self.state.get()[0]) if self.state.exists() else Kernel()
-        pdf = pd.concat(list(rows)).sort_values(["ts", "seq"], kind="stable")
-        out = [(seq, ts, service, *kernel.features(ts, version, lat, err, cpu, mem, rps)) for seq, ts, service, version, lat, err, cpu, mem, rps in zip(*(pdf[c] for c in _IN), strict=True)]
-        self.state.update((pickle.dumps(kernel),))
-        yield pd.DataFrame(out, columns=["seq", "ts", "service", *C.FEATURES])
+        new = pd.concat(list(rows)).sort_values(["ts", "seq"], kind="stable", ignore_index=True)
+        remembered = pd.DataFrame(list(self.rows.get()), columns=_METRICS, dtype=float)
+        version, deployed = self.known.get() if self.known.exists() else (None, None)
+        both = pd.concat([remembered, new], ignore_index=True)
+        own = np.arange(len(both)) >= len(remembered)
+        out, version, deployed = windowed(both, own, version, deployed)
+        self.known.update((version, deployed))
+        young = both["ts"].to_numpy() >= both["ts"].max() - C.BASELINE_S
+        if 2 * young.sum() < len(both):
+            self.rows.put([tuple(x) for x in both.loc[young, _METRICS].itertuples(index=False)])
+        else:
+            self.rows.appendList([tuple(x) for x in new[_METRICS].itertuples(index=False)])
+        yield out.assign(**{c: new[c].to_numpy(object) for c in CARRIED})
 
     def close(self) -> None:
         pass
 
 
-def features(events: DataFrame) -> DataFrame:
-    """The eight features of a stream, the same as the batch operator's."""
-    return events.groupBy("service").transformWithStateInPandas(Features(), OUT, "append", "none")
+def features(events: DataFrame, late_s: float | None = None) -> DataFrame:
+    """The eight features of a stream, the same as the batch operator's, and the columns ``CARRIED``.
+
+    With ``late_s``, rows that are older than the newest of the batches before by more than that are dropped; the
+    progress of the query counts them (``dropped_late``).
+    """
+    schema = OUT + ", log string, incident_type string, label int"
+    if late_s is None:
+        return events.groupBy("service").transformWithStateInPandas(Features(), schema, "append", "none")
+    return on_time(events, late_s).groupBy("service").transformWithStateInPandas(Features(), schema, "append", "eventTime")
 
 
 def score(features_: DataFrame, fitted: models.Fitted) -> DataFrame:
@@ -65,42 +91,92 @@ def score(features_: DataFrame, fitted: models.Fitted) -> DataFrame:
     return sets.withColumn("action", conformal.action()).withColumn("reason", conformal.reason())
 
 
-def decide(scored: DataFrame, events: DataFrame, fitted: models.Fitted) -> DataFrame:
+def escalated() -> Column:
+    """Whether a scored row's log is read: its set is not of one class, or its class is one that is often misread."""
+    return (F.col("action") == "escalate") | F.col("prediction").isin(C.ESCALATED_CLASSES)
+
+
+def decide(scored: DataFrame, fitted: models.Fitted) -> DataFrame:
     """Decisions with what reading the log of escalated rows makes of them, and the remediation that pays most.
 
     The remediation comes from the outcome models on the features; reading the log changes the class only.
     """
-    escalated = (F.col("action") == "escalate") | F.col("prediction").isin(C.ESCALATED_CLASSES)
-    joined = models.effects(fitted.outcomes, scored).join(events.select("seq", "log", "incident_type", "label"), "seq")
-    read = joined.withColumn("escalated", escalated).withColumn("resolved", F.when(escalated, logs.read_incident(F.col("log"))).otherwise(F.col("prediction")))
-    return read.withColumn("remediation", decision.best_action(F.col("effects"))["action"]).drop("effects")
+    rows = models.effects(fitted.outcomes, scored).withColumn("escalated", escalated())
+    read = rows.withColumn("resolved", F.when(F.col("escalated"), logs.read_incident(F.col("log"))).otherwise(F.col("prediction")))
+    return read.withColumn("remediation", decision.best_action(F.col("effects"))["action"]).drop("effects", "p")
+
+
+def decisions(features_: DataFrame, fitted: models.Fitted) -> DataFrame:
+    """A stream of features as a stream of decisions."""
+    return decide(score(features_, fitted), fitted)
+
+
+def anomalies(features_: DataFrame, fitted: models.Fitted) -> DataFrame:
+    """The detector over a stream of features, a query of its own beside the decisions: strangeness and flag."""
+    return models.strangeness(fitted.forest, features_.select("seq", "ts", "service", "incident_type", *C.FEATURES))
 
 
 def run_to_end(stream: DataFrame, checkpoint: str | None = None, out: str | None = None) -> DataFrame:
     """Runs a stream over what is there now and returns what it wrote."""
+    return run_with_progress(stream, checkpoint, out)[0]
+
+
+def run_with_progress(stream: DataFrame, checkpoint: str | None = None, out: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(what the stream wrote, its progress: batch, rows, seconds and dropped_late of each micro-batch)."""
     spark = stream.sparkSession
     out = out or shared_folder(spark)
     query = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint or shared_folder(spark)).option("path", out).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    rows = [(p["batchId"], p["numInputRows"], p["durationMs"].get("triggerExecution", 0) / 1000, sum(s["numRowsDroppedByWatermark"] for s in p["stateOperators"])) for p in query.recentProgress]
+    progress = spark.createDataFrame(rows, "batch long, rows long, seconds double, dropped_late long")  # one row per micro-batch
+    return spark.read.schema(stream.schema).parquet(out), progress
+
+
+def run_profile(progress: DataFrame) -> DataFrame:
+    """Latency of micro-batches and rows a second over a run, and how many rows came too late."""
+    totals = progress.agg(F.sum("rows").alias("rows"), F.try_divide(F.sum("rows"), F.sum("seconds")).alias("rows_per_second"), F.sum("dropped_late").alias("dropped_late"))
+    return metrics.latency_profile(progress, "seconds").join(F.broadcast(totals))
+
+
+def deduplicated_counts(delivered: DataFrame, unique: DataFrame) -> DataFrame:
+    """How many rows were delivered, how many of them were repeats, and how many are left."""
+    left = unique.agg(F.count("*").alias("processed"))
+    return delivered.agg(F.count("*").alias("delivered")).join(F.broadcast(left)).select("delivered", "processed", (F.col("delivered") - F.col("processed")).alias("duplicates"))
 
 
 class DriftMonitor:
-    """Counts and shares of each block of rows, kept per batch until the block is full: for ``foreachBatch``.
+    """Judges each block of ``window`` rows in stream order as soon as it is full: for ``foreachBatch``.
 
-    Blocks are told by the dense seq, so each micro-batch only adds to a table of partial blocks; a batch that is
-    repeated after a failure overwrites its own part.
+    Rows of blocks that aren't full are carried from batch to batch in a table; full blocks are judged once, from
+    the carried rows and the batch's own, and written. A batch that is repeated after a failure starts from the same carried
+    rows and overwrites its own tables. Rows come once each (``deduplicated``).
     """
 
     def __init__(self, reference: DataFrame, folder: str, metric: str = "latency_ms", window: int = C.DRIFT_WINDOW):
-        self.reference, self.folder, self.metric, self.window = reference, folder, metric, window
+        self.judge, self.folder, self.metric, self.window = drift.Judge(reference, metric), folder, metric, window
 
     def observe(self, batch: DataFrame, batch_id: int) -> None:
-        batch.select("seq", self.metric).write.mode("overwrite").parquet(f"{self.folder}/batch={batch_id}")
+        spark, rows = batch.sparkSession, batch.select("seq", F.col(self.metric))
+        if batch_id:
+            rows = rows.unionByName(spark.read.schema(rows.schema).parquet(f"{self.folder}/open/batch={batch_id - 1}"))
+        blocks = rows.withColumn("window_id", F.floor(F.col("seq") / self.window))
+        full = blocks.groupBy("window_id").agg(F.count("*").alias("n")).filter(F.col("n") == self.window).select("window_id")
+        self.judge.windows(blocks.join(F.broadcast(full), "window_id"), self.window).write.mode("overwrite").parquet(f"{self.folder}/judged/batch={batch_id}")
+        blocks.join(F.broadcast(full), "window_id", "left_anti").drop("window_id").write.mode("overwrite").parquet(f"{self.folder}/open/batch={batch_id}")
 
     def windows(self, spark: SparkSession) -> DataFrame:
-        seen = spark.read.option("basePath", self.folder).parquet(f"{self.folder}/batch=*").dropDuplicates(["seq"])
-        return drift.drift_windows(self.reference, seen, self.metric, self.window)
+        """The blocks judged so far."""
+        return spark.read.schema(drift.JUDGED).option("recursiveFileLookup", "true").parquet(f"{self.folder}/judged")
+
+
+def monitor(events: DataFrame, reference: DataFrame, folder: str, window: int = C.DRIFT_WINDOW) -> DataFrame:
+    """Runs a drift monitor over a stream to its end and returns the blocks that it judged."""
+    watch = DriftMonitor(reference, f"{folder}/blocks", window=window)
+    events.writeStream.foreachBatch(watch.observe).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    try:
+        return watch.windows(events.sparkSession)
+    except AnalysisException:  # there was no batch
+        return events.sparkSession.createDataFrame([], drift.JUDGED)
 
 
 def subscribe(events: DataFrame, folder: str, groups: list[str]) -> dict[str, DataFrame]:
