@@ -66,10 +66,11 @@ def test_banded_distance(distance):
 def test_copies_share_a_bucket_and_few_grams_differ(distance):
     rng = random.Random(9)
     for _ in range(300):
-        a = "".join(rng.choice("abcdef") for _ in range(rng.randint(25, 60)))
+        a = "".join(rng.choice(rng.choice(["abcdef", "aé中🙂"])) for _ in range(rng.randint(25, 60)))
         b = mutated(rng, a, distance)
-        codes, start, stop, _, _ = lines.eligible_lines([a + "\n" + b], 1)
-        buckets, owner = lines.bucket_rows(lines.prefix_hash(codes), start, stop, np.arange(2).astype(np.uint64), distance)
+        raw = np.frombuffer(f"{a}\n{b}".encode(), np.uint8)
+        both = lines.Lines.of(raw, np.array([0, len(raw)]), 1)
+        buckets, owner = lines.bucket_rows(lines.prefix_hash(raw), both, np.arange(2).astype(np.uint64), distance)
         assert set(buckets[owner == 0]) & set(buckets[owner == 1])
         assert len(np.setxor1d(lines.gram_set(a), lines.gram_set(b))) <= 2 * lines.GRAM * distance
 

@@ -51,9 +51,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: Primes just below 2^31 and a base for each. A hash is made of two of them, an independent one of the others.
-_PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
-_BASES = (1153906873, 1640531513, 870462161, 1337770421)
+#: Primes just below 2^31, and a base for each.
+_PRIMES, _BASES = (2147483647, 2147483629), (1153906873, 1640531513)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -65,7 +64,7 @@ def _powers_of(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             powers = np.ones(1, np.uint64)
             while len(powers) < max(n, 1 << 16):
                 powers = np.concatenate((powers, powers * np.uint64(pow(base, len(powers), prime)) % np.uint64(prime)))
-            made.append(powers.astype(np.uint32))
+            made.append(powers)
         _powers[which] = tuple(made)
     return _powers[which]
 
@@ -86,11 +85,11 @@ def _running_sums(values: np.ndarray, bits: int, prime: int) -> np.ndarray:
     return out
 
 
-def prefix_hash(codes: np.ndarray, independent: bool = False) -> list[tuple[int, np.ndarray]]:
-    """Polynomial prefix sums of an array of bytes or codepoints modulo two primes, for ``slice_hash``; ``independent`` takes two others."""
+def prefix_hash(codes: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Polynomial prefix sums of an array of bytes or codepoints modulo two primes, for ``slice_hash``."""
     values = codes.astype(np.uint64) + np.uint64(1)
     bits = 31 + (9 if codes.dtype == np.uint8 else 22)
-    return [(k, _running_sums(values * _powers_of(k, len(codes) + 1)[0][: len(codes)], bits, _PRIMES[k])) for k in ((2, 3) if independent else (0, 1))]
+    return [(k, _running_sums(values * _powers_of(k, len(codes) + 1)[0][: len(codes)], bits, _PRIMES[k])) for k in range(len(_PRIMES))]
 
 
 def slice_hash(prefix: list[tuple[int, np.ndarray]], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -147,6 +146,8 @@ class Lookup:
         return out
 
 
+CONTINUES = np.zeros(256, bool)
+CONTINUES[0x80:0xC0] = True
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 

@@ -9,7 +9,7 @@ from n - DISTANCE to n. Lines that share a bucket are verified by edit distance,
 diagonals. Classes of copies are closed under links; in each class the line that comes first by (doc_id, line number)
 stays and the others go.
 
-A line is named by a 64-bit hash and checked by a second, independent one: of lines that share a name, only those of
+A line is named by a 64-bit hash and checked by its CRC: of lines that share a name, only those of
 the least check take part, and the others stay.
 
 Edge cases: a null text has no lines and stays null, an empty one has one short line; shorter lines stay unless
@@ -21,7 +21,9 @@ column named line_dedup is replaced); texts and lines are read whole.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,41 +31,66 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripwire.llm.batches import SEPARATOR, mix, prefix_hash, release, row_chunks, slice_hash, text_buffer
+from tripwire.llm.batches import CONTINUES, SEPARATOR, mix, prefix_hash, release, row_chunks, slice_hash, text_buffer
 from tripwire.llm.links import SETS, Scratch, classes, crowded, set_columns, stored
 
 MIN_CHARS, DISTANCE = 25, 2
-#: Characters of the grams by which variants of one line are told apart.
-GRAM = 4
+#: Characters of the grams by which variants of one line are grouped, and of those in their sketches: the shorter, the
+#: more of a word's change shows against what one edit allows.
+GRAM, SKETCHED = 4, 2
 #: Line hashes that a task remembers, so as to place copies of a line in buckets once.
 REMEMBERED = 200_000
 
 
-def eligible_lines(texts: list[str], min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(codepoints of all texts, line starts, line ends, text of each line, number of the line), of long enough lines."""
-    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    ends = np.cumsum(lengths)
-    breaks = np.flatnonzero(codes == 0x0A)
-    text_of_break = np.searchsorted(ends, breaks, "right")
-    start = np.concatenate((ends - lengths, breaks + 1))
-    owner = np.concatenate((np.arange(len(texts)), text_of_break))
-    order = np.lexsort((start, owner))
-    start, owner = start[order], owner[order]
-    stop = np.append(start[1:] - 1, 0)
-    last = np.append(owner[1:] != owner[:-1], True) if len(owner) else np.zeros(0, bool)
-    stop[last] = ends[owner[last]]
-    first = np.searchsorted(owner, owner)
-    number = np.arange(len(owner)) - first
-    keep = stop - start >= min_chars
-    return codes, start[keep], stop[keep], owner[keep], number[keep]
-
-
-def gram_set(line: str) -> np.ndarray:
-    """The line's grams with the number of each occurrence, sorted: one edit changes at most 2 * GRAM elements of the set."""
+@dataclass
+class Lines:
+    """The lines of a run of texts: their bytes, where each is (bytes and characters), its text, and its number in it."""
+
+    raw: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    owner: np.ndarray
+    number: np.ndarray
+    #: Where each character begins, and the end; None if all are single bytes.
+    place: np.ndarray | None
+
+    @classmethod
+    def of(cls, raw: np.ndarray, offsets: np.ndarray, min_chars: int, short: bool = False) -> Lines:
+        """Lines of at least ``min_chars`` characters; with ``short`` those that hold more than white space too."""
+        raw, offsets = raw[offsets[0] : offsets[-1]], offsets - offsets[0]
+        breaks = np.flatnonzero(raw == 0x0A)
+        begin = np.concatenate((offsets[:-1], breaks + 1))
+        owner = np.concatenate((np.arange(len(offsets) - 1), np.searchsorted(offsets[1:], breaks, "right")))
+        order = np.lexsort((begin, owner))
+        begin, owner = begin[order], owner[order]
+        end = np.append(begin[1:] - 1, 0)
+        last_of_text = np.append(owner[1:] != owner[:-1], True)[: len(owner)]
+        end[last_of_text] = offsets[owner[last_of_text] + 1]
+        end = end[: len(owner)]
+        number = np.arange(len(owner)) - np.searchsorted(owner, owner)
+        place = None
+        first, last = begin, end
+        if len(raw) and (CONTINUES[raw]).any():
+            starts = ~CONTINUES[raw]
+            upto = np.concatenate(([0], np.cumsum(starts)))
+            first, last, place = upto[begin], upto[end], np.append(np.flatnonzero(starts), len(raw))
+        take = last - first >= min_chars
+        if short:
+            filled = np.concatenate(([0], np.cumsum(~SEPARATOR[raw])))
+            take |= filled[end] > filled[begin]
+        return cls(raw, begin[take], end[take], first[take], last[take], owner[take], number[take], place)
+
+    def only(self, which: np.ndarray) -> Lines:
+        return Lines(self.raw, *(x[which] for x in (self.begin, self.end, self.first, self.last, self.owner, self.number)), self.place)
+
+
+def gram_set(line: str, size: int = GRAM) -> np.ndarray:
+    """The line's grams with the number of each occurrence, sorted: one edit changes at most 2 * size elements of the set."""
     codes = np.frombuffer(line.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    grams = np.zeros(max(len(codes) - GRAM + 1, 0), np.uint64)
-    for k in range(GRAM):
+    grams = np.zeros(max(len(codes) - size + 1, 0), np.uint64)
+    for k in range(size):
         grams = grams * np.uint64(0x9E3779B97F4A7C15) + mix(codes[k : k + len(grams)] + np.uint64(1))
     grams.sort()
     if not len(grams):
@@ -73,9 +100,11 @@ def gram_set(line: str) -> np.ndarray:
     return np.unique(mix(grams + mix((np.arange(len(grams)) - start).astype(np.uint64))))
 
 
-def bucket_rows(prefix: list, start: np.ndarray, stop: np.ndarray, ids: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+def bucket_rows(prefix: list, lines: Lines, ids: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, id) rows of the lines."""
     buckets, owners = [], []
+    start, stop = lines.first, lines.last
+    where = (lambda x: x) if lines.place is None else lines.place.__getitem__
     length, segments = stop - start, distance + 1
     for shorter in range(distance + 1):
         indexed = length - shorter
@@ -89,7 +118,7 @@ def bucket_rows(prefix: list, start: np.ndarray, stop: np.ndarray, ids: np.ndarr
                 begin = start + at + shift
                 fits = ok & (at + shift >= 0) & (begin + size <= stop)
                 tag = mix((indexed[fits] * 64 + k).astype(np.uint64))
-                buckets.append(mix(slice_hash(prefix, begin[fits], (begin + size)[fits]) + tag) & ~np.uint64(1))
+                buckets.append(mix(slice_hash(prefix, where(begin[fits]), where((begin + size)[fits])) + tag) & ~np.uint64(1))
                 owners.append(ids[fits])
     return np.concatenate(buckets), np.concatenate(owners)
 
@@ -156,38 +185,32 @@ def line_copies(tmp: Scratch, documents: DataFrame, distance: int = DISTANCE, mi
     """
     texts = documents.filter("text is not null").select("doc_id", "document_key", "text")
 
-    def chunks(batch: pa.RecordBatch):
-        column = batch.column("text")
-        _, offsets, _ = text_buffer(column)
+    def chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, Lines, list, np.ndarray]]:
+        raw, offsets, _ = text_buffer(batch.column("text"))
         for lo, hi in row_chunks(offsets):
-            codes, start, stop, owner, number = eligible_lines(column.slice(lo, hi - lo).to_pylist(), 1 if short else min_chars)
-            if short:
-                filled = np.concatenate(([0], np.cumsum(~((codes < 256) & SEPARATOR[codes & 0xFF]))))
-                take = (stop - start >= min_chars) | (filled[stop] > filled[start])
-                start, stop, owner, number = start[take], stop[take], owner[take], number[take]
-            prefix = prefix_hash(codes)
-            yield lo, codes, prefix, start, stop, owner, number, slice_hash(prefix, start, stop)
+            own = Lines.of(raw, offsets[lo : hi + 1], min_chars, short)
+            prefix = prefix_hash(own.raw)
+            yield lo, own, prefix, slice_hash(prefix, own.begin, own.end)
 
     def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in release(batches):
-            for lo, codes, _, start, stop, owner, number, ids in chunks(batch):
-                of = pa.array(owner + lo)
-                check = slice_hash(prefix_hash(codes, independent=True), start, stop)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(of), batch.column("document_key").take(of), pa.array(number.astype(np.int32)), pa.array(ids.astype(np.int64)), pa.array(check.astype(np.int64))], names=["doc_id", "document_key", "line", "id", "check"])
+            for lo, own, _, ids in chunks(batch):
+                of, view = pa.array(own.owner + lo), memoryview(own.raw)
+                check = [zlib.crc32(view[a:b]) for a, b in zip(own.begin.tolist(), own.end.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(of), batch.column("document_key").take(of), pa.array(own.number.astype(np.int32)), pa.array(ids.astype(np.int64)), pa.array(check, pa.int64())], names=["doc_id", "document_key", "line", "id", "check"])
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen = np.zeros(0, np.uint64)
         for batch in release(batches):
-            for _, _, prefix, start, stop, _, _, ids in chunks(batch):
-                long = stop - start >= min_chars
-                start, stop, ids = start[long], stop[long], ids[long]
+            for _, own, prefix, ids in chunks(batch):
                 _, once = np.unique(ids, return_index=True)
-                new = np.array([k for k in once.tolist() if int(ids[k]) not in seen], np.int64)
+                once = once[(own.last - own.first)[once] >= min_chars]
+                new = once[~np.isin(ids[once], seen)]
                 if len(seen) > REMEMBERED:
-                    seen.clear()
-                seen.update(ids[new].tolist())
+                    seen = seen[:0]
+                seen = np.concatenate((seen, ids[new]))
                 if len(new):
-                    buckets, owners = bucket_rows(prefix, start[new], stop[new], ids[new], distance)
+                    buckets, owners = bucket_rows(prefix, own.only(new), ids[new], distance)
                     yield pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int64)), pa.array(owners.astype(np.int64))], names=["bucket", "id"])
 
     lines = tmp.stored(texts.mapInArrow(located, "doc_id long, document_key long, line int, id long, check long"))
@@ -196,20 +219,20 @@ def line_copies(tmp: Scratch, documents: DataFrame, distance: int = DISTANCE, mi
 
     def spelled_many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in release(batches):
-            ids, contents = [], []
+            found = []
             for text, some in zip(batch.column("text").to_pylist(), batch.column("lines").to_pylist(), strict=True):
                 cut = text.split("\n")
-                ids += [x["id"] for x in some]
-                contents += [cut[x["line"]] for x in some]
-            for lo in range(0, len(ids), 5000):
-                spelled = contents[lo : lo + 5000]
-                n = len(spelled)
-                columns, names = set_columns([gram_set(x) for x in spelled], [len(x) for x in spelled], [distance] * n, [2 * GRAM * distance] * n)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + 5000], pa.int64()), *columns, pa.array(spelled, pa.string())], names=["id", *names, "content"])
+                found += [(x["id"], cut[x["line"]], x["compared"]) for x in some]
+            for lo in range(0, len(found), 5000):
+                ids, spelled, compared = zip(*found[lo : lo + 5000], strict=True)
+                n, none = len(ids), np.zeros(0, np.uint64)
+                sets, sketched = ([gram_set(x, size) if own else none for x, own in zip(spelled, compared, strict=True)] for size in (GRAM, SKETCHED))
+                columns, names = set_columns(sets, sketched, [len(x) for x in spelled], [distance] * n, [2 * GRAM * distance] * n, [2 * SKETCHED * distance] * n)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *columns, pa.array(spelled, pa.string())], names=["id", *names, "content"])
 
     def contents_of(items: DataFrame) -> DataFrame:
-        """The lines of some ids and their sets; texts are met once, however many of their lines are wanted."""
-        wanted = named.join(items, "id").groupBy("first.doc_id", "first.document_key").agg(F.collect_list(F.struct("id", F.col("first.line").alias("line"))).alias("lines"))
+        """The lines of some ids and, for those to be compared, their sets; texts are met once, however many of their lines are wanted."""
+        wanted = named.join(items, "id").groupBy("first.doc_id", "first.document_key").agg(F.collect_list(F.struct("id", "compared", F.col("first.line").alias("line"))).alias("lines"))
         same = texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["document_key"] == wanted["document_key"])
         return texts.join(wanted, same).select("text", "lines").mapInArrow(spelled_many, SETS + ", content string")
 

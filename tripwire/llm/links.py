@@ -27,15 +27,17 @@ difference from f in common are compared by sketch, each pair of a group; these
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripwire.llm.batches import mix, release
+from tripwire.sources.storage import Scratch, stored
+
+__all__ = ["Scratch", "stored"]
 
 Verify = Callable[[DataFrame, DataFrame], DataFrame]
 #: Items of a bucket whose pairs are all looked at, and how many odd buckets linked items share at least.
@@ -44,49 +46,9 @@ SMALL, ODD_SHARED = 16, 3
 SKETCH = 4
 #: Items, about, that tell which differences from a first item are common: those that over one in ``OFTEN`` has.
 SAMPLE, OFTEN = 256, 40
-#: Columns that ``sets_of`` gives beside others: ``reach`` is how much the sizes of linked items differ at most.
-SETS = "id long, size int, reach int, slack int, " + ", ".join(f"s{k} long" for k in range(SKETCH)) + ", elements array<long>"
-
-
-class Scratch:
-    """Tables in a new folder of the one that the cluster shares; leaving the ``with`` block deletes them.
-
-    A written table ends its lineage and outlives lost executors. Where spark.checkpoint.dir is unset, as in tests, the
-    folder is under the warehouse.
-    """
-
-    def __init__(self, spark: SparkSession):
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-        self.spark, self.folder, self.written = spark, f"{base.rstrip('/')}/tripwire-{uuid.uuid4().hex}", 0
-        self.paths: dict[int, str] = {}
-
-    def __enter__(self) -> Scratch:
-        return self
-
-    def __exit__(self, *_) -> None:
-        self._delete(self.folder)
-
-    def _delete(self, path: str) -> None:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
-
-    def stored(self, df: DataFrame) -> DataFrame:
-        self.written += 1
-        path = f"{self.folder}/{self.written}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        """Deletes a table that nothing reads any more."""
-        if path := self.paths.pop(id(df), None):
-            self._delete(path)
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a table of the shared folder that stays, for what is returned."""
-    return Scratch(df.sparkSession).stored(df)
+#: Columns that ``sets_of`` gives beside others: sizes of linked items differ by ``reach`` at most, their elements by ``slack``,
+#: the bits of their sketches by ``spread``.
+SETS = "id long, size int, reach int, slack int, spread int, " + ", ".join(f"s{k} long" for k in range(SKETCH)) + ", elements array<long>"
 
 
 def crowded(rows: DataFrame) -> DataFrame:
@@ -140,13 +102,13 @@ def sketch(elements: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def set_columns(sets: list[np.ndarray], sizes: list[int], reaches: list[int], slacks: list[int]) -> tuple[list[pa.Array], list[str]]:
-    """The columns of ``SETS`` after the id, and their names."""
-    sketches = np.array([sketch(x) for x in sets], np.int64).reshape(len(sets), SKETCH)
+def set_columns(sets: list[np.ndarray], sketched: list[np.ndarray], sizes: list[int], reaches: list[int], slacks: list[int], spreads: list[int]) -> tuple[list[pa.Array], list[str]]:
+    """The columns of ``SETS`` after the id, and their names; ``sketched`` are the sets that sketches are made of."""
+    sketches = np.array([sketch(x) for x in sketched], np.int64).reshape(len(sets), SKETCH)
     at = np.cumsum([0, *map(len, sets)]).astype(np.int32)
     lists = pa.ListArray.from_arrays(at, pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).astype(np.int64)))
-    columns = [*(pa.array(x, pa.int32()) for x in (sizes, reaches, slacks)), *(pa.array(sketches[:, k]) for k in range(SKETCH)), lists]
-    return columns, ["size", "reach", "slack", *(f"s{k}" for k in range(SKETCH)), "elements"]
+    columns = [*(pa.array(x, pa.int32()) for x in (sizes, reaches, slacks, spreads)), *(pa.array(sketches[:, k]) for k in range(SKETCH)), lists]
+    return columns, ["size", "reach", "slack", "spread", *(f"s{k}" for k in range(SKETCH)), "elements"]
 
 
 def _sets_in(batch: pa.RecordBatch, name: str) -> list[np.ndarray]:
@@ -200,14 +162,14 @@ def leading_differences(rows: DataFrame) -> DataFrame:
 def similar() -> Column:
     """Whether the sizes and sketches of rows with a_ and b_ columns leave it open that the items are linked."""
     bits = sum(F.bit_count(F.col(f"a_s{k}").bitwiseXOR(F.col(f"b_s{k}"))) for k in range(SKETCH))
-    return (F.abs(F.col("a_size") - F.col("b_size")) <= F.least("a_reach", "b_reach")) & (bits <= F.least("a_slack", "b_slack"))
+    return (F.abs(F.col("a_size") - F.col("b_size")) <= F.least("a_reach", "b_reach")) & (bits <= F.least("a_spread", "b_spread"))
 
 
 def classes(tmp: Scratch, members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], verify: Verify) -> tuple[DataFrame, DataFrame]:
     """((id, component) of linked items, the verified links (a, b)) from the rows of ``crowded``.
 
-    ``sets_of`` gives the columns of ``SETS`` (elements sorted and distinct) and others of a table of ids; ``verify``
-    gets rows (a, b) with a < b and that table, and returns the linked ones.
+    ``sets_of`` gives the columns of ``SETS`` (elements sorted and distinct) and others of rows (id, compared); only
+    compared ones need elements and sketches. ``verify`` gets rows (a, b) with a < b and that table, and returns the linked ones.
     """
     plain = tmp.stored(members)
     counted = tmp.stored(plain.join(plain.groupBy("bucket").agg(F.count("*").alias("n")), "bucket"))
@@ -218,7 +180,8 @@ def classes(tmp: Scratch, members: DataFrame, sets_of: Callable[[DataFrame], Dat
     met = left.join(right, "bucket").filter("a < b").groupBy("a", "b").agg(odd.alias("odd"), F.count("*").alias("all"))
     met = tmp.stored(met.filter((F.col("odd") >= ODD_SHARED) | (F.col("odd") < F.col("all"))).select("a", "b"))
     large = tmp.stored(with_first(counted.filter(F.col("n") > SMALL)))
-    sets = tmp.stored(sets_of(met.select(F.explode(F.array("a", "b")).alias("id")).union(large.select("id")).distinct()))
+    once = met.select(F.explode(F.array("a", "b")).alias("id"), F.lit(False).alias("compared")).union(large.select("id", F.lit(True)))
+    sets = tmp.stored(sets_of(once.groupBy("id").agg(F.max("compared").alias("compared"))))
     tmp.drop(counted)
 
     typical = pairs_of(large.filter("id <> first").groupBy("id").agg(F.max(F.struct("shares", "first")).alias("best")).select("id", "best.first"))
@@ -251,7 +214,7 @@ def classes(tmp: Scratch, members: DataFrame, sets_of: Callable[[DataFrame], Dat
         apart = open_.filter("id <> first").select("first", "id")
         rows = apart.join(base, "first").join(common_differences(apart, base, sets), "first", "left").join(sets, "id")
         leading = tmp.stored(leading_differences(rows))
-        traits = sets.select("id", "size", "reach", "slack", *(f"s{k}" for k in range(SKETCH)))
+        traits = sets.select("id", "size", "reach", "slack", "spread", *(f"s{k}" for k in range(SKETCH)))
         # a stored table's columns by side, so that the sketches are compared in the join itself
         sides = tmp.stored(classed(leading).join(traits, "id"))
         left, right = (sides.select("first", "element", "near", *(F.col(c).alias(x if c == "id" else f"{x}_{c}") for c in ("id", "component", *traits.columns[1:]))) for x in "ab")

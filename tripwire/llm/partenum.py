@@ -162,7 +162,7 @@ def set_components(tmp: Scratch, documents: DataFrame, words: int, percent: int)
             for lo, hi in row_chunks(offsets):
                 ids, sets = batch.column(0).slice(lo, hi - lo), list(shingle_sets(raw, offsets[lo : hi + 1], words))
                 slacks = [plan.slack(len(x)) for x in sets]
-                columns, names = set_columns(sets, [len(x) for x in sets], slacks, slacks)
+                columns, names = set_columns(sets, sets, [len(x) for x in sets], slacks, slacks, slacks)
                 yield pa.RecordBatch.from_arrays([ids, *columns], names=["id", *names])
 
     with_key = keyed.withColumn("text_key", F.xxhash64("doc_id", "text"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripwire.llm.batches import SEPARATOR, Lookup, mix, prefix_hash, release, row_chunks, slice_hash, text_buffer, word_spans
+from tripwire.llm.batches import CONTINUES, SEPARATOR, Lookup, mix, prefix_hash, release, row_chunks, slice_hash, text_buffer, word_spans
 
 MIN_WORDS, WINDOW, REPEATED_PERCENT = 10, 5, 20
 GUARD_WORDS = 30
@@ -36,8 +36,6 @@ COMMON_WORDS = 64
 #: Words of languages that a task counts before it passes the counts on.
 COUNTED_WORDS = 100_000
 
-_CONTINUES = np.zeros(256, bool)
-_CONTINUES[0x80:0xC0] = True
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 #: Character classes: white space, small and capital ASCII letters, digits, marks of prose, other marks, all else.
@@ -88,7 +86,7 @@ def count(raw: np.ndarray, offsets: np.ndarray, rules: bool = True) -> Counts:
     prefix = prefix_hash(raw)
     hashes = slice_hash(prefix, begin, end)
     of_text = text_of[begin]
-    starts_char = ~_CONTINUES[raw]
+    starts_char = ~CONTINUES[raw]
     classes = np.bincount(text_of[starts_char] * CLASSES + _CLASS[raw[starts_char]], minlength=n * CLASSES).reshape(n, CLASSES)
     n_words = np.bincount(of_text, minlength=n)
     zero = np.zeros(n, np.int64)
