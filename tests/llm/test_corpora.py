@@ -2,9 +2,11 @@
 
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -292,6 +294,22 @@ def test_neighbours_recall_and_scores(spark):
         assert [s for _, s in found] == pytest.approx([float(x[where[q]] @ x[where[v]]) for v, _ in found], abs=1e-12)
 
 
+def test_neighbours_recall_beyond_the_sample(spark):
+    """More vectors than the sample, one in ten a near copy of one that is rare in it, and queries that didn't tune the probes."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(30_000, 16))
+    x[:3000] = rng.normal(size=16) + rng.normal(size=(3000, 16)) * 0.01
+    ids = rng.permutation(30_000).astype(np.int64)
+    table = spark.createDataFrame(pd.DataFrame({"vec_id": ids, "embedding": x.tolist()}), "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.search(table, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    copies, share = set(ids[:3000].tolist()), {True: [], False: []}
+    for q, best in brute_neighbours(ids, x).items():
+        share[q in copies].append(len(got[q] & {v for v, _ in best}) / 20)
+    assert np.mean(share[False]) >= 0.9 and np.mean(share[True]) >= 0.9
+
+
 def test_neighbours_edges(spark):
     nan, inf = float("nan"), float("inf")
     good = [(k, [float(k % 3), 1.0]) for k in range(0, 8)]
@@ -329,6 +347,49 @@ def test_pages_without_landmarks_and_edges(spark):
     assert pages.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_page_parser_edges():
+    text = lambda page: [b.text for b in pages.leaf_blocks(page)]
+    assert text("<p>a<script src=/js/>var x</script>b") == ["ab"]
+    assert text("<p>a<svg>junk<p>rest</p>") == ["ajunk", "rest"] and text("<p>a<noscript>no<p>c") == ["ano", "c"]
+    assert text("<p>a<svg><svg>in</svg>still</svg>b") == ["ab"] and text("<p>a</p><svg/><p>b") == ["a", "b"]
+    assert text("<svg href=/x/>in</svg>out") == ["out"] and text("<script>x<p>z") == []
+    assert text('<p title="oops>text <b>x</b> more') == ["text x more"] and text('<div data-x="a>b">c</div>') == ["c"]
+    assert text("a < b <p>1 <2") == ["a < b", "1 <2"] and text("<p>x</p><script>if(a<b)</script >y") == ["x", "y"]
+    for unit in ('<a "', "<svg>", "<div>x", '<p title=">" x', "<!--", "<td>", "<script "):
+        began = time.perf_counter()
+        text(unit * 40_000 + '"')
+        assert time.perf_counter() - began < 20  # linear: these took minutes if each were read to the end of the page
+
+
+_SENTENCE = "The harbour board, which had met twice that week, voted to keep the old crane where it stands. "
+#: Pages without landmarks, labelled by hand: blocks of the main text, and the others.
+HELD_OUT = [
+    (f'<body><div class="topbar"><a href=x>Home</a> <a href=x>Shop</a></div><div class="story-body"><h1>Crane to stay</h1><p>{_SENTENCE}</p><p>{_SENTENCE * 3}</p></div><div class="sidebar"><h3>Most read</h3><a href=x>Rain ahead</a></div><div id="footer">© 2024 Harbour News</div></body>', ["Crane to stay", _SENTENCE, _SENTENCE * 3]),
+    (f'<body><ul class="menu"><li><a href=x>One</a></li><li><a href=x>Two</a></li></ul><div id="content"><h2>A walk</h2><p>{_SENTENCE * 2}</p><ul><li>{_SENTENCE}</li><li>Bring water, and a hat.</li></ul><p>{_SENTENCE}</p></div><div class="comments"><p>Lovely, thank you for this!</p><p>We went there last year, and it rained.</p></div><form><label>Your name</label><button>Send</button></form></body>', ["A walk", _SENTENCE * 2, _SENTENCE, "Bring water, and a hat.", _SENTENCE]),
+    (f'<body><header><h1>The Site</h1></header><div class="cookie-notice">We use cookies.</div><div class="entry"><p>{_SENTENCE}</p><blockquote>{_SENTENCE}</blockquote><div class="ad">Buy two, pay for one.</div><p>{_SENTENCE * 2}</p></div><footer><p>Imprint. Privacy.</p></footer></body>', [_SENTENCE, _SENTENCE, _SENTENCE * 2]),
+    (f'<body><nav><a href=x>Start</a></nav><div class="post"><h1>Notes</h1><p>{_SENTENCE * 4}</p><p>{_SENTENCE}</p></div><div class="related"><a href=x>More notes</a><a href=x>Older notes</a></div><div class="newsletter widget"><p>Sign up for our letter.</p></div></body>', ["Notes", _SENTENCE * 4, _SENTENCE]),
+    (f'<body><table><tr><td class="menu"><a href=x>A</a><br><a href=x>B</a></td><td><h1>Old page</h1><p>{_SENTENCE * 2}</p><p>{_SENTENCE}</p></td></tr></table><div class="footer">Contact us</div></body>', ["Old page", _SENTENCE * 2, _SENTENCE]),
+]
+
+
+def test_pages_without_landmarks_held_out(spark):
+    """Precision and recall of the main blocks of pages that no training page looks like."""
+    field = pages.train(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    hit = found = wanted = 0
+    for html, main in HELD_OUT:
+        blocks = pages.leaf_blocks(html)
+        got = Counter(b.text for b, y in zip(blocks, field.decode(pages.features(blocks)), strict=True) if y)
+        expected = Counter(" ".join(x.split()) for x in main)
+        hit, found, wanted = hit + (got & expected).total(), found + got.total(), wanted + expected.total()
+    assert hit / found >= 0.9 and hit / wanted >= 0.9, (hit, found, wanted)
+
+
+def test_page_ids_stay_whole(spark):
+    big = (1 << 60) + 1
+    rows = spark.createDataFrame([(big, "u", "<article><p>One plain sentence, of some length.</p></article>"), (None, None, None)], "page_id long, url string, html string").coalesce(1)
+    assert {r.page_id for r in pages.extract(rows).collect()} == {big, None}
+
+
 def test_chain_field_learns_neighbours():
     """Labels that only a neighbour tells."""
     rng = random.Random(1)
@@ -367,3 +428,22 @@ def test_pipeline_keeps_short_lines_of_documents_without_long_ones(spark):
     docs = spark.createDataFrame([(k, t, 0) for k, t in rows], "doc_id long, text string, n_chars int")
     got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_dedup(spark, docs, SMALL).collect()}
     assert got == {1: (rows[0][1], len(rows[0][1])), 2: ("x = 1\n\ny = 2", 12), 5: ("short only", 10), 6: (None, None)}
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """An empty table, and one with nulls, blanks, repeated rows, a long text and columns whose names clash."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    schema = "doc_id long, text string, lang string, source string, n_chars int, dropped int, id string, text_key string, lang_pred string"
+    prose = "The old crane stood by the water for many years, and nobody in the town could say who had first put it there."
+    texts = [None, "", " \n\t", prose, prose, f"{prose} It was sold in spring.\n{prose}", prose + " word" * 3, " ".join(f"w{k}" for k in range(60_000)), "x"]
+    rows = [(k if k != 5 else None, t, "en" if k % 3 else None, None, len(t or ""), k, "i", "t", "l") for k, t in enumerate(texts)]
+    for name, some in (("none", []), ("all", [*rows, rows[3]])):
+        folder = tmp_path / name
+        spark.createDataFrame(some, schema).write.parquet(f"{folder}/documents.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for stage_name, stage in corpus_pipeline.STAGES[:-1]:
+            after = stage(spark, docs, str(folder))
+            assert after.columns == docs.columns and after.count() <= docs.count(), stage_name
+        got = corpus_pipeline.run(spark, str(folder)).collect()
+        assert (len(got) == 0) == (name == "none")
+        assert not {r.doc_id for r in got} & {0, 1, 2}
