@@ -200,15 +200,15 @@ def line_copies(tmp: Scratch, documents: DataFrame, distance: int = DISTANCE, mi
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(of), batch.column("document_key").take(of), pa.array(own.number.astype(np.int32)), pa.array(ids.astype(np.int64)), pa.array(check, pa.int64())], names=["doc_id", "document_key", "line", "id", "check"])
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, np.uint64)
+        seen: set[int] = set()
         for batch in release(batches):
             for _, own, prefix, ids in chunks(batch):
                 _, once = np.unique(ids, return_index=True)
                 once = once[(own.last - own.first)[once] >= min_chars]
-                new = once[~np.isin(ids[once], seen)]
+                new = once[[x not in seen for x in ids[once].tolist()]] if len(once) else once
                 if len(seen) > REMEMBERED:
-                    seen = seen[:0]
-                seen = np.concatenate((seen, ids[new]))
+                    seen.clear()
+                seen.update(ids[new].tolist())
                 if len(new):
                     buckets, owners = bucket_rows(prefix, own.only(new), ids[new], distance)
                     yield pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int64)), pa.array(owners.astype(np.int64))], names=["bucket", "id"])

@@ -202,6 +202,8 @@ SEEDS = [
     f'<body><div class="ad banner">Sale! Only today, only here.</div><div class="text"><p class=yes>{_P}</p><p class=yes>{_P}</p></div><div class="related"><a href=x>Other stories you may like</a></div><div class="share social"><a href=x>Share</a></div></body>',
     f'<body><table><tr><td class="nav"><a href=x>One</a></td><td class="body"><p class=yes>{_P}</p><p class=yes>{_P} {_P}</p><pre class=yes>some code here</pre></td></tr></table><form><p>Search the site</p></form><div class="footer"><p>© Contact, imprint, privacy.</p></div></body>',
     f'<body><main><h1 class=yes>Head</h1><div class="notice">This page has moved.</div><p class=yes>{_P}</p><form><p>Subscribe to our letter.</p></form><h2 class=yes>Part two</h2><p class=yes>{_P}</p></main><div class="comments"><div class="comment"><p>First!</p></div><div class="comment"><p>{_P}</p></div></div></body>',
+    f'<body><header><h1>The Gazette</h1><p>News of the valley</p></header><div class="main"><h2 class=yes>Three causes</h2><p class=yes>{_P}</p><ul><li class=yes>{_P}</li><li class=yes>The second, which is short.</li></ul><p class=yes>{_P}</p><ol><li class=yes>First step, then wait.</li><li class=yes>{_P}</li></ol></div><footer><p>Legal. Contact. Terms of use.</p><p>All prices with tax.</p></footer></body>',
+    f'<body><header><h1>A Blog</h1></header><ul class="navigation"><li><a href=x>Home</a></li><li><a href=x>Archive of posts</a></li></ul><div><h1 class=yes>Spring, at last</h1><p class=yes>{_P} {_P}</p><ul><li class=yes>Bread, cheese and a map.</li><li class=yes>{_P}</li></ul></div><footer><p>Written by hand. Imprint.</p></footer></body>',
 ]
 
 
