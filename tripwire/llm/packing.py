@@ -1,8 +1,8 @@
 """Packing of token pieces into sequences: dominance reduction, then best fit.
 
 Each document becomes its ids and an end id; only documents over ``capacity`` are cut, into pieces of ``capacity``
-ids of which the first may be shorter. Pieces are dealt by a hash of their content into groups of bounded size,
-and each group is packed on its own, so no task or driver sees them all; a group wastes a part of one sequence.
+ids of which the first may be shorter. Pieces are dealt by a hash of their content and of their row's number in its task into
+groups of bounded size, so that repeated rows part, and each group is packed on its own, so no task or driver sees them all; a group wastes a part of one sequence.
 
 Within a group sizes are counted. For the largest size still open, a set of pieces that provably dominates every
 other set with it is fixed: the piece alone where nothing fits beside it; with the piece that fills it exactly;
@@ -57,18 +57,18 @@ def token_pieces(documents: DataFrame, vocabulary: str, pattern: str, groups: in
     file = documents.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _encoding(file.value, pattern)
+        coder, row = _encoding(file.value, pattern), 0
         for batch in release(batches):
             keys, texts = batch.column(0), batch.column(1)
             for lo, hi in row_chunks(text_buffer(texts)[1]):
                 rows: list[tuple] = []
                 for key, text in zip(keys.slice(lo, hi - lo).to_pylist(), texts.slice(lo, hi - lo).to_pylist(), strict=True):
                     ids = np.array([*coder.encode(text or "", allowed_special="all"), end_id], "<u4")
-                    begin, k = 0, 0
+                    begin, k, row = 0, 0, row + 1
                     while begin < len(ids):
                         size = (len(ids) - begin) % capacity or capacity
                         crc = zlib.crc32(ids[begin : begin + size].tobytes())
-                        rows.append((key, k, begin, size, crc, zlib.crc32(f"{key} {k} {crc}".encode()) % groups))
+                        rows.append((key, k, begin, size, crc, zlib.crc32(f"{key} {k} {crc} {row}".encode()) % groups))
                         begin, k = begin + size, k + 1
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
 

@@ -10,7 +10,8 @@ verdict is not taken at all. References, and which words count as common, are co
 language.
 
 Edge cases: a null text has no words and fails; without any language in the table (or in an empty one) there is no
-reference and the base rules decide alone, distances being null; repeated rows each get their row; null ids stay;
+reference and the base rules decide alone, distances being null; references are as many as there are languages, a few
+hundred at most; repeated rows each get their row; null ids stay;
 texts are read whole; other columns are ignored (``accepted`` keeps
 them as they are).
 """
