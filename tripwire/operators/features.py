@@ -87,7 +87,7 @@ def version_changes(rows: DataFrame) -> DataFrame:
 
 
 #: Rows that a bucket and the rows before it hold at most, if they come evenly; no bucket is shorter than the baseline window.
-BUCKET_ROWS = 100_000
+BUCKET_ROWS = 10_000
 
 
 def bucket_spans(events: DataFrame, baseline_s: float = C.BASELINE_S, rows: int = BUCKET_ROWS) -> DataFrame:
