@@ -245,7 +245,7 @@ def line_copies(tmp: Scratch, documents: DataFrame, distance: int = DISTANCE, mi
         left, right = (contents.select(F.col("id").alias(x), F.col("content").alias(f"{x}_line")) for x in "ab")
         return pairs.join(left, "a").join(right, "b").mapInArrow(verified, "a long, b long").distinct()
 
-    found, _ = classes(tmp, crowded(texts.select("text").mapInArrow(placed, "bucket long, id long")), contents_of, verify)
+    found, _ = classes(tmp, crowded(texts.select("text").mapInArrow(placed, "bucket long, id long")), contents_of, verify, sketched=False)
     classed = named.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     firsts = classed.groupBy("component").agg(F.min(F.struct("first.doc_id", "first.document_key", "first.line")).alias("class_first"), F.sum("n").alias("in_class")).filter("in_class > 1")
     copied = classed.join(firsts, "component").select("id", F.col("first.check").alias("id_check"), "class_first")

@@ -4,8 +4,9 @@ Buckets are rows (bucket, id). Two items may be linked only if they share a buck
 has a set of elements and a slack: the sets of linked items differ in at most as many elements as either's slack.
 Since only the classes are wanted, not all pairs of a bucket need verifying:
 
-1. in buckets of at most ``SMALL`` items, all pairs that share enough buckets: an odd bucket is one of at least
-   ``ODD_SHARED`` that linked items share, so fewer are no reason to verify, unless they also share a larger bucket;
+1. in buckets of at most ``SMALL`` items, all pairs that share enough buckets (an odd bucket is one of at least
+   ``ODD_SHARED`` that linked items share, so fewer are no reason to verify, unless they also share a larger bucket) and whose
+   sketches leave a link open;
 2. in larger buckets, each item with the most typical item that stands first in one of its buckets (one pair an item);
    typical is what shares many buckets with others, and the most typical item of a bucket stands first in it;
 3. in larger buckets whose items are not yet of one class, each item with the bucket's first item f;
@@ -43,7 +44,7 @@ Verify = Callable[[DataFrame, DataFrame], DataFrame]
 #: Items of a bucket whose pairs are all looked at, and how many odd buckets linked items share at least.
 SMALL, ODD_SHARED = 16, 3
 #: 64-bit words of a sketch.
-SKETCH = 4
+SKETCH = 16
 #: Items, about, that tell which differences from a first item are common: those that over one in ``OFTEN`` has.
 SAMPLE, OFTEN = 256, 40
 #: Columns that ``sets_of`` gives beside others: sizes of linked items differ by ``reach`` at most, their elements by ``slack``,
@@ -98,7 +99,7 @@ def components(tmp: Scratch, edges: DataFrame) -> DataFrame:
 def sketch(elements: np.ndarray) -> np.ndarray:
     """``SKETCH`` words: bit k is whether the set has an odd number of elements in bin k. Sets differ in at least as many
     elements as their sketches in bits."""
-    odd = np.bincount((mix(elements.astype(np.uint64)) >> np.uint64(56)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    odd = np.bincount((mix(elements.astype(np.uint64)) % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -165,7 +166,13 @@ def similar() -> Column:
     return (F.abs(F.col("a_size") - F.col("b_size")) <= F.least("a_reach", "b_reach")) & (bits <= F.least("a_spread", "b_spread"))
 
 
-def classes(tmp: Scratch, members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], verify: Verify) -> tuple[DataFrame, DataFrame]:
+def traits(sets: DataFrame, side: str) -> DataFrame:
+    """What ``similar`` compares of each item, as columns of one side."""
+    columns = ["size", "reach", "spread", *(f"s{k}" for k in range(SKETCH))]
+    return sets.select(F.col("id").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in columns))
+
+
+def classes(tmp: Scratch, members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], verify: Verify, sketched: bool = True) -> tuple[DataFrame, DataFrame]:
     """((id, component) of linked items, the verified links (a, b)) from the rows of ``crowded``.
 
     ``sets_of`` gives the columns of ``SETS`` (elements sorted and distinct) and others of rows (id, compared); only
@@ -184,6 +191,8 @@ def classes(tmp: Scratch, members: DataFrame, sets_of: Callable[[DataFrame], Dat
     sets = tmp.stored(sets_of(once.groupBy("id").agg(F.max("compared").alias("compared"))))
     tmp.drop(counted)
 
+    if sketched:
+        met = tmp.stored(met.join(traits(sets, "a"), "a").join(traits(sets, "b"), "b").filter(similar()).select("a", "b"))
     typical = pairs_of(large.filter("id <> first").groupBy("id").agg(F.max(F.struct("shares", "first")).alias("best")).select("id", "best.first"))
     links = tmp.stored(verify(tmp.stored(met.union(typical).distinct()), sets))
     found = components(tmp, links)
@@ -214,10 +223,10 @@ def classes(tmp: Scratch, members: DataFrame, sets_of: Callable[[DataFrame], Dat
         apart = open_.filter("id <> first").select("first", "id")
         rows = apart.join(base, "first").join(common_differences(apart, base, sets), "first", "left").join(sets, "id")
         leading = tmp.stored(leading_differences(rows))
-        traits = sets.select("id", "size", "reach", "slack", "spread", *(f"s{k}" for k in range(SKETCH)))
         # a stored table's columns by side, so that the sketches are compared in the join itself
-        sides = tmp.stored(classed(leading).join(traits, "id"))
-        left, right = (sides.select("first", "element", "near", *(F.col(c).alias(x if c == "id" else f"{x}_{c}") for c in ("id", "component", *traits.columns[1:]))) for x in "ab")
+        columns = [c for c in sets.columns if c not in ("id", "elements", "content")]
+        sides = tmp.stored(classed(leading).join(sets.select("id", *columns), "id"))
+        left, right = (sides.select("first", "element", "near", *(F.col(c).alias(x if c == "id" else f"{x}_{c}") for c in ("id", "component", *columns))) for x in "ab")
         differ = (F.col("a_component") != F.col("b_component")) & similar()
         alike = left.filter("near < 0").join(right.filter("near < 0"), ["first", "element"]).filter((F.col("a") < F.col("b")) & differ)
         tiny = left.filter("near >= 0 and 2 * near <= a_slack").withColumn("near", F.explode(F.sequence("near", F.col("a_slack") - F.col("near"))))
