@@ -103,10 +103,15 @@ class PartEnum:
     def parts(self, band: int) -> int:
         """How many parts the domain has for a band: an even number, more than its differences spoil."""
         if band not in self.known_parts:
-            k, size = self.differences(band), self.band_start(band)
+            k, size = self.differences(band), max(self.band_start(band) * self.percent // 100, 1)
             p = k + 9 + k % 2
-            # until the empty parts that a set of the band has, and three deviations, need no signature
-            while p < 2 * k + 10 and p - k - 3 < (empty := p * math.exp(-size / p)) + 3 * math.sqrt(empty):
+
+            def empty_at_most(p: int) -> float:
+                """Empty parts of the smallest sets that sign in the band: their mean and four deviations."""
+                none, load = math.exp(-size / p), size / p
+                return p * none + 4 * math.sqrt(p * none * (1 - (1 + load) * none))
+
+            while p < 5 * k and p - k - 3 < empty_at_most(p):
                 p += 2
             self.known_parts[band] = 1 if k == 0 else k + 2 if k <= self.SMALL else p + p % 2
         return self.known_parts[band]
