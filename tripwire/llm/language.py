@@ -221,14 +221,13 @@ def has_letter(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def judged(trees: ContextTrees | None, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(language, score, bits per byte or NaN) of each text; the score is its share among the languages' likelihoods per 64 bytes."""
     raw, offsets, _ = text_buffer(column)
-    letters = has_letter(raw, offsets)
     names, scores, rates = [], np.zeros(len(column)), np.full(len(column), np.nan)
     for lo, hi in row_chunks(offsets, _BYTES_AT_ONCE):
         if trees is None:
             names += ["und"] * (hi - lo)
             continue
         bits, size = trees.bits(raw, offsets[lo : hi + 1]), np.maximum(np.diff(offsets[lo : hi + 1]), 1)
-        best, least, ok = bits.argmin(1), bits.min(1), letters[lo:hi]
+        best, least, ok = bits.argmin(1), bits.min(1), has_letter(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
         per = np.exp2((least[:, None] - bits) / np.maximum(size / 64, 1)[:, None])
         scores[lo:hi] = np.where(ok, 1 / per.sum(1), 0)
         rates[lo:hi] = np.where(ok, least / size, np.nan)
