@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripwire.llm import bpe, chat, language, license, lines, neighbours, packing, pages, partenum, quality
+from tripwire.llm import audit, bpe, chat, language, license, lines, loglinear, neighbours, packing, pages, partenum, quality, runs
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,34 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.similar_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def _with_repeated_ends(documents: DataFrame) -> DataFrame:
+    """doc_id and text; for ids whose hash is a multiple of ten, the words from some place on repeat a passage that begins there."""
+    g, n = F.floor(language.id_crc() / 10), F.size("words")
+    rows = documents.select("doc_id", "text", (language.id_crc() % 10 == 0).alias("chosen"), g.alias("g"))
+    cut = rows.withColumn("words", F.when(F.col("chosen"), F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")))
+    placed = cut.withColumn("a", F.when(n > 0, F.col("g") % n)).withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)))
+    repeated = F.transform("words", lambda x, i: F.when(i < F.col("a"), x).otherwise(F.get("words", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    return placed.select("doc_id", F.when(F.col("chosen") & (n > 0), F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.collapse(_with_repeated_ends(_table(spark, sf_dir, "documents")))
+    # exponents are compared as fractions; of equal ones the first run is taken, and they stand by start and period
+    order = lambda x, y: F.when(x["length"] * y["period"] != y["length"] * x["period"], F.signum(y["length"] * x["period"] - x["length"] * y["period"]).cast("int")).when(x["start"] != y["start"], F.signum(x["start"] - y["start"]).cast("int")).otherwise(F.signum(x["period"] - y["period"]).cast("int"))
+    best = F.get(F.array_sort("runs", order), 0)
+    spelled = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(spelled, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return rows.select("doc_id", "n_runs", "best.*", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_loglinear_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return loglinear.score(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_divergence": op1_quality_divergence,
     "op2_html_main_text": op2_html_main_text,
@@ -73,6 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ivf_pq": op8_ivf_pq,
     "op9_line_dedup": op9_line_dedup,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_loglinear_scores": op13_loglinear_scores,
 }
 
 _UPPER, _LOWER = license._UPPER, license._LOWER
@@ -148,4 +179,18 @@ met AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both_ FROM shingles a J
 links AS (SELECT x, y FROM met JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * both_ >= 90 * (p.n + q.n - both_)),
 reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, links.y FROM reach JOIN links ON links.x = reach.other)
 SELECT r.doc_id AS doc_id, coalesce(any_value(sizes.n), 0) AS n_shingles, min(r.other) AS component_id FROM reach r LEFT JOIN sizes ON sizes.doc_id = r.doc_id GROUP BY r.doc_id""",
+    "op12_filter_audit": rf"""
+WITH doc AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+firsts AS (SELECT x, min(doc_id) AS first FROM doc GROUP BY x),
+flags AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+masks AS (SELECT part, good, toxic, CASE WHEN len(w) < {audit.MIN_WORDS} THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < {audit.DISTINCT_PERCENT} * len(w) THEN 2 ELSE 0 END
+  + CASE WHEN 100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > {audit.CAPITAL_PERCENT} * length(x) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(x, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN first < doc_id THEN 16 ELSE 0 END AS mask
+  FROM doc JOIN firsts USING (x) LEFT JOIN flags USING (doc_id)),
+cells AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM masks GROUP BY part, mask),
+letters(l, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (SELECT a.l || b.l || c.l || d.l || e.l AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits FROM letters a, letters b, letters c, letters d, letters e WHERE a.b + b.b + c.b + d.b + e.b = 31),
+steps AS (SELECT filter_order, step, filter_order[step] AS letter, bits[step] AS bit, CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS BIGINT) AS earlier FROM orders, range(1, 6) r(step)),
+counted AS (SELECT part, filter_order, letter, CAST(step AS INTEGER) AS step, sum(n) FILTER (mask & (earlier | bit) = 0) AS kept, sum(n) FILTER (mask & earlier = 0 AND mask & bit > 0) AS removed, sum(n) FILTER (mask & earlier > 0 AND mask & bit > 0) AS redundant,
+  sum(n) FILTER (mask = bit) AS unique_fails, sum(good) FILTER (mask & earlier = 0 AND mask & bit > 0) AS good_lost, sum(toxic) FILTER (mask & earlier = 0 AND mask & bit > 0) AS toxic_lost FROM cells CROSS JOIN steps GROUP BY ALL)
+SELECT part, filter_order, step, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in audit.COUNTED)}, CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM counted""",
 }
