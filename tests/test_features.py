@@ -166,7 +166,9 @@ def test_drift_monitor_over_micro_batches(spark):
     from tripwire.operators import drift
 
     assert monitor.windows(spark).orderBy("window_id").collect() == drift.drift_windows(splits.healthy(t), t, window=300).orderBy("window_id").collect()
-    assert spark.read.parquet(f"{folder}/open/batch=3").count() == t.count() % 300  # only the open block is carried
+    # only the open block and the count are carried, and the tables of the last two batches
+    assert spark.read.parquet(f"{folder}/open/batch=3").count() == t.count() % 300 + 1
+    assert {r[0] for r in spark.read.parquet(f"{folder}/open").select("batch").distinct().collect()} == {2, 3}
 
 
 def test_stream_of_decisions_equals_batch(spark):

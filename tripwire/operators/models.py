@@ -106,7 +106,7 @@ def fit_forest(rows: DataFrame, trees: int = 200, sample: int = 256, contaminati
     columns = columns or C.ANOMALY_FEATURES
     n = rows.count()
     if not n:
-        raise ValueError("no healthy ticks")
+        raise ValueError("a detector needs rows without an incident")
     # a row is in tree t with probability sample / n: it draws how many trees, then which, by hashes
     share = min(1.0, sample / n)
     drawn = rows.select("seq", *columns, F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64(F.lit(seed), t, "seq"), F.lit(1 << 30)) < int(share * (1 << 30)))).alias("tree"))
@@ -138,7 +138,7 @@ def fit_outcomes(rows: DataFrame, least: int = 20, trees: int = 20, seed: int =
     """One regression of the outcome per action (rows: seq, features, action, outcome); small arms have none."""
     arms = {r["action"]: r["n"] for r in rows.groupBy("action").agg(F.count("*").alias("n")).collect()}
     if arms.get("none", 0) < least:
-        raise ValueError("no untreated arm to compare with")
+        raise ValueError("outcome models need rows with the action none")
     fitted = {}
     for action in C.ACTIONS:
         if arms.get(action, 0) >= least:

@@ -14,7 +14,7 @@ from tripwire.operators.ranks import floor_index_quantiles
 from tripwire.plans import fixtures as X
 from tripwire.sources import telemetry as source
 from tripwire.sources.storage import shared_folder
-from tripwire.streaming import live
+from tripwire.streaming import ledger, live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -574,7 +574,7 @@ def action_spend(t):
     return metrics.action_spend(_by_effect(t)).select("action", "n", *r6("spend"))
 
 
-# --- models and streams: no SQL says the same
+# --- models and streams; no SQL says the same of models
 
 
 @query()
@@ -610,25 +610,57 @@ def stream_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.run_to_end(live.features(_stream(spark, sf_dir))).select("seq", "ts", "service", *r6(*C.FEATURES))
 
 
+def _logged(spark: SparkSession, rows: DataFrame, log: str, **options) -> DataFrame:
+    """Appends rows to a log of files and returns the log as a stream."""
+    rows.write.mode("append").parquet(log)
+    return spark.readStream.schema(rows.schema).options(**options).parquet(log)
+
+
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream in which a third of the offsets is delivered twice: what is left, and how many repeats there were."""
     live.rocks(spark)
     twice = lambda rows: rows.union(rows.filter("seq % 3 = 0"))
-    unique = live.run_to_end(live.deduplicated(twice(_stream(spark, sf_dir))))
-    return live.deduplicated_counts(twice(X.telemetry(spark, sf_dir)), unique)
+    unique, progress = live.run_with_progress(live.deduplicated(twice(_stream(spark, sf_dir))))
+    return live.deduplicated_counts(twice(X.telemetry(spark, sf_dir)), unique, progress).select("delivered", "processed", "duplicates")
 
 
 def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every tenth row comes after the others: features of those that are not too late, and how many are dropped."""
+    """Every tenth row comes after the others, a restart between: features of those that are not too late, and how many are dropped."""
     live.rocks(spark)
     t, folder = X.telemetry(spark, sf_dir), shared_folder(spark)
-    done = []
     for rows in (t.filter("seq % 10 <> 0"), t.filter("seq % 10 = 0")):
-        rows.write.mode("append").parquet(f"{folder}/log")
-        stream = live.features(spark.readStream.schema(t.schema).parquet(f"{folder}/log"), late_s=600.0)
-        done.append(live.run_with_progress(stream, f"{folder}/checkpoint", f"{folder}/rows"))
-    progress = done[0][1].union(done[1][1]).agg(F.sum("dropped_late").alias("dropped_late"))
-    return done[1][0].agg(F.count("*").alias("processed")).join(F.broadcast(progress))
+        stream = live.features(_logged(spark, rows, f"{folder}/log"), late_s=600.0)
+        written = live.run_to_end(stream, f"{folder}/checkpoint", f"{folder}/rows")
+    late = ledger.totals(ledger.lines(spark, live.ledger_of(f"{folder}/checkpoint"))).select(F.col("late").alias("dropped_late"))
+    return written.agg(F.count("*").alias("processed")).join(F.broadcast(late))
+
+
+def stream_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of each delivery: a first run without every tenth row and with some rows twice, then every third row, some of them too late."""
+    live.rocks(spark)
+    t, folder = X.telemetry(spark, sf_dir), shared_folder(spark)
+    first = t.filter("seq % 10 <> 0")
+    for rows in (first.union(first.filter("seq % 7 = 0")), t.filter("seq % 3 = 0")):
+        stream = live.deliveries(_logged(spark, rows, f"{folder}/log"), late_s=600.0)
+        told = live.run_to_end(stream, f"{folder}/checkpoint", f"{folder}/rows")
+    return live.fates(told)
+
+
+#: Files of the log that ``stream_ledger`` reads one by one: more than a query remembers reports.
+_FILES = 110
+
+
+def stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of a stream that reads a file at a time and is restarted midway: micro-batches, and rows in all and in the smallest and largest of them."""
+    t, folder = X.telemetry(spark, sf_dir), shared_folder(spark)
+    parts = t.withColumn("part", F.pmod("seq", F.lit(_FILES)))
+    for rows in (parts.filter(F.col("part") < _FILES // 2), parts.filter(F.col("part") >= _FILES // 2)):
+        rows.repartition("part").write.mode("append").partitionBy("part").parquet(f"{folder}/log")
+        log = spark.readStream.schema(t.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{folder}/log")
+        live.run_to_end(log.select("seq", "latency_ms"), f"{folder}/checkpoint", f"{folder}/rows")
+    told = ledger.lines(spark, live.ledger_of(f"{folder}/checkpoint"))
+    sizes = told.agg(F.min("rows").alias("smallest"), F.max("rows").alias("largest"))
+    return ledger.totals(told).select("batches", "rows", "late").join(F.broadcast(sizes))
 
 
 def stream_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -636,6 +668,16 @@ def stream_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.monitor(_stream(spark, sf_dir), splits.healthy(X.telemetry(spark, sf_dir)), shared_folder(spark))
 
 
+def stream_drift_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drift monitor over a stream that lacks every eleventh row and is restarted midway: blocks are of the rows that arrive."""
+    t, folder = X.telemetry(spark, sf_dir), shared_folder(spark)
+    middle = t.agg((F.max("seq") / 2).alias("middle"))
+    rows = t.filter("seq % 11 <> 0").join(F.broadcast(middle))
+    for part in (rows.filter("seq < middle"), rows.filter("seq >= middle")):
+        judged = live.monitor(_logged(spark, part.drop("middle"), f"{folder}/log"), splits.healthy(t), f"{folder}/drift")
+    return judged
+
+
 def stream_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seconds of a run's micro-batches, and rows a second."""
     return live.run_profile(live.run_with_progress(_stream(spark, sf_dir).select("seq", "latency_ms"))[1])
@@ -679,13 +721,18 @@ def snapshot_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select(F.explode(listed).alias("s")).select("s.*")
 
 
-QUERIES |= {x.__name__: x for x in (stream_features, stream_dedup, stream_late, stream_drift, stream_profile, stream_pipeline, snapshot_report)}
+QUERIES |= {x.__name__: x for x in (stream_features, stream_dedup, stream_late, stream_deliveries, stream_ledger, stream_drift, stream_drift_gaps, stream_profile, stream_pipeline, snapshot_report)}
 ORACLES |= {
     "stream_features": ORACLES["features_full"],
     "stream_drift": ORACLES["drift_windows"],
     "stream_dedup": f"WITH {X.TELEMETRY_SQL} SELECT count(*) + count(*) FILTER (seq % 3 = 0) AS delivered, count(*) AS processed, count(*) FILTER (seq % 3 = 0) AS duplicates FROM telemetry",
     "stream_late": f"""WITH {X.TELEMETRY_SQL}, late AS (SELECT count(*) AS n FROM telemetry WHERE seq % 10 = 0 AND ts <= (SELECT max(ts) FROM telemetry WHERE seq % 10 <> 0) - 600)
       SELECT (SELECT count(*) FROM telemetry) - n AS processed, n AS dropped_late FROM late""",
+    "stream_deliveries": f"""WITH {X.TELEMETRY_SQL}, told AS (SELECT 'new' AS fate FROM telemetry WHERE seq % 10 <> 0 UNION ALL SELECT 'repeat' FROM telemetry WHERE seq % 10 <> 0 AND seq % 7 = 0
+      UNION ALL SELECT CASE WHEN ts <= (SELECT max(ts) FROM telemetry WHERE seq % 10 <> 0) - 600 THEN 'late' WHEN seq % 10 <> 0 THEN 'repeat' ELSE 'new' END FROM telemetry WHERE seq % 3 = 0)
+      SELECT count(*) AS delivered, count(*) FILTER (fate = 'new') AS processed, count(*) FILTER (fate = 'repeat') AS repeats, count(*) FILTER (fate = 'late') AS late FROM told""",
+    "stream_ledger": f"WITH {X.TELEMETRY_SQL}, files AS (SELECT count(*) AS n FROM telemetry GROUP BY seq % {_FILES}) SELECT count(*) AS batches, CAST(sum(n) AS BIGINT) AS rows, CAST(0 AS BIGINT) AS late, min(n) AS smallest, max(n) AS largest FROM files",
+    "stream_drift_gaps": ORACLES["drift_windows"].replace("SELECT seq // 600 AS w, latency_ms AS x FROM telemetry", "SELECT (row_number() OVER (ORDER BY seq) - 1) // 600 AS w, latency_ms AS x FROM telemetry WHERE seq % 11 <> 0"),
     "snapshot_report": " UNION ALL ".join(
         f"SELECT '{section}' AS section, CAST(count(*) AS INT) AS rows, round(CAST(sum({figure}) AS DOUBLE), 6) AS total FROM ({ORACLES[name]})"
         for section, name, figure in (("sizes", "distinct_counts", "services"), ("classifier", "class_report", "f1"), ("reasoning", "resolve_report", "macro_f1"), ("policies", "policy_compare", "value"), ("pipeline", "action_spend", "spend"), ("feed", "decision_feed", "seq"))

@@ -9,13 +9,16 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tripwire.functions import conformal, logs
 from tripwire.functions import constants as C
 from tripwire.operators import decision, drift, metrics, models
 from tripwire.operators.features import OUT, windowed
-from tripwire.sources.storage import shared_folder
+from tripwire.operators.ranks import with_rank
+from tripwire.sources.storage import Scratch, delete, shared_folder
+from tripwire.streaming.ledger import Ledger, lines, totals
 
 
 def rocks(spark: SparkSession) -> None:
@@ -23,12 +26,16 @@ def rocks(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+#: Second 0 of a stream, in milliseconds of event time: a day after the epoch, where the watermark starts.
+_START_MS = 86_400_000
+
+
 def on_time(events: DataFrame, late_s: float) -> DataFrame:
     """Events with an event time and a watermark: rows later than it are dropped by stateful operators.
 
-    Second 0 of the stream is a day after the epoch, where the watermark starts.
+    The event time of second 0 is ``_START_MS``.
     """
-    return events.withColumn("event_time", F.timestamp_seconds(F.col("ts") + 86_400)).withWatermark("event_time", f"{late_s} seconds")
+    return events.withColumn("event_time", F.timestamp_seconds(F.col("ts") + _START_MS // 1000)).withWatermark("event_time", f"{late_s} seconds")
 
 
 def deduplicated(events: DataFrame, late_s: float = 3600.0) -> DataFrame:
@@ -122,47 +129,122 @@ def run_to_end(stream: DataFrame, checkpoint: str | None = None, out: str | None
 
 
 def run_with_progress(stream: DataFrame, checkpoint: str | None = None, out: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(what the stream wrote, its progress: batch, rows, seconds and dropped_late of each micro-batch)."""
+    """(what the stream wrote, the ledger's lines of this run); the ledger is in the checkpoint's folder and goes on when the query does."""
     spark = stream.sparkSession
-    out = out or shared_folder(spark)
-    query = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint or shared_folder(spark)).option("path", out).outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    rows = [(p["batchId"], p["numInputRows"], p["durationMs"].get("triggerExecution", 0) / 1000, sum(s["numRowsDroppedByWatermark"] for s in p["stateOperators"])) for p in query.recentProgress]
-    progress = spark.createDataFrame(rows, "batch long, rows long, seconds double, dropped_late long")  # one row per micro-batch
-    return spark.read.schema(stream.schema).parquet(out), progress
+    out, checkpoint = out or shared_folder(spark), checkpoint or shared_folder(spark)
+    with Ledger(spark, ledger_of(checkpoint)) as ledger:
+        query = ledger.start(stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", out).outputMode("append").trigger(availableNow=True))
+        ledger.finish(query)
+    return spark.read.schema(stream.schema).parquet(out), lines(spark, ledger_of(checkpoint)).filter(F.col("run") == str(query.runId))
+
+
+def ledger_of(checkpoint: str) -> str:
+    return f"{checkpoint}/ledger"
 
 
 def run_profile(progress: DataFrame) -> DataFrame:
-    """Latency of micro-batches and rows a second over a run, and how many rows came too late."""
-    totals = progress.agg(F.sum("rows").alias("rows"), F.try_divide(F.sum("rows"), F.sum("seconds")).alias("rows_per_second"), F.sum("dropped_late").alias("dropped_late"))
-    return metrics.latency_profile(progress, "seconds").join(F.broadcast(totals))
+    """Latency of micro-batches and rows a second over all lines of a ledger, or a run's, and how many rows came too late."""
+    sums = totals(progress).select("rows", F.try_divide("rows", "seconds").alias("rows_per_second"), F.col("late").alias("dropped_late"))
+    return metrics.latency_profile(progress, "seconds").join(F.broadcast(sums))
 
 
-def deduplicated_counts(delivered: DataFrame, unique: DataFrame) -> DataFrame:
-    """How many rows were delivered, how many of them were repeats, and how many are left."""
+def deduplicated_counts(delivered: DataFrame, unique: DataFrame, progress: DataFrame) -> DataFrame:
+    """How many rows were delivered and are left, and how many of the others were repeats, and how many came too late."""
     left = unique.agg(F.count("*").alias("processed"))
-    return delivered.agg(F.count("*").alias("delivered")).join(F.broadcast(left)).select("delivered", "processed", (F.col("delivered") - F.col("processed")).alias("duplicates"))
+    dropped = totals(progress).select(F.col("repeats").alias("duplicates"), F.col("late").alias("dropped_late"))
+    return delivered.agg(F.count("*").alias("delivered")).join(F.broadcast(left)).join(F.broadcast(dropped))
+
+
+#: Seconds of event time whose offsets are remembered together, and offsets of a page.
+SLICE_S, PAGE = 300.0, 8192
+
+
+class Deliveries(StatefulProcessor):
+    """What becomes of each delivery of a row: ``new``, ``repeat``, or ``late``, which is at or before the watermark.
+
+    The key is a service and a slice of event time. The state is a map from pages of offsets to bits of those seen, so a
+    micro-batch reads the pages of its own rows only; once the watermark has passed a slice, all that may come for it is late,
+    and its timer clears it.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.seen = handle, handle.getMapState("seen", "page long", "bits binary")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        mark = timerValues.getCurrentWatermarkInMs()
+        for pdf in rows:
+            late, seq = pdf["at_ms"].to_numpy() <= mark, pdf["seq"].to_numpy()
+            repeat = pdf["seq"].where(~late).duplicated().to_numpy() & ~late
+            page, fresh = seq // PAGE, ~late & ~repeat
+            for p in np.unique(page[fresh]).tolist():
+                own = np.flatnonzero(fresh & (page == p))
+                known = self.seen.getValue((p,))[0] if self.seen.containsKey((p,)) else bytes(PAGE // 8)
+                bits = np.unpackbits(np.frombuffer(known, np.uint8))
+                repeat[own] = bits[seq[own] % PAGE] > 0
+                bits[seq[own] % PAGE] = 1
+                self.seen.updateValue((p,), (np.packbits(bits).tobytes(),))
+            yield pdf.drop(columns=["at_ms", "slice"]).assign(fate=np.where(late, "late", np.where(repeat, "repeat", "new")))
+        end = int((key[1] + 1) * SLICE_S * 1000) + _START_MS
+        if end > mark:
+            self.handle.registerTimer(end)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.seen.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def deliveries(events: DataFrame, late_s: float = 3600.0) -> DataFrame:
+    """All rows of a stream of events, each with its ``fate``; the rows that are ``new`` are those that ``deduplicated`` leaves.
+
+    A row is late if it is older than the newest row of the micro-batches before by ``late_s`` or more. The operator
+    sees late rows because their event time is not handed to it as such.
+    """
+    timed = on_time(events, late_s).withColumn("at_ms", F.unix_millis("event_time")).drop("event_time")
+    keyed = timed.withColumn("slice", F.floor(F.col("ts") / SLICE_S))
+    schema = T.StructType([*events.schema.fields, T.StructField("fate", T.StringType())])
+    return keyed.groupBy("service", "slice").transformWithStateInPandas(Deliveries(), schema, "append", "eventTime")
+
+
+def fates(delivered: DataFrame) -> DataFrame:
+    """Of rows with a fate: how many were delivered, processed, repeats and late."""
+    count = lambda fate: F.count_if(F.col("fate") == fate)
+    return delivered.agg(F.count("*").alias("delivered"), count("new").alias("processed"), count("repeat").alias("repeats"), count("late").alias("late"))
 
 
 class DriftMonitor:
-    """Judges each block of ``window`` rows in stream order as soon as it is full: for ``foreachBatch``.
+    """Judges each block of ``window`` rows in the order of their arrival as soon as it is full: for ``foreachBatch``.
 
-    Rows of blocks that aren't full are carried from batch to batch in a table; full blocks are judged once, from
-    the carried rows and the batch's own, and written. A batch that is repeated after a failure starts from the same carried
-    rows and overwrites its own tables. Rows come once each (``deduplicated``).
+    Rows are numbered as they arrive: within a micro-batch by seq, with ranks from sums over partitions, and after the rows of
+    those before, whose number is carried. So rows that never come shift the blocks and leave none open. The rows of the
+    one open block are carried with their numbers in a table of the batch, and tables before the last are deleted. A batch
+    that is repeated after a failure starts from the same carried rows and overwrites its own tables. Rows come
+    once each (``deduplicated``).
     """
 
     def __init__(self, reference: DataFrame, folder: str, metric: str = "latency_ms", window: int = C.DRIFT_WINDOW):
         self.judge, self.folder, self.metric, self.window = drift.Judge(reference, metric), folder, metric, window
 
     def observe(self, batch: DataFrame, batch_id: int) -> None:
-        spark, rows = batch.sparkSession, batch.select("seq", F.col(self.metric))
-        if batch_id:
-            rows = rows.unionByName(spark.read.schema(rows.schema).parquet(f"{self.folder}/open/batch={batch_id - 1}"))
-        blocks = rows.withColumn("window_id", F.floor(F.col("seq") / self.window))
-        full = blocks.groupBy("window_id").agg(F.count("*").alias("n")).filter(F.col("n") == self.window).select("window_id")
-        self.judge.windows(blocks.join(F.broadcast(full), "window_id"), self.window).write.mode("overwrite").parquet(f"{self.folder}/judged/batch={batch_id}")
-        blocks.join(F.broadcast(full), "window_id", "left_anti").drop("window_id").write.mode("overwrite").parquet(f"{self.folder}/open/batch={batch_id}")
+        spark, schema = batch.sparkSession, f"seq long, {self.metric} double, place long"
+        carried = spark.read.schema(schema).parquet(self._open(batch_id - 1)) if batch_id else spark.createDataFrame([], schema)
+        with Scratch(spark) as tmp:
+            # a row without a seq stands for how many came before
+            before = carried.filter("seq is null").agg(F.coalesce(F.max("place"), F.lit(0))).first()[0]
+            ranked = with_rank(batch.select("seq", F.col(self.metric).cast("double")), "seq", name="place", tmp=tmp)
+            total = before + ranked.count()
+            rows = carried.filter("seq is not null").unionByName(ranked.withColumn("place", F.col("place") + before))
+            blocks, full = rows.withColumn("window_id", F.floor(F.col("place") / self.window)), total // self.window
+            self.judge.windows(blocks.filter(F.col("window_id") < full), self.window, order="place").write.mode("overwrite").parquet(f"{self.folder}/judged/batch={batch_id}")
+            count = spark.createDataFrame([(None, None, total)], schema)
+            blocks.filter(F.col("window_id") >= full).drop("window_id").unionByName(count).write.mode("overwrite").parquet(self._open(batch_id))
+        if batch_id > 1:
+            delete(spark, self._open(batch_id - 2))
+
+    def _open(self, batch_id: int) -> str:
+        return f"{self.folder}/open/batch={batch_id}"
 
     def windows(self, spark: SparkSession) -> DataFrame:
         """The blocks judged so far."""
@@ -170,7 +252,7 @@ class DriftMonitor:
 
 
 def monitor(events: DataFrame, reference: DataFrame, folder: str, window: int = C.DRIFT_WINDOW) -> DataFrame:
-    """Runs a drift monitor over a stream to its end and returns the blocks that it judged."""
+    """Runs a drift monitor over a stream to its end and returns the blocks that it judged; called again, it goes on."""
     watch = DriftMonitor(reference, f"{folder}/blocks", window=window)
     events.writeStream.foreachBatch(watch.observe).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     try:
