@@ -3,6 +3,7 @@
 import base64
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 from hashlib import sha256
@@ -278,6 +279,21 @@ def test_bpe_classes_cover_all_codepoints():
     assert all(ids[at[k] : at[k + 1]].tolist() == library.encode_ordinary(t) for k, t in enumerate(texts))
 
 
+def test_bpe_classes_are_the_librarys():
+    """Each codepoint between others of every class, where a lost or added boundary shows; and letters that Python's own tables may lack."""
+    own = bpe.Encoder(open(P.path("byte_bpe_multi_50k.tiktoken"), "rb").read())
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    counts = np.bincount(bpe.codepoint_classes(), minlength=5)
+    assert counts[1] > 141_000 and counts[2] > 1_900 and counts[4] == 25
+    rng = random.Random(3)
+    newer = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and bpe.codepoint_classes()[c] in (1, 2) and unicodedata.category(chr(c)) == "Cn"]
+    letters = [*newer, *rng.sample(range(0x3400, 0xD7A3), 2000), *rng.sample(range(0x80, 0x3000), 2000)]
+    texts = ["".join(chr(c) for c in rng.choices(letters, k=rng.randrange(2, 5))) for _ in range(30_000)] + [chr(0x143C8) + chr(0xBD1B)]
+    ids, sizes = own.encode(texts)
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    assert all(ids[at[k] : at[k + 1]].tolist() == library.encode_ordinary(t) for k, t in enumerate(texts))
+
+
 def test_packing_is_whole_gapless_and_tight(spark, documents, edges):
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     special = spark.createDataFrame([(3000, "a<|endoftext|>b"), (3001, "<|endoftext|>"), (3002, "<|endoftext|")], "doc_id long, text string")

@@ -15,7 +15,6 @@ from __future__ import annotations
 import base64
 import heapq
 import sys
-import unicodedata
 from collections.abc import Iterator
 from functools import cached_property
 from itertools import chain
@@ -23,6 +22,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -32,17 +32,20 @@ from tripwire.llm.batches import Lookup, prefix_hash, release, row_chunks, slice
 CACHE_PIECES = 150_000
 
 _LETTER, _NUMBER, _OTHER, _SPACE = 1, 2, 3, 4
-#: Codepoints that the pattern's \s matches.
-WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _classes: list[np.ndarray] = []
 
 
 def codepoint_classes() -> np.ndarray:
-    """The class of each codepoint: letter, number, white space or other."""
+    """The class of each codepoint: letter, number, white space or other, as the library's tables of characters have it.
+
+    An encoding of single bytes whose pattern is one class leaves of a text just the characters of that class.
+    """
     if not _classes:
-        kind = {"L": _LETTER, "N": _NUMBER}
-        table = np.fromiter((kind.get(unicodedata.category(chr(c))[0], _OTHER) for c in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1)
-        table[WHITE_SPACE] = _SPACE
+        table = np.full(sys.maxunicode + 1, _OTHER, np.uint8)
+        every = "".join(chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)
+        for kind, pattern in ((_LETTER, r"\p{L}"), (_NUMBER, r"\p{N}"), (_SPACE, r"\s")):
+            bytes_only = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+            table[np.frombuffer(bytes(bytes_only.encode_ordinary(every)).decode().encode("utf-32-le"), np.uint32)] = kind
         _classes.append(table)
     return _classes[0]
 
