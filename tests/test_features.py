@@ -6,9 +6,10 @@ import statistics
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tripwire.functions import constants as C
-from tripwire.operators import features, models, splits
+from tripwire.operators import features, models, sliding, splits
 from tripwire.operators.features import windowed
 from tripwire.plans import fixtures
 from tripwire.sources.storage import shared_folder
@@ -116,6 +117,37 @@ def test_buckets_follow_the_rate_of_a_service(spark):
     assert {r.service: r.span for r in features.bucket_spans(rows, rows=18_000).collect()} == {"busy": 900.0, "idle": 17_100.0}
 
 
+def test_busy_services_slide_over_intervals(spark, monkeypatch):
+    """Ties, bursts, pauses and deploys of two services that are taken for busy, beside one that isn't, in intervals far smaller than a window."""
+    rng, rows, seq = random.Random(5), [], 0
+    for service, many in (("a", 1500), ("b", 900), ("calm", 40)):
+        ts = 100.0
+        for k in range(many):
+            ts += rng.choice([0.0, 0.1, 0.5, 3.0]) if k % 400 > 200 else rng.choice([0.0, 0.0, 0.05])
+            ts += 700.0 if k in (500, 900) else 0
+            rows.append((seq, ts, service, f"v{k // 333}", rng.choice([100.0, 100.0, rng.uniform(1, 900)]), 0.0, rng.uniform(1, 99), rng.uniform(1, 99), float(k % 7), "", None, 0))
+            seq += 1
+    rng.shuffle(rows)
+    t = spark.createDataFrame(rows, C.TELEMETRY).withColumn("ts", F.round("ts", 3))
+    monkeypatch.setattr(sliding, "CELLS", 4)
+    monkeypatch.setattr(features, "BUCKET_ROWS", 50)
+    expected = {r.seq: tuple(r) for r in features.features(t, bucket_s=1e6).collect()}
+    for busy in (200, 10**9):
+        got = {r.seq: tuple(r) for r in features.features(t, busy=busy, keep=("log",)).drop("log").collect()}
+        assert got.keys() == expected.keys()
+        for k, row in got.items():
+            assert row[:3] == expected[k][:3] and row[3:] == pytest.approx(expected[k][3:], abs=1e-9), (busy, row, expected[k])
+    from_few = sliding.baselines(t.filter("service <> 'calm'"), 30)
+    assert {(r.seq, r.base_latency_ms) for r in from_few.collect()} == {(r.seq, r.base_latency_ms) for r in sliding.baselines(t.filter("service <> 'calm'"), 10_000).collect()}
+
+
+def test_rows_leave_when_window_functions_drop_them():
+    rng = np.random.default_rng(1)
+    ts = np.round(rng.uniform(0, 5000, 2000), 3)
+    left = sliding.leaving(ts, 900.0)
+    assert (left - 900 > ts).all() and (np.nextafter(left, -np.inf) - 900 <= ts).all()
+
+
 def test_kernel_equals_window_functions_however_dealt(spark):
     t = fixtures.telemetry(spark, SMALL).filter("seq < 400")
     expected = [tuple(r) for r in features.features_sql(t).select("seq", *C.FEATURES).orderBy("seq").collect()]

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripwire.functions import constants as C
+from tripwire.operators import sliding
 
 OUT = "seq long, ts double, service string, " + ", ".join(f"{f} double" for f in C.FEATURES)
 
@@ -86,23 +87,51 @@ def version_changes(rows: DataFrame) -> DataFrame:
     return summary.withColumn("deployed", deployed).select("service", "bucket", "version_before", F.last("deployed", True).over(by_service.rowsBetween(Window.unboundedPreceding, -1)).alias("deployed_before"))
 
 
-#: Rows that a bucket and the rows before it hold at most, if they come evenly; no bucket is shorter than the baseline window.
-BUCKET_ROWS = 10_000
+#: Rows that a bucket and the rows before it hold, unless a baseline window alone holds more; and rows of a window from which on a
+#: service's windows aren't gathered in groups at all.
+BUCKET_ROWS, BUSY_ROWS = 10_000, 100_000
 
 
 def bucket_spans(events: DataFrame, baseline_s: float = C.BASELINE_S, rows: int = BUCKET_ROWS) -> DataFrame:
-    """(service, span): seconds of a bucket of each service, so that busy services have short buckets."""
-    counted = events.groupBy("service").agg(F.count("*").alias("n"), (F.max("ts") - F.min("ts")).alias("length"))
-    span = F.col("length") * rows / F.col("n") - baseline_s
-    return counted.select("service", F.greatest(F.ceil(F.least(span, F.lit(86_400.0)) / baseline_s) * baseline_s, F.lit(float(baseline_s))).alias("span"))
-
-
-def features(events: DataFrame, bucket_s: float | None = None, baseline_s: float = C.BASELINE_S, slope_s: float = C.SLOPE_S, keep: tuple[str, ...] = ()) -> DataFrame:
-    """seq, ts, service and the eight features of every row, and its columns ``keep``; without ``bucket_s`` buckets follow each service's rate."""
-    if bucket_s is None:
-        spanned = events.select(*_IN, *keep).join(bucket_spans(events, baseline_s), "service")
-    else:
-        spanned = events.select(*_IN, *keep).withColumn("span", F.lit(float(bucket_s)))
+    """(service, span, busiest): seconds of a bucket of each service, by the rows of its busiest stretch of a window's length."""
+    slots = events.groupBy("service", F.floor(F.col("ts") / baseline_s).alias("slot")).agg(F.count("*").alias("n"))
+    busiest = slots.groupBy("service").agg(F.max("n").alias("busiest"))
+    span = (F.floor(rows / F.col("busiest")) - 1) * baseline_s
+    return busiest.select("service", F.greatest(F.least(span, F.lit(86_400.0)), F.lit(float(baseline_s))).alias("span"), "busiest")
+
+
+def features(events: DataFrame, bucket_s: float | None = None, baseline_s: float = C.BASELINE_S, slope_s: float = C.SLOPE_S, keep: tuple[str, ...] = (), busy: int = BUSY_ROWS) -> DataFrame:
+    """seq, ts, service and the eight features of every row, and its columns ``keep``.
+
+    Without ``bucket_s`` buckets follow each service's rate, and services of which a window may hold over ``busy`` rows go
+    by ``sliding``.
+    """
+    rows = events.select(*_IN, *keep)
+    if bucket_s is not None:
+        return _bucketed(rows.withColumn("span", F.lit(float(bucket_s))), events, baseline_s, slope_s, keep)
+    spans = bucket_spans(events, baseline_s)
+    crowded = spans.filter(F.col("busiest") > busy)
+    calm = _bucketed(rows.join(spans.filter(F.col("busiest") <= busy).drop("busiest"), "service"), events, baseline_s, slope_s, keep)
+    if crowded.isEmpty():
+        return calm
+    return calm.unionByName(_of_busy(rows.join(crowded.select("service"), "service"), baseline_s, slope_s, keep))
+
+
+def _of_busy(rows: DataFrame, baseline_s: float, slope_s: float, keep: tuple[str, ...]) -> DataFrame:
+    """The features of services whose windows are too large for a group; deploys are followed by buckets of ``BUCKET_ROWS``."""
+    each = BUCKET_ROWS
+    placed = sliding.baselines(rows, each, baseline_s, slope_s).withColumn("own_bucket", F.floor(F.col("place") / each))
+    before = version_changes(placed).withColumnRenamed("bucket", "own_bucket")
+    joined = _with_previous(placed).join(before, ["service", "own_bucket"])
+    previous = F.when(F.col("is_first"), F.col("version_before")).otherwise(F.col("previous"))
+    changed = F.when(previous.isNotNull() & (previous != F.col("version")), F.col("ts"))
+    inside = Window.partitionBy("service", "own_bucket").orderBy("ts", "seq")
+    last = F.coalesce(F.last("changed", True).over(inside), F.col("deployed_before"))
+    return joined.withColumn("changed", changed).select(*_of_framed(last), *keep)
+
+
+def _bucketed(spanned: DataFrame, events: DataFrame, baseline_s: float, slope_s: float, keep: tuple[str, ...]) -> DataFrame:
+    """Features by time buckets: rows come with the seconds ``span`` of their bucket."""
     spanned = spanned.withColumn("own_bucket", F.floor(F.col("ts") / F.col("span")))
     carried = version_changes(spanned)
     last = F.floor((F.col("ts") + baseline_s) / F.col("span"))  # buckets whose baseline window the row is in
@@ -137,15 +166,20 @@ def features_sql(events: DataFrame, baseline_s: float = C.BASELINE_S, slope_s: f
     return _finished(framed)
 
 
-def _finished(framed: DataFrame) -> DataFrame:
-    changed = F.when(F.col("previous").isNotNull() & (F.col("previous") != F.col("version")), F.col("ts"))
-    last = F.last(changed, True).over(Window.partitionBy("service").orderBy("ts", "seq"))
+def _of_framed(last: Column) -> list[Column]:
+    """The features from base_<metric>, first_ts and first_mem, and the time of the last deploy."""
     over = lambda m: F.col(m) / F.greatest(F.coalesce(f"base_{m}", m), F.lit(1e-6))
-    return framed.select(
+    return [
         "seq", "ts", "service", "latency_ms", over("latency_ms").alias("latency_over_baseline"), "error_rate", over("cpu_pct").alias("cpu_over_baseline"), "mem_pct",
         mem_slope(F.col("ts"), F.col("first_ts"), F.col("mem_pct"), F.col("first_mem")).alias("mem_slope_per_min"),
         over("rps").alias("rps_over_baseline"), F.least(F.coalesce(F.col("ts") - last, F.lit(C.NO_DEPLOY_S)), F.lit(C.NO_DEPLOY_S)).alias("since_deploy_s"),
-    )
+    ]
+
+
+def _finished(framed: DataFrame) -> DataFrame:
+    changed = F.when(F.col("previous").isNotNull() & (F.col("previous") != F.col("version")), F.col("ts"))
+    last = F.last(changed, True).over(Window.partitionBy("service").orderBy("ts", "seq"))
+    return framed.select(*_of_framed(last))
 
 
 def leaky_features(events: DataFrame) -> DataFrame:
