@@ -265,3 +265,24 @@ def test_scores_without_anything_to_learn(spark, edges):
     got = loglinear.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     compared(got, rows)
     assert all(r.score < 0 and r.n_known == 0 and r.train_tokens == 0 for r in got)
+
+
+def test_keys_tell_words_apart_and_tables_find_them():
+    rng = random.Random(7)
+    words = list({bytes(rng.choices(b"ab", k=rng.choice((1, 2, 7, 8, 9, 15, 16, 17, 24, 25, 40, 700)))) for _ in range(3_000)})
+    text = b" ".join(words)
+    chunk = loglinear.Words.of(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    assert len(set(chunk.keys[0].tolist())) == len(words)
+    assert (chunk.keys == loglinear.keys_of(words)).all()  # whatever stands beside a word
+    table = loglinear.Table(loglinear.keys_of(words[::2]))
+    assert table.find(chunk.keys).tolist() == [k // 2 if k % 2 == 0 else -1 for k in range(len(words))]
+    assert loglinear.Table(loglinear.keys_of([])).find(chunk.keys).max() == -1
+
+
+def test_scores_too_large_for_plain_sums():
+    model = loglinear.Model(np.arange(1.0, 20.0))
+    model.classes[:] = 40.0
+    model.vectors[:] = 1.0
+    before = [np.array([3, 4])] * loglinear.CONTEXT
+    assert np.isfinite(got := model.log_probabilities(before, np.array([0, 5]))).all()
+    assert np.allclose(got, np.log(model.prior[[0, 5]]), atol=1e-3)
