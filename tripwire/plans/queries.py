@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripwire.functions import conformal, logs
 from tripwire.functions import constants as C
-from tripwire.operators import decision, delivery, drift, features, metrics, models, splits
+from tripwire.operators import decision, delivery, drift, features, metrics, models, registry, splits
 from tripwire.operators.ranks import floor_index_quantiles
 from tripwire.plans import fixtures as X
+from tripwire.sources import storage
 from tripwire.sources import telemetry as source
+from tripwire.sources.sink import STEPS
 from tripwire.sources.storage import shared_folder
 from tripwire.streaming import ledger, live
+from tripwire.streaming.subscribers import Subscribers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -701,6 +706,88 @@ def stream_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
 
 
+def stream_exactly_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a log in which some come twice, deduplicated by a query that is killed after each step of the sink once: what is lost or there twice in the end."""
+    live.rocks(spark)
+    t, folder = X.telemetry(spark, sf_dir), shared_folder(spark)
+    parts = t.union(t.filter("seq % 5 = 0")).withColumn("part", F.pmod("seq", F.lit(len(STEPS) + 1)))
+    parts.repartition("part").write.partitionBy("part").parquet(f"{folder}/log")
+    deaths = {(step, number + 1) for number, step in enumerate(STEPS)}
+
+    def die(step: str, batch: int) -> None:
+        if (step, batch) in deaths:
+            deaths.remove((step, batch))
+            raise RuntimeError(f"killed after {step} of batch {batch}")
+
+    read = lambda: spark.readStream.schema(t.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{folder}/log")
+    with Subscribers(spark, folder) as running:
+        running.add("sink", lambda: live.deduplicated(read()).select("seq"), die)
+        running.catch_up()
+        restarts, rows = running.groups["sink"].restarts, running.rows("sink")
+    return delivery.recovery_audit(t, rows).withColumn("restarts", F.lit(restarts).cast("long"))
+
+
+def stream_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three groups on one log at the same time: one is stopped while the log grows, lags, and catches up."""
+    t, folder = X.telemetry(spark, sf_dir), shared_folder(spark)
+    read = lambda: _logged(spark, t.limit(0), f"{folder}/log").select("seq")
+    log, told = lambda: spark.read.schema(t.schema).parquet(f"{folder}/log"), []
+    t.filter("seq % 3 <> 0").write.mode("append").parquet(f"{folder}/log")
+    with Subscribers(spark, f"{folder}/groups") as running:
+        for name in ("audit", "drift", "scoring"):
+            running.add(name, read)
+        running.catch_up()
+        running.stop("drift")
+        t.filter("seq % 3 = 0").write.mode("append").parquet(f"{folder}/log")
+        running.catch_up()
+        told.append(storage.stored(running.lag(log()).withColumn("stage", F.lit("stopped"))))
+        running.start("drift")
+        running.catch_up()
+        told.append(storage.stored(running.lag(log()).withColumn("stage", F.lit("caught up"))))
+        seen = {name: running.rows(name).agg(F.count_distinct("seq").alias("seen")).withColumn("grp", F.lit(name)) for name in running.groups}
+    return told[0].unionByName(told[1]).join(reduce(DataFrame.unionByName, seen.values()), "grp")
+
+
+def stream_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two saved versions; a stream is decided on by the one that is live: the first, then the second after its promotion, then the first after a rollback, with a restart before each."""
+    t, folder = X.telemetry(spark, sf_dir), shared_folder(spark)
+    store = lambda: registry.Registry(spark, f"{folder}/registry")
+    fitted = models.fit_all(t, trees=10, forest_trees=20)
+    store().save(fitted, "v1")
+    store().save(replace(fitted, classifier=models.train_classifier(splits.build_dataset(t), trees=20, seed=1)), "v2")
+    rows = storage.stored(features.features(t, keep=live.CARRIED))
+    acts = (lambda: store().promote("v1"), lambda: store().promote("v2"), lambda: store().rollback())
+    for k, act in enumerate(acts):
+        act()
+        decided = live.serve_decisions(_logged(spark, rows.filter(F.col("seq") % 3 == k), f"{folder}/features"), store(), folder)
+    known = F.count_if(F.col("resolved").isin(C.CLASSES)).alias("known")
+    return decided.groupBy("version").agg(F.count("*").alias("n"), F.count_distinct("seq").alias("decided"), known)
+
+
+def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions and anomalies of a stream of features, row by row against the batch operators on the same events with the same models."""
+    live.rocks(spark)
+    t, folder = X.telemetry(spark, sf_dir), shared_folder(spark)
+    fitted = models.fit_all(t, trees=10, forest_trees=20)
+    rows = live.run_to_end(live.features(_stream(spark, sf_dir)), f"{folder}/checkpoint", f"{folder}/features")
+    again = lambda: spark.readStream.schema(rows.schema).parquet(f"{folder}/features")
+    batch = storage.stored(features.features(t, keep=live.CARRIED))
+    pairs = {
+        "decision": (live.run_to_end(live.decisions(again(), fitted)), live.decide(live.score(batch, fitted), fitted), ("prediction", "action", "reason", "escalated", "resolved", "remediation")),
+        "anomaly": (live.run_to_end(live.anomalies(again(), fitted)), models.strangeness(fitted.forest, batch), ("flag",)),
+    }
+    out = []
+    for kind, (streamed, whole, columns) in pairs.items():
+        both = streamed.select("seq", F.struct(*columns).alias("a")).join(whole.select("seq", F.struct(*columns).alias("b")), "seq", "full")
+        out.append(both.agg(F.count("*").alias("n"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("differ")).withColumn("kind", F.lit(kind)))
+    return out[0].unionByName(out[1])
+
+
+def importance_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many features have an importance, and the sum of importances."""
+    return QUERIES["importances"](spark, sf_dir).agg(F.count("*").alias("features"), F.round(F.sum("importance"), 6).alias("total"), F.count_if(F.col("importance") < 0).alias("negative"))
+
+
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     return source.telemetry(spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir))
@@ -721,7 +808,7 @@ def snapshot_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select(F.explode(listed).alias("s")).select("s.*")
 
 
-QUERIES |= {x.__name__: x for x in (stream_features, stream_dedup, stream_late, stream_deliveries, stream_ledger, stream_drift, stream_drift_gaps, stream_profile, stream_pipeline, snapshot_report)}
+QUERIES |= {x.__name__: x for x in (stream_features, stream_dedup, stream_late, stream_deliveries, stream_ledger, stream_drift, stream_drift_gaps, stream_profile, stream_pipeline, stream_exactly_once, stream_groups, stream_registry, stream_equals_batch, importance_totals, snapshot_report)}
 ORACLES |= {
     "stream_features": ORACLES["features_full"],
     "stream_drift": ORACLES["drift_windows"],
@@ -733,6 +820,13 @@ ORACLES |= {
       SELECT count(*) AS delivered, count(*) FILTER (fate = 'new') AS processed, count(*) FILTER (fate = 'repeat') AS repeats, count(*) FILTER (fate = 'late') AS late FROM told""",
     "stream_ledger": f"WITH {X.TELEMETRY_SQL}, files AS (SELECT count(*) AS n FROM telemetry GROUP BY seq % {_FILES}) SELECT count(*) AS batches, CAST(sum(n) AS BIGINT) AS rows, CAST(0 AS BIGINT) AS late, min(n) AS smallest, max(n) AS largest FROM files",
     "stream_drift_gaps": ORACLES["drift_windows"].replace("SELECT seq // 600 AS w, latency_ms AS x FROM telemetry", "SELECT (row_number() OVER (ORDER BY seq) - 1) // 600 AS w, latency_ms AS x FROM telemetry WHERE seq % 11 <> 0"),
+    "stream_exactly_once": f"WITH {X.TELEMETRY_SQL} SELECT count(*) AS processed, count(DISTINCT seq) AS distinct_offsets, CAST(0 AS BIGINT) AS duplicates, CAST(0 AS BIGINT) AS lost, CAST({len(STEPS)} AS BIGINT) AS restarts FROM telemetry",
+    "stream_groups": f"""WITH {X.TELEMETRY_SQL}, n AS (SELECT count(*) AS every, count(*) FILTER (seq % 3 = 0) AS later FROM telemetry)
+      SELECT grp, stage, every AS appended, every - CASE WHEN stage = 'stopped' AND grp = 'drift' THEN later ELSE 0 END AS processed, CASE WHEN stage = 'stopped' AND grp = 'drift' THEN later ELSE 0 END AS backlog, every AS seen
+      FROM n, (VALUES ('audit'), ('drift'), ('scoring')) g(grp), (VALUES ('stopped'), ('caught up')) s(stage)""",
+    "stream_registry": f"WITH {X.TELEMETRY_SQL} SELECT CASE WHEN seq % 3 = 1 THEN 'v2' ELSE 'v1' END AS version, count(*) AS n, count(DISTINCT seq) AS decided, count(*) AS known FROM telemetry GROUP BY ALL",
+    "stream_equals_batch": f"WITH {X.TELEMETRY_SQL} SELECT kind, count(*) AS n, CAST(0 AS BIGINT) AS differ FROM telemetry, (VALUES ('decision'), ('anomaly')) k(kind) GROUP BY kind",
+    "importance_totals": f"SELECT CAST({len(C.FEATURES)} AS BIGINT) AS features, CAST(1 AS DOUBLE) AS total, CAST(0 AS BIGINT) AS negative",
     "snapshot_report": " UNION ALL ".join(
         f"SELECT '{section}' AS section, CAST(count(*) AS INT) AS rows, round(CAST(sum({figure}) AS DOUBLE), 6) AS total FROM ({ORACLES[name]})"
         for section, name, figure in (("sizes", "distinct_counts", "services"), ("classifier", "class_report", "f1"), ("reasoning", "resolve_report", "macro_f1"), ("policies", "policy_compare", "value"), ("pipeline", "action_spend", "spend"), ("feed", "decision_feed", "seq"))

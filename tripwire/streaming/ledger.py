@@ -8,7 +8,6 @@ the instant before a driver died may lack its line, since the report comes after
 
 from __future__ import annotations
 
-import json
 import threading
 import uuid
 
@@ -17,10 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 
+from tripwire.sources import files
 from tripwire.sources.storage import delete
 
 #: late: rows beyond the watermark; repeats: rows that a deduplication dropped; at: when the line was written (ms).
-LINE = "query string, run string, batch long, rows long, seconds double, late long, repeats long, at long"
+LINE = "query string, label string, run string, batch long, rows long, seconds double, late long, repeats long, at long"
 
 
 class Ledger(StreamingQueryListener):
@@ -29,6 +29,7 @@ class Ledger(StreamingQueryListener):
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder, self.prefix = spark, folder, uuid.uuid4().hex
         self.lock, self.ended, self.started = threading.Condition(), set(), 0
+        self.written: dict[str, int] = {}  # the last batch of each run
 
     def __enter__(self) -> Ledger:
         self.spark.streams.addListener(self)
@@ -37,10 +38,10 @@ class Ledger(StreamingQueryListener):
     def __exit__(self, *_) -> None:
         self.spark.streams.removeListener(self)
 
-    def start(self, writer: DataStreamWriter) -> StreamingQuery:
-        """Starts a query under a name by which the ledger knows it."""
+    def start(self, writer: DataStreamWriter, label: str = "") -> StreamingQuery:
+        """Starts a query under a name by which the ledger knows it and its label."""
         self.started += 1
-        return writer.queryName(f"{self.prefix}-{self.started}").start()
+        return writer.queryName(f"{self.prefix}-{self.started}-{label}").start()
 
     def finish(self, query: StreamingQuery, seconds: float = 60.0) -> None:
         """Waits for the query to end, and for its last line to be written."""
@@ -52,6 +53,13 @@ class Ledger(StreamingQueryListener):
         if not told:
             raise TimeoutError(f"no report that query {query.id} has ended")
 
+    def settle(self, query: StreamingQuery, seconds: float = 60.0) -> None:
+        """Waits for the lines of the micro-batches that a running query has ended so far."""
+        last = max((p.batchId for p in query.recentProgress if "addBatch" in p.durationMs), default=-1)
+        with self.lock:
+            if not self.lock.wait_for(lambda: self.written.get(str(query.runId), -1) >= last, seconds):
+                raise TimeoutError(f"no report of batch {last} of query {query.id}")
+
     def onQueryStarted(self, event) -> None:  # noqa: N802
         pass
 
@@ -63,24 +71,19 @@ class Ledger(StreamingQueryListener):
         if not (p.name or "").startswith(self.prefix) or "addBatch" not in p.durationMs:
             return  # of another query, or a report that there was nothing to do
         line = {
-            "query": str(p.id), "run": str(p.runId), "batch": p.batchId, "rows": p.numInputRows, "seconds": p.durationMs.get("triggerExecution", 0) / 1000,
+            "query": str(p.id), "label": p.name.split("-", 2)[2], "run": str(p.runId), "batch": p.batchId, "rows": p.numInputRows, "seconds": p.durationMs.get("triggerExecution", 0) / 1000,
             "late": sum(s.numRowsDroppedByWatermark for s in p.stateOperators), "repeats": sum(s.customMetrics.get("numDroppedDuplicateRows", 0) for s in p.stateOperators), "at": self.spark._jvm.System.currentTimeMillis(),
         }
-        self._write(f"{self.folder}/lines/{p.id}-{p.batchId:012d}.json", json.dumps(line))
+        files.write_json(self.spark, f"{self.folder}/lines/{p.id}-{p.batchId:012d}.json", line)
+        with self.lock:
+            self.written[str(p.runId)] = max(p.batchId, self.written.get(str(p.runId), -1))
+            self.lock.notify_all()
 
     def onQueryTerminated(self, event) -> None:  # noqa: N802
         with self.lock:
             self.ended.add(str(event.runId))
             self.lock.notify_all()
 
-    def _write(self, path: str, line: str) -> None:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        out = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(at, True)
-        try:
-            out.write(bytearray(f"{line}\n".encode()))
-        finally:
-            out.close()
-
 
 def lines(spark: SparkSession, folder: str) -> DataFrame:
     """One row for each micro-batch of each query, the last that was written of it."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,8 +17,11 @@ from tripwire.functions import constants as C
 from tripwire.operators import decision, drift, metrics, models
 from tripwire.operators.features import OUT, windowed
 from tripwire.operators.ranks import with_rank
+from tripwire.operators.registry import Registry, serve
+from tripwire.sources.sink import ManifestSink
 from tripwire.sources.storage import Scratch, delete, shared_folder
 from tripwire.streaming.ledger import Ledger, lines, totals
+from tripwire.streaming.subscribers import Subscribers
 
 
 def rocks(spark: SparkSession) -> None:
@@ -262,5 +265,24 @@ def monitor(events: DataFrame, reference: DataFrame, folder: str, window: int =
 
 
 def subscribe(events: DataFrame, folder: str, groups: list[str]) -> dict[str, DataFrame]:
-    """Independent subscribers of one stream: each has its own checkpoint and sees all rows at its own pace."""
-    return {g: run_to_end(events, f"{folder}/{g}/checkpoint", f"{folder}/{g}/rows") for g in groups}
+    """Independent subscribers of one stream, at the same time: each has its own checkpoint and sees all rows; returns when all have caught up."""
+    with Subscribers(events.sparkSession, folder) as running:
+        for name in groups:
+            running.add(name, lambda: events)
+        running.catch_up()
+        return {name: running.rows(name) for name in groups}
+
+
+def serve_decisions(features_: DataFrame, registry: Registry, folder: str, on_step: Callable[[str, int], None] | None = None) -> DataFrame:
+    """Runs the decisions on a stream of features to its end, each micro-batch with the version that is live then; returns all rows decided so far.
+
+    Called again, it goes on from its checkpoint with what the registry has, and trains nothing.
+    """
+    spark = features_.sparkSession
+    version = registry.live()
+    schema = decisions(features_, registry.load(version)).withColumn("version", F.lit(version)).schema
+    sink = ManifestSink(spark, f"{folder}/decided", schema, on_step)
+    writer = features_.writeStream.foreachBatch(serve(registry, decisions, sink.write)).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    with Ledger(spark, ledger_of(f"{folder}/checkpoint")) as ledger:
+        ledger.finish(ledger.start(writer))
+    return sink.rows()
