@@ -121,7 +121,12 @@ def read_with(events: DataFrame, reader: Callable[[str], str], source: str) -> D
                     errors.append(type(e).__name__)
             yield pdf.assign(reply=replies, reader_error=errors)
 
-    parsed = parse_reply(events.mapInPandas(ask, schema))
+    return verdicts(events.mapInPandas(ask, schema), source)
+
+
+def verdicts(replies: DataFrame, source: str) -> DataFrame:
+    """What rows with a reply, or a reader_error in its place, amount to: incident, remediation, explanation, failed and grounded."""
+    parsed = parse_reply(replies)
     why = F.when(F.col("reader_error").isNotNull(), F.concat(F.lit("reader failed: "), F.col("reader_error"))).otherwise(F.col("explanation"))
     failed = F.col("failed") | F.col("reader_error").isNotNull()
     return parsed.withColumn("explanation", why).withColumn("failed", failed).withColumn("grounded", ~failed & grounded(F.col("explanation"))).withColumn("reader", F.lit(source))

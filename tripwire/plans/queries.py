@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tripwire.functions import conformal, logs
 from tripwire.functions import constants as C
-from tripwire.operators import decision, delivery, drift, features, metrics, models, registry, splits
+from tripwire.operators import decision, delivery, drift, features, metrics, models, reading, registry, splits
 from tripwire.operators.ranks import floor_index_quantiles
 from tripwire.plans import fixtures as X
 from tripwire.sources import storage
@@ -365,6 +365,29 @@ def reader_calls(t):
     return logs.reader_counts(logs.read_with(asked, _stub, "stub"))
 
 
+def _busy_stub(prompt: str) -> str:
+    """A reader that some prompts, those of one service, always fail."""
+    if "auth-api" in prompt:
+        raise TimeoutError(prompt)
+    return _stub(prompt)
+
+
+@query("""SELECT run, CASE WHEN run = 1 THEN count(*) ELSE 0 END AS asked, count(*) + 2 * count(*) FILTER (service = 'auth-api') AS calls, count(*) FILTER (service = 'auth-api') AS failures, count(*) AS verdicts
+  FROM telemetry, (VALUES (1), (2)) r(run) WHERE y IN ('bad_deploy', 'dependency_failure') GROUP BY run""")
+def reader_store(t):
+    """Escalated rows read with replies kept: a first run asks each prompt, failing ones three times; a second asks nothing."""
+    spark, none = t.sparkSession, F.lit(None).cast("double")
+    store = reading.VerdictStore(spark, shared_folder(spark))
+    asked = t.filter(logs.class_of("incident_type").isin(C.ESCALATED_CLASSES)).withColumn("latency_over_baseline", none).withColumn("cpu_over_baseline", none).withColumn("prompt", logs.prompt())
+    told = []
+    for run in (1, 2):
+        n = store.ask(asked, _busy_stub, wait_s=0.001)
+        verdicts = store.verdicts(asked, "stub").agg(F.count_if("failed").alias("failures"), F.count("*").alias("verdicts"))
+        calls = store.rows().agg(F.coalesce(F.sum("calls"), F.lit(0)).alias("calls"))
+        told.append(storage.stored(verdicts.join(F.broadcast(calls)).select(F.lit(run).alias("run"), F.lit(n).cast("long").alias("asked"), "calls", "failures", "verdicts")))
+    return told[0].unionByName(told[1])
+
+
 def _stub(prompt: str) -> str:
     if prompt is None:
         raise ValueError("nothing asked")
