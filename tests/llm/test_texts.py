@@ -269,6 +269,20 @@ def test_running_sums_and_slices(size):
         assert len(set(hashes.tolist())) == len({twice[a:b].tobytes() for a, b in zip(starts, ends, strict=True)})
 
 
+def test_stricter_variants_of_a_licence_and_insertions(spark):
+    """Labels by hand: each variant of a licence for itself, alone and beside another, and passages with foreign words in them."""
+    begin = "Some words before. This work is licensed under a Creative Commons Attribution"
+    bsd = "Redistribution and use in source and binary forms, {}with or without modification, are permitted provided that the following conditions are met"
+    cases = {
+        f"{begin} 4.0 International License.": "cc-by", f"{begin}-ShareAlike 4.0.": "cc-by-sa", f"{begin}-NonCommercial 4.0": "cc-by-nc", f"{begin}-NoDerivs 3.0": "cc-by-nd",
+        f"{begin}-NonCommercial-ShareAlike": "cc-by-nc-sa", f"{begin}-NonCommercial-NoDerivatives 4.0": "cc-by-nc-nd", f"{begin}-NoDerivatives 4.0. {'word ' * 30} {begin} 4.0": "cc-by,cc-by-nd",
+        bsd.format(""): "bsd", bsd.format("one two three four five six "): "bsd", bsd.format("a b c ") + " " + bsd.format(""): "bsd", "Released under the MIT License. Released under the MIT License.": "mit",
+        "this work is licensed under a pseudonym, creative as it is": "",
+    }
+    rows = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in license.scan(rows).collect()} == dict(enumerate(cases.values()))
+
+
 def test_bpe_classes_cover_all_codepoints():
     ranks_file = open(P.path("byte_bpe_multi_50k.tiktoken"), "rb").read()
     own = bpe.Encoder(ranks_file)

@@ -4,7 +4,8 @@ Every rolling ``GRAM``-word hash of a text is joined to the positions of the sam
 a vote for the diagonal (text position - template position). Votes are summed by diagonal; diagonals next to each other
 are a band, and a band's hits that lie near each other are a span, so it survives inserted or missing words and stray
 hits of other diagonals. A span is verified by the share of the template's positions that it covers, each counted once,
-and by its length. Beside the templates' labels stand the base labels:
+and by its length. Of templates that begin alike, as a licence's stricter variants do, the one that a place covers best stands,
+and of those it covers as well the longest. Beside the templates' labels stand the base labels:
 places where a phrase's words stand consecutively, found in the same pass.
 
 Words are runs of characters other than ASCII ones that are no letters or digits, after A-Z became a-z.
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 GRAM = 3
 #: Share of a template's grams that a span must cover, and how much longer than the template it may be.
 COVERED, STRETCH = 0.6, 1.6
-#: How far apart merged diagonals and hits of one span may be, in words.
-DIAGONALS, GAP = 3, 12
+#: How far apart merged diagonals, which are half a template apart at most, and hits of one span may be, in words.
+DIAGONALS, GAP = 8, 12
 
 #: Phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -41,6 +42,13 @@ TEMPLATES = [
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution"),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution ShareAlike"),
+    ("cc-by-nd", "This work is licensed under a Creative Commons Attribution NoDerivatives"),
+    ("cc-by-nd", "This work is licensed under a Creative Commons Attribution NoDerivs"),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution NonCommercial"),
+    ("cc-by-nc-sa", "This work is licensed under a Creative Commons Attribution NonCommercial ShareAlike"),
+    ("cc-by-nc-nd", "This work is licensed under a Creative Commons Attribution NonCommercial NoDerivatives"),
+    ("cc-by-nc-nd", "This work is licensed under a Creative Commons Attribution NonCommercial NoDerivs"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
@@ -50,6 +58,9 @@ TEMPLATES = [
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
 ]
 
+#: Labels that begin so are of rival templates: they have their first words in common.
+RIVALS = "cc-"
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _BASE, _END = -1, -2  # numbers below those of templates: a base place, and the end of a text
@@ -104,14 +115,20 @@ def scan(documents: DataFrame, templates: list[tuple[str, str]] | None = None, p
     by_diagonal = events.withColumn("diagonal", diagonal).groupBy(*key, "template", "label", "diagonal", "length").agg(F.count("*").alias("votes"), F.collect_set("place").alias("covers"), F.min("at").alias("lo"), F.max("at").alias("hi"))
     template_key = [*key, "template", "label"]
     next_to = Window.partitionBy(*template_key).orderBy("diagonal")
-    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(next_to) > DIAGONALS, F.lit(True))
+    nearby = F.least(F.lit(DIAGONALS), F.floor(F.col("length") / 2))
+    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(next_to) > nearby, F.lit(True))
     banded = by_diagonal.withColumn("apart", apart.cast("int")).withColumn("band", F.sum("apart").over(next_to))
     in_text = Window.partitionBy(*template_key, "band").orderBy("lo", "diagonal")
     far = F.coalesce(F.col("lo") - F.max("hi").over(in_text.rowsBetween(Window.unboundedPreceding, -1)) > GAP, F.lit(True))
     spans = banded.withColumn("far", far.cast("int")).withColumn("span", F.sum("far").over(in_text))
     merged = spans.groupBy(*template_key, "length", "band", "span").agg(F.sum("votes").alias("votes"), F.size(F.array_distinct(F.flatten(F.collect_list("covers")))).alias("covers"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     covered = F.least(F.lit(1.0), F.col("covers") / F.greatest(F.col("length") - GRAM + 1, F.lit(1)))
-    verified = (F.col("template") >= 0) & (covered >= COVERED) & (F.col("hi") - F.col("lo") + GRAM <= F.ceil(F.col("length") * STRETCH))
+    fits = (F.col("template") >= 0) & (covered >= COVERED) & (F.col("hi") - F.col("lo") + GRAM <= F.ceil(F.col("length") * STRETCH))
+    family = F.when(F.col("label").startswith(RIVALS), RIVALS).otherwise(F.col("template").cast("string"))
+    merged = merged.withColumn("covered", covered).withColumn("fits", fits).withColumn("family", family)
+    rivals = Window.partitionBy(*key, "family", "lo").orderBy(F.desc("fits"), F.desc("covered"), F.desc("length"), "template")
+    merged = merged.withColumn("place", F.row_number().over(rivals))
+    verified, covered = F.col("fits") & (F.col("place") == 1), F.col("covered")
     is_base, is_end = F.col("template") == _BASE, F.col("template") == _END
     copies = F.sum(F.when(is_end, F.col("votes")))
 

@@ -34,7 +34,8 @@ from tripwire.llm.batches import release
 from tripwire.sources.storage import Scratch, stored
 
 SAMPLE, TARGET = 20_000, 0.97
-SUBSPACES, CODES, RERANK = 16, 256, 100
+#: Subspaces and codes of each, vectors of the sample, drawn by a fixed shuffle, that the codes are fitted on, and codes reranked.
+SUBSPACES, CODES, CODED, RERANK = 16, 256, 8192, 100
 BLOCK_VECTORS, BLOCK_QUERIES = 16_384, 32_768
 #: How far below the last reranked code another may be, in standard deviations of what codes err by.
 MARGIN = 2.0
@@ -77,7 +78,8 @@ class Index:
         centres = k_means(sample, lists)
         residuals = sample - centres[_nearest(sample, centres)]
         cuts = np.linspace(0, sample.shape[1], min(SUBSPACES, sample.shape[1]) + 1).astype(int)
-        codebooks = [k_means(residuals[:8192, a:b], CODES, 6) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        drawn = np.random.default_rng(8).permutation(len(residuals))[:CODED]
+        codebooks = [k_means(residuals[drawn, a:b], CODES, 6) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         queries = sample[:: max(1, len(sample) // 200)]
         near = np.argsort(-(queries @ sample.T), axis=1, kind="stable")[:, : k + 1]
         home = _nearest(sample, centres)

@@ -297,10 +297,12 @@ class ChainField:
 
 
 def train(pages: DataFrame, sample: int = SAMPLE) -> ChainField:
-    """A field trained on the seeds and on about ``sample`` pages with a landmark."""
-    labelled = pages.select("html").filter(F.col("html").isNotNull() & (F.length("html") <= SAMPLE_CHARS) & F.lower("html").rlike("<(article|main)[\\s>]"))
+    """A field trained on the seeds and on about ``sample`` pages with a landmark, twice as many at most."""
+    labelled = pages.select("page_id", "html").filter(F.col("html").isNotNull() & (F.length("html") <= SAMPLE_CHARS) & F.lower("html").rlike("<(article|main)[\\s>]"))
     total, parts = labelled.count(), 1 << 30
-    picked = labelled.filter(F.pmod(F.xxhash64(F.lit(14), "html"), F.lit(parts)) < int(min(1.0, sample / max(total, 1)) * parts))
+    # by page, so that copies of one page don't come all at once or not at all; the limit is for tables of one page again and again
+    share = int(min(1.0, sample / max(total, 1)) * parts)
+    picked = labelled.filter(F.pmod(F.xxhash64(F.lit(14), "page_id", "html"), F.lit(parts)) < share).select("html").limit(2 * sample)
     training = []
     for page, label in [*((x, seed_labels) for x in SEEDS for _ in range(5)), *((r["html"], landmark_labels) for r in picked.collect())]:
         blocks = leaf_blocks(page)

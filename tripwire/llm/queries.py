@@ -157,12 +157,13 @@ template AS (SELECT t, label, regexp_extract_all(translate(x, '{_UPPER}', '{_LOW
 placed AS (SELECT t, label, len(w) AS size, pos AS tpos, w[pos + 1] || ' ' || w[pos + 2] || ' ' || w[pos + 3] AS gram FROM (SELECT *, unnest(range(0, len(w) - 2)) AS pos FROM template)),
 grams AS (SELECT doc_id, pos, w[pos + 1] || ' ' || w[pos + 2] || ' ' || w[pos + 3] AS gram FROM (SELECT *, unnest(range(0, len(w) - 2)) AS pos FROM doc)),
 diagonals AS (SELECT doc_id, t, label, size, pos - tpos AS diagonal, list(tpos) AS covers, min(pos) AS lo, max(pos) AS hi FROM grams JOIN placed USING (gram) GROUP BY ALL),
-apart AS (SELECT *, CAST(coalesce(diagonal - lag(diagonal) OVER o > {license.DIAGONALS}, true) AS INT) AS fresh FROM diagonals WINDOW o AS (PARTITION BY doc_id, t ORDER BY diagonal)),
+apart AS (SELECT *, CAST(coalesce(diagonal - lag(diagonal) OVER o > least({license.DIAGONALS}, size // 2), true) AS INT) AS fresh FROM diagonals WINDOW o AS (PARTITION BY doc_id, t ORDER BY diagonal)),
 banded AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, t ORDER BY diagonal) AS band FROM apart),
 far AS (SELECT *, CAST(coalesce(lo - max(hi) OVER (PARTITION BY doc_id, t, band ORDER BY lo, diagonal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > {license.GAP}, true) AS INT) AS cut FROM banded),
 numbered AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id, t, band ORDER BY lo, diagonal) AS span FROM far),
-spans AS (SELECT doc_id, t, label, band, span, least(1::DOUBLE, CAST(len(list_distinct(flatten(list(covers)))) AS DOUBLE) / greatest(size - 2, 1)) AS covered, max(hi) - min(lo) + 3 <= ceil(size * CAST({license.STRETCH} AS DOUBLE)) AS tight FROM numbered GROUP BY doc_id, t, label, size, band, span),
-verified AS (SELECT doc_id, label, covered FROM spans WHERE tight AND covered >= CAST({license.COVERED} AS DOUBLE)),
+spans AS (SELECT doc_id, t, label, size, min(lo) AS lo, band, span, least(1::DOUBLE, CAST(len(list_distinct(flatten(list(covers)))) AS DOUBLE) / greatest(size - 2, 1)) AS covered, max(hi) - min(lo) + 3 <= ceil(size * CAST({license.STRETCH} AS DOUBLE)) AS tight FROM numbered GROUP BY doc_id, t, label, size, band, span),
+verified AS (SELECT doc_id, label, covered FROM spans WHERE tight AND covered >= CAST({license.COVERED} AS DOUBLE)
+  QUALIFY row_number() OVER (PARTITION BY doc_id, CASE WHEN label LIKE '{license.RIVALS}%' THEN '{license.RIVALS}' ELSE CAST(t AS VARCHAR) END, lo ORDER BY covered DESC, size DESC, t) = 1),
 base AS (SELECT doc_id, p.label AS label, pos FROM (SELECT *, unnest(range(0, len(w))) AS pos FROM doc), (VALUES {_PHRASES}) p(phrase, label) WHERE list_slice(w, pos + 1, pos + len(string_split(phrase, ' '))) = string_split(phrase, ' '))
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, (SELECT count(*) FROM base b WHERE b.doc_id = doc.doc_id) AS n_base,
   (SELECT min(pos) FROM base b WHERE b.doc_id = doc.doc_id) AS first_word, (SELECT max(pos) FROM base b WHERE b.doc_id = doc.doc_id) AS last_word,
