@@ -152,7 +152,8 @@ def test_prompts_are_asked_once(spark, tmp_path):
             raise ConnectionError(text)
         return '{"incident": "memory_leak", "evidence": "", "explanation": ""}'
 
-    rows = spark.createDataFrame([(k, f"question {k % 7}") for k in range(40)] + [(90, "bad one"), (91, None), (92, None)], "seq long, prompt string")
+    asked = spark.createDataFrame([(k, f"question {k % 7}") for k in range(40)] + [(90, "bad one"), (91, None), (92, None)], "seq long, prompt string")
+    rows = fixtures.telemetry(spark, SMALL).join(F.broadcast(asked), "seq")
     store = reading.VerdictStore(spark, shared_folder(spark))
     assert store.ask(rows.limit(0), reader) == 0 and store.rows().count() == 0
     assert store.ask(rows, reader, attempts=2, wait_s=0.0, block=1) == 9
