@@ -63,7 +63,10 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _with_repeated_ends(documents: DataFrame) -> DataFrame:
-    """doc_id and text; for ids whose hash is a multiple of ten, the words from some place on repeat a passage that begins there."""
+    """doc_id and text; for ids whose hash is a multiple of ten, the words from some place on repeat a passage that begins there.
+
+    A null id counts as the empty text in the hash; a null text, or one without words, stays as it is.
+    """
     g, n = F.floor(language.id_crc() / 10), F.size("words")
     rows = documents.select("doc_id", "text", (language.id_crc() % 10 == 0).alias("chosen"), g.alias("g"))
     cut = rows.withColumn("words", F.when(F.col("chosen"), F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")))
