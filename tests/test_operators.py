@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tripwire.functions import conformal, logs
 from tripwire.functions import constants as C
-from tripwire.operators import decision, delivery, drift, metrics, models, ranks, splits
+from tripwire.operators import boosting, decision, delivery, drift, metrics, models, ranks, splits
 from tripwire.plans import fixtures
 
 SMALL = "/root/testdata/sf0.001"
@@ -184,6 +184,63 @@ def test_isolation_forest_finds_the_strange_row_however_dealt(spark):
     assert scores[0] == scores[1] and scores[0][300] == max(scores[0].values())
 
 
+def _rings(spark, n=600):
+    """Three classes that no single cut tells apart, with nulls and a repeated row."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(n):
+        a, b = rng.uniform(-1, 1), rng.uniform(-1, 1)
+        rows.append((k, a if k % 50 else None, b, "inner" if a * a + b * b < 0.3 else "left" if a < 0 else "right", 0.5))
+    return spark.createDataFrame([*rows, rows[1]], "seq long, a double, b double, y string, p double")
+
+
+def test_boosted_trees_are_the_same_however_dealt_and_learn(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "REFRESH", 4)  # scores are written on the way
+    rows, made = _rings(spark), []
+    for parts in (1, 5):
+        made.append(boosting.train(rows.repartition(parts), rounds=9, rate=0.3, least=5, ridge=1.0, columns=["a", "b"]))
+    for one, other in zip(made[0].rounds, made[1].rounds, strict=True):
+        assert (one.feature == other.feature).all() and (one.cut == other.cut).all() and (one.value == other.value).all()
+    out = boosting.classify(made[0], rows).collect()
+    assert len(out) == 601 and set(out[0].asDict()) == {"seq", "a", "b", "y", "p", "prediction"}
+    assert sum(r.y == r.prediction for r in out) > 0.95 * len(out) and all(abs(sum(r.p) - 1) < 1e-9 for r in out)
+    assert sum(g for _, g in boosting.importances(made[0])) == pytest.approx(1) and made[0].classes == ["inner", "left", "right"]
+
+
+def test_boosted_trees_equal_sums_in_memory(spark):
+    """The first round against slopes, curvatures and cuts worked out over all rows at once."""
+    rows = _rings(spark, 300)
+    model = boosting.train(rows, rounds=1, depth=1, rate=1.0, least=5, ridge=1.0, columns=["a", "b"])
+    local = rows.toPandas()
+    weight = (len(local) / 3 / local.y.map(local.y.value_counts())).to_numpy()
+    bins = model.bins(local[["a", "b"]].to_numpy(float))
+    for k, name in enumerate(model.classes):
+        slope, curve = (1 / 3 - (local.y == name).to_numpy()) * weight, 2 / 9 * weight
+        best = max(
+            (sum(slope[s].sum() ** 2 / (curve[s].sum() + 1) for s in (bins[:, f] <= b, bins[:, f] > b)), -f, -b)
+            for f in range(2) for b in range(len(model.edges[f])) if min((bins[:, f] <= b).sum(), (bins[:, f] > b).sum()) >= 5
+        )
+        trees = model.rounds[0]
+        assert (trees.feature[k, 0], trees.cut[k, 0]) == (-best[1], -best[2])
+        under = bins[:, -best[1]] <= -best[2]
+        assert trees.value[k, 1] == pytest.approx(-slope[under].sum() / (curve[under].sum() + 1), rel=1e-4)
+
+
+def test_boosted_trees_edges(spark):
+    from tripwire.sources.storage import shared_folder
+
+    rows, folder = _rings(spark, 60), shared_folder(spark)
+    with pytest.raises(ValueError, match="with a class"):
+        boosting.train(rows.limit(0), columns=["a", "b"])
+    one = boosting.train(rows.withColumn("y", F.lit("x")), columns=["a", "b"])
+    assert not one.rounds and {tuple(r.p) for r in boosting.classify(one, rows).collect()} == {(1.0,)}
+    model = boosting.train(rows.withColumn("y", F.when(F.col("seq") > 5, F.col("y"))), rounds=2, columns=["a", "b"])
+    boosting.save(spark, model, folder)
+    again = boosting.load(spark, folder)
+    assert models.classify(again, rows).exceptAll(models.classify(model, rows)).isEmpty() and boosting.classify(again, rows.limit(0)).count() == 0
+    assert models.importances(again, rows).collect() == models.importances(model, rows).collect() and models.classes_of(again) == model.classes
+
+
 def test_snapshot_and_offsets(spark):
     from tripwire.sources import telemetry as source
     from tripwire.sources.storage import shared_folder

@@ -7,7 +7,7 @@ import pytest
 from tripwire.plans.queries import ORACLES, QUERIES, flagship
 
 SMALL = "/root/testdata/sf0.001"
-TRAINED = {"classifier", "importances", "iforest_flags", "tlearner_effects", "stream_pipeline", "stream_profile"}
+TRAINED = {"classifier", "boosted_classifier", "importances", "iforest_flags", "tlearner_effects", "stream_pipeline", "stream_profile"}
 
 
 def rows(frame: pd.DataFrame) -> list[tuple]:
@@ -35,6 +35,11 @@ def test_classifier_beats_chance(spark):
     assert report["normal"].recall > 0.9  # under a tenth of healthy rows are called incidents
 
 
+def test_boosted_classifier_beats_chance(spark):
+    report = {r.cls: r for r in QUERIES["boosted_classifier"](spark, "/root/testdata/sf0.01").collect()}
+    assert report["normal"].f1 > 0.9 and report["dependency_failure"].f1 > 0.9 and sum(r.f1 for r in report.values()) / len(report) > 0.53
+
+
 def test_detector_flags_few_healthy_rows_and_many_others(spark):
     rates = {r.y: r.flag_rate for r in QUERIES["iforest_flags"](spark, "/root/testdata/sf0.01").collect()}
     assert rates["normal"] < 0.03 and min(v for k, v in rates.items() if k != "normal") > 5 * rates["normal"]

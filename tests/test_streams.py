@@ -7,7 +7,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tripwire.functions import constants as C
-from tripwire.operators import drift, models, reading, registry, splits
+from tripwire.operators import boosting, drift, models, reading, registry, splits
 from tripwire.plans import fixtures
 from tripwire.sources import files
 from tripwire.sources.sink import STEPS, ManifestSink
@@ -124,7 +124,8 @@ def test_registry_serves_what_is_live_without_training(spark, monkeypatch):
     with pytest.raises(ValueError, match="no version"):
         store().promote("a")
     store().save(fitted, "a")
-    store().save(dataclasses.replace(fitted, q=1.0), "b")  # sets of all classes: every row is escalated
+    boosted = boosting.train(splits.build_dataset(t), rounds=3)
+    store().save(dataclasses.replace(fitted, classifier=boosted, q=1.0), "b")  # sets of all classes: every row is escalated
     with pytest.raises(ValueError, match="there already"):
         store().save(fitted, "a")
     with pytest.raises(ValueError, match="without an earlier"):

@@ -18,7 +18,8 @@ from pyspark.sql import types as T
 
 from tripwire.functions import conformal
 from tripwire.functions import constants as C
-from tripwire.operators import decision, metrics, splits
+from tripwire.operators import boosting, decision, metrics, splits
+from tripwire.operators.boosting import Boosted
 from tripwire.operators.ranks import linear_quantiles
 
 
@@ -38,21 +39,24 @@ def train_classifier(rows: DataFrame, trees: int = 60, depth: int = 8, seed: int
     ]).fit(weighted)
 
 
-def classes_of(model: PipelineModel) -> list[str]:
-    return list(model.stages[0].labels)
+def classes_of(model: PipelineModel | Boosted) -> list[str]:
+    return model.classes if isinstance(model, Boosted) else list(model.stages[0].labels)
 
 
-def classify(model: PipelineModel, rows: DataFrame) -> DataFrame:
+def classify(model: PipelineModel | Boosted, rows: DataFrame) -> DataFrame:
     """``rows`` with p (in the order of the model's classes) and prediction."""
+    if isinstance(model, Boosted):
+        return boosting.classify(model, rows)
     classes = classes_of(model)
     named = rows if "y" in rows.columns else rows.withColumn("y", F.lit(None).cast("string"))
     scored = model.transform(named).withColumn("p", F.slice(vector_to_array("probability"), 1, len(classes)))
     return scored.withColumn("prediction", conformal.argmax_class(classes)).drop("target", "vector", "rawPrediction", "probability", "index", *(["y"] if "y" not in rows.columns else []))
 
 
-def importances(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    values = model.stages[-1].featureImportances.toArray().tolist()
-    return rows.sparkSession.createDataFrame(list(zip(C.FEATURES, values, strict=True)), "feature string, importance double").orderBy(F.desc("importance"), "feature")
+def importances(model: PipelineModel | Boosted, rows: DataFrame) -> DataFrame:
+    """Each feature's share of what the splits gained, largest first."""
+    values = boosting.importances(model) if isinstance(model, Boosted) else list(zip(C.FEATURES, model.stages[-1].featureImportances.toArray().tolist(), strict=True))
+    return rows.sparkSession.createDataFrame(values, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
 @dataclass
@@ -159,19 +163,19 @@ def effects(models: dict[str, PipelineModel], rows: DataFrame) -> DataFrame:
 
 @dataclass
 class Fitted:
-    classifier: PipelineModel
+    classifier: PipelineModel | Boosted
     forest: IsolationForest
     q: float
     outcomes: dict[str, PipelineModel]
     reference: DataFrame
 
 
-def fit_all(events: DataFrame, alpha: float = C.ALPHA, seed: int = 0, trees: int = 60, forest_trees: int = 200) -> Fitted:
-    """Everything that the live pipeline needs, from one stream of events."""
+def fit_all(events: DataFrame, alpha: float = C.ALPHA, seed: int = 0, trees: int = 60, forest_trees: int = 200, boosted: bool = False) -> Fitted:
+    """Everything that the live pipeline needs, from one stream of events; with ``boosted``, ``trees`` is the number of rounds."""
     rows = splits.build_dataset(events)
     train, calibration = splits.random_split(rows, 0.3, seed)
     splits.require_classes(calibration, train, "calibration", "training")
-    classifier = train_classifier(train, trees, seed=seed)
+    classifier = boosting.train(train, trees, seed=seed) if boosted else train_classifier(train, trees, seed=seed)
     q = conformal.qhat(_padded(classify(classifier, calibration), classes_of(classifier)), alpha)
     healthy = splits.healthy(events)
     forest = fit_forest(rows.join(healthy.select("seq"), "seq"), forest_trees, seed=seed)

@@ -15,7 +15,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripwire.operators import drift
+from tripwire.operators import boosting, drift
 from tripwire.operators.models import Fitted, IsolationForest
 from tripwire.sources import files
 
@@ -32,13 +32,17 @@ class Registry:
         if version in self.versions():
             raise ValueError(f"version {version} is there already")
         at = f"{self.folder}/versions/{version}"
-        fitted.classifier.write().overwrite().save(f"{at}/classifier")
+        boosted = isinstance(fitted.classifier, boosting.Boosted)
+        if boosted:
+            boosting.save(self.spark, fitted.classifier, f"{at}/boosted")
+        else:
+            fitted.classifier.write().overwrite().save(f"{at}/classifier")
         for action, model in fitted.outcomes.items():
             model.write().overwrite().save(f"{at}/outcomes/{action}")
         trees = [(k, *(x.tolist() for x in tree)) for k, tree in enumerate(fitted.forest.trees)]
         self.spark.createDataFrame(trees, _TREES).coalesce(1).write.mode("overwrite").parquet(f"{at}/forest")
         fitted.reference.write.mode("overwrite").parquet(f"{at}/reference")
-        numbers = {"q": float(fitted.q), "sample": int(fitted.forest.sample), "cut": float(fitted.forest.cut), "actions": [*fitted.outcomes], "reference": fitted.reference.schema.json()}
+        numbers = {"boosted": boosted, "q": float(fitted.q), "sample": int(fitted.forest.sample), "cut": float(fitted.forest.cut), "actions": [*fitted.outcomes], "reference": fitted.reference.schema.json()}
         files.write_json(self.spark, f"{at}/version.json", numbers)
 
     def versions(self) -> list[str]:
@@ -53,7 +57,8 @@ class Registry:
         trees = self.spark.read.schema(_TREES).parquet(f"{at}/forest").orderBy("tree").collect()
         forest = IsolationForest([(np.array(r["feature"]), np.array(r["value"]), np.array(r["depth"])) for r in trees], numbers["sample"], numbers["cut"])
         outcomes = {a: PipelineModel.load(f"{at}/outcomes/{a}") for a in numbers["actions"]}
-        fitted = Fitted(PipelineModel.load(f"{at}/classifier"), forest, numbers["q"], outcomes, self.spark.read.parquet(f"{at}/reference"))
+        classifier = boosting.load(self.spark, f"{at}/boosted") if numbers.get("boosted") else PipelineModel.load(f"{at}/classifier")
+        fitted = Fitted(classifier, forest, numbers["q"], outcomes, self.spark.read.parquet(f"{at}/reference"))
         self.loaded = (version, fitted)
         return fitted
 

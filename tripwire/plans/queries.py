@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tripwire.functions import conformal, logs
 from tripwire.functions import constants as C
-from tripwire.operators import decision, delivery, drift, features, metrics, models, reading, registry, splits
+from tripwire.operators import boosting, decision, delivery, drift, features, metrics, models, reading, registry, splits
 from tripwire.operators.ranks import floor_index_quantiles
 from tripwire.plans import fixtures as X
 from tripwire.sources import storage
@@ -612,6 +612,27 @@ def classifier(t):
     return metrics.class_report(models.classify(models.train_classifier(train), test))
 
 
+@query()
+def boosted_classifier(t):
+    """Boosted trees trained on the same rows as the forest, and their report."""
+    train, test = splits.temporal_split(splits.build_dataset(t))
+    return metrics.class_report(models.classify(boosting.train(train), test))
+
+
+@query(
+    f"SELECT y, count(*) AS n, count(*) AS whole, count(*) AS known, {len(C.CLASSES)} AS classes FROM kept WHERE ts >= (SELECT quantile_cont(ts, 0.7) FROM kept) GROUP BY y",
+    _KEPT,
+)
+def boosted_totals(t):
+    """Of the later rows of each class: how many get probabilities that sum to 1, and a class that the trees know; the trees are saved and loaded before."""
+    train, test = splits.temporal_split(splits.build_dataset(t))
+    spark, folder = t.sparkSession, shared_folder(t.sparkSession)
+    boosting.save(spark, boosting.train(train, rounds=8), folder)
+    model = boosting.load(spark, folder)
+    whole = F.abs(F.aggregate("p", F.lit(0.0), lambda a, x: a + x) - 1) < 1e-9
+    return models.classify(model, test).groupBy("y").agg(F.count("*").alias("n"), F.count_if(whole).alias("whole"), F.count_if(F.col("prediction").isin(model.classes)).alias("known")).withColumn("classes", F.lit(len(model.classes)))
+
+
 @query()
 def importances(t):
     train, _ = splits.temporal_split(splits.build_dataset(t))
