@@ -3,6 +3,7 @@
 import base64
 import random
 import re
+import tracemalloc
 import unicodedata
 import zlib
 from collections import Counter
@@ -128,6 +129,35 @@ def test_long_texts_are_coded_in_parts(monkeypatch):
         assert trees.bits(raw, ends) == pytest.approx(whole, rel=1e-5)
 
 
+def test_three_hundred_languages_fit_in_the_memory_of_one_sample():
+    """10 kB of each, of words of its own: code lengths are those of a language alone, and tables stay a small multiple of the counts."""
+    rng, texts = random.Random(9), []
+    for k in range(300):
+        letters = rng.sample("abcdefghijklmnopqrstuvwxyzäöüßéèçñøåłžšđğıțāēī", 18)
+        words = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(400)]
+        texts.append(" ".join(rng.choice(words) for _ in range(1_600)).encode()[:10_000])
+    lang, gram, n = [], [], []
+    for k, text in enumerate(texts):
+        raw = np.frombuffer(text, np.uint8)
+        for size in range(1, language.ORDER + 2):
+            grams, counts = np.unique(language._grams(raw, np.arange(len(raw)), size)[1], return_counts=True)
+            lang.append(np.full(len(grams), k)), gram.append(grams), n.append(counts)
+    lang, gram, n = (np.concatenate(x) for x in (lang, gram, n))
+    tracemalloc.start()
+    trees = language.ContextTrees.fit([f"l{k:03}" for k in range(300)], lang, gram, n)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 900_000_000
+    some = [0, 7, 8, 150, 299]
+    raw, ends = np.frombuffer(b"".join(texts[k][-500:] for k in some), np.uint8), np.arange(len(some) + 1) * 500
+    bits = trees.bits(raw, ends)
+    assert bits.shape == (5, 300) and bits.argmin(1).tolist() == some
+    for k in some:
+        mine = lang == k
+        alone = language.ContextTrees.fit(["x"], np.zeros(mine.sum(), np.int64), gram[mine], n[mine])
+        assert alone.bits(raw, ends)[:, 0] == pytest.approx(bits[:, k], rel=1e-6)
+
+
 def test_every_language_is_learned_from_few_long_documents(spark):
     rows = [(k, "aa", "lorem ipsum dolor sit amet " * 40) for k in range(400)] + [(1001, "bb", "zwölf boxkämpfer jagen viktor " * 9000)]
     trees = language.train(spark.createDataFrame(rows, "doc_id long, lang string, text string"), sample_bytes=60_000)

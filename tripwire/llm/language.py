@@ -8,7 +8,9 @@ prediction is a table lookup for most bytes. The language of least code length w
 
 Training reads documents that are not held out and have a language: blocks of ``BLOCK`` bytes of their texts,
 ``SAMPLE_BYTES`` in all at most on average and as much of each language, chosen by a hash of the document and the
-block's number. That bounds the model, which is broadcast: its width is the number of languages, a few hundred at most.
+block's number. A language's code lengths don't depend on other languages, so tables hold ``TOGETHER`` languages each and
+only the grams that one of them has. That bounds the model, which is broadcast, by the sample, however many
+languages share it; the time of a prediction grows with their number.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0 and no code length; so is every text if
 nothing can be learned (an empty table, no languages); null ids count as the empty text in the hash; repeated rows
@@ -30,6 +32,8 @@ from tripwire.llm.batches import Lookup, mix, release, row_chunks, text_buffer,
 ORDER = 4
 #: Bytes of training text, shared evenly by the languages, and of the blocks that a hash picks.
 SAMPLE_BYTES, BLOCK = 3_000_000, 4096
+#: Languages whose trees are in one set of tables.
+TOGETHER = 8
 #: Bytes that are looked up at once; longer texts go in parts.
 _BYTES_AT_ONCE = 250_000
 _SHARES = 1 << 30
@@ -84,7 +88,7 @@ def gram_counts(labelled: DataFrame, order: int = ORDER, shares: dict[str, int]
                 of_byte = np.repeat(which[of_text[lo:hi]], np.diff(at[lo : hi + 1]))
                 for length in range(1, order + 2):
                     where, keys = _grams(own, depth, length)
-                    for k in range(len(names)):
+                    for k in np.unique(of_byte).tolist():
                         grams, counts = np.unique(keys[of_byte[where] == k], return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array([names[k].as_py()] * len(grams), pa.string()), pa.array(grams.astype(np.int64)), pa.array(counts)], names=["lang", "gram", "n"])
 
@@ -93,10 +97,10 @@ def gram_counts(labelled: DataFrame, order: int = ORDER, shares: dict[str, int]
 
 
 @dataclass
-class ContextTrees:
-    """All languages' trees as tables by gram length: what a known gram costs, and what escaping from it costs."""
+class _Tables:
+    """Trees of a few languages as tables by gram length: what a known gram costs, and what escaping from it costs."""
 
-    languages: list[str]
+    many: int
     order: int
     found: list[Lookup]
     cost: list[np.ndarray]
@@ -104,9 +108,9 @@ class ContextTrees:
     unknown: np.ndarray
 
     @classmethod
-    def fit(cls, languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, order: int = ORDER) -> ContextTrees:
-        """From counts of grams by language (numbers into ``languages``)."""
-        gram, many = gram.astype(np.uint64), len(languages)
+    def fit(cls, many: int, lang: np.ndarray, gram: np.ndarray, n: np.ndarray, order: int) -> _Tables:
+        """From counts of grams by language (numbers under ``many``)."""
+        gram = gram.astype(np.uint64)
         length = (gram >> _LENGTH).astype(np.int64)
         found, counts = [], []
         for size in range(1, order + 2):
@@ -138,7 +142,7 @@ class ContextTrees:
                 n_of, d_of = of[0][up], of[1][up]
                 own = np.where(table > 0, np.log2((n_of + d_of) / table), np.where(n_of > 0, np.log2((n_of + d_of) / d_of), 0) + shorter)
                 cost.append(own.astype(np.float32))
-        return cls(languages, order, lookups, cost, escape, unknown.astype(np.float32))
+        return cls(many, order, lookups, cost, escape, unknown.astype(np.float32))
 
     def bits(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Code length of each text in each language; a long text goes in parts, each after the bytes that are its context."""
@@ -153,7 +157,7 @@ class ContextTrees:
         """The same for texts at once; the first ``skipped`` bytes don't count."""
         depth = _depth(offsets)
         raw = raw[offsets[0] : offsets[-1]]
-        out = np.zeros((len(raw), len(self.languages)), np.float32)
+        out = np.zeros((len(raw), self.many), np.float32)
         left = np.arange(len(raw))
         for size in range(self.order + 1, 0, -1):
             own = left if size == 1 else left[depth[left] >= size - 1]
@@ -180,12 +184,33 @@ class ContextTrees:
             left = left[~done[left]]
         out[:skipped] = 0
         filled = np.flatnonzero(np.diff(offsets))
-        total = np.zeros((len(offsets) - 1, len(self.languages)))
+        total = np.zeros((len(offsets) - 1, self.many))
         if len(filled):
             total[filled] = np.add.reduceat(out, (offsets[:-1] - offsets[0])[filled], axis=0, dtype=np.float64)
         return total
 
 
+@dataclass
+class ContextTrees:
+    """All languages' trees, ``TOGETHER`` languages to a set of tables."""
+
+    languages: list[str]
+    tables: list[_Tables]
+
+    @classmethod
+    def fit(cls, languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, order: int = ORDER) -> ContextTrees:
+        """From counts of grams by language (numbers into ``languages``)."""
+        tables = []
+        for first in range(0, len(languages), TOGETHER):
+            own = np.flatnonzero((lang >= first) & (lang < first + TOGETHER))
+            tables.append(_Tables.fit(min(TOGETHER, len(languages) - first), lang[own] - first, gram[own], n[own], order))
+        return cls(languages, tables)
+
+    def bits(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Code length of each text in each language."""
+        return np.hstack([tables.bits(raw, offsets) for tables in self.tables])
+
+
 def train(documents: DataFrame, order: int = ORDER, sample_bytes: int = SAMPLE_BYTES) -> ContextTrees | None:
     """Trees for every language of the documents that are not held out, or None if there is none."""
     usable = documents.select("doc_id", "lang", "text").filter((id_crc() % 3 != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -201,7 +226,8 @@ def train(documents: DataFrame, order: int = ORDER, sample_bytes: int = SAMPLE_B
     lang = counts["lang"].combine_chunks().dictionary_encode()
     names = lang.dictionary.to_pylist()
     languages = sorted(names)
-    number = np.array([languages.index(x) for x in names])[np.array(lang.indices)]
+    place = {name: k for k, name in enumerate(languages)}
+    number = np.array([place[x] for x in names])[np.array(lang.indices)]
     return ContextTrees.fit(languages, number, counts["gram"].to_numpy(), counts["n"].to_numpy(), order)
 
 
