@@ -164,3 +164,13 @@ def test_prompts_are_asked_once(spark, tmp_path):
     assert verdicts.count() == 43 and {r.seq for r in verdicts.filter("failed").collect()} == {90, 91, 92}
     assert store.ask(rows, lambda x: "{}", wait_s=0.0, again=True) == 2  # only those that failed
     assert store.verdicts(rows, "stub").filter("reader_error is not null").count() == 0 and store.last().count() == 9
+
+
+def test_exactly_once_over_a_log_longer_than_its_watermark(spark, tmp_path):
+    from tripwire.plans.queries import QUERIES
+
+    events = spark.read.parquet(f"{SMALL}/events.parquet").withColumn("event_id", F.col("event_id") * 60)  # a row each ten seconds
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    n = events.count()
+    told = QUERIES["stream_exactly_once"](spark, str(tmp_path)).first().asDict()
+    assert told == {"processed": n, "distinct_offsets": n, "duplicates": 0, "lost": 0, "restarts": len(STEPS)}

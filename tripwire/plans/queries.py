@@ -751,11 +751,15 @@ def stream_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_exactly_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of a log in which some come twice, deduplicated by a query that is killed after each step of the sink once: what is lost or there twice in the end."""
+    """Rows of a log in which some come twice, deduplicated by a query that is killed after each step of the sink once: what is lost or there twice in the end.
+
+    The log grows in order of time, a micro-batch by each append, so a watermark of an hour leaves no row too late however long the log is.
+    """
     live.rocks(spark)
     t, folder = X.telemetry(spark, sf_dir), shared_folder(spark)
-    parts = t.union(t.filter("seq % 5 = 0")).withColumn("part", F.pmod("seq", F.lit(len(STEPS) + 1)))
-    parts.repartition("part").write.partitionBy("part").parquet(f"{folder}/log")
+    appends = [str(k) for k in range(len(STEPS) + 1)]
+    cuts = splits.time_cuts(t, [(k + 1) / len(appends) for k in range(len(STEPS))])
+    parts = t.union(t.filter("seq % 5 = 0")).withColumn("part", splits.part(cuts, appends))
     deaths = {(step, number + 1) for number, step in enumerate(STEPS)}
 
     def die(step: str, batch: int) -> None:
@@ -763,10 +767,15 @@ def stream_exactly_once(spark: SparkSession, sf_dir: str) -> DataFrame:
             deaths.remove((step, batch))
             raise RuntimeError(f"killed after {step} of batch {batch}")
 
-    read = lambda: spark.readStream.schema(t.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{folder}/log")
     with Subscribers(spark, folder) as running:
-        running.add("sink", lambda: live.deduplicated(read()).select("seq"), die)
-        running.catch_up()
+        for k in appends:  # stopped while the log grows, so that it sees an append whole
+            log = _logged(spark, parts.filter(F.col("part") == k).drop("part"), f"{folder}/log")
+            if k == appends[0]:
+                running.add("sink", lambda: live.deduplicated(log).select("seq"), die)
+            else:
+                running.start("sink")
+            running.catch_up()
+            running.stop("sink")
         restarts, rows = running.groups["sink"].restarts, running.rows("sink")
     return delivery.recovery_audit(t, rows).withColumn("restarts", F.lit(restarts).cast("long"))
 
