@@ -253,3 +253,29 @@ def test_snapshot_and_offsets(spark):
     source.append(t, log)
     source.append(t, log, first=20)
     assert sorted(r.seq for r in source.read_jsonl(spark, log).collect()) == list(range(40))
+
+
+def test_a_fit_computes_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def costly(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    each = (F.pmod(F.xxhash64("seq", F.lit(c)), F.lit(1000)) / 1000 for c in C.FEATURES)
+    rows = spark.range(600).select(F.col("id").alias("seq"), *(x.alias(c) for x, c in zip(each, C.FEATURES, strict=True)))
+    rows = rows.withColumn("y", F.when(F.col("cpu_over_baseline") > 0.5, "a").otherwise("b")).withColumn("action", F.when(F.col("seq") % 2 == 0, "none").otherwise("restart")).withColumn("outcome", F.col("mem_pct"))
+    counted = rows.mapInPandas(costly, rows.schema)
+    fits = (lambda: models.train_classifier(counted, trees=2, depth=2), lambda: models.fit_outcomes(counted, trees=2), lambda: models.fit_forest(counted, trees=3, sample=20), lambda: boosting.train(counted, rounds=2), lambda: models.detect(counted, F.col("y") == "a", trees=3, sample=20).count())
+    for fit in fits:
+        before = seen.value
+        fit()
+        assert seen.value - before == 600
+
+
+def test_detecting_is_fitting_and_scoring(spark):
+    rows = spark.range(500).select(F.col("id").alias("seq"), *((F.pmod(F.xxhash64("id", F.lit(c)), F.lit(1000)) / 1000).alias(c) for c in C.FEATURES))
+    normal = F.col("seq") % 3 > 0
+    found = models.detect(rows, normal, trees=9, sample=40)
+    assert found.select("seq", "strangeness", "flag").exceptAll(models.strangeness(models.fit_forest(rows.filter(normal), 9, 40), rows).select("seq", "strangeness", "flag")).isEmpty()

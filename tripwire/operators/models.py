@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,22 +23,32 @@ from tripwire.functions import constants as C
 from tripwire.operators import boosting, decision, metrics, splits
 from tripwire.operators.boosting import Boosted
 from tripwire.operators.ranks import linear_quantiles
+from tripwire.sources.storage import Scratch, stored
 
 
-def _settled(rows: DataFrame) -> DataFrame:
-    """Rows laid out the same way each time: bagging depends on it."""
+#: Rows of a partition of training rows, about: a fit runs hundreds of short jobs, and small partitions cost more than their rows.
+_PART_ROWS = 25_000
+
+
+def _settled(rows: DataFrame, n: int) -> DataFrame:
+    """About ``n`` rows laid out the same way each time: bagging depends on it."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "seq").sortWithinPartitions("seq")
+    return rows.repartition(max(1, min(parts, -(-n // _PART_ROWS))), "seq").sortWithinPartitions("seq")
 
 
 def train_classifier(rows: DataFrame, trees: int = 60, depth: int = 8, seed: int = 0) -> PipelineModel:
-    """A random forest over the eight features, classes weighted to balance."""
-    weighted = _settled(rows.join(F.broadcast(metrics.class_weights(rows)), "y"))
-    return Pipeline(stages=[
-        StringIndexer(inputCol="y", outputCol="target", stringOrderType="alphabetAsc", handleInvalid="keep"),
-        VectorAssembler(inputCols=C.FEATURES, outputCol="vector"),
-        RandomForestClassifier(featuresCol="vector", labelCol="target", weightCol="weight", predictionCol="index", numTrees=trees, maxDepth=depth, seed=seed),
-    ]).fit(weighted)
+    """A random forest over the eight features, classes weighted to balance.
+
+    A fit passes over its rows several times, so what they are computed from is computed once before.
+    """
+    with Scratch(rows.sparkSession) as tmp:
+        own = tmp.stored(rows.select("seq", "y", *C.FEATURES))
+        weighted = _settled(own.join(F.broadcast(metrics.class_weights(own)), "y"), own.count())
+        return Pipeline(stages=[
+            StringIndexer(inputCol="y", outputCol="target", stringOrderType="alphabetAsc", handleInvalid="keep"),
+            VectorAssembler(inputCols=C.FEATURES, outputCol="vector"),
+            RandomForestClassifier(featuresCol="vector", labelCol="target", weightCol="weight", predictionCol="index", numTrees=trees, maxDepth=depth, seed=seed),
+        ]).fit(weighted)
 
 
 def classes_of(model: PipelineModel | Boosted) -> list[str]:
@@ -95,19 +107,44 @@ class IsolationForest:
     def score(self, x: np.ndarray) -> np.ndarray:
         """Between 0 and 1, higher for stranger rows."""
         total = np.zeros(len(x))
-        every = np.arange(len(x))
-        for feature, value, depth in self.trees:
-            node = np.zeros(len(x), np.int64)
-            while (inner := feature[node] >= 0).any():
-                f = np.maximum(feature[node], 0)
-                node = np.where(inner, 2 * node + 1 + (x[every, f] >= value[node]), node)
-            total += depth[node]
+        filled = [self._filled(*tree) for tree in self.trees]
+        for lo in range(0, len(x), _BLOCK):  # so many rows that what a level works on stays in the cache
+            block = np.ascontiguousarray(x[lo : lo + _BLOCK]).ravel()
+            row = np.arange(0, len(block), x.shape[1])
+            for levels, feature, value, depth in filled:
+                node = np.zeros(len(row), np.int64)
+                for _ in range(levels):
+                    node += node + 1 + (block.take(row + feature.take(node)) >= value.take(node))
+                total[lo : lo + len(row)] += depth.take(node)
         return 2.0 ** (-total / max(len(self.trees), 1) / max(self._rest(self.sample), 1e-9))
 
+    @staticmethod
+    def _filled(feature: np.ndarray, value: np.ndarray, depth: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        """(levels, feature, value, depth) of a tree whose paths all end at the lowest level, with the same depth for every row."""
+        levels, feature, depth = len(feature).bit_length() - 1, feature.copy(), depth.copy()
+        for node in range(len(feature) // 2):
+            if feature[node] < 0:  # a leaf: both ways lead to its depth
+                feature[node], depth[2 * node + 1], depth[2 * node + 2] = 0, depth[node], depth[node]
+                feature[2 * node + 1] = feature[2 * node + 2] = -1
+        return levels, feature, value, depth
+
+
+#: Rows that are scored together.
+_BLOCK = 4096
+
 
 def fit_forest(rows: DataFrame, trees: int = 200, sample: int = 256, contamination: float = 0.02, seed: int = 0, columns: list[str] | None = None) -> IsolationForest:
     """Trees grown on the executors, each from about ``sample`` rows that a hash picks for it; only the trees come to the driver."""
     columns = columns or C.ANOMALY_FEATURES
+    with Scratch(rows.sparkSession) as tmp:
+        own = tmp.stored(rows.select("seq", *columns))
+        forest = grow_forest(own, trees, sample, seed, columns)
+        forest.cut = linear_quantiles(strangeness(forest, own, columns), "strangeness", [1 - contamination])[0]
+    return forest
+
+
+def grow_forest(rows: DataFrame, trees: int, sample: int, seed: int, columns: list[str]) -> IsolationForest:
+    """A forest without its cut; its rows are read twice."""
     n = rows.count()
     if not n:
         raise ValueError("a detector needs rows without an incident")
@@ -121,9 +158,20 @@ def fit_forest(rows: DataFrame, trees: int = 200, sample: int = 256, contaminati
         return pd.DataFrame({"tree": [int(key[0])], "feature": [f.tolist()], "value": [v.tolist()], "depth": [d.tolist()]})
 
     grown = drawn.groupBy("tree").applyInPandas(run, "tree int, feature array<long>, value array<double>, depth array<double>").orderBy("tree").collect()
-    forest = IsolationForest([(np.array(r["feature"]), np.array(r["value"]), np.array(r["depth"])) for r in grown], min(sample, n))
-    forest.cut = linear_quantiles(strangeness(forest, rows, columns), "strangeness", [1 - contamination])[0]
-    return forest
+    return IsolationForest([(np.array(r["feature"]), np.array(r["value"]), np.array(r["depth"])) for r in grown], min(sample, n))
+
+
+def detect(rows: DataFrame, normal: Column, trees: int = 200, sample: int = 256, contamination: float = 0.02, seed: int = 0) -> DataFrame:
+    """``rows`` with the strangeness and flag of a forest fitted on those of them that are ``normal``; each row is computed and scored once.
+
+    The scored rows are a table that stays.
+    """
+    with Scratch(rows.sparkSession) as tmp:
+        own = tmp.stored(rows)
+        forest = grow_forest(own.filter(normal), trees, sample, seed, C.ANOMALY_FEATURES)
+        scored = stored(strangeness(forest, own).drop("flag"))
+    cut = linear_quantiles(scored.filter(normal), "strangeness", [1 - contamination])[0]
+    return scored.withColumn("flag", F.col("strangeness") > cut)
 
 
 def strangeness(forest: IsolationForest, rows: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -140,15 +188,19 @@ def strangeness(forest: IsolationForest, rows: DataFrame, columns: list[str] | N
 
 def fit_outcomes(rows: DataFrame, least: int = 20, trees: int = 20, seed: int = 0) -> dict[str, PipelineModel]:
     """One regression of the outcome per action (rows: seq, features, action, outcome); small arms have none."""
-    arms = {r["action"]: r["n"] for r in rows.groupBy("action").agg(F.count("*").alias("n")).collect()}
-    if arms.get("none", 0) < least:
-        raise ValueError("outcome models need rows with the action none")
-    fitted = {}
-    for action in C.ACTIONS:
-        if arms.get(action, 0) >= least:
+    with Scratch(rows.sparkSession) as tmp:
+        own = tmp.stored(rows.select("seq", *C.FEATURES, "action", "outcome"))
+        arms = {r["action"]: r["n"] for r in own.groupBy("action").agg(F.count("*").alias("n")).collect()}
+        if arms.get("none", 0) < least:
+            raise ValueError("outcome models need rows with the action none")
+        wanted = [action for action in C.ACTIONS if arms.get(action, 0) >= least]
+
+        def fit(action: str) -> PipelineModel:
             stages = [VectorAssembler(inputCols=C.FEATURES, outputCol="vector"), GBTRegressor(featuresCol="vector", labelCol="outcome", predictionCol=f"outcome_{action}", maxIter=trees, maxDepth=4, seed=seed)]
-            fitted[action] = Pipeline(stages=stages).fit(_settled(rows.filter(F.col("action") == action)))
-    return fitted
+            return Pipeline(stages=stages).fit(_settled(own.filter(F.col("action") == action), arms[action]))
+
+        with ThreadPoolExecutor(len(wanted)) as pool:  # arms are fitted side by side
+            return dict(zip(wanted, pool.map(inheritable_thread_target(own.sparkSession)(fit), wanted), strict=True))
 
 
 def effects(models: dict[str, PipelineModel], rows: DataFrame) -> DataFrame:
@@ -172,15 +224,17 @@ class Fitted:
 
 def fit_all(events: DataFrame, alpha: float = C.ALPHA, seed: int = 0, trees: int = 60, forest_trees: int = 200, boosted: bool = False) -> Fitted:
     """Everything that the live pipeline needs, from one stream of events; with ``boosted``, ``trees`` is the number of rounds."""
-    rows = splits.build_dataset(events)
-    train, calibration = splits.random_split(rows, 0.3, seed)
-    splits.require_classes(calibration, train, "calibration", "training")
-    classifier = boosting.train(train, trees, seed=seed) if boosted else train_classifier(train, trees, seed=seed)
-    q = conformal.qhat(_padded(classify(classifier, calibration), classes_of(classifier)), alpha)
-    healthy = splits.healthy(events)
-    forest = fit_forest(rows.join(healthy.select("seq"), "seq"), forest_trees, seed=seed)
-    logged = decision.experiment(events, seed=seed).select("seq", "action", "outcome")
-    return Fitted(classifier, forest, q, fit_outcomes(rows.join(logged, "seq"), seed=seed), healthy.select("seq", "latency_ms"))
+    with Scratch(events.sparkSession) as tmp:
+        rows = tmp.stored(splits.build_dataset(events))
+        train, calibration = splits.random_split(rows, 0.3, seed)
+        splits.require_classes(calibration, train, "calibration", "training")
+        classifier = boosting.train(train, trees, seed=seed) if boosted else train_classifier(train, trees, seed=seed)
+        q = conformal.qhat(_padded(classify(classifier, calibration), classes_of(classifier)), alpha)
+        healthy = splits.healthy(events)
+        forest = fit_forest(rows.join(healthy.select("seq"), "seq"), forest_trees, seed=seed)
+        logged = decision.experiment(events, seed=seed).select("seq", "action", "outcome")
+        outcomes = fit_outcomes(rows.join(logged, "seq"), seed=seed)
+    return Fitted(classifier, forest, q, outcomes, healthy.select("seq", "latency_ms"))
 
 
 def _padded(scored: DataFrame, classes: list[str]) -> DataFrame:

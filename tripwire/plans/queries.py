@@ -608,14 +608,14 @@ def action_spend(t):
 @query()
 def classifier(t):
     """A forest trained on the first 70 % of the time, and its report on the rest."""
-    train, test = splits.temporal_split(splits.build_dataset(t))
+    train, test = splits.temporal_split(storage.stored(splits.build_dataset(t)))
     return metrics.class_report(models.classify(models.train_classifier(train), test))
 
 
 @query()
 def boosted_classifier(t):
     """Boosted trees trained on the same rows as the forest, and their report."""
-    train, test = splits.temporal_split(splits.build_dataset(t))
+    train, test = splits.temporal_split(storage.stored(splits.build_dataset(t)))
     return metrics.class_report(models.classify(boosting.train(train), test))
 
 
@@ -625,7 +625,7 @@ def boosted_classifier(t):
 )
 def boosted_totals(t):
     """Of the later rows of each class: how many get probabilities that sum to 1, and a class that the trees know; the trees are saved and loaded before."""
-    train, test = splits.temporal_split(splits.build_dataset(t))
+    train, test = splits.temporal_split(storage.stored(splits.build_dataset(t)))
     spark, folder = t.sparkSession, shared_folder(t.sparkSession)
     boosting.save(spark, boosting.train(train, rounds=8), folder)
     model = boosting.load(spark, folder)
@@ -635,19 +635,18 @@ def boosted_totals(t):
 
 @query()
 def importances(t):
-    train, _ = splits.temporal_split(splits.build_dataset(t))
+    train, _ = splits.temporal_split(storage.stored(splits.build_dataset(t)))
     return models.importances(models.train_classifier(train), train)
 
 
 @query()
 def iforest_flags(t):
-    rows = splits.build_dataset(t)
-    return metrics.detection_rate(models.strangeness(models.fit_forest(rows.filter(F.col("y") == C.NORMAL)), rows))
+    return metrics.detection_rate(models.detect(splits.build_dataset(t), F.col("y") == C.NORMAL))
 
 
 @query()
 def tlearner_effects(t):
-    rows = splits.build_dataset(t)
+    rows = storage.stored(splits.build_dataset(t))
     logged = decision.experiment(t).select("seq", "action", "outcome")
     learned = models.effects(models.fit_outcomes(rows.join(logged, "seq")), rows)
     return learned.select("seq", decision.best_action(F.col("effects"))["action"].alias("action")).groupBy("action").agg(F.count("*").alias("n"))
