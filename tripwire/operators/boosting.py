@@ -29,7 +29,7 @@ from tripwire.operators import metrics
 from tripwire.sources.storage import Scratch
 
 #: Rows that bins are cut by, on average; bins of a feature; rounds after which scores are written.
-DRAWN, BINS, REFRESH = 100_000, 64, 10
+DRAWN, BINS, REFRESH = 100_000, 64, 5
 #: Slopes and curvatures are added in units of 1 / _UNIT.
 _UNIT = float(1 << 20)
 _BINNED = "target int, weight double, bins binary, scores binary"
@@ -57,8 +57,18 @@ class Round:
         return node
 
     def add(self, scores: np.ndarray, bins: np.ndarray) -> None:
+        """Adds to the scores what the grown trees give; their paths are led to the lowest level, so all rows take as many steps."""
+        flat, row, levels = np.ascontiguousarray(bins).ravel(), np.arange(len(bins)) * bins.shape[1], self.feature.shape[1].bit_length() - 1
         for k in range(scores.shape[1]):
-            scores[:, k] += self.value[k][self.nodes(k, bins)]
+            feature, cut, value = self.feature[k].copy(), self.cut[k], self.value[k].copy()
+            for i in range(len(feature) // 2):
+                if feature[i] < 0:
+                    feature[i], value[2 * i + 1], value[2 * i + 2] = 0, value[i], value[i]
+                    feature[2 * i + 1] = feature[2 * i + 2] = -1
+            node = np.zeros(len(bins), np.int64)
+            for _ in range(levels):
+                node += node + 1 + (flat.take(row + feature.take(node)) > cut.take(node))
+            scores[:, k] += value.take(node)
 
 
 def softmax(scores: np.ndarray) -> np.ndarray:
@@ -131,11 +141,13 @@ def _level(table: DataFrame, since: list[Round], trees: Round, level: int, shape
             for k in range(classes):
                 node = trees.nodes(k, binned) - (2**level - 1)
                 here = node >= 0
-                cell = (((k * nodes + node[here])[:, None] * features + np.arange(features)) * bins + binned[here]).ravel()
+                first, own = (k * nodes + node[here]) * features * bins, binned[here]
                 slope = np.rint((p[here, k] - (target[here] == k)) * weight[here] * _UNIT)
                 curve = np.rint(p[here, k] * (1 - p[here, k]) * weight[here] * _UNIT)
-                for total, x in zip(sums, (slope, curve, np.ones(len(slope))), strict=True):  # whole numbers under 2^53: exact
-                    total += np.bincount(cell, np.repeat(x, features), sums.shape[1]).astype(np.int64)
+                for f in range(features):
+                    cell = first + (f * bins + own[:, f].astype(np.int64))
+                    for total, x in zip(sums, (slope, curve, None), strict=True):  # whole numbers under 2^53: exact
+                        total += np.bincount(cell, x, sums.shape[1]).astype(np.int64)
         at = np.flatnonzero(sums[2])
         yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(x[at]) for x in sums)], names=["cell", "slope", "curve", "n"])
 
@@ -173,7 +185,13 @@ def _split(trees: Round, sums: np.ndarray, level: int, rate: float, least: int,
 def train(rows: DataFrame, rounds: int = 40, depth: int = 3, rate: float = 0.1, least: int = 20, ridge: float = 5.0, columns: list[str] | None = None, target: str = "y", key: str = "seq", seed: int = 0) -> Boosted:
     """Trees over ``columns`` for the classes of ``target``, weighted to balance; ``least`` rows on each side of a cut."""
     spark, columns = rows.sparkSession, columns or C.FEATURES
-    known = rows.filter(F.col(target).isNotNull()).select(F.col(target).alias("_class"), F.col(key).alias("_key"), *columns)
+    with Scratch(spark) as tmp:
+        known = tmp.stored(rows.filter(F.col(target).isNotNull()).select(F.col(target).alias("_class"), F.col(key).alias("_key"), *columns))
+        return _train(known, rounds, depth, rate, least, ridge, columns, seed)
+
+
+def _train(known: DataFrame, rounds: int, depth: int, rate: float, least: int, ridge: float, columns: list[str], seed: int) -> Boosted:
+    spark = known.sparkSession
     weights = {r["_class"]: r["weight"] for r in metrics.class_weights(known, "_class").collect()}
     if not weights:
         raise ValueError("trees need rows with a class")
