@@ -443,3 +443,25 @@ def test_pipeline_edges(spark, tmp_path):
         got = corpus_pipeline.run(spark, str(folder)).collect()
         assert (len(got) == 0) == (name == "none")
         assert not {r.doc_id for r in got} & {0, 1, 2}
+
+
+def test_crowded_buckets_by_a_table_of_bits(spark):
+    import numpy as np
+
+    from tripwire.llm import links
+    from tripwire.sources.storage import Scratch
+
+    rows = spark.range(3000).select(F.xxhash64(F.when(F.col("id") % 10 == 0, F.col("id") % 100).otherwise(F.col("id"))).alias("bucket"), "id")
+    kept_rows = []
+
+    def signed(kept):
+        if kept is None:
+            return rows
+        all_ = rows.toPandas()
+        kept_rows.append(all_[kept(all_["bucket"].to_numpy(np.int64))])
+        return spark.createDataFrame(kept_rows[0])
+
+    with Scratch(spark) as tmp:
+        found = links.crowded(tmp, signed)
+        assert sorted(r.id for r in found.collect()) == list(range(0, 3000, 10)) and len(kept_rows[0]) < 310
+        assert links.with_first(found)._jdf.queryExecution().optimizedPlan().toString().count("Join Inner, (id") == 0

@@ -22,7 +22,7 @@ column named line_dedup is replaced); texts and lines are read whole.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -199,19 +199,25 @@ def line_copies(tmp: Scratch, documents: DataFrame, distance: int = DISTANCE, mi
                 check = [zlib.crc32(view[a:b]) for a, b in zip(own.begin.tolist(), own.end.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(of), batch.column("document_key").take(of), pa.array(own.number.astype(np.int32)), pa.array(ids.astype(np.int64)), pa.array(check, pa.int64())], names=["doc_id", "document_key", "line", "id", "check"])
 
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in release(batches):
-            for _, own, prefix, ids in chunks(batch):
-                _, once = np.unique(ids, return_index=True)
-                once = once[(own.last - own.first)[once] >= min_chars]
-                new = once[[x not in seen for x in ids[once].tolist()]] if len(once) else once
-                if len(seen) > REMEMBERED:
-                    seen.clear()
-                seen.update(ids[new].tolist())
-                if len(new):
-                    buckets, owners = bucket_rows(prefix, own.only(new), ids[new], distance)
-                    yield pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int64)), pa.array(owners.astype(np.int64))], names=["bucket", "id"])
+    def placed(kept: Callable[[np.ndarray], np.ndarray] | None) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[int] = set()
+            for batch in release(batches):
+                for _, own, prefix, ids in chunks(batch):
+                    _, once = np.unique(ids, return_index=True)
+                    once = once[(own.last - own.first)[once] >= min_chars]
+                    new = once[[x not in seen for x in ids[once].tolist()]] if len(once) else once
+                    if len(seen) > REMEMBERED:
+                        seen.clear()
+                    seen.update(ids[new].tolist())
+                    if len(new):
+                        buckets, owners = bucket_rows(prefix, own.only(new), ids[new], distance)
+                        if kept:
+                            here = kept(buckets)
+                            buckets, owners = buckets[here], owners[here]
+                        yield pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int64)), pa.array(owners.astype(np.int64))], names=["bucket", "id"])
+
+        return texts.select("text").mapInArrow(run, "bucket long, id long")
 
     lines = tmp.stored(texts.mapInArrow(located, "doc_id long, document_key long, line int, id long, check long"))
     place = F.struct("check", "doc_id", "document_key", "line")
@@ -245,7 +251,7 @@ def line_copies(tmp: Scratch, documents: DataFrame, distance: int = DISTANCE, mi
         left, right = (contents.select(F.col("id").alias(x), F.col("content").alias(f"{x}_line")) for x in "ab")
         return pairs.join(left, "a").join(right, "b").mapInArrow(verified, "a long, b long").distinct()
 
-    found, _ = classes(tmp, crowded(texts.select("text").mapInArrow(placed, "bucket long, id long")), contents_of, verify, sketched=False)
+    found, _ = classes(tmp, crowded(tmp, placed), contents_of, verify, sketched=False)
     classed = named.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     firsts = classed.groupBy("component").agg(F.min(F.struct("first.doc_id", "first.document_key", "first.line")).alias("class_first"), F.sum("n").alias("in_class")).filter("in_class > 1")
     copied = classed.join(firsts, "component").select("id", F.col("first.check").alias("id_check"), "class_first")

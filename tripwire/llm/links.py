@@ -32,7 +32,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripwire.llm.batches import mix, release
@@ -52,16 +52,36 @@ SAMPLE, OFTEN = 256, 40
 SETS = "id long, size int, reach int, slack int, spread int, " + ", ".join(f"s{k} long" for k in range(SKETCH)) + ", elements array<long>"
 
 
-def crowded(rows: DataFrame) -> DataFrame:
-    """Of rows (bucket, id), those of buckets with two items or more, each once."""
-    ends = rows.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
-    return rows.join(ends.select("bucket"), "bucket").distinct()
+#: Bits of the table that tells which rows can be of a bucket with several items; its size is fixed.
+_SLOT_BITS = 27
+
+
+def crowded(tmp: Scratch, signed: Callable[[Callable[[np.ndarray], np.ndarray] | None], DataFrame]) -> DataFrame:
+    """Of rows (bucket, id), those of buckets with two items or more, each once.
+
+    ``signed`` gives the rows, or those whose buckets a function keeps. They are made twice: first buckets are counted, then
+    the rows that can be of a crowded one, as a bit for each of a fixed number of slots tells, meet those buckets.
+    """
+    ends = signed(None).groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
+    buckets = tmp.stored(ends.select("bucket"))
+    slot = F.shiftright("bucket", 20).bitwiseAND((1 << _SLOT_BITS) - 1)
+    pages = buckets.select(slot.alias("slot")).groupBy(F.shiftright("slot", 15).alias("page")).agg(F.bitmap_construct_agg(F.col("slot").bitwiseAND((1 << 15) - 1)).alias("bits"))
+    bits = np.zeros((1 << (_SLOT_BITS - 15), 1 << 12), np.uint8)
+    for page, held in pages.toLocalIterator():
+        bits[page] = np.frombuffer(held, np.uint8)
+    shared = buckets.sparkSession.sparkContext.broadcast(bits.ravel())
+
+    def kept(bucket: np.ndarray) -> np.ndarray:
+        slot = (bucket.astype(np.int64) >> 20) & ((1 << _SLOT_BITS) - 1)
+        return (shared.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
+
+    return signed(kept).join(buckets, "bucket").distinct()
 
 
 def with_first(members: DataFrame) -> DataFrame:
     """``crowded`` rows with the item that stands first in the bucket, and in how many buckets that one is."""
-    shares = members.groupBy("id").agg(F.count("*").alias("shares"))
-    firsts = members.join(shares, "id").groupBy("bucket").agg(F.max(F.struct("shares", "id")).alias("first"))
+    shares = members.withColumn("shares", F.count("*").over(Window.partitionBy("id")))  # an item is in few buckets
+    firsts = shares.groupBy("bucket").agg(F.max(F.struct("shares", "id")).alias("first"))
     return members.join(firsts, "bucket").select("bucket", "id", F.col("first.id").alias("first"), F.col("first.shares").alias("shares"))
 
 

@@ -22,7 +22,7 @@ other columns are ignored; texts are read whole.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -152,14 +152,21 @@ def set_components(tmp: Scratch, documents: DataFrame, words: int, percent: int)
                 ids, checks = (pa.array([set_id(x, other) if len(x) else None for x in sets], pa.int64()) for other in (3, 7))
                 yield pa.RecordBatch.from_arrays([*(batch.column(x).slice(lo, hi - lo) for x in ("doc_id", "text_key")), pa.array([len(x) for x in sets], pa.int64()), ids, checks], names=["doc_id", "text_key", "n_shingles", "id", "check"])
 
-    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in release(batches):
-            raw, offsets, _ = text_buffer(batch.column(1))
-            for lo, hi in row_chunks(offsets):
-                own = {set_id(x): x for x in shingle_sets(raw, offsets[lo : hi + 1], words) if len(x)}
-                signs = [plan.signatures(x) for x in own.values()]
-                counts = [len(x) for x in signs]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*signs, np.zeros(0, np.uint64)]).astype(np.int64)), pa.array(np.repeat(np.array([*own], np.int64), counts))], names=["bucket", "id"])
+    def signed(kept: Callable[[np.ndarray], np.ndarray] | None) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in release(batches):
+                raw, offsets, _ = text_buffer(batch.column(1))
+                for lo, hi in row_chunks(offsets):
+                    own = {set_id(x): x for x in shingle_sets(raw, offsets[lo : hi + 1], words) if len(x)}
+                    signs = [plan.signatures(x) for x in own.values()]
+                    buckets = np.concatenate([*signs, np.zeros(0, np.uint64)]).astype(np.int64)
+                    ids = np.repeat(np.array([*own], np.int64), [len(x) for x in signs])
+                    if kept:
+                        here = kept(buckets)
+                        buckets, ids = buckets[here], ids[here]
+                    yield pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(ids)], names=["bucket", "id"])
+
+        return keyed.mapInArrow(run, "bucket long, id long")
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in release(batches):
@@ -188,7 +195,7 @@ def set_components(tmp: Scratch, documents: DataFrame, words: int, percent: int)
         shared = F.size(F.array_intersect("a_set", "b_set"))
         return both.filter(100 * shared >= percent * (F.size("a_set") + F.size("b_set") - shared)).select("a", "b").distinct()
 
-    found, links = classes(tmp, crowded(keyed.mapInArrow(signed, "bucket long, id long")), sets_of, verify)
+    found, links = classes(tmp, crowded(tmp, signed), sets_of, verify)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     classed = named.join(found, "id", "left").join(degree, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = classed.groupBy("component").agg(F.min(F.struct("first.unnamed", "first.doc_id", "first.text_key")).alias("class_first"))
