@@ -174,3 +174,17 @@ def test_exactly_once_over_a_log_longer_than_its_watermark(spark, tmp_path):
     n = events.count()
     told = QUERIES["stream_exactly_once"](spark, str(tmp_path)).first().asDict()
     assert told == {"processed": n, "distinct_offsets": n, "duplicates": 0, "lost": 0, "restarts": len(STEPS)}
+
+
+def test_rounds_of_prompts_compute_them_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def costly(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    prompts = spark.range(90).select(F.concat(F.lit("p"), "id").alias("prompt")).mapInPandas(costly, "prompt string")
+    store = reading.VerdictStore(spark, shared_folder(spark))
+    assert store.ask(prompts, lambda x: x, block=4) == 90 and seen.value == 90
+    assert store.rows().agg(F.count_distinct("reply")).first()[0] == 90 and store.ask(prompts, lambda x: x, block=4) == 0

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tripwire.functions import logs
 from tripwire.sources import files
+from tripwire.sources.storage import Scratch
 
 STORED = "prompt_hash string, reply string, reader_error string, calls int"
 
@@ -69,13 +70,17 @@ class VerdictStore:
                     yield pd.DataFrame({"prompt_hash": pdf["prompt_hash"].to_numpy(object), **{c: [x[k] for x in done] for k, c in enumerate(("reply", "reader_error", "calls"))}})
 
         first = len(files.names(self.spark, f"{self.folder}/replies"))
-        left = wanted.join(known.select("prompt_hash"), "prompt_hash", "left_anti").withColumn("round", F.pmod(F.xxhash64("prompt_hash"), F.lit(1 << 30)))
-        rounds = -(-left.count() // (tasks * block))
-        for k in range(rounds):  # rounds are shares of the hashes, so a round is the same however often it is begun
-            part = left.filter((F.col("round") % rounds) == k).drop("round").repartition(tasks, "prompt_hash")
-            path = f"{self.folder}/replies/{first + k:06d}"
-            part.mapInPandas(run, STORED).write.mode("overwrite").parquet(path)
-            asked += self.spark.read.schema(STORED).parquet(path).count()
+        with Scratch(self.spark) as tmp:
+            left = tmp.stored(wanted.join(known.select("prompt_hash"), "prompt_hash", "left_anti").withColumn("round", F.pmod(F.xxhash64("prompt_hash"), F.lit(1 << 30))))
+            rounds = -(-left.count() // (tasks * block))
+            if rounds:  # rounds are shares of the hashes; they are dealt once, so a round reads its own prompts only
+                left.withColumn("round", F.col("round") % rounds).repartition("round").write.partitionBy("round").parquet(f"{tmp.folder}/rounds")
+            for k in range(rounds):
+                dealt = self.spark.read.schema("prompt_hash string, prompt string, round long").parquet(f"{tmp.folder}/rounds")
+                part = dealt.filter(F.col("round") == k).drop("round").repartition(tasks, "prompt_hash")
+                path = f"{self.folder}/replies/{first + k:06d}"
+                part.mapInPandas(run, STORED).write.mode("overwrite").parquet(path)
+                asked += self.spark.read.schema(STORED).parquet(path).count()
         return asked
 
     def last(self) -> DataFrame:
