@@ -465,3 +465,24 @@ def test_crowded_buckets_by_a_table_of_bits(spark):
         found = links.crowded(tmp, signed)
         assert sorted(r.id for r in found.collect()) == list(range(0, 3000, 10)) and len(kept_rows[0]) < 310
         assert links.with_first(found)._jdf.queryExecution().optimizedPlan().toString().count("Join Inner, (id") == 0
+
+
+def test_differences_of_one_item_do_not_meet_the_sketches(spark):
+    """Lines of one bucket, each with an end of its own: few rows of the differences are joined, and a link between two of them is found."""
+
+    class Counting(links.Scratch):
+        compared = 0
+
+        def stored(self, df):
+            out = super().stored(df)
+            if {"element", "s0"} <= set(out.columns):
+                self.compared += out.count()
+            return out
+
+    rng = random.Random(5)
+    texts = ["the same thirty characters first" + "".join(rng.choices("klmnopqrstuvwxyz", k=64)) for _ in range(60)]
+    texts.append(texts[40][:-1] + "#")
+    documents = spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "doc_id long, document_key long, text string")
+    with Counting(spark) as tmp:
+        got = {r.doc_id: r["first"].doc_id for r in lines.line_copies(tmp, documents).collect()}
+        assert got == {40: 40, 60: 40} and 0 < tmp.compared < len(texts) * 9, tmp.compared

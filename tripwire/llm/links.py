@@ -15,7 +15,8 @@ Since only the classes are wanted, not all pairs of a bucket need verifying:
    aren't shared, so if A has more than k, both have one of them among their first k + 1 differences in a common order,
    and so if B has more. If neither has, and they share none, A and B have at most k together, so the smaller has at
    most k / 2: such items, near f and yet not linked to it, are joined with the others of at most k. A pair of a
-   group that differs in class is verified if sizes and sketches (parities of elements by bin) allow at most k differences.
+   group that differs in class is verified if sizes and sketches (parities of elements by bin) allow at most k differences;
+   differences that only items of one class have are left out before that.
 
 The common order takes elements first that few items share: those that are not common in a sample of the group's
 items, f's own elements after others. The sample has an influence on the size of the groups only, not on what is found.
@@ -157,8 +158,8 @@ def common_differences(open_: DataFrame, base: DataFrame, sets: DataFrame) -> Da
 
 
 def leading_differences(rows: DataFrame) -> DataFrame:
-    """(first, element, near, id): of rows (first, id, slack, base, common, elements), the slack + 1 differences that come first
-    in the common order, or all of them and a row without an element that says in ``near`` how many there are."""
+    """(first, element, near, id, component): of rows (first, id, component, slack, base, common, elements), the slack + 1 differences
+    that come first in the common order, or all of them and a row without an element that says in ``near`` how many there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in release(batches):
@@ -175,9 +176,19 @@ def leading_differences(rows: DataFrame) -> DataFrame:
             of = pa.array(np.concatenate((np.repeat(np.arange(len(found)), [len(x) for x in found]), short)).astype(np.int64))
             elements = np.concatenate([*found, np.zeros(len(short), np.int64)]).astype(np.int64)
             which = np.concatenate((np.full(len(elements) - len(short), -1), near[short]))
-            yield pa.RecordBatch.from_arrays([batch.column("first").take(of), pa.array(elements), pa.array(which.astype(np.int32)), batch.column("id").take(of)], names=["first", "element", "near", "id"])
+            yield pa.RecordBatch.from_arrays([batch.column("first").take(of), pa.array(elements), pa.array(which.astype(np.int32)), batch.column("id").take(of), batch.column("component").take(of)], names=["first", "element", "near", "id", "component"])
 
-    return rows.select("first", "id", "slack", "base", "common", "elements").mapInArrow(run, "first long, element long, near int, id long")
+    return rows.select("first", "id", "component", "slack", "base", "common", "elements").mapInArrow(run, "first long, element long, near int, id long, component long")
+
+
+def with_company(leading: DataFrame) -> DataFrame:
+    """Of ``leading_differences``, the rows without an element, and those whose element items of another class have too.
+
+    Only pairs that differ in class are compared, so the others meet nothing; most differences are an item's own.
+    """
+    alike = leading.filter("near < 0")
+    shared = alike.groupBy("first", "element").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    return alike.join(shared.select("first", "element"), ["first", "element"], "left_semi").unionByName(leading.filter("near >= 0"))
 
 
 def similar() -> Column:
@@ -240,12 +251,12 @@ def classes(tmp: Scratch, members: DataFrame, sets_of: Callable[[DataFrame], Dat
         open_ = several()
     if not open_.isEmpty():
         base = sets.select(F.col("id").alias("first"), F.col("elements").alias("base"))
-        apart = open_.filter("id <> first").select("first", "id")
-        rows = apart.join(base, "first").join(common_differences(apart, base, sets), "first", "left").join(sets, "id")
+        apart = open_.filter("id <> first")
+        rows = apart.join(base, "first").join(common_differences(apart.select("first", "id"), base, sets), "first", "left").join(sets, "id")
         leading = tmp.stored(leading_differences(rows))
         # a stored table's columns by side, so that the sketches are compared in the join itself
         columns = [c for c in sets.columns if c not in ("id", "elements", "content")]
-        sides = tmp.stored(classed(leading).join(sets.select("id", *columns), "id"))
+        sides = tmp.stored(with_company(leading).join(sets.select("id", *columns), "id"))
         left, right = (sides.select("first", "element", "near", *(F.col(c).alias(x if c == "id" else f"{x}_{c}") for c in ("id", "component", *columns))) for x in "ab")
         differ = (F.col("a_component") != F.col("b_component")) & similar()
         alike = left.filter("near < 0").join(right.filter("near < 0"), ["first", "element"]).filter((F.col("a") < F.col("b")) & differ)
