@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tripwire.functions import constants as C
 from tripwire.operators import boosting, drift, models, reading, registry, splits
-from tripwire.plans import fixtures
+from tripwire.plans import fixtures, queries
 from tripwire.sources import files
 from tripwire.sources.sink import STEPS, ManifestSink
 from tripwire.sources.storage import shared_folder
@@ -188,3 +188,16 @@ def test_rounds_of_prompts_compute_them_once(spark):
     store = reading.VerdictStore(spark, shared_folder(spark))
     assert store.ask(prompts, lambda x: x, block=4) == 90 and seen.value == 90
     assert store.rows().agg(F.count_distinct("reply")).first()[0] == 90 and store.ask(prompts, lambda x: x, block=4) == 0
+
+
+@pytest.mark.parametrize("name", ["stream_features"])
+def test_features_of_a_log_in_bounded_micro_batches(spark, monkeypatch, name):
+    """What a long log gives in many appends is what it gives in one, and no micro-batch is larger than an append."""
+    folders = []
+    monkeypatch.setattr(queries, "shared_folder", lambda session: folders.append(shared_folder(session)) or folders[-1])
+    whole = sorted(queries.QUERIES[name](spark, SMALL).collect())
+    folders.clear()
+    monkeypatch.setattr(live, "STEP_ROWS", 300, raising=False)
+    assert sorted(queries.QUERIES[name](spark, SMALL).collect()) == whole
+    told = ledger.lines(spark, live.ledger_of(f"{folders[0]}/checkpoint")).agg(F.max("rows"), F.sum("rows")).first()
+    assert told[:] == (300, fixtures.telemetry(spark, SMALL).count())

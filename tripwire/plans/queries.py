@@ -655,7 +655,7 @@ def tlearner_effects(t):
 def stream_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stateful stream over the events table, run to its end."""
     live.rocks(spark)
-    return live.run_to_end(live.features(_stream(spark, sf_dir))).select("seq", "ts", "service", *r6(*C.FEATURES))
+    return live.replayed(X.telemetry(spark, sf_dir), shared_folder(spark), live.features).select("seq", "ts", "service", *r6(*C.FEATURES))
 
 
 def _logged(spark: SparkSession, rows: DataFrame, log: str, **options) -> DataFrame:
@@ -738,8 +738,7 @@ def stream_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, folder = X.telemetry(spark, sf_dir), shared_folder(spark)
     cut = splits.time_cuts(t, [0.6])[0]
     fitted = models.fit_all(t.filter(F.col("ts") < cut))
-    rest = _stream(spark, sf_dir).filter(F.col("ts") >= cut)
-    rows = live.run_to_end(live.features(rest), f"{folder}/checkpoint", f"{folder}/features")
+    rows = live.replayed(t.filter(F.col("ts") >= cut), folder, live.features)
     again = lambda: spark.readStream.schema(rows.schema).parquet(f"{folder}/features")
     decided = live.run_to_end(live.decisions(again(), fitted)).groupBy("resolved", "remediation", "escalated").agg(F.count("*").alias("n"), F.sum(decision.gain(F.col("remediation"))).alias("value"))
     strange = live.run_to_end(live.anomalies(again(), fitted)).groupBy(logs.class_of("incident_type").alias("resolved")).agg(F.sum(F.col("flag").cast("long")).alias("n"))
@@ -821,7 +820,7 @@ def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     live.rocks(spark)
     t, folder = X.telemetry(spark, sf_dir), shared_folder(spark)
     fitted = models.fit_all(t, trees=10, forest_trees=20)
-    rows = live.run_to_end(live.features(_stream(spark, sf_dir)), f"{folder}/checkpoint", f"{folder}/features")
+    rows = live.replayed(t, folder, live.features)
     again = lambda: spark.readStream.schema(rows.schema).parquet(f"{folder}/features")
     batch = storage.stored(features.features(t, keep=live.CARRIED))
     pairs = {

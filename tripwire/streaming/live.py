@@ -55,7 +55,7 @@ class Features(StatefulProcessor):
     """The batch operator's windows over a service's rows of a micro-batch and those it remembers, in (ts, seq) order.
 
     The store holds a list of the rows of the last window, to which each micro-batch appends; it is written anew only when
-    most of it has become too old.
+    most of it has become too old. A service's rows of a micro-batch are held at once, so logs are read in bounded ones (``replayed``).
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -141,6 +141,34 @@ def run_with_progress(stream: DataFrame, checkpoint: str | None = None, out: str
     return spark.read.schema(stream.schema).parquet(out), lines(spark, ledger_of(checkpoint)).filter(F.col("run") == str(query.runId))
 
 
+#: Rows, about, that ``replayed`` hands on at a time.
+STEP_ROWS = 2_000_000
+
+
+def replayed(rows: DataFrame, folder: str, stream_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Appends rows to the log of a folder in order of (ts, seq), ``STEP_ROWS`` at a time, and runs the stream that is made of the log
+    to its end after each; returns all that it wrote, there or called again for more rows.
+
+    A micro-batch is an append, so what an operator holds of it doesn't follow the length of the log, and its state comes from the checkpoint.
+    """
+    spark = rows.sparkSession
+
+    def append(some: DataFrame) -> DataFrame:
+        some.write.mode("append").parquet(f"{folder}/log")
+        log = spark.readStream.schema(rows.schema).parquet(f"{folder}/log")
+        return run_to_end(stream_of(log), f"{folder}/checkpoint", f"{folder}/features")
+
+    total = rows.count()
+    if total <= STEP_ROWS:
+        return append(rows)
+    with Scratch(spark) as tmp:
+        # stored with its place, so that an append reads the files that hold its rows
+        placed = tmp.stored(with_rank(rows, "ts", "seq", name="place_", tmp=tmp))
+        for begin in range(0, total, STEP_ROWS):
+            written = append(placed.filter((F.col("place_") >= begin) & (F.col("place_") < begin + STEP_ROWS)).drop("place_"))
+    return written
+
+
 def ledger_of(checkpoint: str) -> str:
     return f"{checkpoint}/ledger"
 
