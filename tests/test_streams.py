@@ -190,7 +190,7 @@ def test_rounds_of_prompts_compute_them_once(spark):
     assert store.rows().agg(F.count_distinct("reply")).first()[0] == 90 and store.ask(prompts, lambda x: x, block=4) == 0
 
 
-@pytest.mark.parametrize("name", ["stream_features"])
+@pytest.mark.parametrize("name", ["stream_features", "stream_late"])
 def test_features_of_a_log_in_bounded_micro_batches(spark, monkeypatch, name):
     """What a long log gives in many appends is what it gives in one, and no micro-batch is larger than an append."""
     folders = []

@@ -677,8 +677,7 @@ def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     live.rocks(spark)
     t, folder = X.telemetry(spark, sf_dir), shared_folder(spark)
     for rows in (t.filter("seq % 10 <> 0"), t.filter("seq % 10 = 0")):
-        stream = live.features(_logged(spark, rows, f"{folder}/log"), late_s=600.0)
-        written = live.run_to_end(stream, f"{folder}/checkpoint", f"{folder}/rows")
+        written = live.replayed(rows, folder, lambda log: live.features(log, late_s=600.0))
     late = ledger.totals(ledger.lines(spark, live.ledger_of(f"{folder}/checkpoint"))).select(F.col("late").alias("dropped_late"))
     return written.agg(F.count("*").alias("processed")).join(F.broadcast(late))
 
