@@ -245,6 +245,40 @@ def test_jaccard_components_equal_brute_force(spark, words, percent):
     assert {r.doc_id for r in kept.collect()} - alone - {None} == set(least.values()) - {None}
 
 
+def test_common_passages_do_not_make_sets_meet(spark):
+    """Texts that have a passage in common and are not similar otherwise: none of their differences are made; similar ones are found."""
+
+    class Counting(links.Scratch):
+        made = met = 0
+
+        def stored(self, df):
+            out = super().stored(df)
+            self.made += out.count() if "element" in out.columns else 0
+            self.met += out.count() if out.columns == ["bucket", "id"] else 0
+            return out
+
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    passages = [[word() for _ in range(14)] for _ in range(3)]
+    texts = [[word() for _ in range(70)] + passages[k % 3] + [word() for _ in range(70)] for k in range(90)]
+    for k in range(12):  # up to and beyond the threshold
+        texts.append([*texts[k][: 150 - k], *(word() for _ in range(k + 4))])
+        texts.append([*(word() if j in (20, 40, 50) and k % 2 else x for j, x in enumerate(texts[k]))])
+    sets = [shingles(" ".join(t), 5) for t in texts]
+    same = Union()
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if 100 * both >= 80 * (len(a) + len(sets[j]) - both):
+                same.join(j, i)
+    documents = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    with Counting(spark) as tmp:
+        rows, found = partenum.set_components(tmp, documents, 5, 80)
+        got = {r.doc_id: r["first"].doc_id for r in rows.join(found, "id").collect()}
+        assert got == {k: same.find(k) for k in range(len(texts))} and len(set(got.values())) < len(texts) - 12
+        assert not tmp.made and 0 < tmp.met < 12 * 200, (tmp.made, tmp.met)
+
+
 def test_similar_sets_share_a_signature():
     rng = np.random.default_rng(1)
     for percent in (80, 90):

@@ -53,30 +53,36 @@ SAMPLE, OFTEN = 256, 40
 SETS = "id long, size int, reach int, slack int, spread int, " + ", ".join(f"s{k} long" for k in range(SKETCH)) + ", elements array<long>"
 
 
-#: Bits of the table that tells which rows can be of a bucket with several items; its size is fixed.
-_SLOT_BITS = 27
+#: The table that tells which rows can be of a bucket with several items has 2 to the power of so many bits, at least and at most, and
+#: up to the most about ``_ROOM`` bits for each such bucket.
+_LEAST_BITS, _MOST_BITS, _ROOM = 15, 27, 64
 
 
 def crowded(tmp: Scratch, signed: Callable[[Callable[[np.ndarray], np.ndarray] | None], DataFrame]) -> DataFrame:
     """Of rows (bucket, id), those of buckets with two items or more, each once.
 
     ``signed`` gives the rows, or those whose buckets a function keeps. They are made twice: first buckets are counted, then
-    the rows that can be of a crowded one, as a bit for each of a fixed number of slots tells, meet those buckets.
+    the rows that can be of a crowded one, as a bit for each of a bounded number of slots tells, meet those buckets.
     """
     ends = signed(None).groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
     buckets = tmp.stored(ends.select("bucket"))
-    slot = F.shiftright("bucket", 20).bitwiseAND((1 << _SLOT_BITS) - 1)
+    n_bits = min(max((buckets.count() * _ROOM).bit_length(), _LEAST_BITS), _MOST_BITS)
+    slot = F.shiftright("bucket", 20).bitwiseAND((1 << n_bits) - 1)
     pages = buckets.select(slot.alias("slot")).groupBy(F.shiftright("slot", 15).alias("page")).agg(F.bitmap_construct_agg(F.col("slot").bitwiseAND((1 << 15) - 1)).alias("bits"))
-    bits = np.zeros((1 << (_SLOT_BITS - 15), 1 << 12), np.uint8)
+    bits = np.zeros((1 << (n_bits - 15), 1 << 12), np.uint8)
     for page, held in pages.toLocalIterator():
         bits[page] = np.frombuffer(held, np.uint8)
     shared = buckets.sparkSession.sparkContext.broadcast(bits.ravel())
+    del bits
 
     def kept(bucket: np.ndarray) -> np.ndarray:
-        slot = (bucket.astype(np.int64) >> 20) & ((1 << _SLOT_BITS) - 1)
+        slot = (bucket.astype(np.int64) >> 20) & ((1 << n_bits) - 1)
         return (shared.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
 
-    return signed(kept).join(buckets, "bucket").distinct()
+    out = tmp.stored(signed(kept).join(buckets, "bucket").distinct())
+    shared.destroy()  # the driver and the executors would hold it until the driver's garbage is collected
+    tmp.drop(buckets)
+    return out
 
 
 def with_first(members: DataFrame) -> DataFrame:
@@ -204,14 +210,13 @@ def traits(sets: DataFrame, side: str) -> DataFrame:
 
 
 def classes(tmp: Scratch, members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], verify: Verify, sketched: bool = True) -> tuple[DataFrame, DataFrame]:
-    """((id, component) of linked items, the verified links (a, b)) from the rows of ``crowded``.
+    """((id, component) of linked items, the verified links (a, b)) from the stored rows of ``crowded``, which it drops.
 
     ``sets_of`` gives the columns of ``SETS`` (elements sorted and distinct) and others of rows (id, compared); only
     compared ones need elements and sketches. ``verify`` gets rows (a, b) with a < b and that table, and returns the linked ones.
     """
-    plain = tmp.stored(members)
-    counted = tmp.stored(plain.join(plain.groupBy("bucket").agg(F.count("*").alias("n")), "bucket"))
-    tmp.drop(plain)
+    counted = tmp.stored(members.join(members.groupBy("bucket").agg(F.count("*").alias("n")), "bucket"))
+    tmp.drop(members)
     few = counted.filter(F.col("n") <= SMALL)
     left, right = (few.select("bucket", F.col("id").alias(x)) for x in "ab")
     odd = F.sum(F.col("bucket").bitwiseAND(1))

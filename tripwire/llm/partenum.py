@@ -27,11 +27,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripwire.llm.batches import mix, prefix_hash, release, row_chunks, slice_hash, text_buffer, word_spans
-from tripwire.llm.links import SETS, Scratch, classes, crowded, set_columns, stored
+from tripwire.llm.links import ODD_SHARED, SETS, Scratch, classes, crowded, set_columns, stored
 
 #: Rows of (id, set id) up to which the way back to the texts is a broadcast; beyond it, a join with a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -116,12 +116,12 @@ class PartEnum:
             self.known_parts[band] = 1 if k == 0 else k + 2 if k <= self.SMALL else p + p % 2
         return self.known_parts[band]
 
-    def signatures(self, elements: np.ndarray) -> np.ndarray:
-        """Of a set given as sorted hashes; parts are ranges of them."""
-        out, sums = [], np.zeros(len(elements) + 1, np.uint64)
+    def signed_bands(self, elements: np.ndarray) -> Iterator[tuple[int, np.ndarray, int]]:
+        """Of a set given as sorted hashes; parts are ranges of them: (band, its signatures, how many of them ``rarest`` may leave out)."""
+        sums = np.zeros(len(elements) + 1, np.uint64)
         np.cumsum(mix(elements), out=sums[1:])
         for band in self.bands(len(elements)):
-            k = self.differences(band)
+            k, spare = self.differences(band), 0
             parts = self.parts(band)
             ends = np.searchsorted((elements >> np.uint64(40)).astype(np.int64) * parts >> 24, np.arange(parts), "right")
             begins = np.concatenate(([0], ends[:-1]))
@@ -130,10 +130,28 @@ class PartEnum:
             if 1 <= k <= self.SMALL:
                 left, right = np.array(list(combinations(range(parts), 2))).T
                 own = own[left] * np.uint64(0x9E3779B97F4A7C15) + own[right]
-            elif k and (ends > begins).sum() >= k + 3:
+            elif k and (ends > begins).sum() >= k + ODD_SHARED:
                 own = own[ends > begins]
-            out.append(own & ~np.uint64(1) | np.uint64(k > self.SMALL))
-        return np.concatenate(out)
+                spare = len(own) - k - ODD_SHARED
+            yield band, own & ~np.uint64(1) | np.uint64(k > self.SMALL), spare
+
+    def signatures(self, elements: np.ndarray) -> np.ndarray:
+        return np.concatenate([own for _, own, _ in self.signed_bands(elements)])
+
+
+def rarest(members: DataFrame) -> DataFrame:
+    """Rows (bucket, id) of ``crowded`` rows that also have band and spare, without those that a set can spare in a band.
+
+    A set that signs its m filled parts has m - k of them in common with every similar set. In one order of all buckets, lone ones
+    first, then rare ones, its first k + 3 hold three of those at least, and so do the similar set's (it leaves out none, if it signs empty
+    parts too). So the last m - k - 3 can go, and a set with fewer than m - k crowded buckets in a band has no partner there: what
+    stays is what similar sets share, not every shingle that many texts happen to have.
+    """
+    own = Window.partitionBy("id", "band")
+    needed = F.col("spare") + F.when(F.col("bucket").bitwiseAND(1) == 1, ODD_SHARED).otherwise(1)
+    counted = members.join(members.groupBy("bucket").agg(F.count("*").alias("n")), "bucket").withColumn("spare", F.min("spare").over(own))
+    ranked = counted.withColumns({"last": F.row_number().over(own.orderBy(F.desc("n"), F.desc("bucket"))), "held": F.count("*").over(own)})
+    return ranked.filter((F.col("last") > F.col("spare")) & (F.col("held") >= needed)).select("bucket", "id").distinct()
 
 
 def set_components(tmp: Scratch, documents: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -158,15 +176,20 @@ def set_components(tmp: Scratch, documents: DataFrame, words: int, percent: int)
                 raw, offsets, _ = text_buffer(batch.column(1))
                 for lo, hi in row_chunks(offsets):
                     own = {set_id(x): x for x in shingle_sets(raw, offsets[lo : hi + 1], words) if len(x)}
-                    signs = [plan.signatures(x) for x in own.values()]
-                    buckets = np.concatenate([*signs, np.zeros(0, np.uint64)]).astype(np.int64)
-                    ids = np.repeat(np.array([*own], np.int64), [len(x) for x in signs])
+                    signs = [(name, *x) for name, elements in own.items() for x in plan.signed_bands(elements)]
+                    names, bands, spare = (np.array([x[k] for x in signs], np.int64) for k in (0, 1, 3))
+                    of = np.repeat(np.arange(len(signs)), [len(x[2]) for x in signs])
+                    buckets = np.concatenate([*(x[2] for x in signs), np.zeros(0, np.uint64)]).astype(np.int64)
+                    columns = {"bucket": buckets, "id": names[of]}
                     if kept:
                         here = kept(buckets)
-                        buckets, ids = buckets[here], ids[here]
-                    yield pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(ids)], names=["bucket", "id"])
+                        needed = spare[of] + np.where(buckets & 1, ODD_SHARED, 1)
+                        here &= np.bincount(of[here], minlength=len(signs))[of] >= needed
+                        columns |= {"band": bands[of].astype(np.int32), "spare": spare[of].astype(np.int32)}
+                        columns = {k: x[here] for k, x in columns.items()}
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns.values()], names=[*columns])
 
-        return keyed.mapInArrow(run, "bucket long, id long")
+        return keyed.mapInArrow(run, "bucket long, id long" + ", band int, spare int" * (kept is not None))
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in release(batches):
@@ -195,7 +218,10 @@ def set_components(tmp: Scratch, documents: DataFrame, words: int, percent: int)
         shared = F.size(F.array_intersect("a_set", "b_set"))
         return both.filter(100 * shared >= percent * (F.size("a_set") + F.size("b_set") - shared)).select("a", "b").distinct()
 
-    found, links = classes(tmp, crowded(tmp, signed), sets_of, verify)
+    shared = crowded(tmp, signed)
+    members = tmp.stored(rarest(shared))
+    tmp.drop(shared)
+    found, links = classes(tmp, members, sets_of, verify)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     classed = named.join(found, "id", "left").join(degree, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = classed.groupBy("component").agg(F.min(F.struct("first.unnamed", "first.doc_id", "first.text_key")).alias("class_first"))
