@@ -520,3 +520,40 @@ def test_differences_of_one_item_do_not_meet_the_sketches(spark):
     with Counting(spark) as tmp:
         got = {r.doc_id: r["first"].doc_id for r in lines.line_copies(tmp, documents).collect()}
         assert got == {40: 40, 60: 40} and 0 < tmp.compared < len(texts) * 9, tmp.compared
+
+
+def test_items_of_a_family_meet_in_few_groups(spark):
+    """Near copies below the threshold, which stand in many buckets with different firsts: an item's differences are made about once, and links are found."""
+
+    class Counting(links.Scratch):
+        groups = items = 0
+
+        def stored(self, df):
+            out = super().stored(df)
+            if {"element", "near"} <= set(out.columns) and "s0" not in out.columns:
+                self.groups += out.select("first", "id").distinct().count()
+                self.items += out.select("id").distinct().count()
+            return out
+
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    base = [word() for _ in range(150)]
+    texts = []
+    for _ in range(200):
+        changed = set(rng.sample(range(150), 7))
+        texts.append([word() if k in changed else x for k, x in enumerate(base)])
+    for k in range(0, 40, 4):
+        texts.append([word() if j == 70 + k else x for j, x in enumerate(texts[k])])
+    sets = [shingles(" ".join(t), 5) for t in texts]
+    same = Union()
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if 100 * both >= 80 * (len(a) + len(sets[j]) - both):
+                same.join(j, i)
+    documents = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    with Counting(spark) as tmp:
+        rows, found = partenum.set_components(tmp, documents, 5, 80)
+        got = {r.doc_id: r["first"].doc_id for r in rows.join(found, "id").collect()}
+        assert got == {k: same.find(k) for k in range(len(texts))} and 100 < len(set(got.values())) < len(texts)
+        assert 100 < tmp.items <= tmp.groups < 2 * tmp.items, (tmp.items, tmp.groups)

@@ -10,7 +10,9 @@ Since only the classes are wanted, not all pairs of a bucket need verifying:
 2. in larger buckets, each item with the most typical item that stands first in one of its buckets (one pair an item);
    typical is what shares many buckets with others, and the most typical item of a bucket stands first in it;
 3. in larger buckets whose items are not yet of one class, each item with the bucket's first item f;
-4. in those still of several classes, items meet in groups by their differences from f. With A and B what two items'
+4. in those still of several classes, items meet in groups by their differences from f, or from the first item of another bucket
+   that f is in and resembles (``leaders``), so that an item is in one group or a few, not in one for each of its buckets; any
+   set would do for f, as long as all items of a bucket have the same. With A and B what two items'
    sets don't share with f's, the sets differ where A and B do. Of linked items at most slack k of these elements
    aren't shared, so if A has more than k, both have one of them among their first k + 1 differences in a common order,
    and so if B has more. If neither has, and they share none, A and B have at most k together, so the smaller has at
@@ -48,6 +50,8 @@ SMALL, ODD_SHARED = 16, 3
 SKETCH = 16
 #: Items, about, that tell which differences from a first item are common: those that over one in ``OFTEN`` has.
 SAMPLE, OFTEN = 256, 40
+#: Times that the way from a first item to its leader is doubled.
+LEADING = 3
 #: Columns that ``sets_of`` gives beside others: sizes of linked items differ by ``reach`` at most, their elements by ``slack``,
 #: the bits of their sketches by ``spread``.
 SETS = "id long, size int, reach int, slack int, spread int, " + ", ".join(f"s{k} long" for k in range(SKETCH)) + ", elements array<long>"
@@ -146,6 +150,22 @@ def _sets_in(batch: pa.RecordBatch, name: str) -> list[np.ndarray]:
     return np.split(values, ends[:-1]) if len(lists) else []
 
 
+def leaders(tmp: Scratch, open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """(first, leader) of the firsts of rows (first, id, shares): the most typical item that a way of some steps leads to, each from a first to
+    the first of a bucket that it is in; or the first itself, if the two have less than a third of their elements in common.
+
+    The items of one family stand in many buckets with different firsts, and by their leader they meet once.
+    """
+    firsts = open_.select(F.col("first").alias("id")).distinct()
+    up = tmp.stored(open_.join(firsts, "id").groupBy("id").agg(F.max(F.struct("shares", "first")).alias("top")).select(F.col("id").alias("first"), F.col("top.first").alias("leader")))
+    for _ in range(LEADING):
+        up = tmp.stored(up.join(up.select(F.col("first").alias("leader"), F.col("leader").alias("next")), "leader").select("first", F.col("next").alias("leader")))
+    left, right = (sets.select(F.col("id").alias(x), F.col("elements").alias(f"{x}_set")) for x in ("first", "leader"))
+    shared = F.size(F.array_intersect("first_set", "leader_set"))
+    near = up.filter("first <> leader").join(left, "first").join(right, "leader").filter(4 * shared >= F.size("first_set") + F.size("leader_set")).select("first", "leader")
+    return tmp.stored(up.select("first").join(near, "first", "left").select("first", F.coalesce("leader", "first").alias("leader")))
+
+
 def common_differences(open_: DataFrame, base: DataFrame, sets: DataFrame) -> DataFrame:
     """(first, common): the elements that many of a sample of the items (first, id) don't share with the first, rarest first."""
     sizes = open_.groupBy("first").agg(F.count("*").alias("n"))
@@ -237,10 +257,10 @@ def classes(tmp: Scratch, members: DataFrame, sets_of: Callable[[DataFrame], Dat
         return rows.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
     def several() -> DataFrame:
-        """(first, id, component) of the items of larger buckets that hold several classes."""
+        """(first, shares, id, component) of the items of larger buckets that hold several classes."""
         now = classed(large)
         which = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
-        return tmp.stored(now.join(which, "bucket").select("first", "id", "component").distinct())
+        return tmp.stored(now.join(which, "bucket").select("first", "shares", "id", "component").distinct())
 
     def more(pairs: DataFrame) -> None:
         nonlocal links, found
@@ -256,7 +276,8 @@ def classes(tmp: Scratch, members: DataFrame, sets_of: Callable[[DataFrame], Dat
         open_ = several()
     if not open_.isEmpty():
         base = sets.select(F.col("id").alias("first"), F.col("elements").alias("base"))
-        apart = open_.filter("id <> first")
+        led = open_.join(leaders(tmp, open_, sets), "first").filter("id <> first or first <> leader")  # all have been compared with their own first
+        apart = tmp.stored(led.select(F.col("leader").alias("first"), "id", "component").distinct())
         rows = apart.join(base, "first").join(common_differences(apart.select("first", "id"), base, sets), "first", "left").join(sets, "id")
         leading = tmp.stored(leading_differences(rows))
         # a stored table's columns by side, so that the sketches are compared in the join itself
