@@ -77,6 +77,16 @@ def test_copies_share_a_bucket_and_few_grams_differ(distance):
         assert len(np.setxor1d(lines.gram_set(a), lines.gram_set(b))) <= 2 * lines.GRAM * distance
 
 
+def test_a_line_is_in_few_buckets():
+    """At most four of its class and, if it may have a shorter copy of another class, four of that one."""
+    rng = random.Random(12)
+    texts = ["".join(rng.choices("abcdé", k=rng.randint(25, 120))) for _ in range(2000)]
+    raw = np.frombuffer("\n".join(texts).encode(), np.uint8)
+    own = lines.Lines.of(raw, np.array([0, len(raw)]), 25)
+    buckets, owner = lines.bucket_rows(lines.prefix_hash(raw), own, np.arange(2000).astype(np.uint64), 2)
+    assert np.bincount(owner.astype(np.int64)).max() <= 8 and len(set(zip(buckets.tolist(), owner.tolist(), strict=True))) < 6.3 * 2000
+
+
 def line_table(spark):
     rng = random.Random(4)
     base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(20, 60))) for _ in range(40)]

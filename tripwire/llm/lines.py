@@ -2,10 +2,11 @@
 
 Lines of at least ``MIN_CHARS`` characters take part. With ``short``, so do shorter ones that hold more than white
 space: those are copies of equal lines only, which needs neither buckets nor verification. Two long lines are copies if their edit distance is at most
-``DISTANCE``. A line of length n is cut into DISTANCE + 1 even segments; of two copies, the longer has some segment
-of the shorter as a substring, at a start that the lengths and the segment's number narrow down to a few. So a line
-enters the buckets (length, segment number, segment) of its own segments and of its own substrings for every length
-from n - DISTANCE to n. Lines that share a bucket are verified by edit distance, bit-parallel within a band of
+``DISTANCE`` = d. Lengths are cut into classes of ``WIDTH``, and a line is of its length's class and of that of a copy shorter by d.
+In a class of lengths from n, d + 1 segments are laid out, those of the first half from a line's begin and the others from its end. Of
+two copies of a class, some segment k is untouched, with at most k edits before it and d - k after it, so it is moved by at most
+m = min(k, d - k) against the side it is laid out from. A segment has m characters more than a window of it, and a line enters the buckets (n, k, window) of its
+windows at 0 to m: of two such segments, some window of one is a window of the other. That is four buckets a line and class for d = 2. Lines that share a bucket are verified by edit distance, bit-parallel within a band of
 diagonals. Classes of copies are closed under links; in each class the line that comes first by (doc_id, line number)
 stays and the others go.
 
@@ -31,13 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripwire.llm.batches import CONTINUES, SEPARATOR, mix, prefix_hash, release, row_chunks, slice_hash, text_buffer
+from tripwire.llm.batches import SEPARATOR, mix, prefix_hash, release, row_chunks, slice_hash, text_buffer
 from tripwire.llm.links import SETS, Scratch, classes, crowded, set_columns, stored
 
 MIN_CHARS, DISTANCE = 25, 2
 #: Characters of the grams by which variants of one line are grouped, and of those in their sketches: the shorter, the
 #: more of a word's change shows against what one edit allows.
 GRAM, SKETCHED = 4, 2
+#: Lengths of lines in a class: the more, the fewer lines are in two classes, and the more lines that can't be copies meet.
+WIDTH = 4
 #: Line hashes that a task remembers, so as to place copies of a line in buckets once.
 REMEMBERED = 200_000
 
@@ -72,14 +75,13 @@ class Lines:
         number = np.arange(len(owner)) - np.searchsorted(owner, owner)
         place = None
         first, last = begin, end
-        if len(raw) and (CONTINUES[raw]).any():
-            starts = ~CONTINUES[raw]
-            upto = np.concatenate(([0], np.cumsum(starts)))
-            first, last, place = upto[begin], upto[end], np.append(np.flatnonzero(starts), len(raw))
+        if len(raw) and raw.max() >= 0x80:
+            place = np.flatnonzero(raw.view(np.int8) >= -64)  # all bytes but 80 to BF
+            first, last, place = np.searchsorted(place, begin), np.searchsorted(place, end), np.append(place, len(raw))
         take = last - first >= min_chars
         if short:
-            filled = np.concatenate(([0], np.cumsum(~SEPARATOR[raw])))
-            take |= filled[end] > filled[begin]
+            filled = np.flatnonzero(~SEPARATOR[raw])
+            take |= np.searchsorted(filled, end) > np.searchsorted(filled, begin)
         return cls(raw, begin[take], end[take], first[take], last[take], owner[take], number[take], place)
 
     def only(self, which: np.ndarray) -> Lines:
@@ -100,29 +102,39 @@ def gram_set(line: str, size: int = GRAM) -> np.ndarray:
     return np.unique(mix(grams + mix((np.arange(len(grams)) - start).astype(np.uint64))))
 
 
-def bucket_rows(prefix: list, lines: Lines, ids: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, id) rows of the lines."""
+def line_buckets(prefix: list, lines: Lines, distance: int, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, which line) rows of the lines, all others having ``least`` characters too."""
     buckets, owners = [], []
-    start, stop = lines.first, lines.last
     where = (lambda x: x) if lines.place is None else lines.place.__getitem__
-    length, segments = stop - start, distance + 1
-    for shorter in range(distance + 1):
-        indexed = length - shorter
-        ok = indexed >= segments
-        base, long = indexed // segments, indexed % segments  # the last ``long`` segments have one character more
-        for k in range(segments):
-            at = k * base + np.maximum(0, k - (segments - long))
-            size = base + (k >= segments - long)
-            # starts that the segment's number allows, from the left and from the right
-            for shift in range(max(-k, shorter - (distance - k)), min(k, shorter + (distance - k)) + 1):
-                begin = start + at + shift
-                fits = ok & (at + shift >= 0) & (begin + size <= stop)
-                tag = mix((indexed[fits] * 64 + k).astype(np.uint64))
-                buckets.append(mix(slice_hash(prefix, where(begin[fits]), where((begin + size)[fits])) + tag) & ~np.uint64(1))
-                owners.append(ids[fits])
+    length, segments, width = lines.last - lines.first, distance + 1, max(WIDTH, distance)
+    moves = [min(k, distance - k) for k in range(segments)]
+    own = length // width * width
+    # its own class, and the one before it if a shorter copy may be of that one
+    for lengths, which in ((own, np.arange(len(own))), (own - width, np.flatnonzero((length - distance < own) & (own > least)))):
+        lengths = lengths[which]
+        size = (lengths - sum(moves)) // segments
+        for k, most in enumerate(moves):
+            left = 2 * k <= distance
+            fits = which[size > 0]
+            here, n = lengths[size > 0], size[size > 0]
+            at = k * n + sum(moves[:k])
+            begin = lines.first[fits] + at if left else lines.last[fits] - (segments - k) * n - sum(moves[k:])
+            tag = mix((here * 64 + k).astype(np.uint64))
+            for shift in range(most + 1):
+                buckets.append(mix(slice_hash(prefix, where(begin + shift), where(begin + shift + n)) + tag) & ~np.uint64(1))
+                owners.append(fits)
+        tiny = which[size <= 0]  # too short for segments: one bucket
+        buckets.append(np.zeros(len(tiny), np.uint64))
+        owners.append(tiny)
     return np.concatenate(buckets), np.concatenate(owners)
 
 
+def bucket_rows(prefix: list, lines: Lines, ids: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, id) rows of the lines."""
+    buckets, of = line_buckets(prefix, lines, distance)
+    return buckets, ids[of]
+
+
 def banded_distance(left: list[str], right: list[str], distance: int) -> np.ndarray:
     """Which pairs are within the edit distance: Hyyro's bit-vectors over a band of diagonals, all pairs at once."""
     out = np.zeros(len(left), bool)
@@ -185,41 +197,42 @@ def line_copies(tmp: Scratch, documents: DataFrame, distance: int = DISTANCE, mi
     """
     texts = documents.filter("text is not null").select("doc_id", "document_key", "text")
 
-    def chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, Lines, list, np.ndarray]]:
-        raw, offsets, _ = text_buffer(batch.column("text"))
-        for lo, hi in row_chunks(offsets):
-            own = Lines.of(raw, offsets[lo : hi + 1], min_chars, short)
-            prefix = prefix_hash(own.raw)
-            yield lo, own, prefix, slice_hash(prefix, own.begin, own.end)
-
     def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in release(batches):
-            for lo, own, _, ids in chunks(batch):
+            raw, offsets, _ = text_buffer(batch.column("text"))
+            for lo, hi in row_chunks(offsets):
+                own = Lines.of(raw, offsets[lo : hi + 1], min_chars, short)
+                prefix = prefix_hash(own.raw)
+                ids = slice_hash(prefix, own.begin, own.end)
                 of, view = pa.array(own.owner + lo), memoryview(own.raw)
                 check = [zlib.crc32(view[a:b]) for a, b in zip(own.begin.tolist(), own.end.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(of), batch.column("document_key").take(of), pa.array(own.number.astype(np.int32)), pa.array(ids.astype(np.int64)), pa.array(check, pa.int64())], names=["doc_id", "document_key", "line", "id", "check"])
+                _, once = np.unique(ids, return_index=True)
+                once = np.sort(once[(own.last - own.first)[once] >= min_chars])
+                new = once[[x not in seen for x in ids[once].tolist()]] if len(once) else once
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                seen.update(ids[new].tolist())
+                buckets, owners = line_buckets(prefix, own.only(new), distance, min_chars)
+                buckets = buckets[np.argsort(owners, kind="stable")]
+                counts = np.zeros(len(ids) + 1, np.int32)
+                counts[1:][new] = np.bincount(owners, minlength=len(new))
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(counts, dtype=np.int32)), pa.array(buckets.astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(of), batch.column("document_key").take(of), pa.array(own.number.astype(np.int32)), pa.array(ids.astype(np.int64)), pa.array(check, pa.int64()), lists], names=["doc_id", "document_key", "line", "id", "check", "buckets"])
 
     def placed(kept: Callable[[np.ndarray], np.ndarray] | None) -> DataFrame:
+        held = lines.filter(F.size("buckets") > 0).select("buckets", "id")
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen: set[int] = set()
             for batch in release(batches):
-                for _, own, prefix, ids in chunks(batch):
-                    _, once = np.unique(ids, return_index=True)
-                    once = once[(own.last - own.first)[once] >= min_chars]
-                    new = once[[x not in seen for x in ids[once].tolist()]] if len(once) else once
-                    if len(seen) > REMEMBERED:
-                        seen.clear()
-                    seen.update(ids[new].tolist())
-                    if len(new):
-                        buckets, owners = bucket_rows(prefix, own.only(new), ids[new], distance)
-                        if kept:
-                            here = kept(buckets)
-                            buckets, owners = buckets[here], owners[here]
-                        yield pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int64)), pa.array(owners.astype(np.int64))], names=["bucket", "id"])
-
-        return texts.select("text").mapInArrow(run, "bucket long, id long")
-
-    lines = tmp.stored(texts.mapInArrow(located, "doc_id long, document_key long, line int, id long, check long"))
+                buckets, sizes = np.array(batch.column("buckets").flatten()), np.array(batch.column("buckets").value_lengths())
+                here = kept(buckets)
+                yield pa.RecordBatch.from_arrays([pa.array(buckets[here]), pa.array(np.repeat(np.array(batch.column("id")), sizes)[here])], names=["bucket", "id"])
+
+        return held.mapInArrow(run, "bucket long, id long") if kept else held.select(F.explode("buckets").alias("bucket"), "id")
+
+    # each line is hashed once; its buckets are read again, once for counting and once for the way back
+    lines = tmp.stored(texts.mapInArrow(located, "doc_id long, document_key long, line int, id long, check long, buckets array<long>"))
     place = F.struct("check", "doc_id", "document_key", "line")
     named = tmp.stored(lines.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("n")))
 
@@ -252,10 +265,11 @@ def line_copies(tmp: Scratch, documents: DataFrame, distance: int = DISTANCE, mi
         return pairs.join(left, "a").join(right, "b").mapInArrow(verified, "a long, b long").distinct()
 
     found, _ = classes(tmp, crowded(tmp, placed), contents_of, verify, sketched=False)
-    classed = named.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    # a line that occurs once and is linked with none has no copies
+    classed = named.join(found, "id", "left").filter("n > 1 or component is not null").withColumn("component", F.coalesce("component", "id"))
     firsts = classed.groupBy("component").agg(F.min(F.struct("first.doc_id", "first.document_key", "first.line")).alias("class_first"), F.sum("n").alias("in_class")).filter("in_class > 1")
     copied = classed.join(firsts, "component").select("id", F.col("first.check").alias("id_check"), "class_first")
-    return lines.join(copied, "id").filter("check = id_check").select("doc_id", "document_key", "line", F.col("class_first").alias("first"))
+    return lines.drop("buckets").join(copied, "id").filter("check = id_check").select("doc_id", "document_key", "line", F.col("class_first").alias("first"))
 
 
 def dedup(documents: DataFrame, distance: int = DISTANCE, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
